@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The work this library rebuilds is a batch job over tables without timestamps:
+there is no windowing, watermark or late-data behaviour to express, so no
+streaming operator is offered.
+"""
