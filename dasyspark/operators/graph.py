@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dasyspark import config as C
@@ -97,6 +97,21 @@ def initial_residual(new: Column, first: Column, alpha: float = C.RESIDUAL_ALPHA
     return F.zip_with(new, first, lambda a, b: a * F.lit(1 - alpha) + b * F.lit(alpha))
 
 
+def feature_index(rows: DataFrame, name: str) -> DataFrame:
+    """Zero-based position of each distinct name in sorted order: ``name, idx``.
+
+    Names are few compared to rows; they are ranked by the exact distributed
+    counts of their sort order, so no task holds them all.
+    """
+    distinct = rows.select(name).distinct()
+    ordered = materialize(distinct.orderBy(name).withColumn("_part", F.spark_partition_id()), "names")
+    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(name)) - 1
+    return ordered.join(offsets, "_part").select(name, (within + F.col("_before")).alias("idx"))
+
+
 def parent_features(cells: DataFrame, parent: str, names: Sequence[str]) -> DataFrame:
     """Features of a coarser cell: the mean of all its finest cells."""
     return cells.groupBy(parent).agg(*[F.avg(n).alias(n) for n in names])

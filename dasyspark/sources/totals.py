@@ -55,7 +55,7 @@ def scan_ckan_records(
 
 def scan_dropin_csv(spark: SparkSession, path: str) -> DataFrame:
     """``district, y_crore`` by name, else the first two columns."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
     name = "district" if "district" in raw.columns else raw.columns[0]
     value = "y_crore" if "y_crore" in raw.columns else raw.columns[1]
     return raw.select(

@@ -222,7 +222,7 @@ def _runs(spark, sf):
 
 
 @query("ensemble_stats", with_ctes(
-    """SELECT p.cell, round(avg(s_i), 10) AS s_mean, round(min(s_i), 10) AS s_min, round(max(s_i), 10) AS s_max, round(avg(pci), 3) AS pci_mean,
+    """SELECT p.cell, round(avg(s_i), 10) AS s_mean, round(min(s_i), 10) AS s_min, round(max(s_i), 10) AS s_max, round(avg(pci), 5) AS pci_mean,
     min(pci) AS pci_min, max(pci) AS pci_max, round(avg(coalesce(w, 0)), 4) AS w_mean, round(min(coalesce(w, 0)), 6) AS w_min, round(max(coalesce(w, 0)), 6) AS w_max
     FROM per_seed p LEFT JOIN seed_live l ON p.cell = l.cell AND p.seed = l.seed GROUP BY p.cell""", CELLS, TOTALS, _SEEDS))
 def _(spark, sf):
@@ -232,7 +232,7 @@ def _(spark, sf):
     pick = lambda col, name, digits: r(col, digits).alias(name)
     return out.select(
         "cell", pick("intensity_raw_mean", "s_mean", 10), pick("intensity_raw_min", "s_min", 10), pick("intensity_raw_max", "s_max", 10),
-        pick("gdp_per_capita_inr_mean", "pci_mean", 3), F.col("gdp_per_capita_inr_min").alias("pci_min"),
+        pick("gdp_per_capita_inr_mean", "pci_mean", 5), F.col("gdp_per_capita_inr_min").alias("pci_min"),
         F.col("gdp_per_capita_inr_max").alias("pci_max"), pick("wealth_index_mean", "w_mean", 4),
         pick("wealth_index_min", "w_min", 6), pick("wealth_index_max", "w_max", 6))
 

@@ -72,7 +72,7 @@ def plane_cell_sql(x: str, y: str, level: int) -> str:
     q0 = f"(({x}) * {num(3 ** 0.5 / 3)} - ({y}) * {num(1 / 3)}) / {num(s)}"
     r0 = f"({y}) * {num(2 / 3)} / {num(s)}"
     return (
-        f"(SELECT {level * 2**56} + (CASE WHEN dq > dr AND dq > dt THEN -rr - rt ELSE rq END)::BIGINT * 268435456 + {2**27} * 268435456"
+        f"(SELECT {level * 2**56} + (CASE WHEN dq > dr AND dq > dt THEN -rr - rt ELSE rq END)::BIGINT * 268435456 + {2**55}"
         f" + (CASE WHEN dq > dr AND dq > dt THEN rr WHEN dr > dt THEN -rq - rt ELSE rr END)::BIGINT + {2**27}"
         f" FROM (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rt - t) AS dt FROM"
         f" (SELECT *, floor(q + 0.5e0) AS rq, floor(r + 0.5e0) AS rr, floor(t + 0.5e0) AS rt FROM"
@@ -110,6 +110,11 @@ def parent_sql(cell: str, level: int, parent_level: int) -> str:
     return plane_cell_sql(x, y, parent_level)
 
 
+def axial_sql_neighbors(cell: str, level: int) -> str:
+    """SQL list of the six neighbouring ids: a step in q or r is a fixed step of the packed id."""
+    return "[" + ", ".join(f"{cell} + ({dq * 2**28 + dr})" for dq, dr in hexgrid.NEIGHBOUR_OFFSETS) + "]"
+
+
 # ---------------------------------------------------------------- cells, units
 
 PRIORITY_OF = {

@@ -25,7 +25,7 @@ def _(spark, sf):
     return folded.select("doc_id", F.md5("f").alias("folded"), F.length("f").cast("bigint").alias("n"))
 
 
-_TITLE = "array_to_string(list_transform(regexp_extract_all({0}, '(\\p{{L}}+|[^\\p{{L}}]+)', 1), x -> upper(x[1]) || lower(x[2:])), '')"
+_TITLE = "array_to_string(list_transform(regexp_extract_all({0}, '(\\p{{L}}+|[^\\p{{L}}]+)', 1), lambda x: upper(x[1]) || lower(x[2:])), '')"
 _RAW_NAME = "'  ' || p_name || '#  ' || replace(p_brand, '#', '-') || (CASE WHEN p_size % 2 = 0 THEN '$*+' ELSE '' END)"
 _KEY = f"trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(raw, '\\s+', ' ', 'g'))), '[#$*+]+', '', 'g'), '\\s+', ' ', 'g'))"
 
@@ -156,11 +156,11 @@ def _(spark, sf):
 _AREA = "CASE WHEN l_linenumber = 7 THEN 0e0 ELSE l_quantity / 100e0 END"
 
 
-@query("safe_ratio_clip", f"SELECT l_orderkey, l_linenumber, l_partkey, round(coalesce(least(greatest(l_extendedprice / nullif({_AREA} * 1e6, 0), 0e0), 1.5e0), 0e0), 9) AS share FROM lineitem")
+@query("safe_ratio_clip", f"SELECT l_orderkey, l_linenumber, l_partkey, round(coalesce(least(greatest(l_extendedprice / nullif({_AREA} * 1e6, 0), 0e0), 1.5e0), 0e0), 13) AS share FROM lineitem")
 def _(spark, sf):
     area = F.when(F.col("l_linenumber") == 7, 0.0).otherwise(F.col("l_quantity") / 100.0)
     return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.round(N.safe_ratio_clip(F.col("l_extendedprice"), area), 9).alias("share"))
+        "l_orderkey", "l_linenumber", "l_partkey", F.round(N.safe_ratio_clip(F.col("l_extendedprice"), area), 13).alias("share"))
 
 
 @query("safe_density", f"SELECT l_orderkey, l_linenumber, l_partkey, round(coalesce(l_quantity / nullif({_AREA}, 0), 0e0), 9) AS density FROM lineitem")
@@ -170,12 +170,12 @@ def _(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey", F.round(N.safe_density(F.col("l_quantity"), area), 9).alias("density"))
 
 
-@query("round_pack", """SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_quantity / 2e0, 0) AS poi, round_even(l_extendedprice / 8e0, 1) AS p,
-  round_even(l_extendedprice / 64e0, 3) AS nl, l_tax AS other FROM lineitem""")
+@query("round_pack", """SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_quantity / 2e0, 0) AS poi, round_even(l_quantity / 4e0, 1) AS p,
+  round_even(l_quantity / 16e0, 3) AS nl, l_tax AS other FROM lineitem""")
 def _(spark, sf):
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", N.round_pack(F.col("l_quantity") / 2.0, "poi").alias("poi"),
-        N.round_pack(F.col("l_extendedprice") / 8.0, "p").alias("p"), N.round_pack(F.col("l_extendedprice") / 64.0, "nl").alias("nl"),
+        N.round_pack(F.col("l_quantity") / 4.0, "p").alias("p"), N.round_pack(F.col("l_quantity") / 16.0, "nl").alias("nl"),
         N.round_pack(F.col("l_tax"), "unknown").alias("other"))
 
 
