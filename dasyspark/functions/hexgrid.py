@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 RADIUS_KM = 6371.007181
 _OFFSET = 1 << 27
 _BASE = 1 << 28
+NO_CELL = -1
 NEIGHBOUR_OFFSETS = ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1))
 
 
@@ -50,16 +51,22 @@ def _round(col: Column) -> Column:
 
 
 def plane_to_cell(x: Column, y: Column, level: int) -> Column:
-    """Cell of a point on the plane (km), by rounding cube coordinates."""
+    """Cell of a point on the plane (km); -1 without a position.
+
+    Axial coordinates are rounded each on its own, then the one that was moved
+    further is corrected by half the other's remainder. The result is never
+    null: null checks that joins infer would otherwise repeat the whole formula
+    in every filter below.
+    """
     s = side_km(level)
     q = (x * F.lit(math.sqrt(3) / 3) - y * F.lit(1 / 3)) / F.lit(s)
     r = y * F.lit(2 / 3) / F.lit(s)
-    t = -q - r
-    rq, rr, rt = _round(q), _round(r), _round(t)
-    dq, dr, dt = F.abs(rq - q), F.abs(rr - r), F.abs(rt - t)
-    fixed_q = F.when((dq > dr) & (dq > dt), -rr - rt).otherwise(rq)
-    fixed_r = F.when((dq > dr) & (dq > dt), rr).when(dr > dt, -rq - rt).otherwise(rr)
-    return pack(level, fixed_q, fixed_r)
+    near_q, near_r = _round(q), _round(r)
+    off_q, off_r = q - near_q, r - near_r
+    wider = F.abs(off_q) >= F.abs(off_r)
+    fixed_q = near_q + F.when(wider, _round(off_q + off_r * F.lit(0.5))).otherwise(F.lit(0.0))
+    fixed_r = near_r + F.when(wider, F.lit(0.0)).otherwise(_round(off_r + off_q * F.lit(0.5)))
+    return F.coalesce(pack(level, fixed_q, fixed_r), F.lit(NO_CELL))
 
 
 def point_to_cell(lat: Column, lon: Column, level: int) -> Column:

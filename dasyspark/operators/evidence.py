@@ -240,7 +240,7 @@ def bin_elements(elements: DataFrame, level: int) -> DataFrame:
         ),
     )
     records = placed.select(F.inline(F.concat(F.array(own), F.coalesce(segments, F.array()))))
-    return records.where(F.col("cell").isNotNull()).groupBy("cell").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    return records.where(F.col("cell") != hexgrid.NO_CELL).groupBy("cell").agg(*[F.sum(m).alias(m) for m in MEASURES])
 
 
 def finalise_cell_features(cells: DataFrame, measures: DataFrame) -> DataFrame:

@@ -61,45 +61,40 @@ class Fit:
 
 
 def _partial_sums(features: list[str], weights: np.ndarray, scale: float, tau: float, flush: int):
-    """Task function: sums per unit and seed of one partition, flushed every ``flush`` units."""
+    """Task function: sums of one partition per unit and seed, flushed every ``flush`` units.
+
+    The floor term needs no unit: its sums travel in rows whose unit is null.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import pandas as pd
 
-        seeds, width = weights.shape
+        seeds = len(weights)
         held: dict = {}
 
         def drain():
-            rows = [
-                (unit, k, sums[k, 0], sums[k, 1], sums[k, 2 : 2 + width].tolist(), sums[k, 2 + width :].tolist())
-                for unit, sums in held.items()
-                for k in range(seeds)
-            ]
+            rows = [(unit, k, sums[k, 0], sums[k, 1:].tolist()) for unit, sums in held.items() for k in range(seeds)]
             held.clear()
-            return pd.DataFrame(rows, columns=["unit", "k", "z", "floor", "grad", "floor_grad"])
+            return pd.DataFrame(rows, columns=["unit", "k", "z", "grad"])
+
+        def add(unit, sums):
+            held[unit] = held[unit] + sums if unit in held else sums
 
         for batch in batches:
             x = np.column_stack([batch[features].to_numpy(float), np.ones(len(batch))])
             pop = batch["population"].to_numpy(float)[:, None]
             logits = x @ weights.T
             s = scale * (np.maximum(logits, 0) + np.log1p(np.exp(-np.abs(logits))))
-            slope = scale / (1 + np.exp(-np.clip(logits, -700, 700)))
+            slope = pop * scale / (1 + np.exp(-np.clip(logits, -700, 700)))
             short = np.maximum(tau - s, 0)
+            add(None, np.column_stack([(pop * short**2).sum(0), (-2 * short * slope).T @ x]))
             codes, units = pd.factorize(batch["unit"])
+            order = np.argsort(codes, kind="stable")
+            edges = np.searchsorted(codes[order], np.arange(len(units) + 1))
             for code, unit in enumerate(units):
-                rows = codes == code
-                xi = x[rows]
-                p = pop[rows]
-                sums = np.column_stack(
-                    [
-                        (s[rows] * p).sum(0),
-                        (p * short[rows] ** 2).sum(0),
-                        (slope[rows] * p).T @ xi,
-                        (-2 * p * short[rows] * slope[rows]).T @ xi,
-                    ]
-                )
-                held[unit] = held[unit] + sums if unit in held else sums
+                rows = order[edges[code] : edges[code + 1]]
+                add(unit, np.column_stack([(s[rows] * pop[rows]).sum(0), slope[rows].T @ x[rows]]))
             if len(held) > flush:
                 yield drain()
         if held:
@@ -108,42 +103,36 @@ def _partial_sums(features: list[str], weights: np.ndarray, scale: float, tau: f
     return run
 
 
-def _epoch(data: DataFrame, totals: DataFrame, features: list[str], weights: np.ndarray, scale: float, n_units: int):
-    """Loss terms and gradients per seed under the current weights."""
+def _epoch(
+    data: DataFrame, totals: DataFrame, features: list[str], weights: np.ndarray, scale: float, n_units: int, pop: float
+):
+    """Loss terms and gradient per seed under the current weights: one job, one row per seed back."""
     width = len(features) + 1
     partial = data.mapInPandas(
-        _partial_sums(features, weights, scale, C.FLOOR_TAU, FLUSH_UNITS),
-        "unit string, k int, z double, floor double, grad array<double>, floor_grad array<double>",
+        _partial_sums(features, weights, scale, C.FLOOR_TAU, FLUSH_UNITS), "unit string, k int, z double, grad array<double>"
     )
     units = partial.groupBy("unit", "k").agg(
-        F.sum("z").alias("z"),
-        F.sum("floor").alias("floor"),
-        *[F.sum(F.col("grad")[i]).alias(f"g{i}") for i in range(width)],
-        *[F.sum(F.col("floor_grad")[i]).alias(f"f{i}") for i in range(width)],
+        F.sum("z").alias("z"), *[F.sum(F.col("grad")[i]).alias(f"g{i}") for i in range(width)]
     )
     joined = units.join(totals, "unit", "left")
+    floor_row, used = F.col("unit").isNull(), F.coalesce(F.col("train"), F.lit(False))
     gap = F.log10(F.col("z") + F.lit(C.LOG_EPS)) - F.log10(F.col("y_inr") + F.lit(C.LOG_EPS))
-    used = F.coalesce(F.col("train"), F.lit(False))
-    residual = F.when(used, gap * 2 / (F.col("z") + F.lit(C.LOG_EPS)) / F.lit(math.log(10) * n_units)).otherwise(0.0)
+    pull = gap * 2 / (F.col("z") + F.lit(C.LOG_EPS)) / F.lit(math.log(10) * n_units)
     rows = (
-        joined.withColumn("_r", residual)
+        joined.withColumn("_w", F.when(floor_row, F.lit(C.FLOOR_WEIGHT / pop)).when(used, pull).otherwise(0.0))
         .groupBy("k")
         .agg(
             (F.sum(F.when(used, gap * gap).otherwise(0.0)) / n_units).alias("l_agg"),
-            F.sum("floor").alias("floor"),
-            *[F.sum(F.col("_r") * F.col(f"g{i}")).alias(f"g{i}") for i in range(width)],
-            *[F.sum(f"f{i}").alias(f"f{i}") for i in range(width)],
+            (F.sum(F.when(floor_row, F.col("z")).otherwise(0.0)) / pop).alias("l_floor"),
+            *[F.sum(F.col("_w") * F.col(f"g{i}")).alias(f"g{i}") for i in range(width)],
         )
         .collect()
     )
-    l_agg, floor = np.zeros(len(weights)), np.zeros(len(weights))
-    grad, floor_grad = np.zeros_like(weights), np.zeros_like(weights)
+    l_agg, l_floor, grad = np.zeros(len(weights)), np.zeros(len(weights)), np.zeros_like(weights)
     for row in rows:
-        k = row["k"]
-        l_agg[k], floor[k] = row["l_agg"], row["floor"]
-        grad[k] = [row[f"g{i}"] for i in range(width)]
-        floor_grad[k] = [row[f"f{i}"] for i in range(width)]
-    return l_agg, floor, grad, floor_grad
+        l_agg[row["k"]], l_floor[row["k"]] = row["l_agg"], row["l_floor"]
+        grad[row["k"]] = [row[f"g{i}"] for i in range(width)]
+    return l_agg, l_floor, grad
 
 
 def fit_intensity(
@@ -170,10 +159,12 @@ def fit_intensity(
         facts = targets.where("train").agg(F.count(F.lit(1)).alias("n"), F.sum("y_inr").alias("y")).first()
         if not facts["n"]:
             raise ValueError("no unit is left to train on")
-        trained = data.join(targets.where("train").select("unit"), "unit", "left_semi")
-        pop_train = trained.agg(F.sum("population")).first()[0]
-        pop_all = max(data.agg(F.sum("population")).first()[0] or 0.0, 1.0)
-        scale = facts["y"] / max(pop_train or 0.0, 1.0)
+        in_training = F.when(F.coalesce(F.col("train"), F.lit(False)), F.col("population")).otherwise(0.0)
+        people = data.select("unit", "population").join(targets, "unit", "left").agg(
+            F.sum("population").alias("all"), F.sum(in_training).alias("train")
+        ).first()
+        pop_all = max(people["all"] or 0.0, 1.0)
+        scale = facts["y"] / max(people["train"] or 0.0, 1.0)
         # Start where softplus is 1, so the first sums have the right size.
         start = math.log(math.e - 1)
         weights = np.stack(
@@ -184,10 +175,8 @@ def fit_intensity(
         kept = weights.copy()
         history: list[tuple] = []
         for epoch in range(1, epochs + 1):
-            l_agg, floor, grad, floor_grad = _epoch(data, targets, features, weights, scale, facts["n"])
-            l_floor = floor / pop_all
+            l_agg, l_floor, step = _epoch(data, targets, features, weights, scale, facts["n"], pop_all)
             loss = l_agg + C.FLOOR_WEIGHT * l_floor
-            step = grad + C.FLOOR_WEIGHT * floor_grad / pop_all
             for k, seed in enumerate(seeds):
                 history.append((tag, int(seed), epoch, float(loss[k]), float(l_agg[k]), float(l_floor[k])))
                 if loss[k] < best[k]:

@@ -75,11 +75,11 @@ def _(spark, sf):
     return base.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.lit(lit).alias("with_lights"), F.lit(dark).alias("dark"))
 
 
-@query("select_by_pattern", with_ctes("SELECT cell, " + ", ".join(f"round({c}, 6) AS {c}" for c in ["poi_amenity_bank", "poi_count", "poi_office", *_SHARE[:4], "building_share"]) + " FROM cells", CELLS))
+@query("select_by_pattern", with_ctes("SELECT cell, " + ", ".join(f"round({c}, 10) AS {c}" for c in ["poi_amenity_bank", "poi_count", "poi_office", *_SHARE[:4], "building_share"]) + " FROM cells", CELLS))
 def _(spark, sf):
     base = cells(spark, sf)
     chosen = select_by_pattern(base.columns, ("poi_", "landuse_"), ("_share",))
-    return base.select("cell", *[F.round(c, 6).alias(c) for c in chosen])
+    return base.select("cell", *[F.round(c, 10).alias(c) for c in chosen])
 
 
 @query("ablate_features", with_ctes("SELECT cell, " + ", ".join(f"round({z}, 6) AS {z}" for z in Z if "night_lights" not in z) + " FROM zs", CELLS, FEATURES))
@@ -103,17 +103,17 @@ _EDGES = f"""steps AS (SELECT cell AS src, unnest({axial_sql_neighbors('cell', L
 edges AS (SELECT src, dst FROM steps WHERE dst IN (SELECT cell FROM hexcells))"""
 _LINKS = f"links AS (SELECT cell AS child, {parent_sql('cell', LEVEL, MID)} AS parent FROM hexcells)"
 DIM = 4
-_VEC = ["ln(1 + population)", "poi_count", "night_lights", "road_km"]
+_VEC = ["ln(1 + population)", "ln(1 + poi_count)", "ln(1 + night_lights)", "ln(1 + road_km)"]
 
 
 def graph(spark, sf):
     nodes = hexcells(spark, sf)
-    vector = F.array(F.log1p("population"), "poi_count", "night_lights", "road_km")
+    vector = F.array(*[F.log1p(c) for c in ("population", "poi_count", "night_lights", "road_km")])
     nodes = materialize(nodes.select("cell", "unit", vector.alias("h")), "nodes")
     return nodes, G.adjacency_join(nodes, LEVEL), G.hierarchy_join(nodes, LEVEL, MID)
 
 
-def spread(df, key, vector, dim, digits=6):
+def spread(df, key, vector, dim, digits=9):
     return df.select(key, *[F.round(F.col(vector)[i], digits).alias(f"v{i}") for i in range(dim)])
 
 
@@ -130,16 +130,13 @@ def _(spark, sf):
 
 
 @query("adjacency_by_distance", with_ctes(
-    f"SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM p a, p b WHERE a.s_suppkey <> b.s_suppkey AND {_haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 150",
-    "p AS (SELECT s_suppkey, 8e0 + (s_suppkey * 7919) % 1000003 / 1000003e0 * 27e0 AS lat, 69e0 + (s_suppkey * 104729) % 1000003 / 1000003e0 * 19e0 AS lon FROM supplier)"))
+    f"SELECT a.cell AS src, b.cell AS dst FROM cells a, cells b WHERE a.cell <> b.cell AND {_haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 60", CELLS))
 def _(spark, sf):
-    k = F.col("s_suppkey")
-    spots = table(spark, sf, "supplier").select(k.alias("cell"), lat_of(k).alias("lat"), lon_of(k).alias("lon"))
-    return G.adjacency_by_distance(spots, 150.0, tile=2.0)
+    return G.adjacency_by_distance(cells(spark, sf).select("cell", "lat", "lon"), 60.0, tile=1.0)
 
 
 @query("neighbor_mean", with_ctes(
-    "SELECT h.cell, " + ", ".join(f"round(coalesce(s{i}, 0e0) / (1 + coalesce(n, 0)), 6) AS v{i}" for i in range(DIM)) +
+    "SELECT h.cell, " + ", ".join(f"round(coalesce(s{i}, 0e0) / (1 + coalesce(n, 0)), 9) AS v{i}" for i in range(DIM)) +
     " FROM hexcells h LEFT JOIN (SELECT dst, count(*) AS n, " + ", ".join(f"sum({v}) AS s{i}" for i, v in enumerate(_VEC)) + " FROM edges JOIN hexcells ON src = cell GROUP BY dst) ON dst = h.cell", HEXCELLS, _EDGES))
 def _(spark, sf):
     nodes, edges, _ = graph(spark, sf)
@@ -147,14 +144,14 @@ def _(spark, sf):
 
 
 @query("pool_to_parent", with_ctes(
-    "SELECT parent AS cell, " + ", ".join(f"round(avg({v}), 6) AS v{i}" for i, v in enumerate(_VEC)) + " FROM links JOIN hexcells ON child = cell GROUP BY parent", HEXCELLS, _LINKS))
+    "SELECT parent AS cell, " + ", ".join(f"round(avg({v}), 9) AS v{i}" for i, v in enumerate(_VEC)) + " FROM links JOIN hexcells ON child = cell GROUP BY parent", HEXCELLS, _LINKS))
 def _(spark, sf):
     nodes, _, links = graph(spark, sf)
     return spread(G.pool_to_parent(nodes, links, DIM), "cell", "pooled", DIM)
 
 
 @query("broadcast_to_child", with_ctes(
-    "SELECT child AS cell, " + ", ".join(f"round(coalesce(m{i}, 0e0), 6) AS v{i}" for i in range(DIM)) + " FROM links LEFT JOIN (SELECT parent, " +
+    "SELECT child AS cell, " + ", ".join(f"round(coalesce(m{i}, 0e0), 9) AS v{i}" for i in range(DIM)) + " FROM links LEFT JOIN (SELECT parent, " +
     ", ".join(f"avg({v}) AS m{i}" for i, v in enumerate(_VEC)) + " FROM links JOIN hexcells ON child = cell GROUP BY parent HAVING count(*) > 1) USING (parent)", HEXCELLS, _LINKS))
 def _(spark, sf):
     nodes, _, links = graph(spark, sf)
@@ -192,8 +189,8 @@ _HOPS = ("hop0 AS (SELECT cell, " + ", ".join(f"{v} AS s{i}" for i, v in enumera
 
 
 @query("propagate", with_ctes(
-    "SELECT hop0.cell, " + ", ".join(f"round(hop{k}.s{i}, 6) AS v{k * DIM + i}" for k in range(3) for i in range(DIM)) + ", " +
-    ", ".join(f"round(m{i}, 6) AS v{3 * DIM + i}" for i in range(DIM)) + " FROM hop0 JOIN hop1 USING (cell) JOIN hop2 USING (cell) JOIN ctx USING (cell)",
+    "SELECT hop0.cell, " + ", ".join(f"round(hop{k}.s{i}, 9) AS v{k * DIM + i}" for k in range(3) for i in range(DIM)) + ", " +
+    ", ".join(f"round(m{i}, 9) AS v{3 * DIM + i}" for i in range(DIM)) + " FROM hop0 JOIN hop1 USING (cell) JOIN hop2 USING (cell) JOIN ctx USING (cell)",
     HEXCELLS, _EDGES, _LINKS, *_HOPS))
 def _(spark, sf):
     nodes, edges, links = graph(spark, sf)
