@@ -46,27 +46,24 @@ def cell_level(cell: Column) -> Column:
     return F.shiftright(cell, 56).cast("int")
 
 
-def _round(col: Column) -> Column:
-    return F.floor(col + F.lit(0.5)).cast("double")
+def _nearest(level: int, q: Column, r: Column) -> Column:
+    """Cell nearest to fractional axial coordinates; -1 without a position.
+
+    A hexagon is the set of points whose three coordinate differences lie within
+    one of its centre's, so floors of two differences fix each coordinate. Each
+    input occurs four times only, which keeps nested cell formulas small, and the
+    result is never null: null checks that joins infer would otherwise repeat the
+    whole formula in the filters below.
+    """
+    whole_q = F.floor((F.floor(q - r + F.lit(1.0)) + F.floor(q + q + r + F.lit(1.0))) / F.lit(3.0))
+    whole_r = F.floor((F.floor(r - q + F.lit(1.0)) + F.floor(r + r + q + F.lit(1.0))) / F.lit(3.0))
+    return F.coalesce(pack(level, whole_q, whole_r), F.lit(NO_CELL).cast("bigint"))
 
 
 def plane_to_cell(x: Column, y: Column, level: int) -> Column:
-    """Cell of a point on the plane (km); -1 without a position.
-
-    Axial coordinates are rounded each on its own, then the one that was moved
-    further is corrected by half the other's remainder. The result is never
-    null: null checks that joins infer would otherwise repeat the whole formula
-    in every filter below.
-    """
+    """Cell of a point on the plane (km)."""
     s = side_km(level)
-    q = (x * F.lit(math.sqrt(3) / 3) - y * F.lit(1 / 3)) / F.lit(s)
-    r = y * F.lit(2 / 3) / F.lit(s)
-    near_q, near_r = _round(q), _round(r)
-    off_q, off_r = q - near_q, r - near_r
-    wider = F.abs(off_q) >= F.abs(off_r)
-    fixed_q = near_q + F.when(wider, _round(off_q + off_r * F.lit(0.5))).otherwise(F.lit(0.0))
-    fixed_r = near_r + F.when(wider, F.lit(0.0)).otherwise(_round(off_r + off_q * F.lit(0.5)))
-    return F.coalesce(pack(level, fixed_q, fixed_r), F.lit(NO_CELL))
+    return _nearest(level, x * F.lit(math.sqrt(3) / 3 / s) - y * F.lit(1 / 3 / s), y * F.lit(2 / 3 / s))
 
 
 def point_to_cell(lat: Column, lon: Column, level: int) -> Column:
@@ -96,9 +93,19 @@ def cell_center(cell: Column, level: int) -> tuple[Column, Column]:
 
 
 def cell_parent(cell: Column, level: int, parent_level: int) -> Column:
-    """The coarser cell that holds the centre of ``cell``."""
-    x, y = plane_center(cell, level)
-    return plane_to_cell(x, y, parent_level)
+    """The coarser cell that holds the centre of ``cell``, one level at a time.
+
+    Going level by level keeps ancestors nested: the grandparent is the parent
+    of the parent.
+    """
+    # Grids of all levels share origin and orientation: the axial coordinates only scale.
+    q, r = axial(cell)
+    shrink = F.lit(side_km(level) / side_km(level - 1))
+    parent = _nearest(level - 1, q * shrink, r * shrink)
+    if level - 1 == parent_level:
+        return parent
+    # The one-element array binds the parent, so its formula is not repeated.
+    return F.transform(F.array(parent), lambda c: cell_parent(c, level - 1, parent_level))[0]
 
 
 def cell_neighbors(cell: Column, level: int) -> Column:

@@ -159,25 +159,23 @@ def init_weights(in_dim: int, hidden: int = C.HIDDEN, layers: int = C.LAYERS, se
 
 
 def dense(terms: Sequence[tuple[Column, np.ndarray]], bias: np.ndarray, elu: bool) -> Column:
-    """``sum(W x) + b`` over several vector columns, batch-wise in numpy, optionally through ELU."""
-    matrices = [np.asarray(w, dtype=float).T for _, w in terms]
+    """``sum(W x) + b`` over several vector columns, batch-wise in numpy, optionally through ELU.
+
+    The vectors are joined into one column and the matrices stacked to match.
+    """
+    matrix = np.concatenate([np.asarray(w, dtype=float) for _, w in terms], axis=1).T
     offset = np.asarray(bias, dtype=float)
 
-    def apply(*vectors: pd.Series) -> pd.Series:
+    def apply(vectors: pd.Series) -> pd.Series:
         import numpy as np
         import pandas as pd
 
-        total = offset
-        for values, matrix in zip(vectors, matrices):
-            total = total + np.stack(values.to_numpy()).astype(float) @ matrix
+        total = np.stack(vectors.to_numpy()).astype(float) @ matrix + offset
         if elu:
             total = np.where(total > 0, total, np.expm1(np.minimum(total, 0)))
         return pd.Series(list(total))
 
-    # pandas_udf infers its kind from hints, which *args cannot carry: name the kind.
-    from pyspark.sql.functions import PandasUDFType, pandas_udf
-
-    return pandas_udf(apply, "array<double>", PandasUDFType.SCALAR)(*[c for c, _ in terms])
+    return F.pandas_udf(apply, "array<double>")(F.concat(*[c for c, _ in terms]))
 
 
 def score_layers(

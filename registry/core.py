@@ -107,7 +107,8 @@ def center_sql(cell: str, level: int) -> tuple[str, str]:
 
 def parent_sql(cell: str, level: int, parent_level: int) -> str:
     x, y = plane_xy_sql(cell, level)
-    return plane_cell_sql(x, y, parent_level)
+    parent = plane_cell_sql(x, y, level - 1)
+    return parent if level - 1 == parent_level else parent_sql(parent, level - 1, parent_level)
 
 
 def axial_sql_neighbors(cell: str, level: int) -> str:

@@ -25,28 +25,28 @@ def published(spark, sf):
     """Allocated hexagons under the export names: one row per hexagon, with its parent and unit."""
     base = allocated(spark, sf).withColumn("hex", hexgrid.point_to_cell(F.col("lat"), F.col("lon"), LEVEL))
     out = base.groupBy("hex").agg(
-        F.min("unit").alias("district"), F.sum("population").alias("population"), F.avg("night_lights").alias("night_lights"),
-        F.sum("road_km").alias("road_km"), F.sum("poi_count").alias("poi_count"), F.max("building_share").alias("building_share"),
-        F.round(F.sum("gdp_crore"), 4).alias("gdp_crore"), F.avg("intensity_raw").alias("intensity_raw"),
+        F.min("unit").alias("district"), (F.sum("population") / 7).alias("population"), (F.avg("night_lights") / 7).alias("night_lights"),
+        (F.sum("road_km") / 7).alias("road_km"), F.sum("poi_count").alias("poi_count"), (F.max("building_share") / 7).alias("building_share"),
+        F.round(F.sum("gdp_crore"), 4).alias("gdp_crore"), (F.avg("intensity_raw") / 7).alias("intensity_raw"),
         F.round(F.max("pci"), 2).alias("gdp_per_capita_inr"), F.round(F.max("y_crore"), 2).alias("y_crore"))
     return out.withColumn("parent", hexgrid.cell_parent(F.col("hex"), LEVEL, LEVEL - 1))
 
 
-PUBLISHED = f"""pub AS (SELECT *, {parent_sql("hex", LEVEL, LEVEL - 1)} AS parent FROM (SELECT hex, min(unit) AS district, sum(population) AS population,
-  avg(night_lights) AS night_lights, sum(road_km) AS road_km, sum(poi_count) AS poi_count, max(building_share) AS building_share, round(sum(gdp_crore), 4) AS gdp_crore,
-  avg(intensity_raw) AS intensity_raw, round(max(pci), 2) AS gdp_per_capita_inr, round(max(y_crore), 2) AS y_crore
+PUBLISHED = f"""pub AS (SELECT *, {parent_sql("hex", LEVEL, LEVEL - 1)} AS parent FROM (SELECT hex, min(unit) AS district, sum(population) / 7 AS population,
+  avg(night_lights) / 7 AS night_lights, sum(road_km) / 7 AS road_km, sum(poi_count) AS poi_count, max(building_share) / 7 AS building_share, round(sum(gdp_crore), 4) AS gdp_crore,
+  avg(intensity_raw) / 7 AS intensity_raw, round(max(pci), 2) AS gdp_per_capita_inr, round(max(y_crore), 2) AS y_crore
   FROM (SELECT *, {cell_sql("a.lat", "a.lon", LEVEL)} AS hex FROM allocated a) GROUP BY hex))"""
 
 
 @query("rollup_r6", with_ctes(
-    """SELECT parent, min_by(district, (district, hex)) AS district, round(sum(population), 2) AS population, round(avg(night_lights), 10) AS night_lights,
-    round(sum(road_km), 7) AS road_km, sum(poi_count) AS poi_count, round(avg(building_share), 10) AS building_share, round(median(gdp_per_capita_inr), 3) AS gdp_per_capita_inr,
-    round(sum(gdp_crore), 3) AS gdp_crore, round(avg(intensity_raw), 10) AS intensity_raw, min_by(y_crore, (district, hex)) AS y_crore FROM pub GROUP BY parent""", *SPLIT, PUBLISHED))
+    """SELECT parent, min_by(district, (district, hex)) AS district, round(sum(population), 2) AS population, round(avg(night_lights), 12) AS night_lights,
+    round(sum(road_km), 7) AS road_km, sum(poi_count) AS poi_count, round(avg(building_share), 12) AS building_share, round(median(gdp_per_capita_inr), 3) AS gdp_per_capita_inr,
+    round(sum(gdp_crore), 4) AS gdp_crore, round(avg(intensity_raw), 12) AS intensity_raw, min_by(y_crore, (district, hex)) AS y_crore FROM pub GROUP BY parent""", *SPLIT, PUBLISHED))
 def _(spark, sf):
     out = publish.rollup_parents(published(spark, sf), "parent", ("district", "hex"))
     return out.select(
-        "parent", "district", r("population", 2), r("night_lights", 10), r("road_km", 7), "poi_count", r("building_share", 10),
-        r("gdp_per_capita_inr", 3), r("gdp_crore", 3), r("intensity_raw", 10), "y_crore")
+        "parent", "district", r("population", 2), r("night_lights", 12), r("road_km", 7), "poi_count", r("building_share", 12),
+        r("gdp_per_capita_inr", 3), r("gdp_crore", 4), r("intensity_raw", 12), "y_crore")
 
 
 @query("unit_table", with_ctes(
@@ -151,18 +151,17 @@ def _(spark, sf):
 def _metros(spark, sf):
     k = F.col("r_regionkey")
     name = lambda c: F.concat(F.lit("NATION_"), c.cast("string"))
-    return table(spark, sf, "region").select(k.alias("state"), F.col("r_name").alias("metro"), F.array(name(k), name(k + 5), F.lit("NATION_3"), F.lit("X")).alias("units"))
+    return table(spark, sf, "region").select(k.alias("state"), F.col("r_name").alias("metro"), F.array(name(k), name(k + 5), name(k + 15), F.lit("X")).alias("units"))
 
 
 _SUMMARY = f"""SELECT state, count(*) AS n_cells, round(sum(population), 2) AS population, array_to_string(list_sort(list(DISTINCT unit)), ',') AS units,
-  (SELECT r_name || ':' || array_to_string(list(u ORDER BY p), '+') FROM (SELECT r_name, unnest(['NATION_' || r_regionkey, 'NATION_' || (r_regionkey + 5), 'NATION_3', 'X']) AS u, unnest(range(4)) AS p FROM region WHERE r_regionkey = c.state)
+  (SELECT r_name || ':' || array_to_string(list(u ORDER BY p), '+') FROM (SELECT r_name, unnest(['NATION_' || r_regionkey, 'NATION_' || (r_regionkey + 5), 'NATION_' || (r_regionkey + 15), 'X']) AS u, unnest(range(4)) AS p FROM region WHERE r_regionkey = c.state)
    WHERE u IN (SELECT unit FROM cells d WHERE d.state = c.state) GROUP BY r_name) AS metros FROM cells c GROUP BY state"""
 
 
-@query("state_summary", with_ctes(_SUMMARY.replace("['NATION_' || r_regionkey", "list_distinct(['NATION_' || r_regionkey").replace("'X']) AS u", "'X']) AS u").replace("list_distinct(", ""), CELLS))
+@query("state_summary", with_ctes(_SUMMARY, CELLS))
 def _(spark, sf):
-    metros = _metros(spark, sf).withColumn("units", F.array_distinct("units"))
-    out = publish.state_summary(cells(spark, sf), metros)
+    out = publish.state_summary(cells(spark, sf), _metros(spark, sf))
     listed = F.transform("metros", lambda m: F.concat(m["metro"], F.lit(":"), F.array_join(m["members"], "+")))
     return out.select("state", "n_cells", r("population", 2), F.array_join("units", ",").alias("units"), F.array_join(listed, ";").alias("metros"))
 
