@@ -63,14 +63,16 @@ def ring_bounds(ring: Column) -> Column:
 
 
 def segments(line: Column) -> Column:
-    """Consecutive vertex pairs with their midpoint."""
-    heads = F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0)))
-    tails = F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0)))
-    return F.zip_with(
-        heads,
-        tails,
-        lambda a, b: F.struct(
-            a["lat"].alias("lat1"), a["lon"].alias("lon1"), b["lat"].alias("lat2"), b["lon"].alias("lon2"),
-            ((a["lat"] + b["lat"]) * 0.5).alias("mid_lat"), ((a["lon"] + b["lon"]) * 0.5).alias("mid_lon"),
-        ),
-    )
+    """Consecutive vertex pairs as ``struct<a, b>``."""
+    steps = F.greatest(F.size(line) - 1, F.lit(0))
+    heads, tails = F.slice(line, F.lit(1), steps), F.slice(line, F.lit(2), steps)
+    return F.arrays_zip(heads.alias("a"), tails.alias("b"))
+
+
+def segment_columns(a: str = "a", b: str = "b") -> list[Column]:
+    """``lat1, lon1, lat2, lon2, mid_lat, mid_lon`` of exploded segments."""
+    lat1, lon1, lat2, lon2 = F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon")
+    return [
+        lat1.alias("lat1"), lon1.alias("lon1"), lat2.alias("lat2"), lon2.alias("lon2"),
+        ((lat1 + lat2) * 0.5).alias("mid_lat"), ((lon1 + lon2) * 0.5).alias("mid_lon"),
+    ]

@@ -46,7 +46,7 @@ def strip_marks(col: Column) -> Column:
 
 
 def collapse_spaces(col: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(col, r"(?U)\s+", " "), r"^ | $", "")
+    return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
 
 
 def fold_name(col: Column) -> Column:

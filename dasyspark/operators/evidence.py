@@ -6,6 +6,8 @@ An element has ``type, id, lat, lon, tags: map, geometry: array<struct<lat, lon>
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,6 +130,11 @@ def poi_hit(tags: Column, group: str) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def any_poi(tags: Column) -> Column:
+    """Whether the tags match any group."""
+    return reduce(or_, [poi_hit(tags, g) for g in C.POI_GROUPS])
+
+
 def classify_poi(tags: Column) -> Column:
     """All groups that the tags match, in configured order."""
     return F.array_compact(F.array(*[F.when(poi_hit(tags, g), F.lit(g)) for g in C.POI_GROUPS]))
@@ -141,7 +148,7 @@ def landuse_class(tags: Column) -> Column:
 def road_segments(elements: DataFrame, level: int) -> DataFrame:
     """Road segments by the cell of their midpoint, with length."""
     roads = elements.where((F.col("type") == "way") & is_road(F.col("tags")))
-    pieces = roads.select("id", F.inline(geo.segments(F.col("geometry"))))
+    pieces = roads.select("id", F.inline(geo.segments(F.col("geometry"))).alias("a", "b")).select("id", *geo.segment_columns())
     return pieces.select(
         "id",
         hexgrid.point_to_cell(F.col("mid_lat"), F.col("mid_lon"), level).alias("cell"),
@@ -182,7 +189,7 @@ def landuse_area(elements: DataFrame, level: int) -> DataFrame:
 def poi_counts(elements: DataFrame, level: int) -> DataFrame:
     """Elements per cell that match any group, and per group."""
     tags = F.col("tags")
-    matched = positioned(elements.where(F.size(classify_poi(tags)) > 0))
+    matched = positioned(elements.where(any_poi(tags)))
     cell = hexgrid.point_to_cell(F.col("lat"), F.col("lon"), level)
     return matched.groupBy(cell.alias("cell")).agg(
         F.count(F.lit(1)).alias("poi_count"), *[F.count_if(poi_hit(tags, g)).alias(f"poi_{g}") for g in C.POI_GROUPS]
@@ -200,47 +207,53 @@ MEASURES = (
 def bin_elements(elements: DataFrame, level: int) -> DataFrame:
     """All element measures per cell in one scan and one shuffle.
 
-    Every element yields its road segments plus one record for its own cell, and
-    a single partially aggregated sum collects them.
+    Every element yields one record for its own cell plus one per road segment;
+    cells and lengths are computed after that, row by row, and a single
+    partially aggregated sum collects everything.
     """
     tags, geometry = F.col("tags"), F.col("geometry")
     way = F.col("type") == "way"
-    area = F.when(way, geo.ring_area_m2(geometry)).otherwise(F.lit(0.0))
-    placed = positioned(elements).withColumns(
-        {
-            "_area": area,
-            "_class": landuse_class(tags),
-            "_building": F.map_contains_key(tags, "building"),
-            "_home": hexgrid.point_to_cell(F.col("lat"), F.col("lon"), level),
-        }
+    building = F.map_contains_key(tags, "building")
+    landuse = landuse_class(tags)
+    point = geometry_point()
+    own = F.array(F.struct(F.lit(None).cast(point).alias("a"), F.lit(None).cast(point).alias("b")))
+    segments = F.coalesce(geo.segments(F.when(way & is_road(tags), geometry)), F.array())
+    # The segments go through as they are; only the scalars an element needs travel with them.
+    wide = positioned(elements).select(
+        "lat", "lon", building.alias("_building"), landuse.alias("_class"),
+        *[poi_hit(tags, g).alias(f"_{g}") for g in C.POI_GROUPS],
+        F.when(way & (building | landuse.isNotNull()), geo.ring_area_m2(geometry)).otherwise(F.lit(0.0)).alias("_m2"),
+        F.concat(own, segments).alias("_pairs"),
     )
-    zero = F.lit(0.0)
-
-    def record(cell: Column, **given: Column) -> Column:
-        return F.struct(cell.alias("cell"), *[given.get(m, zero).cast("double").alias(m) for m in MEASURES])
-
-    flat = F.col("_area") > 0
-    own = record(
-        F.col("_home"),
-        building_area_m2=F.when(F.col("_building") & flat, F.col("_area")).otherwise(zero),
-        building_count=(F.col("_building") & flat).cast("double"),
-        poi_count=(F.size(classify_poi(tags)) > 0).cast("double"),
-        **{
-            f"landuse_{c}_m2": F.when((F.col("_class") == c) & flat, F.col("_area")).otherwise(zero)
-            for c in C.LANDUSE_CLASSES
-        },
-        **{f"poi_{g}": poi_hit(tags, g).cast("double") for g in C.POI_GROUPS},
+    wide = wide.select(*[c for c in wide.columns if c != "_pairs"], F.inline("_pairs").alias("a", "b"))
+    road = F.col("a").isNotNull()
+    lat1, lon1, lat2, lon2 = F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")
+    cell = hexgrid.point_to_cell(
+        F.when(road, (lat1 + lat2) * 0.5).otherwise(F.col("lat")), F.when(road, (lon1 + lon2) * 0.5).otherwise(F.col("lon")), level
     )
-    segments = F.transform(
-        geo.segments(F.when(way & is_road(tags), geometry)),
-        lambda s: record(
-            hexgrid.point_to_cell(s["mid_lat"], s["mid_lon"], level),
-            road_km=geo.haversine_km(s["lat1"], s["lon1"], s["lat2"], s["lon2"]),
-            road_segments=F.lit(1.0),
-        ),
-    )
-    records = placed.select(F.inline(F.concat(F.array(own), F.coalesce(segments, F.array()))))
-    return records.where(F.col("cell") != hexgrid.NO_CELL).groupBy("cell").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    area = F.col("_m2")
+    # From the columns, not from the tags again: the planner compares every alias with every expression.
+    matched = reduce(or_, [F.col(f"_{g}") for g in C.POI_GROUPS])
+
+    def home(condition: Column, value: Column | None = None) -> Column:
+        return F.when(~road & condition, F.lit(1.0) if value is None else value).otherwise(F.lit(0.0))
+
+    measures = {
+        "road_km": F.when(road, geo.haversine_km(lat1, lon1, lat2, lon2)).otherwise(F.lit(0.0)),
+        "road_segments": road.cast("double"),
+        "building_area_m2": home(F.col("_building"), area),
+        "building_count": home(F.col("_building") & (area > 0)),
+        **{f"landuse_{c}_m2": home(F.col("_class") == c, area) for c in C.LANDUSE_CLASSES},
+        "poi_count": home(matched),
+        **{f"poi_{g}": home(F.col(f"_{g}")) for g in C.POI_GROUPS},
+    }
+    records = wide.select(cell.alias("cell"), *[col.alias(name) for name, col in measures.items()])
+    # What has no position gathers in NO_CELL, which no cell table holds.
+    return records.groupBy("cell").agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+
+def geometry_point() -> str:
+    return "struct<lat: double, lon: double>"
 
 
 def finalise_cell_features(cells: DataFrame, measures: DataFrame) -> DataFrame:
@@ -260,7 +273,7 @@ def element_stats(elements: DataFrame) -> DataFrame:
     pieces = F.when(way & is_road(tags), F.greatest(F.size("geometry") - 1, F.lit(0))).otherwise(0)
     return elements.select(
         pieces.alias("p"), (F.map_contains_key(tags, "building") & (area > 0)).alias("b"),
-        (landuse_class(tags).isNotNull() & (area > 0)).alias("l"), (F.size(classify_poi(tags)) > 0).alias("poi"),
+        (landuse_class(tags).isNotNull() & (area > 0)).alias("l"), any_poi(tags).alias("poi"),
     ).agg(
         F.count(F.lit(1)).alias("objects_scanned"), F.sum("p").alias("road_segments"),
         F.count_if("b").alias("buildings"), F.count_if("l").alias("landuse"), F.count_if("poi").alias("pois"),

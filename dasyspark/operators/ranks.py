@@ -16,9 +16,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dasyspark.session import materialize
+from dasyspark.session import has_at_most, materialize
 
 MAX_RANGES = 512
+# Up to this many distinct values per table one sort per territory is enough.
+FEW_VALUES = 2_000_000
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -26,6 +28,13 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     by = list(by)
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias(value))
     counts = materialize(counted.agg(F.count(F.lit(1)).alias("n_eq")), "value-counts")
+    if has_at_most(counts, FEW_VALUES):
+        # Sorted once per territory: bounded by the check, whatever the number of rows.
+        group = Window.partitionBy(*by)
+        below = F.sum("n_eq").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+        return counts.select(
+            *by, value, "n_eq", F.coalesce(below, F.lit(0)).alias("n_below"), F.sum("n_eq").over(group).alias("n_all")
+        )
     ranged = _with_range(counts, value)
     sizes = ranged.groupBy(*by, "_range").agg(F.sum("n_eq").alias("_n"))
     across = Window.partitionBy(*by).orderBy("_range")
@@ -122,16 +131,31 @@ def quantile_cuts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, by: Sequence[str], pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """Rank correlation per pair over rows where both values are known; null if undefined."""
+    """Rank correlation per pair over rows where both values are known; null if undefined.
+
+    A column without nulls has the same ranks in every pair, so they are made once.
+    """
+    columns = list(dict.fromkeys(c for pair in pairs.values() for c in pair))
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    shared: dict[str, DataFrame] = {}
+
+    def ranks_of(rows: DataFrame, column: str, reusable: bool) -> DataFrame:
+        if column in shared:
+            return shared[column]
+        made = value_ranks(rows, by, column).select(*by, F.col(column).alias("_v"), average_rank().alias("_rank"))
+        if reusable:
+            shared[column] = made
+        return made
+
     parts = []
     for name, (a, b) in pairs.items():
-        both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-            *by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")
-        )
+        whole = not gaps[a] and not gaps[b]
+        both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, *dict.fromkeys((a, b)))
         # Correlation needs only the joint counts, so ranks join onto distinct pairs.
-        joint = both.groupBy(*by, "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
-        for side in ("_a", "_b"):
-            ranks = value_ranks(both, by, side).select(*by, side, average_rank().alias(f"{side}_rank"))
+        joint = both.groupBy(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+        joint = joint.agg(F.count(F.lit(1)).alias("_n"))
+        for side, column in (("_a", a), ("_b", b)):
+            ranks = ranks_of(both, column, whole).withColumnsRenamed({"_v": side, "_rank": f"{side}_rank"})
             joint = joint.join(ranks, [*by, side])
         parts.append(_weighted_corr(joint, by, "_a_rank", "_b_rank", "_n").withColumn("pair", F.lit(name)))
     out = parts[0]

@@ -19,7 +19,8 @@ from dasyspark.operators.joins import claim_once
 def ring_edges(polygons: DataFrame) -> DataFrame:
     """One row per edge, the ring being closed if it is open."""
     closed = F.concat("ring", F.array(F.element_at("ring", 1)))
-    edges = polygons.select("unit", "part", F.inline(geo.segments(closed)))
+    pairs = polygons.select("unit", "part", F.inline(geo.segments(closed)).alias("a", "b"))
+    edges = pairs.select("unit", "part", *geo.segment_columns())
     return edges.where((F.col("lat1") != F.col("lat2")) | (F.col("lon1") != F.col("lon2")))
 
 

@@ -15,8 +15,11 @@ from dasyspark.session import materialize
 
 
 def allocate_and_rank(cells: DataFrame, totals: DataFrame, units: DataFrame | None = None) -> DataFrame:
-    """Cells with ``intensity_raw`` -> allocation, per-capita, wealth index and quintile."""
-    return ranked_wealth(dasymetric_allocate(cells, totals, units=units))
+    """Cells with ``intensity_raw`` -> allocation, per-capita, wealth index and quintile.
+
+    The allocated table is written once, since ranking reads it twice.
+    """
+    return ranked_wealth(materialize(dasymetric_allocate(cells, totals, units=units), "allocated"))
 
 
 def disaggregate(

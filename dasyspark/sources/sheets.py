@@ -36,16 +36,18 @@ def matrix_to_long(
     third column on. Values: the last row below it whose second cell holds the
     label. Both are found by aggregates; only those two rows are widened.
     """
+    first_rows = F.col("row_idx") < HEADER_ROWS
     tail = F.slice("cells", F.lit(3), F.greatest(F.size("cells") - 2, F.lit(0)))
-    is_label = lambda c: (
-        F.length(clean_ws(c)).between(1, 40) & ~clean_ws(c).rlike(r"^\d+$") & ~clean_ws(c).rlike(r"^-?[\d.]+$")
+    # A cell with any non-digit is text; whitespace is only collapsed where that could matter.
+    is_label = lambda c: c.rlike(r"[^\s\d.\-]") & (
+        (F.length(c) <= 40) | (F.length(clean_ws(c)) <= 40)
     )
-    labels = F.size(F.filter(tail, is_label))
-    early = rows.where(F.col("row_idx") < HEADER_ROWS).withColumn("_n", labels).where(F.col("_n") >= MIN_HEADER_LABELS)
+    labels = F.when(first_rows, F.size(F.filter(tail, is_label))).otherwise(0)
+    early = rows.where(first_rows).withColumn("_n", labels).where(F.col("_n") >= MIN_HEADER_LABELS)
     header = early.groupBy(sheet).agg(
         F.max_by(F.struct("row_idx", "cells"), F.struct(F.col("_n"), -F.col("row_idx"))).alias("_h")
     )
-    labelled = rows.where(F.contains(F.lower(clean_ws(F.col("cells")[1])), F.lit(row_label.lower())))
+    labelled = rows.where(F.contains(F.lower(clean_ws(F.get("cells", F.lit(1)))), F.lit(row_label.lower())))
     values = (
         labelled.join(header.select(sheet, F.col("_h.row_idx").alias("_top")), sheet)
         .where(F.col("row_idx") > F.col("_top"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dasyspark.functions import hexgrid
+from dasyspark.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +45,17 @@ def num(value: float) -> str:
     return text if "e" in text or "E" in text else text + "e0"
 
 
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def written(spark: SparkSession, sf: str, name: str, make: Query) -> DataFrame:
+    """A derived input table, written once per session, as a job would read it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialize(make(spark, sf), name)
+    return _WRITTEN[key]
+
+
 # ------------------------------------------------------------------ positions
 
 
@@ -233,7 +245,7 @@ def allocated(spark: SparkSession, sf: str) -> DataFrame:
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
     from dasyspark.operators.ranks import wealth_index
 
-    return wealth_index(allocated(spark, sf), ("state",), "pci")
+    return wealth_index(materialize(allocated(spark, sf), "allocated"), ("state",), "pci")
 
 
 # --------------------------------------------------------------- hexagon cells
@@ -261,6 +273,10 @@ hexcells AS (SELECT cell, sum(population) AS population, sum(poi_count) AS poi_c
 
 
 def fine_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return written(spark, sf, "fine-grid", _fine_grid)
+
+
+def _fine_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Finer id grid: line items as children (resolution 8), some given only at resolution 6."""
     okey, line = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint")
     digits = [F.floor(okey / F.lit(7**k)) % 7 for k in range(6, -1, -1)] + [line % 7]
@@ -303,6 +319,10 @@ _TAGS = {
 
 
 def elements(spark: SparkSession, sf: str) -> DataFrame:
+    return written(spark, sf, "elements", _elements)
+
+
+def _elements(spark: SparkSession, sf: str) -> DataFrame:
     """Mapped elements: each line item is a way of up to seven vertices, or a node."""
     k = F.col("l_orderkey")
     line = F.col("l_linenumber")

@@ -28,25 +28,25 @@ def published(spark, sf):
         F.min("unit").alias("district"), (F.sum("population") / 7).alias("population"), (F.avg("night_lights") / 7).alias("night_lights"),
         (F.sum("road_km") / 7).alias("road_km"), F.sum("poi_count").alias("poi_count"), (F.max("building_share") / 7).alias("building_share"),
         F.round(F.sum("gdp_crore"), 4).alias("gdp_crore"), (F.avg("intensity_raw") / 7).alias("intensity_raw"),
-        F.round(F.max("pci"), 2).alias("gdp_per_capita_inr"), F.round(F.max("y_crore"), 2).alias("y_crore"))
+        F.max("pci").alias("gdp_per_capita_inr"), F.round(F.max("y_crore"), 2).alias("y_crore"))
     return out.withColumn("parent", hexgrid.cell_parent(F.col("hex"), LEVEL, LEVEL - 1))
 
 
 PUBLISHED = f"""pub AS (SELECT *, {parent_sql("hex", LEVEL, LEVEL - 1)} AS parent FROM (SELECT hex, min(unit) AS district, sum(population) / 7 AS population,
   avg(night_lights) / 7 AS night_lights, sum(road_km) / 7 AS road_km, sum(poi_count) AS poi_count, max(building_share) / 7 AS building_share, round(sum(gdp_crore), 4) AS gdp_crore,
-  avg(intensity_raw) / 7 AS intensity_raw, round(max(pci), 2) AS gdp_per_capita_inr, round(max(y_crore), 2) AS y_crore
+  avg(intensity_raw) / 7 AS intensity_raw, max(pci) AS gdp_per_capita_inr, round(max(y_crore), 2) AS y_crore
   FROM (SELECT *, {cell_sql("a.lat", "a.lon", LEVEL)} AS hex FROM allocated a) GROUP BY hex))"""
 
 
 @query("rollup_r6", with_ctes(
     """SELECT parent, min_by(district, (district, hex)) AS district, round(sum(population), 2) AS population, round(avg(night_lights), 12) AS night_lights,
-    round(sum(road_km), 7) AS road_km, sum(poi_count) AS poi_count, round(avg(building_share), 12) AS building_share, round(median(gdp_per_capita_inr), 3) AS gdp_per_capita_inr,
+    round(sum(road_km), 7) AS road_km, sum(poi_count) AS poi_count, round(avg(building_share), 12) AS building_share, round(median(gdp_per_capita_inr), 5) AS gdp_per_capita_inr,
     round(sum(gdp_crore), 4) AS gdp_crore, round(avg(intensity_raw), 12) AS intensity_raw, min_by(y_crore, (district, hex)) AS y_crore FROM pub GROUP BY parent""", *SPLIT, PUBLISHED))
 def _(spark, sf):
     out = publish.rollup_parents(published(spark, sf), "parent", ("district", "hex"))
     return out.select(
         "parent", "district", r("population", 2), r("night_lights", 12), r("road_km", 7), "poi_count", r("building_share", 12),
-        r("gdp_per_capita_inr", 3), r("gdp_crore", 4), r("intensity_raw", 12), "y_crore")
+        r("gdp_per_capita_inr", 5), r("gdp_crore", 4), r("intensity_raw", 12), "y_crore")
 
 
 @query("unit_table", with_ctes(

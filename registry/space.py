@@ -54,7 +54,8 @@ def _(spark, sf):
 @query("segment_midpoint", with_ctes(
     "SELECT id, part, supp, round(0.5e0 * (lat1 + lat2), 9) AS mid_lat, round(0.5e0 * (lon1 + lon2), 9) AS mid_lon FROM pieces JOIN elements USING (uid)", ELEMENTS))
 def _(spark, sf):
-    ways = elements(spark, sf).where(F.col("type") == "way").select("id", "part", "supp", F.inline(geo.segments(F.col("geometry"))))
+    ways = elements(spark, sf).where(F.col("type") == "way").select(
+        "id", "part", "supp", F.inline(geo.segments(F.col("geometry"))).alias("a", "b")).select("id", "part", "supp", *geo.segment_columns())
     return ways.select("id", "part", "supp", F.round("mid_lat", 9).alias("mid_lat"), F.round("mid_lon", 9).alias("mid_lon"))
 
 
