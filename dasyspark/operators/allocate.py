@@ -34,17 +34,19 @@ def dasymetric_allocate(
     intensity: str = "intensity_raw",
     by: Sequence[str] = ("unit",),
     units: DataFrame | None = None,
+    copies: int = 1,
 ) -> DataFrame:
     """Allocate ``y_inr`` of each unit in proportion to intensity x population.
 
     ``units`` is the dimension the unit keys come from; its size decides
-    whether the per-unit factors are broadcast (see ``attach``).
+    whether the per-unit factors, ``copies`` for each unit, are broadcast (see
+    ``attach``).
     """
     factors = unit_factors(cells, totals, intensity, by).select(*by, "y_inr", "dasymetric_scale")
     raw = F.col(intensity) * F.col("population")
     gdp = raw * F.col("dasymetric_scale")
     bound = units if units is not None else totals
-    return attach(cells, factors, list(by), "inner", bound).withColumns(
+    return attach(cells, factors, list(by), "inner", bound, copies).withColumns(
         {
             "gdp_inr_raw": raw,
             "gdp_inr": gdp,
@@ -77,13 +79,13 @@ def ensemble_stats(runs: DataFrame, cell: str = "cell") -> DataFrame:
 
 
 def ensemble_allocate(
-    runs: DataFrame, cells: DataFrame, totals: DataFrame, units: DataFrame | None = None
+    runs: DataFrame, cells: DataFrame, totals: DataFrame, units: DataFrame | None = None, n_seeds: int = len(C.SEEDS)
 ) -> DataFrame:
     """Central estimate: the mean intensity, allocated once more, with the ranges over seeds.
 
     ``runs``: cell, seed, unit, population, state, intensity_raw.
     """
-    per_seed = dasymetric_allocate(runs, totals, by=("seed", "unit"), units=None)
+    per_seed = dasymetric_allocate(runs, totals, by=("seed", "unit"), units=units, copies=n_seeds)
     per_seed = wealth_index(per_seed, ("seed", "state"))
     stats = ensemble_stats(per_seed)
     central = cells.join(stats, "cell").withColumn("intensity_raw", F.col("intensity_raw_mean"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dasyspark.session import BROADCAST_ROWS, has_at_most
+from dasyspark.session import fits_broadcast
 
 
 def attach(
@@ -16,15 +16,16 @@ def attach(
     on: Sequence[str] | str,
     how: str = "left",
     bound: DataFrame | None = None,
+    copies: int = 1,
 ) -> DataFrame:
     """Join per-key ``stats`` (unique on ``on``) onto ``facts``.
 
-    ``bound`` is a table known to hold at least as many rows as ``stats``, such
-    as the dimension its keys come from. When a count proves it small, ``stats``
-    is broadcast and ``facts`` do not move, whatever their skew. Otherwise it is
-    a plain equi-join, whose hot keys adaptive execution splits.
+    ``bound`` is a table such as the dimension the keys come from: ``stats`` has
+    at most ``copies`` rows for each of its rows. When a count proves that small,
+    ``stats`` is broadcast and ``facts`` do not move, whatever their skew.
+    Otherwise it is a plain equi-join, whose hot keys adaptive execution splits.
     """
-    if bound is not None and has_at_most(bound, BROADCAST_ROWS):
+    if bound is not None and fits_broadcast(len(stats.columns), bound, copies):
         stats = F.broadcast(stats)
     return facts.join(stats, on, how)
 

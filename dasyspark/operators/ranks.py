@@ -16,6 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dasyspark.operators.joins import attach
 from dasyspark.session import has_at_most, materialize
 
 MAX_RANGES = 512
@@ -23,11 +24,20 @@ MAX_RANGES = 512
 FEW_VALUES = 2_000_000
 
 
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """How many rows hold each non-null value; written out, since ranking reads it more than once."""
+    known = df.where(F.col(value).isNotNull())
+    counted = known.groupBy(*by, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("n_eq"))
+    return materialize(counted, "value-counts")
+
+
 def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """``by, value, n_eq, n_below, n_all`` for each distinct non-null value."""
+    return rank_counts(value_counts(df, by, value), by, value)
+
+
+def rank_counts(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     by = list(by)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias(value))
-    counts = materialize(counted.agg(F.count(F.lit(1)).alias("n_eq")), "value-counts")
     if has_at_most(counts, FEW_VALUES):
         # Sorted once per territory: bounded by the check, whatever the number of rows.
         group = Window.partitionBy(*by)
@@ -72,9 +82,10 @@ def average_rank(n_below: str = "n_below", n_eq: str = "n_eq") -> Column:
 
 def with_rank(df: DataFrame, by: Sequence[str], value: str, out: str, rank: Column) -> DataFrame:
     """Add ``rank``, an expression over the columns of ``value_ranks``, to each row."""
-    ranks = value_ranks(df, by, value).select(*by, F.col(value).alias("_v"), rank.alias(out))
+    counts = value_counts(df, by, value)
+    ranks = rank_counts(counts, by, value).select(*by, F.col(value).alias("_v"), rank.alias(out))
     keyed = df.withColumn("_v", F.col(value).cast("double"))
-    return keyed.join(ranks, [*by, "_v"], "left").drop("_v")
+    return attach(keyed, ranks, [*by, "_v"], "left", bound=counts).drop("_v")
 
 
 def wealth_index(cells: DataFrame, by: Sequence[str] = ("state",), value: str = "gdp_per_capita_inr") -> DataFrame:
@@ -140,7 +151,7 @@ def spearman(df: DataFrame, by: Sequence[str], pairs: Mapping[str, tuple[str, st
     shared: dict[str, DataFrame] = {}
 
     def ranks_of(rows: DataFrame, column: str, reusable: bool) -> DataFrame:
-        if column in shared:
+        if reusable and column in shared:
             return shared[column]
         made = value_ranks(rows, by, column).select(*by, F.col(column).alias("_v"), average_rank().alias("_rank"))
         if reusable:

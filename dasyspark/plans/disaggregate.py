@@ -40,4 +40,4 @@ def disaggregate(
     features = materialize(features, "features")
     fit = fit_intensity(features, totals, names, epochs, seeds, lr, tag="ensemble")
     runs = fit.long_intensity(features, ["cell", "unit", "state", "population"])
-    return ensemble_allocate(runs, features, totals, units), fit
+    return ensemble_allocate(runs, features, totals, units, len(seeds)), fit

@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A side is broadcast only when a count proves that it has at most this many rows.
-BROADCAST_ROWS = 200_000
+# A side is broadcast only when a count proves that it stays below this size.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES, VALUE_BYTES = 32, 24
 
 
 def build_session(app: str = "dasyspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,3 +54,9 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
+
+
+def fits_broadcast(columns: int, bound: DataFrame, copies: int = 1) -> bool:
+    """Whether ``copies`` rows per row of ``bound``, of so many columns, stay below the broadcast size."""
+    rows = BROADCAST_BYTES // (ROW_BYTES + VALUE_BYTES * columns)
+    return has_at_most(bound, max(1, rows // max(1, copies)))

@@ -226,7 +226,7 @@ def _runs(spark, sf):
     min(pci) AS pci_min, max(pci) AS pci_max, round(avg(coalesce(w, 0)), 4) AS w_mean, round(min(coalesce(w, 0)), 6) AS w_min, round(max(coalesce(w, 0)), 6) AS w_max
     FROM per_seed p LEFT JOIN seed_live l ON p.cell = l.cell AND p.seed = l.seed GROUP BY p.cell""", CELLS, TOTALS, _SEEDS))
 def _(spark, sf):
-    out = allocate.dasymetric_allocate(_runs(spark, sf), totals(spark, sf), by=("seed", "unit"))
+    out = allocate.dasymetric_allocate(_runs(spark, sf), totals(spark, sf), by=("seed", "unit"), units=nations(spark, sf), copies=5)
     out = out.withColumn("gdp_per_capita_inr", F.round(F.col("gdp_per_capita_inr") / 1e7, 4))
     out = allocate.ensemble_stats(ranks.wealth_index(out, ["seed", "state"]))
     pick = lambda col, name, digits: r(col, digits).alias(name)

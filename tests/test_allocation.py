@@ -65,11 +65,51 @@ def test_ranks_and_quantiles_match_pandas_with_heavy_ties(spark):
         assert np.allclose(d.loc[state, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]].astype(float), w.to_numpy())
 
 
+def test_ranges_give_the_same_ranks_as_one_sort(spark, monkeypatch):
+    """The way for many distinct values, on skewed data with ties across range cuts."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([np.exp(rng.normal(0, 4, 700)), np.full(400, 2.5), -rng.random(100)])
+    pdf = pd.DataFrame({"cell": np.arange(len(v)), "state": np.arange(len(v)) % 3, "v": v})
+    rows = spark.createDataFrame(pdf)
+    whole = sorted(map(tuple, ranks.value_ranks(rows, ["state"], "v").collect()))
+    monkeypatch.setattr(ranks, "FEW_VALUES", 10)
+    assert sorted(map(tuple, ranks.value_ranks(rows, ["state"], "v").collect())) == whole
+    got = ranks.with_rank(rows, ["state"], "v", "rk", ranks.average_rank()).toPandas().sort_values("cell")
+    assert np.allclose(got.rk, pdf.groupby("state").v.rank(method="average"))
+    assert ranks.value_ranks(rows.where("v = 2.5"), ["state"], "v").count() == 3
+
+
+def test_index_follows_sorted_names(spark):
+    names = [f"n{i:03d}" for i in np.random.default_rng(1).permutation(300)]
+    rows = spark.createDataFrame([(n,) for n in names + names[:50]], "unit string").repartition(5)
+    got = {r.unit: r.idx for r in graph.feature_index(rows, "unit").collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names))}
+
+
+def test_disaggregate_adds_up_with_seed_ranges(spark):
+    from dasyspark.plans.disaggregate import disaggregate
+
+    _, cells = frame(spark, n=200)
+    totals = spark.createDataFrame([(f"u{i}", 1e6 * (i + 1)) for i in range(7)], "unit string, y_inr double")
+    out, result = disaggregate(cells, totals, epochs=2, seeds=(0, 1), lr=0.05, units=totals)
+    pdf = out.toPandas()
+    assert len(pdf) == 200 and len(result.history) == 4
+    sums = pdf.groupby("unit").gdp_inr.sum()
+    assert all(abs(sums[f"u{i}"] / (1e6 * (i + 1)) - 1) < 1e-9 for i in range(7))
+    live = pdf[pdf.population > 0]
+    assert (live.wealth_index_min <= live.wealth_index_max).all() and pdf.wealth_index.between(0, 100).all()
+    assert fit.best_epoch(result.history_table(cells)).count() == 2
+
+
 def test_spearman_matches_pandas_and_null_when_constant(spark):
     pdf, cells = frame(spark)
-    cells = cells.withColumn("flat", F.lit(1.0))
-    got = ranks.spearman(cells, ["state"], {"p": ("night_lights", "road_km"), "c": ("flat", "road_km")}).toPandas()
+    cells = cells.withColumn("flat", F.lit(1.0)).withColumn("gap", F.when(F.col("cell") % 4 > 0, F.col("night_lights")))
+    pairs = {"p": ("night_lights", "road_km"), "c": ("flat", "road_km"), "g": ("gap", "road_km")}
+    got = ranks.spearman(cells, ["state"], pairs).toPandas()
     for state, part in pdf.groupby("state"):
+        some = part[part.cell % 4 > 0]
+        row = got[(got.pair == "g") & (got.state == state)]
+        assert row.rho.iloc[0] == pytest.approx(some.night_lights.rank().corr(some.road_km.rank()))
         want = part.night_lights.rank().corr(part.road_km.rank())
         row = got[(got.pair == "p") & (got.state == state)]
         assert row.rho.iloc[0] == pytest.approx(want)
