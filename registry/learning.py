@@ -1,5 +1,6 @@
 """Features, graph operators and the fit."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from dasyspark import config as C
@@ -11,7 +12,7 @@ from dasyspark.operators import graph as G
 from dasyspark.plans.disaggregate import disaggregate
 from dasyspark.session import materialize
 from registry.core import CELLS, COARSE, HEXCELLS, LEVEL, MID, cells, hexcells, lat_of, lon_of, nations, parent_sql, query, table, totals
-from registry.core import TOTALS, axial_sql_neighbors, with_ctes
+from registry.core import TOTALS, axial_sql_neighbors, num, with_ctes
 from registry.space import _haversine_sql
 
 _MAG = ["population", "night_lights", "road_km", "poi_count", "building_area_m2", "building_count", "poi_amenity_bank", "poi_office"]
@@ -206,7 +207,60 @@ def _(spark, sf):
     return attach(base, index, "unit", "inner", nations(spark, sf)).select("cell", "idx")
 
 
-@query("score_layer")
+HIDDEN, LAYERS = 8, 2
+WEIGHTS = G.init_weights(DIM, hidden=HIDDEN, layers=LAYERS, seed=0)
+_UP = {"fine": (LEVEL, MID), "mid": (MID, COARSE)}
+
+
+def _score_sql() -> str:
+    """The layer equations over lists, every step a materialized table."""
+
+    def dense(matrix, bias, vector, elu=True):
+        rows = ", ".join("[" + ", ".join(num(v) for v in (*row, b)) + "]" for row, b in zip(matrix, bias))
+        out = f"list_transform([{rows}], lambda w: list_dot_product(w, list_append({vector}, 1e0)))"
+        return f"list_transform({out}, lambda v: CASE WHEN v > 0 THEN v ELSE exp(v) - 1e0 END)" if elu else out
+
+    def pooled(how, vector, dim, extra=""):
+        return "[" + ", ".join(f"{how}({vector}[{i + 1}]){extra}" for i in range(dim)) + "]"
+
+    w, zeros = WEIGHTS, "[" + ", ".join(["0e0"] * HIDDEN) + "]"
+    steps = {"x_fine": "SELECT cell, [ln(1 + population) / 10, poi_count / 10, night_lights / 50, road_km / 50] AS x FROM hexcells"}
+    steps["l_fine"] = f"SELECT cell AS child, {parent_sql('cell', LEVEL, MID)} AS parent FROM x_fine"
+    steps["l_top"] = f"SELECT cell AS child, {parent_sql('cell', LEVEL, COARSE)} AS parent FROM x_fine"
+    for lvl, links in (("mid", "l_fine"), ("coarse", "l_top")):
+        steps[f"x_{lvl}"] = f"SELECT parent AS cell, {pooled('avg', 'x', DIM)} AS x FROM x_fine JOIN {links} ON child = cell GROUP BY parent"
+    steps["l_mid"] = f"SELECT child, parent FROM (SELECT cell AS child, {parent_sql('cell', MID, COARSE)} AS parent FROM x_mid) WHERE parent IN (SELECT cell FROM x_coarse)"
+    for lvl, level in (("fine", LEVEL), ("mid", MID), ("coarse", COARSE)):
+        steps[f"e_{lvl}"] = f"SELECT src, dst FROM (SELECT cell AS src, unnest({axial_sql_neighbors('cell', level)}) AS dst FROM x_{lvl}) WHERE dst IN (SELECT cell FROM x_{lvl})"
+        first = dense(w[f"in.{lvl}.w"], w[f"in.{lvl}.b"], "x")
+        steps[f"h_{lvl}_0"] = f"SELECT cell, h, h AS h0 FROM (SELECT cell, {first} AS h FROM x_{lvl})"
+    for k in range(LAYERS):
+        for lvl in ("fine", "mid", "coarse"):
+            h = f"h_{lvl}_{k}"
+            steps[f"m_{lvl}_{k}"] = f"SELECT dst AS cell, {pooled('sum', 'h', HIDDEN, ' / (1 + count(*))')} AS m FROM e_{lvl} JOIN {h} ON cell = src GROUP BY dst"
+            both = np.hstack([w[f"self.{lvl}.{k}.w"], w[f"near.{lvl}.{k}.w"]])
+            a = dense(both, w[f"self.{lvl}.{k}.b"] + w[f"near.{lvl}.{k}.b"], f"list_concat(h, coalesce(m, {zeros}))")
+            steps[f"a_{lvl}_{k}"] = f"SELECT cell, h0, {a} AS a FROM {h} LEFT JOIN m_{lvl}_{k} USING (cell)"
+        for child, parent in (("fine", "mid"), ("mid", "coarse")):
+            d = dense(w[f"down.{child}.{k}.w"], w[f"down.{child}.{k}.b"], "h", elu=False)
+            steps[f"d_{child}_{k}"] = f"SELECT child AS cell, {d} AS d FROM l_{child} JOIN h_{parent}_{k} ON cell = parent"
+            steps[f"u_{parent}_{k}"] = f"SELECT parent AS cell, {pooled('avg', 'h', HIDDEN)} AS u FROM l_{child} JOIN h_{child}_{k} ON cell = child GROUP BY parent"
+        eye, alpha = np.eye(HIDDEN), C.RESIDUAL_ALPHA
+        new = {
+            "fine": (dense(w["mix.w"], w["mix.b"], f"list_concat(a, coalesce(d, {zeros}))"), ["d"]),
+            "mid": (dense(np.hstack([eye, w[f"up.mid.{k}.w"], eye]), w[f"up.mid.{k}.b"], f"list_concat(list_concat(a, coalesce(u, {zeros})), coalesce(d, {zeros}))"), ["u", "d"]),
+            "coarse": (dense(np.hstack([eye, w[f"up.coarse.{k}.w"]]), w[f"up.coarse.{k}.b"], f"list_concat(a, coalesce(u, {zeros}))"), ["u"]),
+        }
+        for lvl, (value, joined) in new.items():
+            joins = " ".join(f"LEFT JOIN {j}_{lvl}_{k} USING (cell)" for j in joined)
+            mixed = f"list_transform(list_zip(n, h0), lambda p: {num(1 - alpha)} * p[1] + {num(alpha)} * p[2])"
+            steps[f"h_{lvl}_{k + 1}"] = f"SELECT cell, {mixed} AS h, h0 FROM (SELECT cell, h0, {value} AS n FROM a_{lvl}_{k} {joins})"
+    out = dense(w["out.w"], w["out.b"], "h", elu=False)
+    ctes = [f"{name} AS MATERIALIZED ({body})" for name, body in steps.items()]
+    return with_ctes(f"SELECT cell, round(ln(1 + exp(({out})[1])), 8) AS intensity_raw FROM h_fine_{LAYERS}", HEXCELLS, *ctes)
+
+
+@query("score_layer", _score_sql())
 def _(spark, sf):
     """Two published layers over three levels of hexagons, with a seeded weight table."""
     nodes = hexcells(spark, sf)
@@ -219,8 +273,8 @@ def _(spark, sf):
     mid_links = materialize(G.hierarchy_join(mid, MID, COARSE, coarse), "links-mid")
     edges = {"fine": G.adjacency_join(fine, LEVEL), "mid": G.adjacency_join(mid, MID), "coarse": G.adjacency_join(coarse, COARSE)}
     edges = {k: materialize(e, f"edges-{k}") for k, e in edges.items()}
-    weights = G.init_weights(DIM, hidden=8, layers=2, seed=0)
-    return G.score_layers(fine, mid, coarse, edges, up, mid_links, weights, DIM, hidden=8, layers=2)
+    out = G.score_layers(fine, mid, coarse, edges, up, mid_links, WEIGHTS, DIM, hidden=HIDDEN, layers=LAYERS)
+    return out.select("cell", F.round("intensity_raw", 8).alias("intensity_raw"))
 
 
 # ------------------------------------------------------------------------- fit

@@ -10,7 +10,8 @@ from dasyspark.session import materialize, scratch_path
 from dasyspark.sources import sinks
 from registry.core import ALLOCATED, CELLS, HEXCELLS, LEVEL, RANKED, TOTALS, allocated, axial_sql_neighbors, cell_sql, cells, hexcells
 from registry.core import nations, parent_sql, query, ranked, table, with_ctes
-from registry.learning import FEATURES, Z, _EDGES, featured, regions
+from registry.learning import FEATURES, Z, _EDGES, featured
+from registry.space import _haversine_sql
 
 SPLIT = (CELLS, TOTALS, ALLOCATED)
 WEALTH = (*SPLIT, RANKED)
@@ -254,14 +255,34 @@ def _(spark, sf):
     return out.select("cell", F.array_join(text, ",").alias("neighbors"), r("population", 2, people))
 
 
-@query("cell_dossier")
+_PRESETS = """presets AS (SELECT unnest([coalesce(min_by(cell, (-w, cell)) FILTER (population >= p80), min_by(cell, (-w, cell))),
+    coalesce(min_by(cell, (w, cell)) FILTER (population BETWEEN p20 AND p60 AND road_km <= rm), min_by(cell, (w, cell)))]) AS cell
+    FROM (SELECT *, round(wealth_index, 6) AS w FROM ranked) JOIN (SELECT state, quantile_cont(population, 0.2) AS p20, quantile_cont(population, 0.6) AS p60, quantile_cont(population, 0.8) AS p80,
+    quantile_cont(road_km, 0.5) AS rm FROM cells GROUP BY state) USING (state) GROUP BY state)"""
+_NEAR = f"near AS (SELECT p.cell, count(*) AS n, round(sum(b.population), 2) AS people FROM presets p JOIN cells a ON a.cell = p.cell JOIN cells b ON b.cell <> a.cell AND {_haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 60 GROUP BY p.cell)"
+_TOP = ("top AS (SELECT cell, max_by(feature, (abs(z), -ord)) AS feature FROM (SELECT cell, feature, z, list_position([" + ", ".join(f"'{z}'" for z in sorted(Z)) + "], feature) AS ord FROM (UNPIVOT (SELECT cell, " +
+        ", ".join(f"round({z}, 4) AS {z}" for z in Z) + " FROM zs WHERE cell IN (SELECT cell FROM presets)) ON " + ", ".join(Z) + " INTO NAME feature VALUE z)) GROUP BY cell)")
+
+
+@query("cell_dossier", with_ctes(
+    """SELECT r.cell, r.unit, round(population, 2) AS population, round(wealth_index, 6) AS wealth_index, round(gdp_crore, 2) AS gdp_crore, coalesce(n, 0)::BIGINT AS neighbors, people,
+    feature AS top_feature, (SELECT count(*) FROM cells c WHERE c.unit = r.unit) AS unit_cells FROM ranked r JOIN presets USING (cell) LEFT JOIN near USING (cell) JOIN top USING (cell)""",
+    *WEALTH, FEATURES, _PRESETS, _NEAR, _TOP))
 def _(spark, sf):
-    """Dossiers of the preset cells of every territory."""
+    """Dossiers of the preset cells of every territory, read back from their JSON."""
     wide, names = featured(spark, sf)
-    base = materialize(ranked(spark, sf).join(wide.select("cell", *names), "cell"), "dossier")
-    spots = base.select("cell", "lat", "lon")
+    base = ranked(spark, sf).withColumn("wealth_index", F.round("wealth_index", 6)).join(wide.select("cell", *names), "cell")
+    base = materialize(base, "dossier")
     presets = explain.pick_presets(base)
     chosen = presets.select(F.explode(F.array("rich_urban", "poor_rural")).alias("cell")).distinct()
-    edges = G.adjacency_by_distance(spots, 60.0, tile=1.0)
+    edges = G.adjacency_by_distance(base.select("cell", "lat", "lon"), 60.0, tile=1.0)
     attributes = ["population", "night_lights", "road_km", "poi_count", "wealth_index"]
-    return explain.cell_dossier(base, edges, chosen, attributes, names, nations(spark, sf))
+    out = explain.cell_dossier(base, edges, chosen, attributes, names, nations(spark, sf))
+    schema = """inputs struct<population: double, wealth_index: double>, neighbors array<struct<population: double>>, allocation struct<gdp_inr: double>,
+        unit_context struct<n_cells: bigint>, top_features array<struct<feature: string>>"""
+    read = out.select("cell", "unit", F.from_json("dossier", schema).alias("d")).select("cell", "unit", "d.*")
+    people = F.aggregate("neighbors", F.lit(0.0), lambda a, n: a + n["population"])
+    return read.select(
+        "cell", "unit", r("population", 2, F.col("inputs.population")), r("wealth_index", 6, F.col("inputs.wealth_index")),
+        r("gdp_crore", 2, F.col("allocation.gdp_inr") / 1e7), F.coalesce(F.size("neighbors"), F.lit(0)).cast("bigint").alias("neighbors"),
+        r("people", 2, people), F.col("top_features")[0]["feature"].alias("top_feature"), F.col("unit_context.n_cells").alias("unit_cells"))
