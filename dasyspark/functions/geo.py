@@ -5,8 +5,6 @@ A geometry is an ``array<struct<lat: double, lon: double>>``.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,29 +18,40 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * C.EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def sin_authalic(lat: Column) -> Column:
-    """Sine of the authalic latitude: equal-area on the WGS84 ellipsoid."""
-    e = C.WGS84_ECCENTRICITY
-    pole = 1 + (1 - e * e) / (2 * e) * math.log((1 + e) / (1 - e))
-    s = F.sin(F.radians(lat))
-    q = F.lit(1 - e * e) * (
-        s / (1 - F.lit(e * e) * s * s) + F.lit(1 / (2 * e)) * F.log((1 + F.lit(e) * s) / (1 - F.lit(e) * s))
-    )
-    return q / F.lit(pole)
+def authalic(sine: Column) -> Column:
+    """Sine of the authalic latitude from the sine of the latitude: equal-area on WGS84.
+
+    The closed form is a power series in the squared eccentricity, summed here
+    up to terms below 1e-15.
+    """
+    e2 = C.WGS84_ECCENTRICITY**2
+    terms = [e2**k * (2 * k + 2) / (2 * k + 1) for k in range(8)]
+    pole = sum(terms)
+    square = sine * sine
+    total = F.lit(terms[-1] / pole)
+    for term in reversed(terms[:-1]):
+        total = total * square + F.lit(term / pole)
+    return sine * total
 
 
 def ring_area_m2(ring: Column) -> Column:
     """Absolute area of a ring; closed if open; fewer than three vertices give 0."""
-    heads = F.transform(
-        ring,
-        lambda v: F.struct(F.radians(v["lon"]).alias("x"), sin_authalic(v["lat"]).alias("y")),
+    sines = F.transform(
+        ring, lambda v: F.struct(F.radians(v["lon"]).alias("x"), F.sin(F.radians(v["lat"])).alias("s"))
+    )
+    points = F.transform(sines, lambda p: F.struct(p["x"].alias("x"), authalic(p["s"]).alias("y")))
+    return F.when(F.size(ring) >= 3, _shoelace(points)).otherwise(F.lit(0.0))
+
+
+def _shoelace(points: Column) -> Column:
+    steps = F.size(points) - 1
+    inner = F.zip_with(
+        F.slice(points, F.lit(1), steps), F.slice(points, F.lit(2), steps),
+        lambda a, b: (b["x"] - a["x"]) * (a["y"] + b["y"]),
     )
-    first = F.element_at(heads, 1)
-    tails = F.concat(F.slice(heads, F.lit(2), F.size(heads) - 1), F.array(first))
-    pieces = F.zip_with(heads, tails, lambda a, b: (b["x"] - a["x"]) * (a["y"] + b["y"]))
-    total = F.aggregate(pieces, F.lit(0.0), lambda acc, p: acc + p)
-    area = F.abs(total) * F.lit(C.AUTHALIC_RADIUS_M**2 / 2)
-    return F.when(F.size(ring) >= 3, area).otherwise(F.lit(0.0))
+    first, last = F.element_at(points, 1), F.element_at(points, -1)
+    closing = (first["x"] - last["x"]) * (first["y"] + last["y"])
+    return F.abs(F.aggregate(inner, closing, lambda acc, p: acc + p)) * F.lit(C.AUTHALIC_RADIUS_M**2 / 2)
 
 
 def ring_centroid(ring: Column) -> Column:

@@ -168,22 +168,21 @@ def _ways_with_area(elements: DataFrame, level: int, wanted: Column) -> DataFram
         "id", "tags",
         hexgrid.point_to_cell(F.col("lat"), F.col("lon"), level).alias("cell"),
         geo.ring_area_m2(F.col("geometry")).alias("m2"),
-    ).where(F.col("m2") > 0)
+    )
 
 
 def building_footprint(elements: DataFrame, level: int) -> DataFrame:
     ways = _ways_with_area(elements, level, F.map_contains_key("tags", "building"))
-    return ways.groupBy("cell").agg(
-        F.sum("m2").alias("building_area_m2"), F.count(F.lit(1)).alias("building_count")
-    )
+    # Flat rings add nothing; filtering them first would compute every area twice.
+    sums = ways.groupBy("cell").agg(F.sum("m2").alias("building_area_m2"), F.count_if(F.col("m2") > 0).alias("building_count"))
+    return sums.where(F.col("building_count") > 0)
 
 
 def landuse_area(elements: DataFrame, level: int) -> DataFrame:
     ways = _ways_with_area(elements, level, landuse_class(F.col("tags")).isNotNull())
-    classes = ways.withColumn("_class", landuse_class(F.col("tags")))
-    return classes.groupBy("cell").agg(
-        *[F.sum(F.when(F.col("_class") == c, F.col("m2")).otherwise(0.0)).alias(f"landuse_{c}_m2") for c in C.LANDUSE_CLASSES]
-    )
+    of_class = {c: F.when(landuse_class(F.col("tags")) == c, F.col("m2")).otherwise(0.0) for c in C.LANDUSE_CLASSES}
+    sums = ways.groupBy("cell").agg(*[F.sum(v).alias(f"landuse_{c}_m2") for c, v in of_class.items()])
+    return sums.where(reduce(or_, [F.col(f"landuse_{c}_m2") > 0 for c in C.LANDUSE_CLASSES]))
 
 
 def poi_counts(elements: DataFrame, level: int) -> DataFrame:

@@ -54,17 +54,20 @@ def matrix_to_long(
         .groupBy(sheet)
         .agg(last_by("cells", "row_idx").alias("_values"))
     )
-    wide = header.join(values, sheet).select(sheet, "_values", F.posexplode("_h.cells").alias("_pos", "_name"))
-    name = clean_ws(F.col("_name"))
-    dropped = F.lower(name).isin(*[d.lower() for d in drop_names]) if drop_names else F.lit(False)
-    value = to_float_lenient(F.try_element_at("_values", F.col("_pos") + 1))
-    return (
-        wide.where((F.col("_pos") >= 2) & (name != "") & ~dropped & ~F.lower(name).contains("region"))
-        .select(
-            sheet, name.alias("district"), (value * F.lit(value_scale)).alias("y_crore"),
-            F.concat(name, F.lit(" — "), clean_ws(F.col("_values")[1])).alias("source_name"),
-        )
-        .where(F.col("y_crore") > 0)
+    # Names and amounts are cleaned as arrays, once, and only then widened together.
+    names = F.transform("_h.cells", clean_ws)
+    amounts = F.transform("_values", lambda v: to_float_lenient(v) * F.lit(value_scale))
+    paired = header.join(values, sheet).select(
+        sheet, clean_ws(F.get("_values", F.lit(1))).alias("_label"), F.arrays_zip(names.alias("n"), amounts.alias("y")).alias("_pairs")
+    )
+    wide = paired.select(sheet, "_label", F.posexplode("_pairs").alias("_pos", "_p"))
+    name, low = F.col("_p.n"), F.lower("_p.n")
+    kept = wide.where((F.col("_pos") >= 2) & (name != "") & ~F.contains(low, F.lit("region")) & (F.col("_p.y") > 0))
+    if drop_names:
+        kept = kept.where(~low.isin(*[d.lower() for d in drop_names]))
+    return kept.select(
+        sheet, name.alias("district"), F.col("_p.y").alias("y_crore"),
+        F.concat(name, F.lit(" — "), F.col("_label")).alias("source_name"),
     )
 
 

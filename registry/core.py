@@ -52,7 +52,8 @@ def written(spark: SparkSession, sf: str, name: str, make: Query) -> DataFrame:
     """A derived input table, written once per session, as a job would read it."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _WRITTEN:
-        _WRITTEN[key] = materialize(make(spark, sf), name)
+        # The given files are one row group each; real inputs come in many.
+        _WRITTEN[key] = materialize(make(spark, sf).repartition(spark.sparkContext.defaultParallelism), name)
     return _WRITTEN[key]
 
 
@@ -289,7 +290,7 @@ def _fine_grid(spark: SparkSession, sf: str) -> DataFrame:
     weight = F.when(line == 3, None).when(line == 4, 0.0).otherwise(F.col("l_quantity"))
     return table(spark, sf, "lineitem").select(
         F.lower(F.hex(number)).alias("h3"), F.col("l_extendedprice").alias("population"),
-        (F.col("l_extendedprice") / 1e3).alias("night_lights"), weight.alias("pixel_count"),
+        (F.col("l_extendedprice") / 3e3).alias("night_lights"), weight.alias("pixel_count"),
     )
 
 
@@ -302,7 +303,7 @@ def _id_sql(resolution: int, known: int) -> str:
 
 FINE_GRID = f"""fine_grid AS (SELECT CASE WHEN l_linenumber = 5 THEN {_id_sql(6, 6)} ELSE {_id_sql(8, 8)} END AS h3,
   CASE WHEN l_linenumber = 5 THEN 6 ELSE 8 END AS res, {_id_sql(7, 7)} AS parent7, {_id_sql(6, 6)} AS parent6, {_id_sql(5, 5)} AS parent5,
-  l_extendedprice AS population, l_extendedprice / 1e3 AS night_lights,
+  l_extendedprice AS population, l_extendedprice / 3e3 AS night_lights,
   CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 4 THEN 0e0 ELSE l_quantity END AS pixel_count FROM lineitem)"""
 
 # -------------------------------------------------------------------- elements

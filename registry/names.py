@@ -9,7 +9,7 @@ from dasyspark.functions import names as S
 from dasyspark.functions import numbers as N
 from dasyspark.session import scratch_path
 from dasyspark.sources import grids, sheets, totals
-from registry.core import CELLS, cells, nations, num, query, table, with_ctes
+from registry.core import CELLS, cells, nations, num, query, table, with_ctes, written
 
 
 def documents(spark, sf):
@@ -288,6 +288,10 @@ def _(spark, sf):
 
 
 def _matrix(spark, sf):
+    return written(spark, sf, "sheets", _sheets)
+
+
+def _sheets(spark, sf):
     """One sheet per customer group of eight columns: a title, a header row of names, sub-totals, totals."""
     order = table(spark, sf, "orders")
     k = F.col("o_orderkey").cast("string")
