@@ -236,11 +236,8 @@ def allocated(spark: SparkSession, sf: str) -> DataFrame:
     """Cells with the published totals split over them; ``pci`` in crore, rounded so that ties are ties."""
     from dasyspark.operators.allocate import dasymetric_allocate
 
-    units = nations(spark, sf)
-    known = totals(spark, sf)
-    out = dasymetric_allocate(cells(spark, sf), known, units=units)
-    out = out.join(known.select("unit", "y_crore"), "unit")
-    return out.withColumn("pci", F.round(F.col("gdp_per_capita_inr") / 1e7, 4))
+    out = dasymetric_allocate(cells(spark, sf), totals(spark, sf), units=nations(spark, sf))
+    return out.withColumn("y_crore", F.col("y_inr") / 1e7).withColumn("pci", F.round(F.col("gdp_per_capita_inr") / 1e7, 4))
 
 
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
