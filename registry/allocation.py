@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from dasyspark.functions import numbers as N
 from dasyspark.operators import allocate, joins, ranks, targets
 from dasyspark.plans.disaggregate import allocate_and_rank
-from registry.core import ALLOCATED, CELLS, RANKED, SQL, TOTAL_ROWS, TOTALS, allocated, cells, nations, query, ranked, table
+from registry.core import ALLOCATED, CELLS, RANKED, TOTAL_ROWS, TOTALS, allocated, cells, nations, query, ranked, table
 from registry.core import total_rows, totals, with_ctes
 
 SPLIT = (CELLS, TOTALS, ALLOCATED)

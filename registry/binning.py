@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from dasyspark import config as C
-from dasyspark.functions import geo, h3id, hexgrid
+from dasyspark.functions import hexgrid
 from dasyspark.operators import evidence, joins
 from dasyspark.session import scratch_path
 from dasyspark.sources import grids
-from registry.core import CELLS, ELEMENTS, FINE_GRID, LEVEL, cell_sql, cells, elements, fine_grid, lat_of, lat_sql, lon_of, lon_sql
+from registry.core import CELLS, ELEMENTS, FINE_GRID, LEVEL, cell_sql, cells, elements, fine_grid
 from registry.core import num, query, table, with_ctes
 from registry.space import AREAS, _haversine_sql
 

@@ -11,7 +11,7 @@ from dasyspark.operators import fit as FIT
 from dasyspark.operators import graph as G
 from dasyspark.plans.disaggregate import disaggregate
 from dasyspark.session import materialize
-from registry.core import CELLS, COARSE, HEXCELLS, LEVEL, MID, cells, hexcells, lat_of, lon_of, nations, parent_sql, query, table, totals
+from registry.core import CELLS, COARSE, HEXCELLS, LEVEL, MID, cells, hexcells, nations, parent_sql, query, table, totals
 from registry.core import TOTALS, axial_sql_neighbors, num, with_ctes
 from registry.space import _haversine_sql
 

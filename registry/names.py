@@ -1,7 +1,5 @@
 """Names, numbers, scalar helpers, settings and readers of published tables."""
 
-import math
-
 from pyspark.sql import functions as F
 
 from dasyspark import config as C

@@ -3,12 +3,11 @@
 from pyspark.sql import functions as F
 
 from dasyspark.functions import hexgrid
-from dasyspark.functions.names import slug
 from dasyspark.operators import explain, publish
 from dasyspark.operators import graph as G
 from dasyspark.session import materialize, scratch_path
 from dasyspark.sources import sinks
-from registry.core import ALLOCATED, CELLS, HEXCELLS, LEVEL, RANKED, TOTALS, allocated, axial_sql_neighbors, cell_sql, cells, hexcells
+from registry.core import ALLOCATED, CELLS, HEXCELLS, LEVEL, RANKED, TOTALS, allocated, cell_sql, cells, hexcells
 from registry.core import nations, parent_sql, query, ranked, table, with_ctes
 from registry.learning import FEATURES, Z, _EDGES, featured
 from registry.space import _haversine_sql
