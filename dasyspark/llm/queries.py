@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dasyspark.llm import langid, packing, tokens, toxicity, url_filter
+from dasyspark.llm import langid, packing, partenum, tokens, toxicity, url_filter
 from dasyspark.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,36 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf, "doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
     model = toxicity.fit(docs.where("NOT held_out"), spark.read.parquet(f"{sf}/labels.parquet"))
     return toxicity.score(docs, model).drop("text")
+
+
+# ------------------------------------------------------ n-gram Jaccard join
+
+SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x20\\x09-\\x0D]+')"
+)
+
+
+def jaccard_sql(source: str, width: int, num: int, den: int) -> str:
+    """Common table expressions ending in ``comp`` (doc_id, n_shingles, component_id)."""
+    gram = " || ' ' || ".join(f"ws[i + {j}]" for j in range(width))
+    return f"""
+w AS (SELECT doc_id, {SQL_WORDS} AS ws FROM {source}),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - {width} + 2), lambda i: {gram})) END AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id
+  AND {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))),
+reach AS (SELECT a AS doc_id, a AS root FROM links UNION
+  SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.doc_id),
+comp AS (SELECT s.doc_id, len(sh) AS n_shingles, coalesce(min(root), s.doc_id) AS component_id
+  FROM s LEFT JOIN reach USING (doc_id) GROUP BY s.doc_id, sh)"""
+
+
+@query(
+    "op4_partenum_jaccard",
+    f"WITH RECURSIVE {jaccard_sql('documents', 3, 90, 100)} SELECT doc_id, n_shingles, component_id FROM comp",
+)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return partenum.jaccard_components(documents(spark, sf), width=3, num=90, den=100)
