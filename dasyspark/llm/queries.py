@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dasyspark.llm import langid, packing, partenum, tokens, toxicity, url_filter
+from dasyspark.llm import langid, packing, partenum, suffix_dedup, tokens, toxicity, url_filter
 from dasyspark.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,34 @@ comp AS (SELECT s.doc_id, len(sh) AS n_shingles, coalesce(min(root), s.doc_id) A
 )
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return partenum.jaccard_components(documents(spark, sf), width=3, num=90, den=100)
+
+
+# ------------------------------------------------------ suffix-array dedup
+
+# Windows as hex, so that each engine cuts at byte limits.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 200)) AS h
+  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS p FROM d WHERE length(x) >= 200)),
+r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1),
+e AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM r),
+runs AS (SELECT doc_id, p, count(*) FILTER (WHERE gap IS NULL OR gap > 100) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM e),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY doc_id, run),
+s AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS stop,
+  string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM s JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head || substr(x, 2 * stop + 1), x))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+
+@query("op2_suffix_array_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(documents(spark, sf, "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
