@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], s
 
 def pieces(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``text`` holds about so many bytes at most (single rows may hold more)."""
-    sizes = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
     total = np.cumsum(np.nan_to_num(sizes.astype(float)))
     start = 0
     while start < batch.num_rows:
