@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dasyspark.llm import langid, packing, partenum, suffix_dedup, tokens, toxicity, url_filter
+from dasyspark.llm import bottomk, langid, outliers, packing, partenum, suffix_dedup, tokens, toxicity, url_filter
 from dasyspark.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,9 @@ def sql_fold(key: str, modulus: int) -> str:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(documents(spark, sf), tokens.byte_bpe(public_tokenizers.path("byte_bpe_50k.json")))
+    # The ranks of byte_bpe_50k.json, in the form that encodes fastest.
+    encoder = tokens.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(documents(spark, sf), encoder)
 
 
 # ------------------------------------------------------------- url filter
@@ -194,3 +196,26 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+# ---------------------------------------------------------- quality rules
+
+
+@query("op1_robust_outliers")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return outliers.judge(documents(spark, sf))
+
+
+# ------------------------------------------------------------ fingerprints
+
+
+@query("op9_bottom_k")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    made = bottomk.fingerprints_with_edits(documents(spark, sf))
+    return made.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        bottomk.as_text(F.col("sketch")).alias("fingerprint"),
+        bottomk.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+        bottomk.distinct_shingles(F.col("sketch")).alias("distinct_shingles"),
+        bottomk.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
+    )

@@ -1,51 +1,26 @@
-"""Token ids of the public byte-level BPE, with a cache of space-delimited chunks."""
+"""Token ids of a public byte-level BPE from its rank file."""
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 
-CACHE = 200_000
 
+def byte_bpe(path: str, pattern: str) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
+    """A maker of encoders (texts to id arrays) from a file of ranks and the splitting pattern.
 
-def byte_bpe(path: str) -> Callable[[], Callable[[list[str]], list]]:
-    """A maker of encoders (texts to id arrays) for the ``tokenizers`` file at ``path``.
-
-    The splitting pattern of this vocabulary always starts a new piece at a space
-    that follows no other space, so a text is encoded chunk by chunk and chunks
-    seen before come from a bounded cache. Texts with two spaces in a row are
-    encoded whole. Strings of special tokens count as ordinary text.
+    Ranks and the JSON form of the same vocabulary give the same ids; this form is
+    several times faster. Strings of special tokens count as ordinary text.
     """
 
     def make():
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        cache: dict[str, tuple] = {}
-
-        def ids_of(texts: list[str]) -> list[list[int]]:
-            return [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-        def encode(texts: list[str]) -> list[np.ndarray]:
-            nonlocal cache
-            if len(cache) > CACHE:
-                cache = {}
-            cut = [None if "  " in t or not t else t.split(" ") for t in texts]
-            # A leading space belongs to its chunk; the first chunk of a text has none.
-            for chunks in cut:
-                if chunks:
-                    chunks[1:] = [" " + c for c in chunks[1:]]
-            new = list({c for chunks in cut if chunks for c in chunks if c not in cache})
-            cache.update(zip(new, map(tuple, ids_of(new)), strict=True))
-            out = []
-            for text, chunks in zip(texts, cut, strict=True):
-                found = ids_of([text])[0] if chunks is None else chain.from_iterable(map(cache.__getitem__, chunks))
-                out.append(np.fromiter(found, np.uint32))
-            return out
-
-        return encode
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        known = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [np.asarray(known.encode_to_numpy(t), np.uint32) for t in texts]
 
     return make
