@@ -10,6 +10,9 @@ from dasyspark.session import materialize
 STAGES = [
     ("language_id", stages.language_id),
     ("toxicity", stages.toxicity),
+    ("ngram_jaccard_join", stages.near_duplicates),
+    ("suffix_array_dedup", stages.suffix_array),
+    ("packing", stages.pack),
 ]
 
 # The toxicity model and the tokenizer have no SQL form; tests compare with a plain version.

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dasyspark.llm import bottomk, langid, outliers, packing, partenum, suffix_dedup, tokens, toxicity, url_filter
+from dasyspark.llm import (
+    bottomk,
+    brown_lm,
+    gumbel_pieces,
+    langid,
+    outliers,
+    packing,
+    partenum,
+    suffix_dedup,
+    tokens,
+    toxicity,
+    url_filter,
+)
 from dasyspark.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,3 +231,23 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
         bottomk.distinct_shingles(F.col("sketch")).alias("distinct_shingles"),
         bottomk.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
     )
+
+
+# ------------------------------------------------------------- LM scoring
+
+
+@query("op3_brown_classes")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf, "doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
+    model, counts = brown_lm.fit(docs.where("NOT held_out"))
+    return brown_lm.score(docs, model, counts)
+
+
+# ------------------------------------------------- sampled segmentations
+
+
+@query("op7_gumbel_segmentations")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return gumbel_pieces.sample_segmentations(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
