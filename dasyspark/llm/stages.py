@@ -15,18 +15,18 @@ from dasyspark.session import materialize
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a learned language; those without letters, or with hardly any likeness to all, go."""
     profiles = langid.fit_profiles(docs.where(fold(F.col("doc_id"), 5) != 0))
-    judged = langid.identify(docs.withColumnsRenamed({c: f"doc.{c}" for c in docs.columns if c != "text"}), profiles)
+    judged = langid.identify(docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns if c != "text"}), profiles)
     kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0.02))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({f"doc.{c}": c for c in docs.columns}).select(*docs.columns)
+    return kept.drop("lang_pred", "score").withColumnsRenamed({f"_in_{c}": c for c in docs.columns}).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier, learnt from the labels of what is left, calls toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxic.fit(docs.where(fold(F.col("doc_id"), 5) != 0), labels)
-    judged = toxic.score(docs.withColumnsRenamed({c: f"doc.{c}" for c in docs.columns if c != "text"}), model)
+    judged = toxic.score(docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns if c != "text"}), model)
     kept = judged.where("predicted = 0")
-    return kept.drop("score", "predicted").withColumnsRenamed({f"doc.{c}": c for c in docs.columns}).select(*docs.columns)
+    return kept.drop("score", "predicted").withColumnsRenamed({f"_in_{c}": c for c in docs.columns}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Documents stay, also those with nothing left.
     """
-    names = {c: f"doc.{c}" for c in docs.columns if c not in ("doc_id", "text")}
+    names = {c: f"_in_{c}" for c in docs.columns if c not in ("doc_id", "text")}
     cut = suffix_dedup.remove_repeats(docs.withColumnsRenamed(names)).drop("text", "spans")
     at = cut.columns.index("kept")
 
