@@ -98,12 +98,13 @@ def with_next_text(docs: DataFrame, extra: dict[str, Column], lead: list[str]) -
     parts = min(MOST_SPLITS, buckets)
     low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
     cuts = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    edges = [low, *sorted({int(c) for c in cuts} - {low}), high + 1]
+    edges = [low, *sorted({int(c) for c in cuts if low < c <= high}), min(high + 1, 2**63 - 1)]
     fine = -(-buckets // (len(edges) - 1))
     lows, highs = (F.array(*(F.lit(e).cast("long") for e in x)) for x in (edges[:-1], edges[1:]))
     at = F.size(F.filter(lows, lambda e: e <= F.col("doc_id"))) - 1
     start, end = F.get(lows, at), F.get(highs, at)
-    share = (F.col("doc_id") - start).cast("double") / (end - start).cast("double")
+    begin = start.cast("double")
+    share = (F.col("doc_id").cast("double") - begin) / F.greatest(end.cast("double") - begin, F.lit(1.0))
     bucket = at * fine + F.least(F.lit(fine - 1), F.floor(share * fine)).cast("int")
 
     # The largest id of each range visits the range above; the largest of all visits the lowest range.

@@ -31,6 +31,7 @@ from dasyspark.llm.common import mix, pieces
 
 CHUNK = re.compile(" *[^ ]+| +")
 MOST_CHUNKS = 150_000
+TINY = 1e-12
 
 
 class Vocabulary:
@@ -312,11 +313,13 @@ def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
                 continue
             before = np.concatenate(([0.0], np.cumsum(own)[:-1]))
             with np.errstate(divide="ignore"):
-                rest = before + np.log(np.maximum(0.0, -np.expm1(own)))
+                # A rest within rounding of nothing is nothing.
+                left = -np.expm1(own)
+                rest = before + np.log(np.where(left > TINY, left, 0.0))
                 if sequence >= 0:
                     # The rest of the opened region at its own chunk: without everything drawn there so far.
                     taken = np.exp(own[where]) + sum(np.exp(_logp_of(lattices, int(row.chunks[where]), x)) for x in known)
-                    rest[where] = before[where] + np.log(max(0.0, 1.0 - taken)) if taken < 1 - 1e-12 else -np.inf
+                    rest[where] = before[where] + np.log(max(0.0, 1.0 - taken)) if taken < 1 - TINY else -np.inf
                     row.push(rest[where:], -g, number, where, known)
                 else:
                     row.push(rest, -g, number, 0, [])

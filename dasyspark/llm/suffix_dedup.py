@@ -294,7 +294,8 @@ def _sorter(length: int):
         held = list(batches)
         if not held:
             return
-        pdf = pd.concat(held, ignore_index=True)
+        # Rows that repeat a doc_id send their segments again.
+        pdf = pd.concat(held, ignore_index=True).drop_duplicates(["doc_id", "low"], ignore_index=True)
         if not len(pdf):
             return
         marks = shared_windows(
@@ -353,7 +354,6 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     held = pairs.select("doc_id", "text", "ranges").mapInArrow(
         fetch, "doc_id long, low long, width int, anchor int, segment binary"
     )
-    # One record per place: rows that repeat a doc_id send their segments twice.
     lead = F.expr(f"substring(segment, anchor + 1, {GRAM})")
     buckets = shuffle_partitions(spark)
     found = materialize(
@@ -371,9 +371,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     earlier: in a document of smaller doc_id, or before in the same one. Texts are
     taken as UTF-8; a null one is empty. A doc_id names one text: rows that repeat
     both are one document and get the same result. Rows without a doc_id are kept
-    whole and not searched. ``kept`` and ``spans`` replace columns of these names.
+    whole and not searched. ``kept`` and ``spans`` replace columns of these names;
+    ``_id`` and ``_ranges`` are dropped.
     """
-    docs = docs.drop("kept", "spans")
+    docs = docs.drop("kept", "spans", "_id", "_ranges")
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )

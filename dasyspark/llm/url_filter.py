@@ -207,9 +207,10 @@ def filter_urls(
     path unless ``key`` is given) belongs to the block list; a key is listed if
     any row says so. Rules go before the list. Null urls have an empty host and
     path; they are judged like the empty key. Columns of the same names as the
-    added ones are replaced. An empty table stays empty.
+    added ones are replaced, and ``shard``, ``salt``, ``rule_verdict`` and ``_key``
+    dropped. An empty table stays empty.
     """
-    parts = pages.drop("host", "path", "rule", "listed", "verdict").withColumns(
+    parts = pages.drop("host", "path", "rule", "listed", "verdict", "rule_verdict", "shard", "salt", "_key").withColumns(
         {"host": host_of(F.col(url)), "path": path_of(F.col(url))}
     )
     whole = F.concat("host", "path") if key is None else key
