@@ -31,7 +31,7 @@ from dasyspark.llm.common import mix, pieces
 
 CHUNK = re.compile(" *[^ ]+| +")
 MOST_CHUNKS = 150_000
-TINY = 1e-12
+TINY = 1e-16  # mass of what is left but lost in rounding
 
 
 class Vocabulary:
@@ -87,6 +87,7 @@ class Lattices:
         self._pred: list[int] = []
         self._piece: list[int] = []
         self._weight: list[float] = []
+        self._ways: list[float] = []  # of a node: number of paths that reach it
         self.nodes = 0
         self.arrays = None
 
@@ -111,6 +112,7 @@ class Lattices:
                     at = n + len(extra)
                 incoming[i + 1].append((at, v.bytes[coded[-1]], v.byte_weight))
         total = np.zeros(n + 1 + len(extra)).tolist()
+        ways = np.ones(n + 1 + len(extra)).tolist()
         for j in range(1, n + 1):
             # Inner nodes of the character before j have one way in.
             for at, _, _ in incoming[j]:
@@ -123,12 +125,13 @@ class Lattices:
                     run = total[chain]
                     for inner in reversed(path):
                         run += extra[inner - n - 1][2]
-                        total[inner] = run
+                        total[inner], ways[inner] = run, ways[chain]
             edges = incoming[j]
             scores = [total[a] + w for a, _, w in edges]
             top = max(scores)
             whole = sum([2.718281828459045 ** (s - top) for s in scores])
             total[j] = top + float(np.log(whole)) if len(edges) > 1 else top
+            ways[j] = sum([ways[a] for a, _, _ in edges])
             run = 0.0
             for (a, piece, w), s in zip(edges, scores, strict=True):
                 run += 2.718281828459045 ** (s - top)
@@ -147,6 +150,7 @@ class Lattices:
         self.start.append(base)
         self.end.append(base + n)
         self.mass.append(total[n])
+        self._ways += ways
         self.nodes += n + 1 + len(extra)
         self.arrays = None
         return number
@@ -156,6 +160,7 @@ class Lattices:
             self.arrays = (
                 np.array(self._keys), np.array(self._pred, np.int64), np.array(self._piece, np.int32),
                 np.array(self._weight), np.array(self.start, np.int64), np.array(self.end, np.int64), np.array(self.mass),
+                np.array(self._ways),
             )
         return self.arrays
 
@@ -170,7 +175,7 @@ def uniform(seed: np.ndarray, *counters) -> np.ndarray:
 
 def draw(lattices: Lattices, chunk: np.ndarray, seed: np.ndarray, place: np.ndarray, round_: int):
     """A segmentation of each chunk, drawn by its probability: (token, step, piece) of all pieces from the end, and log probabilities."""
-    keys, pred, piece, weight, start, end, mass = lattices.ready()
+    keys, pred, piece, weight, start, end, mass, _ = lattices.ready()
     cur, token = end[chunk], np.arange(len(chunk))
     logp = -mass[chunk]
     out = []
@@ -190,7 +195,7 @@ def draw(lattices: Lattices, chunk: np.ndarray, seed: np.ndarray, place: np.ndar
 
 def draw_other(lattices: Lattices, chunk: int, known: list[tuple], seed: np.uint64, place: int, round_: int):
     """A segmentation of one chunk other than the known ones (tuples of pieces), and its log probability."""
-    keys, pred, piece, weight, start, end, mass = lattices.ready()
+    keys, pred, piece, weight, start, end, mass, ways = lattices.ready()
     cur, goal = int(end[chunk]), int(start[chunk])
     path: list[int] = []
     logp = -float(mass[chunk])
@@ -215,8 +220,10 @@ def draw_other(lattices: Lattices, chunk: int, known: list[tuple], seed: np.uint
         room = []
         for e in range(a, b):
             p = keys[e] - (keys[e - 1] if e > a else cur)
-            gone = sum(chance(x[1:], int(pred[e])) for x in live if x and x[0] == piece[e])
-            room.append(max(0.0, p * (1.0 - gone)))
+            taken = [x[1:] for x in live if x and x[0] == piece[e]]
+            gone = sum(chance(x, int(pred[e])) for x in taken)
+            # Counting says whether anything is left; its mass may be below rounding.
+            room.append(p * max(TINY, 1.0 - gone) if ways[pred[e]] > len(taken) else 0.0)
         at = float(uniform(np.uint64([seed]), place, round_, step)[0]) * sum(room)
         e = a + min(int(np.searchsorted(np.cumsum(room), at, side="right")), len(room) - 1)
         while room[e - a] == 0.0 and e > a:
@@ -313,13 +320,12 @@ def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
                 continue
             before = np.concatenate(([0.0], np.cumsum(own)[:-1]))
             with np.errstate(divide="ignore"):
-                # A rest within rounding of nothing is nothing.
-                left = -np.expm1(own)
-                rest = before + np.log(np.where(left > TINY, left, 0.0))
+                ways = lattices.ready()[7][lattices.ready()[5][row.chunks]]
+                rest = before + np.log(np.where(ways > 1, np.maximum(TINY, -np.expm1(own)), 0.0))
                 if sequence >= 0:
                     # The rest of the opened region at its own chunk: without everything drawn there so far.
                     taken = np.exp(own[where]) + sum(np.exp(_logp_of(lattices, int(row.chunks[where]), x)) for x in known)
-                    rest[where] = before[where] + np.log(max(0.0, 1.0 - taken)) if taken < 1 - TINY else -np.inf
+                    rest[where] = before[where] + np.log(max(TINY, 1.0 - taken)) if ways[where] > len(known) + 1 else -np.inf
                     row.push(rest[where:], -g, number, where, known)
                 else:
                     row.push(rest, -g, number, 0, [])
