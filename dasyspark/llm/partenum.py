@@ -284,6 +284,8 @@ def link_candidates(candidates: DataFrame, docs: DataFrame, width: int, num: int
         {"ask": F.lit(True), "label": F.col("node"), "block": F.lit(0)}
     )
     large = sets.where(F.col("size") > BLOCK)
+    if not placed.where(F.col("size") > BLOCK).limit(1).count():
+        return materialize(verify(small, ["root", "block"], num, den), "links")
     # Large groups: the most frequent member of each of some slots against blocks of all.
     hubs = (
         placed.where(F.col("size") > BLOCK).groupBy("root", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot"))

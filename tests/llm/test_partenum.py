@@ -82,7 +82,9 @@ def test_odd_rows(odd, nothing):
     assert P.jaccard_components(nothing).count() == 0
 
 
-def test_connected_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("per_task", [400_000, 60, 7])
+def test_connected_components_of_paths_stars_and_loops(spark, monkeypatch, per_task):
+    monkeypatch.setattr("dasyspark.llm.components.EDGES_PER_TASK", per_task)
     rng = np.random.default_rng(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(5, 5), (1, 2), (2, 1), (1, 2)]
     edges += [(int(a), int(b)) for a, b in rng.integers(1000, 1200, (90, 2))]
