@@ -31,6 +31,7 @@ from dasyspark.session import materialize
 
 LENGTH, GRAM = 100, 24
 SEGMENTS_PER_BUCKET = 500_000
+PIECE = 500_000  # bytes worked on at a time, by some twenty arrays of eight bytes each
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = 0x5851F42D4C957F2D
@@ -39,7 +40,7 @@ _UNSTEP = pow(_STEP, -1, 2**64)
 
 def _powers(base: int, n: int, held: dict = {}) -> np.ndarray:  # noqa: B006  kept between calls
     if len(held.get(base, ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         made = np.full(size, base, np.uint64)
         made[0] = 1
         held[base] = np.multiply.accumulate(made)
@@ -50,11 +51,12 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes at every position that has so many after it."""
     if len(buf) < GRAM:
         return np.empty(0, np.uint64)
-    h = {1: _BYTES[buf]}
-    for n in (1, 2, 4, 8):
-        h[2 * n] = h[n][:-n] * np.uint64(pow(_STEP, n, 2**64)) + h[n][n:]
-    whole = h[16][: len(buf) - GRAM + 1] * np.uint64(pow(_STEP, 8, 2**64)) + h[8][16 : 16 + len(buf) - GRAM + 1]
-    return mix(whole)
+    n, h = len(buf) - GRAM + 1, _BYTES[buf]
+    for size in (1, 2, 4):
+        h = h[:-size] * np.uint64(pow(_STEP, size, 2**64)) + h[size:]
+    tail = h[16 : 16 + n]  # bytes 16 to 23 of each gram
+    h = h[:-8] * np.uint64(pow(_STEP, 8, 2**64)) + h[8:]
+    return mix(h[:n] * np.uint64(pow(_STEP, 8, 2**64)) + tail)
 
 
 def segments(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
@@ -117,7 +119,7 @@ def cut_segments(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in pieces(batch, 2_000_000):
+            for part in pieces(batch, PIECE):
                 ids = np.asarray(part.column("doc_id").to_pylist(), np.int64)
                 order = np.argsort(ids, kind="stable")
                 texts = part.column("text").to_pylist()
