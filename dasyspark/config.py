@@ -177,107 +177,131 @@ METROS = (
     ("TG", "Hyderabad metro", ("Hyderabad", "Ranga Reddy", "Medchal Malkajgiri", "Sangareddy")),
 )
 
-# Spellings that fold onto another name, as "canonical: alias, alias". A name
+# Spellings of a unit's name, (territory, spelling, name). A name
 # that only needs title case is not listed: title-casing is the fallback rule.
-UNIT_ALIASES = {
-    "MH": (
-        "Mumbai: mumbai city, mumbai suburban, greater mumbai",
-        "Thane: palghar",
-        "Ahmednagar: ahmadnagar, ahilyanagar",
-        "Chhatrapati Sambhajinagar: aurangabad",
-        "Dharashiv: osmanabad",
-        "Beed: bid",
-        "Buldhana: buldana",
-        "Gondia: gondiya",
-        "Raigad: raigarh",
-    ),
-    "KA": (
-        "Bengaluru Urban: bangalore urban, bangalore, bengaluru",
-        "Ramanagara: bangalore south, bengaluru south",
-        "Bengaluru Rural: bangalore rural",
-        "Belagavi: belgaum",
-        "Ballari: bellary, vijayanagar, vijayanagara",
-        "Vijayapura: bijapur",
-        "Kalaburagi: gulbarga",
-        "Mysuru: mysore",
-        "Tumakuru: tumkur",
-        "Shivamogga: shimoga",
-        "Chikkamagaluru: chikmagalur",
-        "Bagalkote: bagalkot",
-        "Chikkaballapura: chikkaballapur",
-        "Yadgir: yadagiri",
-    ),
-    "TG": (
-        "Bhadradri Kothagudem: bhadradri",
-        "Hanamkonda: hanumakonda, warangal (u), warangal (urban), warangal urban",
-        "Warangal: warangal (r), warangal rural",
-        "Hyderabad: hydrabad",
-        "Jayashankar Bhupalpally: jayashankar",
-        "Jogulamba Gadwal: jogulamba",
-        "Kumuram Bheem Asifabad: kumuram bheem, komaram bheem, asifabad",
-        "Medchal Malkajgiri: medchal, medchal-malkajgiri",
-        "Ranga Reddy: rangareddy",
-        "Yadadri Bhuvanagiri: yadadri, yadadri bhongiri",
-        "Rajanna Sircilla: sircilla",
-    ),
-    "UP": (
-        "Gautam Buddha Nagar: gautambudh nagar, gautambuddha nagar, gb nagar",
-        "Prayagraj: allahabad",
-        "Ayodhya: faizabad",
-        "Sambhal: bhim nagar",
-        "Amroha: jyotiba phule nagar",
-        "Kasganj: kanshiram nagar",
-        "Shamli: samli",
-        "Hapur: panchsheel nagar",
-        "Hathras: mahamaya nagar",
-        "Muzaffarnagar: muzaffar nagar",
-        "Bulandshahr: buland shahar",
-        "Budaun: badaun",
-        "Auraiya: auraiyya",
-        "Barabanki: bara banki",
-        "Rae Bareli: raebareilly",
-        "Lakhimpur Kheri: kheri",
-        "Kushinagar: kushi nagar",
-        "Mahrajganj: maharajganj",
-        "Sant Kabir Nagar: sant kabeer nagar",
-        "Siddharthnagar: siddharth nagar",
-        "Shrawasti: shravasti",
-        "Bhadohi: sant ravidas nagar (bhadohi), sant ravidas nagar",
-    ),
-    "WB": (
-        "North 24 Parganas: north twenty four parganas",
-        "South 24 Parganas: south twenty four parganas",
-        "Howrah: haora",
-        "Hooghly: hugli",
-        "Purba Bardhaman: barddhaman, burdwan",
-        "Purba Medinipur: east midnapore",
-        "Paschim Medinipur: west midnapore",
-        "Cooch Behar: koch bihar",
-        "Darjeeling: darjiling",
-    ),
-    "BR": (
-        "West Champaran: pashchim champaran",
-        "East Champaran: purba champaran",
-        "Kaimur: kaimur (bhabua), bhabua",
-        "Nawada: nawadah, narwada",
-        "Saharsa: sahasra",
-        "Purnia: purnea",
-    ),
-    "DL": (
-        "Delhi: nct of delhi, new delhi, central, central delhi, east, east delhi, north, north delhi, "
-        "north east, north east delhi, north west, north west delhi, south, south delhi, south east, "
-        "south east delhi, south west, south west delhi, west, west delhi, shahdara",
-    ),
-    "RJ": (
-        "Ganganagar: sri ganganagar",
-        "Karauli: karouli",
-        "Sawai Madhopur: s. madhopur",
-        "Chittaurgarh: chittorgarh",
-        "Dhaulpur: dholpur",
-        "Jalor: jalore",
-        "Jhunjhunun: jhunjhunu",
-    ),
-}
+UNIT_ALIASES = (
+    ("MH", "mumbai city", "Mumbai"),
+    ("MH", "mumbai suburban", "Mumbai"),
+    ("MH", "greater mumbai", "Mumbai"),
+    ("MH", "palghar", "Thane"),
+    ("MH", "ahmadnagar", "Ahmednagar"),
+    ("MH", "ahilyanagar", "Ahmednagar"),
+    ("MH", "aurangabad", "Chhatrapati Sambhajinagar"),
+    ("MH", "osmanabad", "Dharashiv"),
+    ("MH", "bid", "Beed"),
+    ("MH", "buldana", "Buldhana"),
+    ("MH", "gondiya", "Gondia"),
+    ("MH", "raigarh", "Raigad"),
+    ("KA", "bangalore urban", "Bengaluru Urban"),
+    ("KA", "bangalore", "Bengaluru Urban"),
+    ("KA", "bengaluru", "Bengaluru Urban"),
+    ("KA", "bangalore south", "Ramanagara"),
+    ("KA", "bengaluru south", "Ramanagara"),
+    ("KA", "bangalore rural", "Bengaluru Rural"),
+    ("KA", "belgaum", "Belagavi"),
+    ("KA", "bellary", "Ballari"),
+    ("KA", "vijayanagar", "Ballari"),
+    ("KA", "vijayanagara", "Ballari"),
+    ("KA", "bijapur", "Vijayapura"),
+    ("KA", "gulbarga", "Kalaburagi"),
+    ("KA", "mysore", "Mysuru"),
+    ("KA", "tumkur", "Tumakuru"),
+    ("KA", "shimoga", "Shivamogga"),
+    ("KA", "chikmagalur", "Chikkamagaluru"),
+    ("KA", "bagalkot", "Bagalkote"),
+    ("KA", "chikkaballapur", "Chikkaballapura"),
+    ("KA", "yadagiri", "Yadgir"),
+    ("TG", "bhadradri", "Bhadradri Kothagudem"),
+    ("TG", "hanumakonda", "Hanamkonda"),
+    ("TG", "warangal (u)", "Hanamkonda"),
+    ("TG", "warangal (urban)", "Hanamkonda"),
+    ("TG", "warangal urban", "Hanamkonda"),
+    ("TG", "warangal (r)", "Warangal"),
+    ("TG", "warangal rural", "Warangal"),
+    ("TG", "hydrabad", "Hyderabad"),
+    ("TG", "jayashankar", "Jayashankar Bhupalpally"),
+    ("TG", "jogulamba", "Jogulamba Gadwal"),
+    ("TG", "kumuram bheem", "Kumuram Bheem Asifabad"),
+    ("TG", "komaram bheem", "Kumuram Bheem Asifabad"),
+    ("TG", "asifabad", "Kumuram Bheem Asifabad"),
+    ("TG", "medchal", "Medchal Malkajgiri"),
+    ("TG", "medchal-malkajgiri", "Medchal Malkajgiri"),
+    ("TG", "rangareddy", "Ranga Reddy"),
+    ("TG", "yadadri", "Yadadri Bhuvanagiri"),
+    ("TG", "yadadri bhongiri", "Yadadri Bhuvanagiri"),
+    ("TG", "sircilla", "Rajanna Sircilla"),
+    ("UP", "gautambudh nagar", "Gautam Buddha Nagar"),
+    ("UP", "gautambuddha nagar", "Gautam Buddha Nagar"),
+    ("UP", "gb nagar", "Gautam Buddha Nagar"),
+    ("UP", "allahabad", "Prayagraj"),
+    ("UP", "faizabad", "Ayodhya"),
+    ("UP", "bhim nagar", "Sambhal"),
+    ("UP", "jyotiba phule nagar", "Amroha"),
+    ("UP", "kanshiram nagar", "Kasganj"),
+    ("UP", "samli", "Shamli"),
+    ("UP", "panchsheel nagar", "Hapur"),
+    ("UP", "mahamaya nagar", "Hathras"),
+    ("UP", "muzaffar nagar", "Muzaffarnagar"),
+    ("UP", "buland shahar", "Bulandshahr"),
+    ("UP", "badaun", "Budaun"),
+    ("UP", "auraiyya", "Auraiya"),
+    ("UP", "bara banki", "Barabanki"),
+    ("UP", "raebareilly", "Rae Bareli"),
+    ("UP", "kheri", "Lakhimpur Kheri"),
+    ("UP", "kushi nagar", "Kushinagar"),
+    ("UP", "maharajganj", "Mahrajganj"),
+    ("UP", "sant kabeer nagar", "Sant Kabir Nagar"),
+    ("UP", "siddharth nagar", "Siddharthnagar"),
+    ("UP", "shravasti", "Shrawasti"),
+    ("UP", "sant ravidas nagar (bhadohi)", "Bhadohi"),
+    ("UP", "sant ravidas nagar", "Bhadohi"),
+    ("WB", "north twenty four parganas", "North 24 Parganas"),
+    ("WB", "south twenty four parganas", "South 24 Parganas"),
+    ("WB", "haora", "Howrah"),
+    ("WB", "hugli", "Hooghly"),
+    ("WB", "barddhaman", "Purba Bardhaman"),
+    ("WB", "burdwan", "Purba Bardhaman"),
+    ("WB", "east midnapore", "Purba Medinipur"),
+    ("WB", "west midnapore", "Paschim Medinipur"),
+    ("WB", "koch bihar", "Cooch Behar"),
+    ("WB", "darjiling", "Darjeeling"),
+    ("BR", "pashchim champaran", "West Champaran"),
+    ("BR", "purba champaran", "East Champaran"),
+    ("BR", "kaimur (bhabua)", "Kaimur"),
+    ("BR", "bhabua", "Kaimur"),
+    ("BR", "nawadah", "Nawada"),
+    ("BR", "narwada", "Nawada"),
+    ("BR", "sahasra", "Saharsa"),
+    ("BR", "purnea", "Purnia"),
+    ("DL", "nct of delhi", "Delhi"),
+    ("DL", "new delhi", "Delhi"),
+    ("DL", "central", "Delhi"),
+    ("DL", "central delhi", "Delhi"),
+    ("DL", "east", "Delhi"),
+    ("DL", "east delhi", "Delhi"),
+    ("DL", "north", "Delhi"),
+    ("DL", "north delhi", "Delhi"),
+    ("DL", "north east", "Delhi"),
+    ("DL", "north east delhi", "Delhi"),
+    ("DL", "north west", "Delhi"),
+    ("DL", "north west delhi", "Delhi"),
+    ("DL", "south", "Delhi"),
+    ("DL", "south delhi", "Delhi"),
+    ("DL", "south east", "Delhi"),
+    ("DL", "south east delhi", "Delhi"),
+    ("DL", "south west", "Delhi"),
+    ("DL", "south west delhi", "Delhi"),
+    ("DL", "west", "Delhi"),
+    ("DL", "west delhi", "Delhi"),
+    ("DL", "shahdara", "Delhi"),
+    ("RJ", "sri ganganagar", "Ganganagar"),
+    ("RJ", "karouli", "Karauli"),
+    ("RJ", "s. madhopur", "Sawai Madhopur"),
+    ("RJ", "chittorgarh", "Chittaurgarh"),
+    ("RJ", "dholpur", "Dhaulpur"),
+    ("RJ", "jalore", "Jalor"),
+    ("RJ", "jhunjhunu", "Jhunjhunun"),
+)
 
 # --------------------------------------------------------------------------
 # The same settings as DataFrames
@@ -315,13 +339,7 @@ def total_source_table(spark: SparkSession) -> DataFrame:
 
 
 def alias_table(spark: SparkSession) -> DataFrame:
-    rows = [
-        (code, alias.strip(), line.split(":", 1)[0])
-        for code, lines in UNIT_ALIASES.items()
-        for line in lines
-        for alias in line.split(":", 1)[1].split(",")
-    ]
-    return spark.createDataFrame(rows, "code string, alias string, canonical string")
+    return spark.createDataFrame(list(UNIT_ALIASES), "code string, alias string, canonical string")
 
 
 def metro_table(spark: SparkSession) -> DataFrame:

@@ -68,16 +68,18 @@ def alias_key(col: Column) -> Column:
     return collapse_spaces(F.regexp_replace(fold_name(col), r"[#$*+]+", ""))
 
 
-def norm_unit_name(df: DataFrame, name: str, aliases: DataFrame, out: str = "unit") -> DataFrame:
-    """Canonical unit name: alias hit, else title case.
+def norm_unit_name(df: DataFrame, name: str, aliases: DataFrame, out: str = "unit", code: str = "code") -> DataFrame:
+    """Canonical unit name: alias hit within the territory ``code``, else title case.
 
-    ``aliases`` has unique ``alias`` and ``canonical``; its size on disk or in
-    memory decides whether Spark broadcasts it.
+    ``aliases`` has unique (``code``, ``alias``) and ``canonical``, those of a single
+    territory no ``code``; its size on disk or in memory decides whether Spark
+    broadcasts it.
     """
     keyed = df.withColumn("_alias", alias_key(F.col(name)))
-    hits = aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical"))
+    codes = [code] if "code" in aliases.columns else []
+    hits = aliases.select(*[F.col("code").alias(c) for c in codes], F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical"))
     return (
-        keyed.join(hits, "_alias", "left")
+        keyed.join(hits, [*codes, "_alias"], "left")
         .withColumn(out, F.coalesce("_canonical", title_case(F.col("_alias"))))
         .drop("_alias", "_canonical")
     )

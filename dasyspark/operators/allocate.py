@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dasyspark import config as C
 from dasyspark.functions.numbers import bucket_quintile, inr_to_crore, per_capita
-from dasyspark.operators.joins import attach
+from dasyspark.operators.joins import attach, unique_totals, unit_key
 from dasyspark.operators.ranks import wealth_index
 
 
@@ -18,12 +18,13 @@ def unit_sums(cells: DataFrame, by: Sequence[str], weight: Column, out: str = "u
 
 
 def unit_factors(
-    cells: DataFrame, totals: DataFrame, intensity: str = "intensity_raw", by: Sequence[str] = ("unit",)
+    cells: DataFrame, totals: DataFrame, intensity: str = "intensity_raw", by: Sequence[str] | None = None
 ) -> DataFrame:
     """One scale per unit: published total over the raw sum of its cells."""
+    by = by or unit_key(cells, totals)
     raw = unit_sums(cells, by, F.col(intensity) * F.col("population"))
-    known = totals.select(*[c for c in by if c in totals.columns], "y_inr")
-    joined = raw.join(known, [c for c in by if c in totals.columns])
+    keys = [c for c in by if c in totals.columns]
+    joined = raw.join(unique_totals(totals.select(*keys, "y_inr"), keys), keys)
     scale = F.col("y_inr") / F.greatest(F.col("unit_sum_raw"), F.lit(C.SCALE_EPS))
     return joined.withColumn("dasymetric_scale", scale)
 
@@ -32,16 +33,18 @@ def dasymetric_allocate(
     cells: DataFrame,
     totals: DataFrame,
     intensity: str = "intensity_raw",
-    by: Sequence[str] = ("unit",),
+    by: Sequence[str] | None = None,
     units: DataFrame | None = None,
     copies: int = 1,
 ) -> DataFrame:
     """Allocate ``y_inr`` of each unit in proportion to intensity x population.
 
-    ``units`` is the dimension the unit keys come from; its size decides
+    ``by`` names a unit, by default ``unit_key``: names alone may occur in several territories. A key with
+    two totals raises. ``units`` is the dimension the unit keys come from; its size decides
     whether the per-unit factors, ``copies`` for each unit, are broadcast (see
     ``attach``).
     """
+    by = by or unit_key(cells, totals)
     factors = unit_factors(cells, totals, intensity, by).select(*by, "y_inr", "dasymetric_scale")
     raw = F.col(intensity) * F.col("population")
     gdp = raw * F.col("dasymetric_scale")
@@ -85,16 +88,16 @@ def ensemble_allocate(
 
     ``runs``: cell, seed, unit, population, state, intensity_raw.
     """
-    per_seed = dasymetric_allocate(runs, totals, by=("seed", "unit"), units=units, copies=n_seeds)
+    per_seed = dasymetric_allocate(runs, totals, by=("seed", *unit_key(runs, totals)), units=units, copies=n_seeds)
     per_seed = wealth_index(per_seed, ("seed", "state"))
     stats = ensemble_stats(per_seed)
     central = cells.join(stats, "cell").withColumn("intensity_raw", F.col("intensity_raw_mean"))
     return ranked_wealth(dasymetric_allocate(central, totals, units=units))
 
 
-def log_loss(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def log_loss(cells: DataFrame, by: Sequence[str] = (), unit: Sequence[str] | None = None) -> DataFrame:
     """Mean squared log10 gap between raw unit sums and published totals."""
-    units = cells.groupBy("unit", *by).agg(
+    units = cells.groupBy(*dict.fromkeys((*(unit or unit_key(cells)), *by))).agg(
         F.sum(F.col("intensity_raw") * F.col("population")).alias("_hat"), F.max("y_inr").alias("_y")
     )
     gap = F.log10(F.col("_hat") + F.lit(C.LOG_EPS)) - F.log10(F.col("_y") + F.lit(C.LOG_EPS))
@@ -108,9 +111,9 @@ def floor_penalty(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def reconstruction_error(cells: DataFrame) -> DataFrame:
+def reconstruction_error(cells: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     """Relative gap per unit between the allocated sum and the published total."""
-    units = cells.groupBy("unit").agg(F.sum("gdp_inr").alias("allocated"), F.max("y_inr").alias("y_inr"))
+    units = cells.groupBy(*(by or unit_key(cells))).agg(F.sum("gdp_inr").alias("allocated"), F.max("y_inr").alias("y_inr"))
     return units.withColumn("rel_error", F.abs(F.col("allocated") - F.col("y_inr")) / F.col("y_inr"))
 
 

@@ -43,8 +43,7 @@ def evaluation_report(
     losses = ablation(featured, totals, features, epochs, seed, lr=lr)
     report = report.unionByName(losses.select(F.lit("ablation").alias("section"), F.col("tag").alias("item"), F.col("log_loss").alias("value")))
     held = spatial_holdout(featured, totals, features, epochs, seed, lr)
-    if held is not None:
-        report = report.unionByName(
-            held.select(F.lit("holdout").alias("section"), F.lit("mape").alias("item"), F.col("holdout_mape").alias("value"))
-        )
-    return report
+    state = F.col("state").cast("string")
+    shown = F.when(F.col("skipped"), F.concat_ws(" ", F.lit("skipped, units of"), state)).otherwise(F.concat_ws(" ", F.lit("mape"), state))
+    value = F.when(F.col("skipped"), F.col("n_units")).otherwise(F.col("holdout_mape"))
+    return report.unionByName(held.select(F.lit("holdout").alias("section"), shown.alias("item"), value.alias("value")))

@@ -27,13 +27,13 @@ def filter_finer_than_grid(grid: DataFrame, level: int, h3: str = "h3") -> DataF
     return grid.where(F.col(h3).isNotNull() & (h3id.cell_resolution(F.col(h3)) >= level))
 
 
-def assert_single_resolution(grid: DataFrame, h3: str = "h3", sample: int = 32) -> int:
-    """The one resolution shared by the first ``sample`` ids; mixed ids raise."""
-    head = grid.where(F.col(h3).isNotNull()).limit(sample)
-    found = [r[0] for r in head.select(h3id.cell_resolution(F.col(h3))).distinct().collect()]
-    if len(found) != 1:
-        raise ValueError(f"ids have mixed or no resolution: {sorted(found)}")
-    return found[0]
+def assert_single_resolution(grid: DataFrame, h3: str = "h3") -> int:
+    """The one resolution that all ids share; mixed ids anywhere in the table raise."""
+    resolution = h3id.cell_resolution(F.col(h3))
+    low, high = grid.where(F.col(h3).isNotNull()).agg(F.min(resolution), F.max(resolution)).first()
+    if low is None or low != high:
+        raise ValueError(f"ids have mixed or no resolution: {low} to {high}")
+    return low
 
 
 def rollup_population(children: DataFrame, parent: str = "parent", value: str = "population") -> DataFrame:

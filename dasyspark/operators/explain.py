@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dasyspark.operators.joins import attach
+from dasyspark.operators.joins import attach, unit_key
 from dasyspark.operators.ranks import exact_quantiles
 
 
@@ -60,8 +60,8 @@ def neighbor_profile(cells: DataFrame, edges: DataFrame, attributes: Sequence[st
     return rows.groupBy(F.col("src").alias("cell")).agg(listed.alias("neighbors"))
 
 
-def unit_context(cells: DataFrame, by: Sequence[str] = ("unit",)) -> DataFrame:
-    return cells.groupBy(*by).agg(
+def unit_context(cells: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    return cells.groupBy(*(by or unit_key(cells))).agg(
         F.count(F.lit(1)).alias("n_cells"), F.max("y_inr").alias("y_inr"),
         F.sum("gdp_inr_raw").alias("unit_sum_raw"), F.max("dasymetric_scale").alias("dasymetric_scale"),
         F.sum("population").alias("population"), F.sum("gdp_inr").alias("gdp_inr_after_scale"),
@@ -77,8 +77,9 @@ def cell_dossier(
     unusual = top_features(rows, features)
     best = unusual.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "z"))).alias("top"))
     context = unit_context(cells)
-    context = context.select("unit", F.struct(*[c for c in context.columns if c != "unit"]).alias("unit_context"))
-    full = attach(rows, context, "unit", "left", units)
+    facts = [c for c in context.columns if c not in unit_key(cells)]
+    context = context.select(*unit_key(cells), F.struct(*facts).alias("unit_context"))
+    full = attach(rows, context, unit_key(cells), "left", units)
     full = full.join(neighbor_profile(cells, edges, attributes, chosen), "cell", "left").join(best, "cell", "left")
     body = F.struct(
         "unit", F.struct(*attributes).alias("inputs"), F.struct(*features).alias("features_z"), "neighbors",

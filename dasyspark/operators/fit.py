@@ -14,13 +14,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dasyspark import config as C
 from dasyspark.functions.numbers import softplus
-from dasyspark.operators.allocate import log_loss, mape
-from dasyspark.operators.joins import attach
+from dasyspark.operators.allocate import log_loss
+from dasyspark.operators.joins import UNIT_KEY, attach
 
 FLUSH_UNITS = 2_000
 
@@ -135,6 +135,13 @@ def _epoch(
     return l_agg, l_floor, grad
 
 
+def keyed(df: DataFrame, other: DataFrame) -> DataFrame:
+    """``unit`` as one text that also names the territory, where both tables have one."""
+    if not set(UNIT_KEY) <= set(df.columns) & set(other.columns):
+        return df
+    return df.withColumn("unit", F.to_json(F.struct(*UNIT_KEY)))
+
+
 def fit_intensity(
     cells: DataFrame,
     totals: DataFrame,
@@ -150,6 +157,7 @@ def fit_intensity(
     y_inr and optionally a boolean ``train``. All seeds share each scan.
     """
     features = list(features)
+    cells, totals = keyed(cells, totals), keyed(totals, cells)
     if "train" not in totals.columns:
         totals = totals.withColumn("train", F.lit(True))
     data = cells.select("unit", F.col("population").cast("double").alias("population"), *features)
@@ -205,29 +213,40 @@ def best_epoch(history: DataFrame) -> DataFrame:
 
 
 def holdout_units(totals: DataFrame, fraction: float = C.HOLDOUT_FRACTION, seed: int = 0) -> DataFrame | None:
-    """``unit, held``: a fixed pseudo-random share of the units; None if there are too few."""
-    n = totals.count()
-    if n < C.MIN_HOLDOUT_UNITS:
-        return None
+    """``state, unit, held``: a fixed pseudo-random share of the units of every territory.
+
+    The units with the smallest hashes are held out, at least one. A territory with
+    too few units holds out none: ``held`` is null there. Totals without ``state`` are
+    one territory, and give None if they are too few.
+    """
+    if "state" not in totals.columns:
+        one = holdout_units(totals.withColumn("state", F.lit(0)), fraction, seed)
+        return None if totals.count() < C.MIN_HOLDOUT_UNITS else one.drop("state")
     order = F.md5(F.concat_ws(":", F.col("unit"), F.lit(str(seed))))
-    held = totals.orderBy(order, "unit").limit(max(1, round(n * fraction))).select("unit", F.lit(True).alias("held"))
-    return totals.select("unit").join(held, "unit", "left").fillna(False, subset=["held"])
+    place = F.row_number().over(Window.partitionBy("state").orderBy(order, "unit"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("state"))
+    share = F.greatest(F.lit(1), F.bround(n * F.lit(fraction)))
+    return totals.select("state", "unit", F.when(n >= C.MIN_HOLDOUT_UNITS, place <= share).alias("held"))
 
 
 def spatial_holdout(
     cells: DataFrame, totals: DataFrame, features: Sequence[str], epochs: int = C.EPOCHS, seed: int = 0,
     lr: float = C.LEARNING_RATE,
-) -> DataFrame | None:
-    """MAPE of the raw sums of held-out units, trained on the others; None if skipped."""
+) -> DataFrame:
+    """Per territory, the MAPE of the raw sums of held-out units, trained on the others.
+
+    A territory with too few units has ``skipped`` true and its number of units.
+    """
     split = holdout_units(totals, seed=seed)
-    if split is None:
-        return None
-    flagged = totals.join(split, "unit").withColumn("train", ~F.col("held"))
+    flagged = totals.join(split, list(UNIT_KEY)).withColumn("train", ~F.coalesce("held", F.lit(False)))
     fit = fit_intensity(cells, flagged, features, epochs, (seed,), lr, tag="holdout")
-    sums = cells.groupBy("unit").agg(F.sum(fit.intensity(seed) * F.col("population")).alias("predicted"))
-    scored = sums.join(flagged.where("held").select("unit", "y_inr"), "unit")
-    return scored.agg(
-        mape(F.col("predicted"), F.col("y_inr")).alias("holdout_mape"), F.count(F.lit(1)).alias("n_holdout_units")
+    sums = cells.groupBy(*UNIT_KEY).agg(F.sum(fit.intensity(seed) * F.col("population")).alias("predicted"))
+    scored = flagged.join(sums, list(UNIT_KEY), "left")
+    seen = F.col("held") & F.col("predicted").isNotNull()
+    gap = F.when(seen, F.abs(F.col("predicted") - F.col("y_inr")) / F.greatest(F.abs("y_inr"), F.lit(1e-9)))
+    return scored.groupBy("state").agg(
+        F.avg(gap).alias("holdout_mape"), F.count_if(seen).alias("n_holdout_units"), F.count(F.lit(1)).alias("n_units"),
+        F.bool_and(F.col("held").isNull()).alias("skipped"),
     ).withColumn("final_loss", F.lit(fit.history[-1][3]))
 
 
@@ -244,7 +263,7 @@ def ablation(
             continue
         fit = fit_intensity(cells, totals, names, epochs, (seed,), lr, tag=f"ablation_{tag}")
         scored = attach(
-            cells.withColumn("intensity_raw", fit.intensity(seed)), totals.select("unit", "y_inr"), "unit", "inner", totals
+            cells.withColumn("intensity_raw", fit.intensity(seed)), totals.select(*UNIT_KEY, "y_inr"), list(UNIT_KEY), "inner", totals
         )
         parts.append(
             log_loss(scored).select(

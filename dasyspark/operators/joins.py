@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dasyspark.session import fits_broadcast
 
 
+# A unit's name is unique within its territory only.
+UNIT_KEY = ("state", "unit")
+
+
+def unit_key(*tables: DataFrame) -> list[str]:
+    """The columns that name a unit in all ``tables``; those of a single territory may lack ``state``."""
+    return [c for c in UNIT_KEY if all(c in t.columns for t in tables)]
+
+
+def unique_totals(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``totals`` as they are; a key with several rows raises, as it would multiply cells and money."""
+    seen = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    told = F.concat(F.lit("several totals for "), F.to_json(F.struct(*keys)))
+    return totals.withColumn("_n", seen).where(F.when(F.col("_n") > 1, F.raise_error(told).cast("boolean")).otherwise(True)).drop("_n")
+
+
 def attach(
     facts: DataFrame,
     stats: DataFrame,
@@ -25,7 +41,7 @@ def attach(
     ``stats`` is broadcast and ``facts`` do not move, whatever their skew.
     Otherwise it is a plain equi-join, whose hot keys adaptive execution splits.
     """
-    if bound is not None and fits_broadcast(len(stats.columns), bound, copies):
+    if bound is not None and fits_broadcast(stats, bound, copies):
         stats = F.broadcast(stats)
     return facts.join(stats, on, how)
 
@@ -44,18 +60,21 @@ def filter_valid_cells(rows: DataFrame, cells: DataFrame, cell: str = "cell") ->
 
 
 def join_targets(
-    cells: DataFrame, totals: DataFrame, on: str = "unit", check: bool = True, bound: DataFrame | None = None
+    cells: DataFrame, totals: DataFrame, on: Sequence[str] | str | None = None, check: bool = True, bound: DataFrame | None = None
 ) -> DataFrame:
     """Attach published totals; cells of units without a total are dropped.
 
     With ``check`` a total without any cell raises, because the pieces could
     then not add up to the published figures.
     """
+    keys = [on] if isinstance(on, str) else list(on or unit_key(cells, totals))
     if check:
-        absent = [r[0] for r in totals.select(on).exceptAll(cells.select(on).distinct()).limit(20).collect()]
-        if absent:
-            raise ValueError(f"totals without cells: {sorted(absent)}")
-    return attach(cells, totals, on, "inner", bound if bound is not None else totals)
+        absent = totals.select(*keys).distinct().join(cells.select(*keys).distinct(), keys, "left_anti")
+        shown = [tuple(r) for r in absent.limit(20).collect()]
+        if shown:
+            more = absent.count() - len(shown)
+            raise ValueError(f"totals without cells: {sorted(shown)}" + f" and {more} more" * (more > 0))
+    return attach(cells, unique_totals(totals, keys), keys, "inner", bound if bound is not None else totals)
 
 
 def missing_units(totals: DataFrame, cells: DataFrame, on: str = "unit") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dasyspark import config as C
 from dasyspark.functions.names import slug
 from dasyspark.functions.numbers import key_of, round_pack
-from dasyspark.operators.joins import first_by
+from dasyspark.operators.joins import first_by, unit_key
 from dasyspark.operators.ranks import exact_quantiles
 
 
@@ -30,8 +30,9 @@ def rollup_parents(cells: DataFrame, parent: str, order: Sequence[str] = ("distr
     return cells.groupBy(parent).agg(*[makers[how](c).alias(c) for c, how in rules.items()])
 
 
-def unit_table(cells: DataFrame, by: Sequence[str] = ("unit",)) -> DataFrame:
+def unit_table(cells: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     """Per unit: cells, people, published and allocated total, median per-capita."""
+    by = by or unit_key(cells)
     sums = cells.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum("population").alias("population"),
         F.max("y_inr").alias("y_inr"), F.sum("gdp_inr").alias("gdp_inr"),
@@ -118,9 +119,9 @@ def unpack_columnar(packed: DataFrame, group: Sequence[str]) -> DataFrame:
     return zipped.select(*group, F.inline("_z").alias("h", *[f for f in fields if f != "h"]))
 
 
-def unit_constants(cells: DataFrame, by: Sequence[str] = ("unit",)) -> DataFrame:
+def unit_constants(cells: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     """Fields constant within a unit, hoisted out of its cells."""
-    return cells.groupBy(*by).agg(
+    return cells.groupBy(*(by or unit_key(cells))).agg(
         round_pack(F.max("y_crore"), "y").alias("y"), round_pack(F.max("dasymetric_scale"), "s").alias("s")
     )
 

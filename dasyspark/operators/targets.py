@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dasyspark import config as C
-from dasyspark.operators.joins import first_by
+from dasyspark.operators.joins import first_by, unit_key
 
 
 def filter_positive_targets(rows: DataFrame, value: str = "y_crore") -> DataFrame:
     return rows.where(F.col(value) > 0)
 
 
-def agg_targets(rows: DataFrame, order: Sequence[str], by: Sequence[str] = ("unit",)) -> DataFrame:
+def agg_targets(rows: DataFrame, order: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
     """One total per canonical unit: merged names add up, the first source name stays."""
     return (
         filter_positive_targets(rows)
-        .groupBy(*by)
+        .groupBy(*(by or unit_key(rows)))
         .agg(F.sum("y_crore").alias("y_crore"), first_by("source_name", *order).alias("source_name"))
         .withColumn("y_inr", F.col("y_crore") * F.lit(C.INR_PER_CRORE))
     )

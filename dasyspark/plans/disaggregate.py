@@ -10,7 +10,7 @@ from dasyspark import config as C
 from dasyspark.operators.allocate import dasymetric_allocate, ensemble_allocate, ranked_wealth
 from dasyspark.operators.features import engineer_features
 from dasyspark.operators.fit import Fit, fit_intensity
-from dasyspark.operators.joins import join_targets
+from dasyspark.operators.joins import join_targets, unit_key
 from dasyspark.session import materialize
 
 
@@ -35,7 +35,7 @@ def disaggregate(
 
     ``cells``: cell, unit, state, population and the evidence columns.
     """
-    kept = join_targets(cells, totals.select("unit"), bound=units)
+    kept = join_targets(cells, totals.select(*unit_key(cells, totals)), bound=units)
     features, names = engineer_features(kept, territories=territories)
     features = materialize(features, "features")
     fit = fit_intensity(features, totals, names, epochs, seeds, lr, tag="ensemble")

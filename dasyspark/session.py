@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # A side is broadcast only when a count proves that it stays below this size.
 BROADCAST_BYTES = 64 << 20
-ROW_BYTES, VALUE_BYTES = 32, 24
+ROW_BYTES, VALUE_BYTES, TEXT_BYTES = 32, 24, 256
 
 
 def build_session(app: str = "dasyspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,10 +33,19 @@ def build_session(app: str = "dasyspark", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Without it only a local session goes on, in a folder that ends with the
+    process; on a cluster, executors would write where no other one can read.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        path = os.path.join(tempfile.gettempdir(), f"spark-{os.getpid()}-{uuid.uuid4().hex[:8]}")
+        os.makedirs(path)
+        atexit.register(shutil.rmtree, path, True)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -56,7 +69,16 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def fits_broadcast(columns: int, bound: DataFrame, copies: int = 1) -> bool:
-    """Whether ``copies`` rows per row of ``bound``, of so many columns, stay below the broadcast size."""
-    rows = BROADCAST_BYTES // (ROW_BYTES + VALUE_BYTES * columns)
+def value_bytes(kind: T.DataType) -> int:
+    """Room for a value of a type in memory; texts and collections count as ``TEXT_BYTES``."""
+    if isinstance(kind, T.StructType):
+        return sum(value_bytes(f.dataType) for f in kind.fields)
+    if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
+        return TEXT_BYTES
+    return VALUE_BYTES
+
+
+def fits_broadcast(stats: DataFrame, bound: DataFrame, copies: int = 1) -> bool:
+    """Whether ``copies`` rows of ``stats`` for each row of ``bound`` stay below the broadcast size."""
+    rows = BROADCAST_BYTES // (ROW_BYTES + value_bytes(stats.schema))
     return has_at_most(bound, max(1, rows // max(1, copies)))

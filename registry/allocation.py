@@ -17,11 +17,11 @@ def r(col, digits=4):
 
 
 @query("agg_targets", with_ctes(
-    """SELECT unit, round(sum(y_crore), 2) AS y_crore, min_by(source_name, ord) AS source_name, round(sum(y_crore) * 1e7 / 1e9, 3) AS y_inr_bn
-    FROM total_rows WHERE y_crore > 0 GROUP BY unit""", TOTAL_ROWS))
+    """SELECT state, unit, round(sum(y_crore), 2) AS y_crore, min_by(source_name, ord) AS source_name, round(sum(y_crore) * 1e7 / 1e9, 3) AS y_inr_bn
+    FROM total_rows WHERE y_crore > 0 GROUP BY state, unit""", TOTAL_ROWS))
 def _(spark, sf):
     out = targets.agg_targets(total_rows(spark, sf), order=["ord"])
-    return out.select("unit", r("y_crore", 2).alias("y_crore"), "source_name", r(F.col("y_inr") / 1e9, 3).alias("y_inr_bn"))
+    return out.select("state", "unit", r("y_crore", 2).alias("y_crore"), "source_name", r(F.col("y_inr") / 1e9, 3).alias("y_inr_bn"))
 
 
 @query("filter_positive_targets",
@@ -57,10 +57,10 @@ def _(spark, sf):
 
 
 @query("district_sum", with_ctes(
-    "SELECT unit, round(sum(intensity_raw * population), 2) AS unit_sum_raw FROM cells GROUP BY unit", CELLS))
+    "SELECT state, unit, round(sum(intensity_raw * population), 2) AS unit_sum_raw FROM cells GROUP BY state, unit", CELLS))
 def _(spark, sf):
-    sums = allocate.unit_sums(cells(spark, sf), ["unit"], F.col("intensity_raw") * F.col("population"))
-    return sums.select("unit", r("unit_sum_raw", 2).alias("unit_sum_raw"))
+    sums = allocate.unit_sums(cells(spark, sf), ["state", "unit"], F.col("intensity_raw") * F.col("population"))
+    return sums.select("state", "unit", r("unit_sum_raw", 2).alias("unit_sum_raw"))
 
 
 @query("dasymetric_allocate", with_ctes(
@@ -73,8 +73,8 @@ def _(spark, sf):
 
 
 @query("population_allocate", with_ctes(
-    """SELECT cell, unit, round(y_crore * population / sum(population) OVER (PARTITION BY unit), 2) AS gdp_crore
-    FROM cells JOIN totals USING (unit)""", CELLS, TOTALS))
+    """SELECT cell, unit, round(y_crore * population / sum(population) OVER (PARTITION BY state, unit), 2) AS gdp_crore
+    FROM cells JOIN totals USING (state, unit)""", CELLS, TOTALS))
 def _(spark, sf):
     out = allocate.population_allocate(cells(spark, sf), totals(spark, sf), units=nations(spark, sf))
     return out.select("cell", "unit", r("gdp_crore", 2).alias("gdp_crore"))
@@ -83,8 +83,8 @@ def _(spark, sf):
 @query("scale_join", with_ctes("SELECT cell, unit, round(dasymetric_scale / 1e7, 4) AS scale FROM allocated", *SPLIT))
 def _(spark, sf):
     base = cells(spark, sf)
-    factors = allocate.unit_factors(base, totals(spark, sf)).select("unit", "dasymetric_scale")
-    out = joins.attach(base, factors, "unit", "inner", nations(spark, sf))
+    factors = allocate.unit_factors(base, totals(spark, sf)).select("state", "unit", "dasymetric_scale")
+    out = joins.attach(base, factors, ["state", "unit"], "inner", nations(spark, sf))
     return out.select("cell", "unit", r(F.col("dasymetric_scale") / 1e7).alias("scale"))
 
 
@@ -110,15 +110,19 @@ def _(spark, sf):
 
 
 @query("allocate_and_rank", with_ctes(
-    f"""SELECT unit, count(*) AS n_cells, round(sum(gdp_crore), 2) AS gdp_crore, round(max(y_crore), 2) AS y_crore,
-    count(*) FILTER (population > 0) AS inhabited FROM ranked GROUP BY unit""", *WEALTH))
+    f"""SELECT state, unit, count(*) AS n_cells, round(sum(gdp_crore), 2) AS gdp_crore, round(max(y_crore), 2) AS y_crore,
+    count(*) FILTER (population > 0) AS inhabited, round(sum(wealth_index), 3) AS wealth, max_by(cell, (round(wealth_index, 6), cell)) AS richest,
+    {", ".join(f"count(*) FILTER (({QUINTILE}) = {i}) AS fifth_{i}" for i in range(1, 6))} FROM ranked GROUP BY state, unit""", *WEALTH))
 def flagship(spark, sf):
     """The whole minimum job: totals, allocation, per-capita, wealth index, quintile, unit report."""
     known = totals(spark, sf)
     out = allocate_and_rank(cells(spark, sf), known, nations(spark, sf))
-    report = out.groupBy("unit").agg(
+    index = F.col("wealth_index")
+    report = out.groupBy("state", "unit").agg(
         F.count(F.lit(1)).alias("n_cells"), r(F.sum("gdp_crore"), 2).alias("gdp_crore"),
-        r(F.max("y_inr") / 1e7, 2).alias("y_crore"), F.count_if(F.col("wealth_index") > 0).alias("inhabited"))
+        r(F.max("y_inr") / 1e7, 2).alias("y_crore"), F.count_if(F.col("population") > 0).alias("inhabited"),
+        r(F.sum(index), 3).alias("wealth"), F.max_by("cell", F.struct(F.round(index, 6), "cell")).alias("richest"),
+        *[F.count_if(F.col("wealth_quintile") == i).alias(f"fifth_{i}") for i in range(1, 6)])
     return report
 
 
@@ -194,10 +198,10 @@ def _(spark, sf):
 
 
 @query("reconstruction_error", with_ctes(
-    "SELECT unit, round(abs(sum(gdp_inr) - max(y_inr)) / max(y_inr), 9) AS rel_error, round(max(y_inr) / 1e7, 2) AS y_crore FROM allocated GROUP BY unit", *SPLIT))
+    "SELECT state, unit, round(abs(sum(gdp_inr) - max(y_inr)) / max(y_inr), 9) AS rel_error, round(max(y_inr) / 1e7, 2) AS y_crore FROM allocated GROUP BY state, unit", *SPLIT))
 def _(spark, sf):
     out = allocate.reconstruction_error(allocated(spark, sf))
-    return out.select("unit", r("rel_error", 9).alias("rel_error"), r(F.col("y_inr") / 1e7, 2).alias("y_crore"))
+    return out.select("state", "unit", r("rel_error", 9).alias("rel_error"), r(F.col("y_inr") / 1e7, 2).alias("y_crore"))
 
 
 @query("mape", with_ctes(
@@ -209,8 +213,8 @@ def _(spark, sf):
 
 
 _SEEDS = """runs AS (SELECT c.*, s.seed, intensity_raw + s.seed * poi_count * 0.05e0 AS s_i FROM cells c, (SELECT unnest(range(5)) AS seed) s),
-per_seed AS (SELECT r.*, CASE WHEN population > 0 THEN round(s_i * population * y_inr / greatest(sum(s_i * population) OVER (PARTITION BY seed, unit), 1e-9) / population / 1e7, 4) END AS pci
-  FROM runs r JOIN totals USING (unit)),
+per_seed AS (SELECT r.*, CASE WHEN population > 0 THEN round(s_i * population * y_inr / greatest(sum(s_i * population) OVER (PARTITION BY seed, state, unit), 1e-9) / population / 1e7, 4) END AS pci
+  FROM runs r JOIN totals USING (state, unit)),
 seed_live AS (SELECT seed, cell, (rank() OVER (PARTITION BY seed, state ORDER BY pci) + (count(*) OVER (PARTITION BY seed, state, pci) - 1) / 2e0) / count(*) OVER (PARTITION BY seed, state) * 100 AS w
   FROM per_seed WHERE population > 0)"""
 
@@ -226,7 +230,7 @@ def _runs(spark, sf):
     min(pci) AS pci_min, max(pci) AS pci_max, round(avg(coalesce(w, 0)), 4) AS w_mean, round(min(coalesce(w, 0)), 6) AS w_min, round(max(coalesce(w, 0)), 6) AS w_max
     FROM per_seed p LEFT JOIN seed_live l ON p.cell = l.cell AND p.seed = l.seed GROUP BY p.cell""", CELLS, TOTALS, _SEEDS))
 def _(spark, sf):
-    out = allocate.dasymetric_allocate(_runs(spark, sf), totals(spark, sf), by=("seed", "unit"), units=nations(spark, sf), copies=5)
+    out = allocate.dasymetric_allocate(_runs(spark, sf), totals(spark, sf), by=("seed", "state", "unit"), units=nations(spark, sf), copies=5)
     out = out.withColumn("gdp_per_capita_inr", F.round(F.col("gdp_per_capita_inr") / 1e7, 4))
     out = allocate.ensemble_stats(ranks.wealth_index(out, ["seed", "state"]))
     pick = lambda col, name, digits: r(col, digits).alias(name)
@@ -238,8 +242,8 @@ def _(spark, sf):
 
 
 @query("ensemble_allocate", with_ctes(
-    """SELECT c.cell, round(s * population / sum(s * population) OVER (PARTITION BY unit) * y_crore, 2) AS gdp_crore
-    FROM cells c JOIN totals USING (unit) JOIN (SELECT cell, avg(s_i) AS s FROM runs GROUP BY cell) m ON m.cell = c.cell""", CELLS, TOTALS, _SEEDS))
+    """SELECT c.cell, round(s * population / sum(s * population) OVER (PARTITION BY state, unit) * y_crore, 2) AS gdp_crore
+    FROM cells c JOIN totals USING (state, unit) JOIN (SELECT cell, avg(s_i) AS s FROM runs GROUP BY cell) m ON m.cell = c.cell""", CELLS, TOTALS, _SEEDS))
 def _(spark, sf):
     base = cells(spark, sf).drop("intensity_raw")
     out = allocate.ensemble_allocate(_runs(spark, sf), base, totals(spark, sf), nations(spark, sf))
@@ -247,7 +251,7 @@ def _(spark, sf):
 
 
 @query("join_targets", with_ctes(
-    "SELECT cell, unit, round(y_crore, 2) AS y_crore FROM cells JOIN totals USING (unit)", CELLS, TOTALS))
+    "SELECT cell, unit, round(y_crore, 2) AS y_crore FROM cells JOIN totals USING (state, unit)", CELLS, TOTALS))
 def _(spark, sf):
     out = joins.join_targets(cells(spark, sf), totals(spark, sf), bound=nations(spark, sf))
     return out.select("cell", "unit", r("y_crore", 2).alias("y_crore"))

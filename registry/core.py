@@ -136,6 +136,17 @@ PRIORITY_OF = {
 }
 
 
+# One unit has the name of another in a different territory.
+TWIN, NAMESAKE = "NATION_24", "NATION_3"
+
+
+def unit_name() -> Column:
+    return F.when(F.col("n_name") == TWIN, NAMESAKE).otherwise(F.col("n_name"))
+
+
+UNIT_NAME = f"CASE WHEN n_name = '{TWIN}' THEN '{NAMESAKE}' ELSE n_name END"
+
+
 def nations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation")
 
@@ -161,7 +172,7 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     base = table(spark, sf, "customer").join(nations(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
     placed = base.select(
-        key.alias("cell"), F.col("n_name").alias("unit"), F.col("n_regionkey").alias("state"),
+        key.alias("cell"), unit_name().alias("unit"), F.col("n_regionkey").alias("state"),
         F.greatest("c_acctbal", F.lit(0.0)).alias("population"), lat_of(key).alias("lat"), lon_of(key).alias("lon"),
         F.lit(5.0).alias("area_km2"),
     )
@@ -184,7 +195,7 @@ CELLS = f"""ev AS (SELECT o_custkey, count(*)::DOUBLE AS poi_count, avg(o_totalp
   (count(*) FILTER (o_orderstatus = 'P'))::DOUBLE AS poi_office,
   {", ".join(f"least(sum(CASE WHEN o_orderpriority = '{p}' THEN o_totalprice ELSE 0e0 END) / 5e5, 1.5e0) AS landuse_{c}" for c, p in PRIORITY_OF.items())}
   FROM orders GROUP BY o_custkey),
-cells AS (SELECT *, 1e0 + night_lights + poi_count * 0.1e0 AS intensity_raw FROM (SELECT c_custkey AS cell, n_name AS unit, n_regionkey AS state,
+cells AS (SELECT *, 1e0 + night_lights + poi_count * 0.1e0 AS intensity_raw FROM (SELECT c_custkey AS cell, {UNIT_NAME} AS unit, n_regionkey AS state,
   greatest(c_acctbal, 0e0) AS population, {lat_sql("c_custkey")} AS lat, {lon_sql("c_custkey")} AS lon, 5e0 AS area_km2,
   {", ".join(f"coalesce({c}, 0e0) AS {c}" for c in _EVIDENCE_COLUMNS)},
   least(coalesce(building_area_m2, 0e0) / 2e6, 1.5e0) AS building_share
@@ -196,35 +207,35 @@ def total_rows(spark: SparkSession, sf: str) -> DataFrame:
     customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     orders = table(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return orders.join(nations(spark, sf), F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("n_name").alias("unit"), F.col("n_regionkey").alias("state"), F.col("o_orderkey").alias("ord"),
+        unit_name().alias("unit"), F.col("n_regionkey").alias("state"), F.col("o_orderkey").alias("ord"),
         F.concat(F.col("o_orderpriority"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("source_name"),
         F.col("o_totalprice").alias("y_crore"),
     )
 
 
-TOTAL_ROWS = """total_rows AS (SELECT n_name AS unit, n_regionkey AS state, o_orderkey AS ord,
+TOTAL_ROWS = f"""total_rows AS (SELECT {UNIT_NAME} AS unit, n_regionkey AS state, o_orderkey AS ord,
   o_orderpriority || '/' || o_orderkey AS source_name, o_totalprice AS y_crore
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 def totals(spark: SparkSession, sf: str) -> DataFrame:
-    return total_rows(spark, sf).groupBy("unit").agg(F.sum("y_crore").alias("y_crore")).withColumn(
+    return total_rows(spark, sf).groupBy("state", "unit").agg(F.sum("y_crore").alias("y_crore")).withColumn(
         "y_inr", F.col("y_crore") * 1e7
     )
 
 
 TOTALS = (
     TOTAL_ROWS
-    + ",\ntotals AS (SELECT unit, sum(y_crore) AS y_crore, sum(y_crore) * 1e7 AS y_inr FROM total_rows GROUP BY unit)"
+    + ",\ntotals AS (SELECT state, unit, sum(y_crore) AS y_crore, sum(y_crore) * 1e7 AS y_inr FROM total_rows GROUP BY ALL)"
 )
 
-ALLOCATED = """factors AS (SELECT unit, y_crore, y_inr, y_inr / greatest(z, 1e-9) AS dasymetric_scale FROM
-  (SELECT unit, sum(intensity_raw * population) AS z FROM cells GROUP BY unit) JOIN totals USING (unit)),
+ALLOCATED = """factors AS (SELECT state, unit, y_crore, y_inr, y_inr / greatest(z, 1e-9) AS dasymetric_scale FROM
+  (SELECT state, unit, sum(intensity_raw * population) AS z FROM cells GROUP BY ALL) JOIN totals USING (state, unit)),
 allocated AS (SELECT c.*, y_crore, y_inr, dasymetric_scale, intensity_raw * population AS gdp_inr_raw,
   intensity_raw * population * dasymetric_scale AS gdp_inr,
   intensity_raw * population * dasymetric_scale / 1e7 AS gdp_crore,
   CASE WHEN population > 0 THEN round(intensity_raw * population * dasymetric_scale / population / 1e7, 4) END AS pci
-  FROM cells c JOIN factors USING (unit))"""
+  FROM cells c JOIN factors USING (state, unit))"""
 
 RANKED = """live AS (SELECT cell, state, pci, rank() OVER (PARTITION BY state ORDER BY pci) AS rk,
   count(*) OVER (PARTITION BY state, pci) AS ties, count(*) OVER (PARTITION BY state) AS n FROM allocated WHERE population > 0),

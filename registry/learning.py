@@ -308,7 +308,7 @@ def _(spark, sf):
 
 
 @query("holdout_units", with_ctes(
-    "SELECT unit, coalesce(rn <= greatest(1, round_even(0.2e0 * n, 0)), false) AS held FROM (SELECT unit, row_number() OVER (ORDER BY md5(unit || ':0'), unit) AS rn, count(*) OVER () AS n FROM totals)", TOTALS))
+    "SELECT state, unit, CASE WHEN n >= 5 THEN rn <= greatest(1, round_even(0.2e0 * n, 0)) END AS held FROM (SELECT state, unit, row_number() OVER (PARTITION BY state ORDER BY md5(unit || ':0'), unit) AS rn, count(*) OVER (PARTITION BY state) AS n FROM totals)", TOTALS))
 def _(spark, sf):
     return FIT.holdout_units(totals(spark, sf))
 

@@ -31,33 +31,39 @@ _KEY = f"trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(raw, '\\s+
 def _raw_names(spark, sf):
     marks = F.when(F.col("p_size") % 2 == 0, "$*+").otherwise("")
     raw = F.concat(F.lit("  "), "p_name", F.lit("#  "), F.regexp_replace("p_brand", "#", "-"), marks)
-    return table(spark, sf, "part").select("p_partkey", raw.alias("raw"))
+    return table(spark, sf, "part").select("p_partkey", _code(), raw.alias("raw"))
+
+
+def _code():
+    """Two territories, each with aliases of its own for the same spellings."""
+    return F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("B").alias("code")
 
 
 def _aliases(spark, sf):
     part = table(spark, sf, "part").where(F.col("p_size") > 40)
     alias = F.lower(F.concat("p_name", F.lit(" "), F.regexp_replace("p_brand", "#", "-")))
-    return part.groupBy(alias.alias("alias")).agg(F.min("p_type").alias("canonical"))
+    return part.groupBy(_code(), alias.alias("alias")).agg(F.min("p_type").alias("canonical"))
 
 
-_ALIASES = "al AS (SELECT lower(p_name || ' ' || replace(p_brand, '#', '-')) AS alias, min(p_type) AS canonical FROM part WHERE p_size > 40 GROUP BY ALL)"
+_CODE = "CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS code"
+_ALIASES = f"al AS (SELECT {_CODE}, lower(p_name || ' ' || replace(p_brand, '#', '-')) AS alias, min(p_type) AS canonical FROM part WHERE p_size > 40 GROUP BY ALL)"
 
 
 @query("norm_unit_name", with_ctes(
-    f"SELECT p_partkey, coalesce(canonical, {_TITLE.format('k')}) AS unit FROM keyed LEFT JOIN al ON k = alias", _ALIASES,
-    f"keyed AS (SELECT p_partkey, {_KEY} AS k FROM (SELECT p_partkey, {_RAW_NAME} AS raw FROM part))"))
+    f"SELECT p_partkey, coalesce(canonical, {_TITLE.format('k')}) AS unit FROM keyed LEFT JOIN al ON k = alias AND keyed.code = al.code", _ALIASES,
+    f"keyed AS (SELECT p_partkey, code, {_KEY} AS k FROM (SELECT p_partkey, {_CODE}, {_RAW_NAME} AS raw FROM part))"))
 def _(spark, sf):
     return S.norm_unit_name(_raw_names(spark, sf), "raw", _aliases(spark, sf)).select("p_partkey", "unit")
 
 
 @query("join_rename", with_ctes(
-    "SELECT p_partkey, coalesce(canonical, lower(p_name || ' ' || replace(p_brand, '#', '-'))) AS unit FROM part LEFT JOIN al ON alias = lower(p_name || ' ' || replace(p_brand, '#', '-'))", _ALIASES))
+    f"SELECT p_partkey, coalesce(canonical, lower(p_name || ' ' || replace(p_brand, '#', '-'))) AS unit FROM (SELECT *, {_CODE} FROM part) p LEFT JOIN al ON alias = lower(p_name || ' ' || replace(p_brand, '#', '-')) AND p.code = al.code", _ALIASES))
 def _(spark, sf):
     from dasyspark.operators.joins import attach
 
     name = F.lower(F.concat("p_name", F.lit(" "), F.regexp_replace("p_brand", "#", "-")))
-    parts = table(spark, sf, "part").select("p_partkey", name.alias("alias"))
-    out = attach(parts, _aliases(spark, sf), "alias", "left", bound=table(spark, sf, "part"))
+    parts = table(spark, sf, "part").select("p_partkey", _code(), name.alias("alias"))
+    out = attach(parts, _aliases(spark, sf), ["code", "alias"], "left", bound=table(spark, sf, "part"))
     return out.select("p_partkey", F.coalesce("canonical", "alias").alias("unit"))
 
 

@@ -50,12 +50,12 @@ def _(spark, sf):
 
 
 @query("unit_table", with_ctes(
-    """SELECT unit, count(*) AS n_cells, round(sum(population), 2) AS population, round(max(y_inr) / 1e7, 2) AS y_crore, round(sum(gdp_inr) / 1e7, 2) AS gdp_crore,
-    round(median(pci), 5) AS median_pci FROM allocated GROUP BY unit""", *SPLIT))
+    """SELECT state, unit, count(*) AS n_cells, round(sum(population), 2) AS population, round(max(y_inr) / 1e7, 2) AS y_crore, round(sum(gdp_inr) / 1e7, 2) AS gdp_crore,
+    round(median(pci), 5) AS median_pci FROM allocated GROUP BY state, unit""", *SPLIT))
 def _(spark, sf):
     out = publish.unit_table(allocated(spark, sf).withColumn("gdp_per_capita_inr", F.col("pci")))
     return out.select(
-        "unit", "n_cells", r("population", 2), r("y_crore", 2, F.col("y_inr") / 1e7), r("gdp_crore", 2, F.col("gdp_inr") / 1e7),
+        "state", "unit", "n_cells", r("population", 2), r("y_crore", 2, F.col("y_inr") / 1e7), r("gdp_crore", 2, F.col("gdp_inr") / 1e7),
         r("median_pci", 5, F.col("median_gdp_per_capita_inr")))
 
 
@@ -130,10 +130,10 @@ def _(spark, sf):
     return publish.unpack_columnar(materialize(packed(spark, sf), "packed"), ["district", "block"])
 
 
-@query("unit_constants", with_ctes("SELECT unit, round_even(round(max(y_crore), 2), 2) AS y FROM allocated GROUP BY unit", *SPLIT))
+@query("unit_constants", with_ctes("SELECT state, unit, round_even(round(max(y_crore), 2), 2) AS y FROM allocated GROUP BY state, unit", *SPLIT))
 def _(spark, sf):
     base = allocated(spark, sf).withColumn("y_crore", F.round("y_crore", 2))
-    return publish.unit_constants(base).select("unit", "y")
+    return publish.unit_constants(base).select("state", "unit", "y")
 
 
 @query("run_manifest", with_ctes(
@@ -217,12 +217,12 @@ def _(spark, sf):
 
 
 @query("unit_context", with_ctes(
-    """SELECT unit, count(*) AS n_cells, round(max(y_inr) / 1e7, 2) AS y_crore, round(sum(gdp_inr_raw), 3) AS raw, round(max(dasymetric_scale) / 1e7, 6) AS scale,
-    round(sum(population), 2) AS population, round(sum(gdp_inr) / 1e7, 2) AS gdp_crore FROM allocated GROUP BY unit""", *SPLIT))
+    """SELECT state, unit, count(*) AS n_cells, round(max(y_inr) / 1e7, 2) AS y_crore, round(sum(gdp_inr_raw), 3) AS raw, round(max(dasymetric_scale) / 1e7, 6) AS scale,
+    round(sum(population), 2) AS population, round(sum(gdp_inr) / 1e7, 2) AS gdp_crore FROM allocated GROUP BY state, unit""", *SPLIT))
 def _(spark, sf):
     out = explain.unit_context(allocated(spark, sf))
     return out.select(
-        "unit", "n_cells", r("y_crore", 2, F.col("y_inr") / 1e7), r("raw", 3, F.col("unit_sum_raw")), r("scale", 6, F.col("dasymetric_scale") / 1e7),
+        "state", "unit", "n_cells", r("y_crore", 2, F.col("y_inr") / 1e7), r("raw", 3, F.col("unit_sum_raw")), r("scale", 6, F.col("dasymetric_scale") / 1e7),
         r("population", 2), r("gdp_crore", 2, F.col("gdp_inr_after_scale") / 1e7))
 
 

@@ -115,11 +115,19 @@ def _(spark, sf):
     return evidence.filter_finer_than_grid(fine_grid(spark, sf), 7).groupBy("h3").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("assert_single_resolution", with_ctes("SELECT 8 AS resolution, count(*) AS n FROM fine_grid WHERE res = 8", FINE_GRID))
-def _(spark, sf):
-    fine = fine_grid(spark, sf).where(h3id.cell_resolution(F.col("h3")) == 8)
-    found = evidence.assert_single_resolution(fine)
-    return fine.agg(F.lit(found).alias("resolution"), F.count(F.lit(1)).alias("n"))
+@query("assert_single_resolution", with_ctes("""SELECT max(res) AS resolution, count(*) AS n, min(res) < max(res) AS mixed FROM fine_grid WHERE res = 8
+  UNION ALL SELECT NULL, count(*), min(res) < max(res) FROM fine_grid""", FINE_GRID))
+def _(spark, sf):
+    """The finest ids share one resolution; the whole grid, mixed, is refused."""
+    parts = []
+    for rows in (fine_grid(spark, sf).where(h3id.cell_resolution(F.col("h3")) == 8), fine_grid(spark, sf)):
+        try:
+            found, mixed = evidence.assert_single_resolution(rows), False
+        except ValueError:
+            found, mixed = None, True
+        parts.append(rows.agg(
+            F.lit(found).cast("int").alias("resolution"), F.count(F.lit(1)).alias("n"), F.lit(mixed).alias("mixed")))
+    return parts[0].unionByName(parts[1])
 
 
 # ---------------------------------------------------------------- containment

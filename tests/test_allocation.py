@@ -255,3 +255,36 @@ def test_sources_precedence(spark):
     mk = lambda rows: spark.createDataFrame(rows, "state string, y double")
     out = targets.resolve_sources([mk([("A", 1.0)]), mk([("A", 2.0), ("B", 3.0)]), mk([("B", 4.0), ("C", 5.0)])])
     assert sorted((r.state, r.y) for r in out.collect()) == [("A", 1.0), ("B", 3.0), ("C", 5.0)]
+
+
+def test_units_of_one_name_in_two_territories_stay_apart(spark):
+    cells = spark.createDataFrame(
+        [(1, "UP", "Pratapgarh", 10.0, 1.0), (2, "RJ", "Pratapgarh", 30.0, 1.0), (3, "RJ", "Alwar", 5.0, 2.0)],
+        "cell int, state string, unit string, population double, intensity_raw double")
+    totals = spark.createDataFrame(
+        [("UP", "Pratapgarh", 100.0), ("RJ", "Pratapgarh", 900.0), ("RJ", "Alwar", 50.0)], "state string, unit string, y_inr double")
+    rows = {r.cell: r.gdp_inr for r in allocate.dasymetric_allocate(cells, totals).collect()}
+    assert rows == {1: 100.0, 2: 900.0, 3: 50.0}
+    assert joins.join_targets(cells, totals).count() == 3
+    assert allocate.reconstruction_error(allocate.dasymetric_allocate(cells, totals)).count() == 3
+    with pytest.raises(Exception, match="several totals"):
+        allocate.dasymetric_allocate(cells, totals.union(totals)).collect()
+    with pytest.raises(ValueError, match="totals without cells"):
+        joins.join_targets(cells, totals.union(spark.createDataFrame([("UP", "Alwar", 1.0)])))
+
+
+def test_holdout_is_per_territory(spark):
+    rows = [("A", f"u{i}", 1.0) for i in range(12)] + [("B", f"u{i}", 1.0) for i in range(4)]
+    found = fit.holdout_units(spark.createDataFrame(rows, "state string, unit string, y_inr double"))
+    assert found.where("state = 'A' AND held").count() == 2 and found.where("state = 'B' AND held IS NULL").count() == 4
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from dasyspark.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from dasyspark import config as C
 from dasyspark.functions import names as S
 from dasyspark.functions import numbers as N
 
@@ -62,3 +63,9 @@ def test_activations(spark):
     assert abs(one(spark, 800.0, N.softplus, "double") - 800.0) < 1e-9
     assert one(spark, -800.0, N.softplus, "double") >= 0
     assert abs(one(spark, -1.0, N.elu, "double") + 0.6321205588285577) < 1e-12
+
+
+def test_aliases_hold_within_their_territory(spark):
+    rows = spark.createDataFrame([("MH", "Aurangabad"), ("BR", "Aurangabad")], "code string, raw string")
+    found = {r.code: r.unit for r in S.norm_unit_name(rows, "raw", C.alias_table(spark)).collect()}
+    assert found == {"MH": "Chhatrapati Sambhajinagar", "BR": "Aurangabad"}
