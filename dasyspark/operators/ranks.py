@@ -4,7 +4,7 @@ All of them derive from one table: for every distinct value, how many rows hold
 it and how many lie below. Rows are first counted per value (a value that a
 third of the rows share becomes one row), the distinct values are cut into
 ranges at sampled quantiles, and the counts are accumulated per range plus the
-total of the ranges before it.
+total of the ranges before it. There is one plan for every size.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dasyspark.operators.joins import attach
-from dasyspark.session import has_at_most, materialize
+from dasyspark.session import materialize
 
-MAX_RANGES = 512
-# Up to this many distinct values per table one sort per territory is enough.
-FEW_VALUES = 2_000_000
+# Distinct values that one task sorts; the number of ranges follows the data.
+VALUES_PER_RANGE = 250_000
+NULL_SLOTS = 256
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -38,13 +38,6 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def rank_counts(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     by = list(by)
-    if has_at_most(counts, FEW_VALUES):
-        # Sorted once per territory: bounded by the check, whatever the number of rows.
-        group = Window.partitionBy(*by)
-        below = F.sum("n_eq").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-        return counts.select(
-            *by, value, "n_eq", F.coalesce(below, F.lit(0)).alias("n_below"), F.sum("n_eq").over(group).alias("n_all")
-        )
     ranged = _with_range(counts, value)
     sizes = ranged.groupBy(*by, "_range").agg(F.sum("n_eq").alias("_n"))
     across = Window.partitionBy(*by).orderBy("_range")
@@ -66,8 +59,8 @@ def rank_counts(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def _with_range(counts: DataFrame, value: str) -> DataFrame:
-    """Number the value ranges; their cut points (at most ``MAX_RANGES``) come from a quantile sketch."""
-    ranges = min(MAX_RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Number the value ranges, one for each VALUES_PER_RANGE values; cut points come from a quantile sketch."""
+    ranges = -(-counts.count() // VALUES_PER_RANGE)
     shares = [k / ranges for k in range(1, ranges)]
     cuts = sorted(set(counts.approxQuantile(value, shares, 0.25 / ranges))) if shares else []
     if not cuts:
@@ -84,8 +77,11 @@ def with_rank(df: DataFrame, by: Sequence[str], value: str, out: str, rank: Colu
     """Add ``rank``, an expression over the columns of ``value_ranks``, to each row."""
     counts = value_counts(df, by, value)
     ranks = rank_counts(counts, by, value).select(*by, F.col(value).alias("_v"), rank.alias(out))
-    keyed = df.withColumn("_v", F.col(value).cast("double"))
-    return attach(keyed, ranks, [*by, "_v"], "left", bound=counts).drop("_v")
+    # A null matches nothing; without slots of their own all nulls of a territory would meet in one task.
+    slot = F.when(F.col("_v").isNull(), F.pmod(F.spark_partition_id(), F.lit(NULL_SLOTS))).otherwise(F.lit(0))
+    keyed = df.withColumn("_v", F.col(value).cast("double")).withColumn("_slot", slot)
+    ranks = ranks.withColumn("_slot", F.lit(0))
+    return attach(keyed, ranks, [*by, "_v", "_slot"], "left", bound=counts).drop("_v", "_slot")
 
 
 def wealth_index(cells: DataFrame, by: Sequence[str] = ("state",), value: str = "gdp_per_capita_inr") -> DataFrame:

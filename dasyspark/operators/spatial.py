@@ -16,11 +16,11 @@ from dasyspark.functions import geo, hexgrid
 from dasyspark.operators.joins import claim_once
 
 
-def ring_edges(polygons: DataFrame) -> DataFrame:
-    """One row per edge, the ring being closed if it is open."""
+def ring_edges(polygons: DataFrame, *more: str) -> DataFrame:
+    """One row per edge, with the columns ``more`` of its ring; the ring is closed if it is open."""
     closed = F.concat("ring", F.array(F.element_at("ring", 1)))
-    pairs = polygons.select("unit", "part", F.inline(geo.segments(closed)).alias("a", "b"))
-    edges = pairs.select("unit", "part", *geo.segment_columns())
+    pairs = polygons.select("unit", "part", *more, F.inline(geo.segments(closed)).alias("a", "b"))
+    edges = pairs.select("unit", "part", *more, *geo.segment_columns())
     return edges.where((F.col("lat1") != F.col("lat2")) | (F.col("lon1") != F.col("lon2")))
 
 
@@ -110,12 +110,22 @@ def polyfill(polygons: DataFrame, level: int, tile: float = 0.5, band: float = 0
 
 
 def filter_units_in_area(polygons: DataFrame, area: DataFrame) -> DataFrame:
-    """Keep the units whose area centroid lies inside ``area`` (polygons of one territory)."""
+    """Keep the units whose area centroid lies inside ``area`` (polygons of one territory).
+
+    The winding of rings does not matter: of the rings of a part the largest is its
+    outline and the others are holes.
+    """
     lat1, lon1, lat2, lon2 = (F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))
     cross = lon1 * lat2 - lon2 * lat1
-    moments = ring_edges(polygons).groupBy("unit").agg(
-        F.sum(cross).alias("_a"), F.sum((lon1 + lon2) * cross).alias("_x"), F.sum((lat1 + lat2) * cross).alias("_y")
+    ring = ring_edges(polygons.withColumn("_ring", F.xxhash64("ring")), "_ring").groupBy("unit", "part", "_ring").agg(
+        F.sum(cross).alias("a"), F.sum((lon1 + lon2) * cross).alias("x"), F.sum((lat1 + lat2) * cross).alias("y")
+    )
+    # Turn every ring the same way; the outline of a part then counts twice against all rings taken off once.
+    turned = ring.select("unit", "part", F.abs("a").alias("a"), *[(F.signum("a") * F.col(c)).alias(c) for c in ("x", "y")])
+    parts = turned.groupBy("unit", "part").agg(
+        F.max(F.struct("a", "x", "y")).alias("o"), *[F.sum(c).alias(f"_{c}") for c in ("a", "x", "y")]
     )
+    moments = parts.groupBy("unit").agg(*[F.sum(F.col(f"o.{c}") * 2 - F.col(f"_{c}")).alias(f"_{c}") for c in ("a", "x", "y")])
     thrice = F.nullif(F.col("_a") * 3, F.lit(0.0))
     centroids = moments.select(
         F.col("unit").alias("cell"), (F.col("_y") / thrice).alias("lat"), (F.col("_x") / thrice).alias("lon")

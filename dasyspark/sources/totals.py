@@ -12,8 +12,9 @@ from dasyspark.functions.numbers import parse_inr_number
 
 FEATURE_SCHEMA = (
     "type string, features array<struct<type: string, properties: map<string, string>, "
-    "geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
+    "geometry: struct<type: string, coordinates: string>>>"
 )
+RING = "array<array<double>>"
 
 
 def _given(col: Column) -> Column:
@@ -21,12 +22,37 @@ def _given(col: Column) -> Column:
 
 
 def scan_geojson_features(spark: SparkSession, path: str, one_document_per_line: bool = False) -> DataFrame:
-    """One row per feature of FeatureCollection documents: name, properties, geometry."""
+    """One row per feature of FeatureCollection documents: name, properties, geometry, polygons.
+
+    ``geometry`` has the type and, of a Polygon, its rings. ``polygons`` has the rings
+    of every polygon of a Polygon or MultiPolygon; other types have none.
+    """
     reader = spark.read.schema(FEATURE_SCHEMA).option("multiLine", not one_document_per_line)
     features = reader.json(path).select(F.inline("features"))
     properties = F.coalesce("properties", F.create_map().cast("map<string,string>"))
     name = F.coalesce(*[_given(properties[k]) for k in C.FEATURE_NAME_KEYS], F.lit(""))
-    return features.select(name.alias("name"), properties.alias("properties"), "geometry")
+    kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
+    single = F.from_json(F.when(kind == "Polygon", text), f"array<{RING}>")
+    several = F.from_json(F.when(kind == "MultiPolygon", text), f"array<array<{RING}>>")
+    return features.select(
+        name.alias("name"), properties.alias("properties"),
+        F.when(F.col("geometry").isNotNull(), F.struct(kind.alias("type"), single.alias("coordinates"))).alias("geometry"),
+        F.coalesce(F.when(single.isNotNull(), F.array(single)), several, F.array().cast(f"array<array<{RING}>>")).alias("polygons"),
+    )
+
+
+def feature_rings(features: DataFrame, unit: str | Column = "name", source: str | Column | None = None) -> DataFrame:
+    """``unit, part, ring`` of scanned features: a part for every polygon, a row for every ring.
+
+    ``source`` sets parts of equally named features apart (by default a hash of the
+    polygons). Positions are longitude and latitude, further numbers are ignored.
+    """
+    named = F.col(unit) if isinstance(unit, str) else unit
+    own = F.xxhash64(F.to_json("polygons")).cast("string") if source is None else F.col(source).cast("string") if isinstance(source, str) else source
+    parts = features.select(named.alias("unit"), own.alias("_s"), F.posexplode("polygons").alias("_p", "_rings"))
+    rings = parts.select("unit", F.concat_ws("/", "_s", F.col("_p").cast("string")).alias("part"), F.explode("_rings").alias("_r"))
+    ring = F.transform("_r", lambda p: F.struct(F.get(p, F.lit(1)).alias("lat"), F.get(p, F.lit(0)).alias("lon")))
+    return rings.select("unit", "part", ring.alias("ring"))
 
 
 def is_skipped(name: Column, tokens: Sequence[str] = C.SKIP_TOKENS) -> Column:

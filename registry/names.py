@@ -224,7 +224,7 @@ def _(spark, sf):
 
 
 @query("scan_geojson_features", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment WHEN c_custkey % 4 = 1 THEN c_name WHEN c_custkey % 4 = 2 THEN c_custkey::VARCHAR ELSE '' END AS name,
-  CASE WHEN c_custkey % 4 = 3 THEN 0 ELSE 3 END AS n_properties, 5 AS n_vertices FROM customer""")
+  CASE WHEN c_custkey % 4 = 3 THEN 0 ELSE 3 END AS n_properties, CASE WHEN c_custkey % 3 = 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, CASE WHEN c_custkey % 3 = 1 THEN 2 ELSE 1 END AS n_parts, CASE WHEN c_custkey % 3 = 1 THEN 10 ELSE 5 END AS n_vertices FROM customer""")
 def _(spark, sf):
     """Customers written as FeatureCollections, then read back as features."""
     k = F.col("c_custkey")
@@ -233,15 +233,37 @@ def _(spark, sf):
     properties = properties.when(k % 4 == 2, F.create_map(F.lit("NAME_1"), k.cast("string"), F.lit("shapeISO"), F.lit("X"), F.lit("id"), k.cast("string")))
     x, y = (k % 360).cast("double"), F.col("c_nationkey").cast("double")
     ring = F.array(F.array(x, y), F.array(x + 1, y), F.array(x + 1, y + 1), F.array(x, y + 1), F.array(x, k.cast("double")))
-    feature = F.struct(properties.alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
-    document = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")))
+    several = k % 3 == 1
+    other = F.transform(ring, lambda p: F.array(p[0] + 2, p[1]))
+    coordinates = F.when(several, F.to_json(F.array(F.array(other), F.array(ring)))).otherwise(F.to_json(F.array(ring)))
+    document = F.concat(
+        F.lit('{"type": "FeatureCollection", "features": [{"type": "Feature", "properties": '),
+        F.coalesce(F.to_json(properties), F.lit("null")), F.lit(', "geometry": {"type": "'),
+        F.when(several, "MultiPolygon").otherwise("Polygon"), F.lit('", "coordinates": '), coordinates, F.lit("}}]}"))
     path = scratch_path(spark, "geojson")
     table(spark, sf, "customer").select(document.alias("value")).write.text(path)
     read = totals.scan_geojson_features(spark, path, one_document_per_line=True)
-    ring = F.col("geometry.coordinates")[0]
+    ring = F.element_at(F.col("polygons"), -1)[0]
+    vertices = F.aggregate("polygons", F.lit(0), lambda n, p: n + F.size(p[0]))
     return read.select(
-        F.element_at(F.element_at(ring, -1), 2).cast("bigint").alias("c_custkey"), "name",
-        F.size("properties").alias("n_properties"), F.size(ring).alias("n_vertices"))
+        F.element_at(F.element_at(ring, -1), 2).cast("bigint").alias("c_custkey"), "name", F.size("properties").alias("n_properties"),
+        F.col("geometry.type").alias("kind"), F.size("polygons").alias("n_parts"), vertices.alias("n_vertices"))
+
+
+@query("feature_rings", """SELECT s_name AS unit, CASE WHEN s_suppkey % 3 = 0 THEN 3 ELSE 2 END AS rings, CASE WHEN s_suppkey % 3 = 0 THEN 3 ELSE 2 END - (s_suppkey % 2) AS parts,
+  CASE WHEN s_suppkey % 3 = 0 THEN 9 ELSE 6 END AS vertices FROM supplier""")
+def _(spark, sf):
+    """Suppliers as features of two or three triangles, in polygons of their own or as holes, then as ring rows."""
+    k = F.col("s_suppkey")
+    triangle = lambda i: F.array(*[F.array(k * 1.0 + i + x, F.lit(y)) for x, y in ((0.0, 0.0), (0.5, 0.0), (0.0, 0.5))])
+    alone = F.array(triangle(1))
+    first = F.when(k % 2 == 1, F.array(triangle(0), triangle(3))).otherwise(F.array(triangle(0)))
+    rest = F.when(k % 2 == 1, F.when(k % 3 == 0, F.array(alone)).otherwise(F.array().cast("array<array<array<array<double>>>>")))
+    rest = rest.otherwise(F.when(k % 3 == 0, F.array(alone, alone)).otherwise(F.array(alone)))
+    features = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.concat(F.array(first), rest).alias("polygons"))
+    rings = totals.feature_rings(features)
+    return rings.groupBy("unit").agg(
+        F.count(F.lit(1)).cast("int").alias("rings"), F.count_distinct("part").cast("int").alias("parts"), F.sum(F.size("ring")).cast("int").alias("vertices"))
 
 
 @query("scan_ckan_records", f"""SELECT nm AS source_name, v AS y_crore, p AS note FROM (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'Grand TOTAL ' || o_orderkey WHEN o_orderkey % 7 = 0 THEN 'Nashik Div. ' || o_orderkey

@@ -103,3 +103,29 @@ def test_catalog_keeps_what_was_not_rebuilt(spark):
     new = spark.createDataFrame([("MH", 2)], "state string, n int")
     old = spark.createDataFrame([("MH", 1), ("UP", 5)], "state string, n int")
     assert sorted(tuple(r) for r in publish.build_catalog(new, old).collect()) == [("MH", 2), ("UP", 5)]
+
+
+def test_multipolygons_and_winding(spark, tmp_path):
+    from dasyspark.operators import spatial
+
+    box = lambda x, y, s: [[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]]
+    features = [
+        ("one", {"type": "Polygon", "coordinates": [box(0, 0, 4), box(1, 1, 1)[::-1]]}),
+        ("same", {"type": "Polygon", "coordinates": [box(0, 0, 4), box(1, 1, 1)]}),
+        ("turned", {"type": "Polygon", "coordinates": [box(0, 0, 4)[::-1], box(1, 1, 1)]}),
+        ("two", {"type": "MultiPolygon", "coordinates": [[box(0, 0, 1)], [box(10, 0, 3)[::-1]]]}),
+        ("point", {"type": "Point", "coordinates": [1, 2]}), ("none", None),
+    ]
+    (tmp_path / "m.geojson").write_text(json.dumps({
+        "type": "FeatureCollection",
+        "features": [{"type": "Feature", "properties": {"name": n}, "geometry": g} for n, g in features],
+    }))
+    read = totals.scan_geojson_features(spark, str(tmp_path / "m.geojson"))
+    assert {r["name"]: len(r.polygons) for r in read.collect()} == {"one": 1, "same": 1, "turned": 1, "two": 2, "point": 0, "none": 0}
+    rings = totals.feature_rings(read)
+    assert {(r.unit, r["count"]) for r in rings.groupBy("unit").count().collect()} == {("one", 2), ("same", 2), ("turned", 2), ("two", 2)}
+    # Centroids: (2.0333, 2.0333) whatever the winding, and (9.1..., 1.4) for the pair.
+    area = lambda x, y, s: spark.createDataFrame([("a", "0", [(q, p) for p, q in box(x, y, s)])], "unit string, part string, ring array<struct<lat: double, lon: double>>")
+    kept = lambda a: {r.unit for r in spatial.filter_units_in_area(rings, a).collect()}
+    assert kept(area(2.0, 2.0, 0.1)) == {"one", "same", "turned"}
+    assert kept(area(10.3, 1.3, 0.2)) == {"two"}
