@@ -1,8 +1,9 @@
 """Fitting a non-negative per-capita intensity from unit totals alone.
 
 ``s = scale * softplus(w.x + b)``. Each epoch is one Spark job: partitions sum
-``s * pop`` and its gradient per unit, the units turn into residuals, and one
-row per seed comes back. Only weights ever live on the driver.
+``s * pop`` and its gradient per unit, the sums of a unit meet and turn into
+residuals, and one row per task and seed comes back. Only weights ever live on
+the driver.
 """
 
 from __future__ import annotations
@@ -103,35 +104,69 @@ def _partial_sums(features: list[str], weights: np.ndarray, scale: float, tau: f
     return run
 
 
+PARTIAL = "unit string, k int, z double, grad array<double>"
+
+
+def _residuals(width: int, seeds: int, n_units: int, pop: float):
+    """Task function: loss terms and gradient per seed from partial sums that come sorted by unit.
+
+    A row with k = -1 holds the published total of a unit to train on; units
+    without one pull nothing. The rows without unit are those of the floor term.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+        import pandas as pd
+
+        l_agg, l_floor, grad = np.zeros(seeds), np.zeros(seeds), np.zeros((seeds, width))
+        z, g = np.zeros(seeds), np.zeros((seeds, width))
+        now, total = None, None
+
+        def close():
+            if now is None:
+                l_floor[:] += z / pop
+                grad[:] += C.FLOOR_WEIGHT / pop * g
+            elif total is not None:
+                gap = np.log10(z + C.LOG_EPS) - np.log10(total + C.LOG_EPS)
+                l_agg[:] += gap * gap / n_units
+                grad[:] += (gap * 2 / (z + C.LOG_EPS) / (math.log(10) * n_units))[:, None] * g
+
+        for batch in batches:
+            for unit, k, value, part in batch.itertuples(index=False):
+                unit = None if unit is None or unit != unit else unit
+                if unit != now:
+                    close()
+                    now, total = unit, None
+                    z[:], g[:] = 0, 0
+                if k < 0:
+                    total = value
+                else:
+                    z[k] += value
+                    g[k] += part
+        close()
+        yield pd.DataFrame({"k": range(seeds), "l_agg": l_agg, "l_floor": l_floor, "grad": grad.tolist()})
+
+    return run
+
+
 def _epoch(
     data: DataFrame, totals: DataFrame, features: list[str], weights: np.ndarray, scale: float, n_units: int, pop: float
 ):
-    """Loss terms and gradient per seed under the current weights: one job, one row per seed back."""
+    """Loss terms and gradient per seed under the current weights: one job, a row per task and seed back."""
     width = len(features) + 1
-    partial = data.mapInPandas(
-        _partial_sums(features, weights, scale, C.FLOOR_TAU, FLUSH_UNITS), "unit string, k int, z double, grad array<double>"
-    )
-    units = partial.groupBy("unit", "k").agg(
-        F.sum("z").alias("z"), *[F.sum(F.col("grad")[i]).alias(f"g{i}") for i in range(width)]
-    )
-    joined = units.join(totals, "unit", "left")
-    floor_row, used = F.col("unit").isNull(), F.coalesce(F.col("train"), F.lit(False))
-    gap = F.log10(F.col("z") + F.lit(C.LOG_EPS)) - F.log10(F.col("y_inr") + F.lit(C.LOG_EPS))
-    pull = gap * 2 / (F.col("z") + F.lit(C.LOG_EPS)) / F.lit(math.log(10) * n_units)
-    rows = (
-        joined.withColumn("_w", F.when(floor_row, F.lit(C.FLOOR_WEIGHT / pop)).when(used, pull).otherwise(0.0))
-        .groupBy("k")
-        .agg(
-            (F.sum(F.when(used, gap * gap).otherwise(0.0)) / n_units).alias("l_agg"),
-            (F.sum(F.when(floor_row, F.col("z")).otherwise(0.0)) / pop).alias("l_floor"),
-            *[F.sum(F.col("_w") * F.col(f"g{i}")).alias(f"g{i}") for i in range(width)],
-        )
-        .collect()
+    partial = data.mapInPandas(_partial_sums(features, weights, scale, C.FLOOR_TAU, FLUSH_UNITS), PARTIAL)
+    known = totals.where("train").select(
+        "unit", F.lit(-1).alias("k"), F.col("y_inr").cast("double").alias("z"), F.lit(None).cast("array<double>").alias("grad")
     )
+    met = partial.unionByName(known).repartition("unit").sortWithinPartitions("unit")
+    rows = met.mapInPandas(
+        _residuals(width, len(weights), n_units, pop), "k int, l_agg double, l_floor double, grad array<double>"
+    ).collect()
     l_agg, l_floor, grad = np.zeros(len(weights)), np.zeros(len(weights)), np.zeros_like(weights)
     for row in rows:
-        l_agg[row["k"]], l_floor[row["k"]] = row["l_agg"], row["l_floor"]
-        grad[row["k"]] = [row[f"g{i}"] for i in range(width)]
+        l_agg[row["k"]] += row["l_agg"]
+        l_floor[row["k"]] += row["l_floor"]
+        grad[row["k"]] += row["grad"]
     return l_agg, l_floor, grad
 
 

@@ -279,9 +279,6 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------------- fit
 
-FAST = {"epochs": 4, "lr": 0.1}
-
-
 def training(spark, sf):
     wide, names = featured(spark, sf)
     return materialize(wide, "features"), materialize(totals(spark, sf), "totals"), names
@@ -290,21 +287,21 @@ def training(spark, sf):
 @query("fit_intensity")
 def _(spark, sf):
     wide, known, names = training(spark, sf)
-    fit = FIT.fit_intensity(wide, known, names, seeds=(0,), **FAST)
+    fit = FIT.fit_intensity(wide, known, names, seeds=(0,))
     return wide.select("cell", "unit", fit.intensity(0).alias("intensity_raw"))
 
 
 @query("fit_ensemble")
 def _(spark, sf):
     out, _ = disaggregate(
-        cells(spark, sf).drop("intensity_raw"), totals(spark, sf), seeds=C.SEEDS, units=nations(spark, sf), territories=regions(spark, sf), **FAST)
+        cells(spark, sf).drop("intensity_raw"), totals(spark, sf), seeds=C.SEEDS, units=nations(spark, sf), territories=regions(spark, sf))
     return out.select("cell", "unit", "intensity_raw", "gdp_crore", "wealth_index", "wealth_index_min", "wealth_index_max", "wealth_quintile")
 
 
 @query("spatial_holdout")
 def _(spark, sf):
     wide, known, names = training(spark, sf)
-    return FIT.spatial_holdout(wide, known, names, **FAST)
+    return FIT.spatial_holdout(wide, known, names)
 
 
 @query("holdout_units", with_ctes(
@@ -316,7 +313,7 @@ def _(spark, sf):
 @query("ablation")
 def _(spark, sf):
     wide, known, names = training(spark, sf)
-    return FIT.ablation(wide, known, names, **FAST)
+    return FIT.ablation(wide, known, names)
 
 
 @query("best_epoch", """SELECT tag, seed, (m).epoch AS epoch, (m).loss AS loss FROM (SELECT event_type AS tag, user_id AS seed, min({'loss': round(value, 0), 'epoch': event_id}) AS m FROM events GROUP BY ALL)""")
@@ -332,4 +329,4 @@ def _(spark, sf):
     from dasyspark.operators.evaluate import evaluation_report
 
     wide, known, names = training(spark, sf)
-    return evaluation_report(cells(spark, sf).drop("intensity_raw"), wide, known, names, units=nations(spark, sf), **FAST)
+    return evaluation_report(cells(spark, sf).drop("intensity_raw"), wide, known, names, units=nations(spark, sf))
