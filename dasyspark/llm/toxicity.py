@@ -1,7 +1,8 @@
 """Toxicity by a logistic model whose scores must not move when identity terms are swapped.
 
-Words that separate the labelled classes are chosen by a test over all labelled
-rows. The weights minimise the log loss plus ``penalty`` times the squared change
+Words and stems (first letters of words) that separate the labelled classes are
+chosen by a test over all labelled rows: abuse is inflected, so a stem is met far
+more often than any of its forms. The weights minimise the log loss plus ``penalty`` times the squared change
 of the logit between a labelled text and its counterfactuals, the same text with
 an identity term replaced by another of its set. So a mention of a group, neutral
 or not, carries no weight of its own.
@@ -22,6 +23,9 @@ from dasyspark.llm.common import join_small
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
+STEMS = (4, 5, 6)
+MOST_HELD = 400_000
+
 # Sets of words that name groups; words of one set stand in for one another.
 IDENTITY: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys", "transgender"),
@@ -40,12 +44,22 @@ def word_set(text: str | None) -> set[str]:
     return set(LETTERS.findall(text.lower())) if text else set()
 
 
-def counterfactuals(words: set[str], groups=IDENTITY) -> list[set[str]]:
-    """The word set with each identity term replaced by each other term of its set."""
+def with_stems(words) -> set[str]:
+    """Words and their stems, which end in a star."""
+    words = list(words)
+    out = set(words)
+    for n in STEMS:
+        out.update([w[:n] + "*" for w in words if len(w) >= n])
+    return out
+
+
+def counterfactuals(features: set[str], groups=IDENTITY) -> list[set[str]]:
+    """The feature set with each identity term, and its stems, replaced by each other term of its set."""
     made = []
     for group in groups:
-        for term in words.intersection(group):
-            made += [(words - {term}) | {other} for other in group if other != term]
+        for term in features.intersection(group):
+            rest = features - with_stems([term])
+            made += [rest | with_stems([other]) for other in group if other != term]
     return made
 
 
@@ -56,10 +70,11 @@ class Model:
     bias: float
 
     def logit(self, words: set[str]) -> float:
+        """Of a set of words and stems."""
         return self.bias + float(sum(self.weights[self.vocabulary[w]] for w in sorted(words & self.vocabulary.keys())))
 
     def score(self, text: str | None) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.logit(word_set(text)), -500, 500))))
+        return float(1.0 / (1.0 + np.exp(-np.clip(self.logit(with_stems(word_set(text))), -500, 500))))
 
 
 def separating_words(labelled: DataFrame, label: str, least: int, most: int) -> list[str]:
@@ -67,18 +82,24 @@ def separating_words(labelled: DataFrame, label: str, least: int, most: int) ->
 
     def count(batches):
         seen: tuple[Counter, Counter] = Counter(), Counter()
-        rows = [0, 0]
+
+        def flush():
+            words = list(seen[0].keys() | seen[1].keys())
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)],
+                names=["word", "n0", "n1"],
+            )
+            for c in seen:
+                c.clear()
+            return made
+
         for batch in batches:
             for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen[y].update(word_set(text))
-                rows[y] += 1
-        # The empty word stands for the number of rows.
-        seen[0][""], seen[1][""] = rows
-        words = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)],
-            names=["word", "n0", "n1"],
-        )
+                seen[y].update(with_stems(word_set(text)))
+                seen[y][""] += 1  # the empty word stands for the number of rows
+                if len(seen[0]) + len(seen[1]) > MOST_HELD:
+                    yield flush()
+        yield flush()
 
     found = (
         labelled.select("text", F.col(label).cast("int").alias("y")).mapInArrow(count, "word string, n0 long, n1 long")
@@ -104,11 +125,14 @@ def separating_words(labelled: DataFrame, label: str, least: int, most: int) ->
 
 
 def train(
-    rows: list[tuple[set[str], int]], words: list[str], groups=IDENTITY, penalty: float = 10.0, ridge: float = 1e-3,
-    steps: int = 400, rate: float = 0.2,
+    rows: list[tuple[set[str], int]], words: list[str], groups=IDENTITY, penalty: float = 10.0, ridge: float = 1e-4,
+    steps: int = 600, rate: float = 0.2,
 ) -> Model:
-    """Full-batch fit of the penalised logistic loss from word sets with labels; no randomness."""
-    terms = [t for g in groups for t in g if t not in set(words)]
+    """Full-batch fit of the penalised logistic loss from feature sets with labels; no randomness.
+
+    Both classes weigh the same in the loss, so that one rare insult is enough.
+    """
+    terms = sorted(with_stems(t for g in groups for t in g) - set(words))
     vocabulary = {w: i for i, w in enumerate([*words, *terms])}
     d = len(vocabulary)
 
@@ -122,11 +146,13 @@ def train(
     changed = [(i, c) for i, (s, _) in enumerate(rows) for c in counterfactuals(s, groups)]
     delta = matrix([c for _, c in changed]) - x[[i for i, _ in changed]] if changed else np.zeros((0, d), np.float32)
     gram = delta.T @ delta / max(1, len(changed))
+    positive = min(max(float(y.mean()), 1e-6), 1 - 1e-6) if len(y) else 0.5
+    weight = np.where(y == 1, 0.5 / positive, 0.5 / (1 - positive)).astype(np.float32) / max(1, len(y))
     w, b = np.zeros(d, np.float32), np.float32(0)
     m, v = np.zeros(d + 1, np.float32), np.zeros(d + 1, np.float32)
     for step in range(1, steps + 1 if len(rows) else 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        error = (p - y) / len(rows)
+        error = (p - y) * weight
         g = np.append(x.T @ error + 2 * ridge * w + 2 * penalty * (gram @ w), error.sum()).astype(np.float32)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -151,13 +177,13 @@ def fit(
     )
     rows = join_small(docs.select("doc_id", "text"), marks, "doc_id", "inner", 16)
     words = separating_words(rows, "y", least, max_words)
-    kept = set(words) | {t for g in groups for t in g}
+    kept = set(words) | with_stems(t for g in groups for t in g)
 
     def features(batches):
         for batch in batches:
             ids, texts, ys = (c.to_pylist() for c in batch.columns)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([sorted(word_set(t) & kept) for t in texts], pa.list_(pa.string())),
+                [pa.array(ids, pa.int64()), pa.array([sorted(with_stems(word_set(t)) & kept) for t in texts], pa.list_(pa.string())),
                  pa.array(ys, pa.int32())],
                 names=["doc_id", "words", "y"],
             )
