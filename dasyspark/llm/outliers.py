@@ -22,7 +22,7 @@ from dasyspark.session import materialize
 
 #: The statistics, and the least standard deviation each is given.
 STATS = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
-FLOORS = (0.25, 0.04, 0.05, 0.05, 0.05)
+FLOORS = (0.25, 0.04, 0.04, 0.12, 0.12)
 D = len(STATS)
 #: Median of the chi-square distribution with five degrees of freedom.
 CHI_MEDIAN = 4.35146
@@ -36,7 +36,7 @@ class Settings:
     share: float = 0.75
     cut: float = 60.0
     steps: int = 6
-    least: int = 100
+    least: int = 50
 
 
 # ------------------------------------------------------------------- counts
