@@ -77,8 +77,8 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.logit(with_stems(word_set(text))), -500, 500))))
 
 
-def separating_words(labelled: DataFrame, label: str, least: int, most: int) -> list[str]:
-    """Words of at least ``least`` labelled texts, by the likelihood ratio of their presence in either class."""
+def separating_words(labelled: DataFrame, label: str, least: int, most: int) -> tuple[list[str], int]:
+    """Words of at least ``least`` labelled texts, by the likelihood ratio of their presence in either class; the number of texts."""
 
     def count(batches):
         seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -110,7 +110,7 @@ def separating_words(labelled: DataFrame, label: str, least: int, most: int) ->
     totals = found.where("word = ''").select(F.col("n0").alias("t0"), F.col("n1").alias("t1")).first()
     t0, t1 = (totals[0] or 0, totals[1] or 0) if totals else (0, 0)
     if not t0 or not t1:
-        return []
+        return [], t0 + t1
     n, rate = F.col("n0") + F.col("n1"), t1 / (t0 + t1)
 
     def part(seen, expected):
@@ -121,7 +121,7 @@ def separating_words(labelled: DataFrame, label: str, least: int, most: int) ->
         + part(t1 - F.col("n1"), (t0 + t1 - n) * rate) + part(t0 - F.col("n0"), (t0 + t1 - n) * (1 - rate))
     )
     chosen = found.where("word <> ''").withColumn("g", F.round(g, 6)).where("g > 12")
-    return [r[0] for r in chosen.orderBy(F.desc("g"), "word").limit(most).select("word").collect()]
+    return [r[0] for r in chosen.orderBy(F.desc("g"), "word").limit(most).select("word").collect()], t0 + t1
 
 
 def train(
@@ -167,7 +167,7 @@ def fit(
     """Fit on ``docs`` (doc_id, text) joined with ``labels`` (doc_id, ``label``).
 
     The words are chosen over all labelled rows; the weights are fitted on at most
-    ``max_rows`` of them, those with the smallest hash of their doc_id. Rows
+    ``max_rows`` of them, those with the smallest hash of their doc_id modulo 2^20. Rows
     without id or label are left out, an id labelled twice counts as 1 if any
     label is. Without rows of both classes every score is one half or the base rate.
     """
@@ -176,7 +176,7 @@ def fit(
         .agg(F.max(label).cast("int").alias("y"))
     )
     rows = join_small(docs.select("doc_id", "text"), marks, "doc_id", "inner", 16)
-    words = separating_words(rows, "y", least, max_words)
+    words, n = separating_words(rows, "y", least, max_words)
     kept = set(words) | with_stems(t for g in groups for t in g)
 
     def features(batches):
@@ -189,7 +189,11 @@ def fit(
             )
 
     order = F.xxhash64(F.col("doc_id"))
-    chosen = rows.withColumn("text", F.coalesce("text", F.lit(""))).select(F.col("doc_id").cast("long"), "text", "y")
+    # Rows with a hash this small are hardly more than wanted, so each task sends few of them.
+    share = min(1.0, 1.2 * max_rows / max(1, n))
+    near = F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    order = F.pmod(order, F.lit(1 << 20))
+    chosen = rows.where(near).withColumn("text", F.coalesce("text", F.lit(""))).select(F.col("doc_id").cast("long"), "text", "y")
     sample = (
         chosen.mapInArrow(features, "doc_id long, words array<string>, y int")
         .orderBy(order, "doc_id", F.concat_ws(" ", "words")).limit(max_rows)
