@@ -13,8 +13,9 @@ that also signs under another hashing, at the last one with its empty subsets
 too. A pair that only meets in empty subsets has both its sets in that case.
 
 Equal sets are one node from the start. Sets that share signatures make
-candidate groups; a group is checked in blocks of bounded size against its most
-frequent members first, and then only what is still apart is compared, so that a
+candidate groups; large ones are told apart by a second signing with larger
+subsets. A group is checked in blocks of bounded size against its most frequent
+members first, and then only what is still apart is compared, so that a
 tight group of any size costs little more than its members.
 """
 
@@ -37,7 +38,7 @@ from dasyspark.llm.components import Forest, connected
 from dasyspark.session import materialize
 
 LEVELS = 3
-BLOCK, HUBS = 512, 16
+BLOCK, HUBS = 768, 16
 SIGNATURES_PER_BUCKET = 1_500_000
 
 
@@ -61,10 +62,10 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 
 def node_of(shingles: np.ndarray) -> int | None:
-    """64-bit identity of a set; None for the empty one."""
+    """Identity of a set, an even number of 64 bits; None for the empty one."""
     if not len(shingles):
         return None
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63
+    return (xxhash.xxh3_64_intdigest(shingles.tobytes()) << 1) % 2**64 - 2**63
 
 
 # ------------------------------------------------------------------ signing
@@ -104,12 +105,20 @@ def band_of(size: int, num: int, den: int) -> int:
 
 def signatures(shingles: np.ndarray, num: int, den: int, slack: int = 1, keep: int = 1) -> np.ndarray:
     """All signatures of one non-empty set, for its band and the one below."""
+    return np.concatenate([s for _, s in signatures_by_band(shingles, num, den, slack, keep)])
+
+
+def signatures_by_band(
+    shingles: np.ndarray, num: int, den: int, slack: int, keep: int, seed: int = 0
+) -> list[tuple[int, np.ndarray]]:
+    """(0, signatures with the band below) and (1, signatures with the band above); the lowest band has no 0."""
     own = band_of(len(shingles), num, den)
-    out = []
-    for band in {own, max(0, own - 1)}:
+    bands = []
+    for band in sorted({own, max(0, own - 1)}):
+        out = []
         n1, n2, k2, spare = scheme(band, num, den, slack, keep)
         for level in range(LEVELS):
-            salt = mix(np.uint64([band * 64 + level + 1]))[0]
+            salt = mix(np.uint64([(seed << 32) + band * 64 + level + 1]))[0]
             h = mix(shingles ^ salt)
             cell = ((h >> np.uint64(32)) % np.uint64(n1 * n2)).astype(np.int64)
             total = np.zeros(n1 * n2, np.uint64)
@@ -129,7 +138,29 @@ def signatures(shingles: np.ndarray, num: int, den: int, slack: int = 1, keep: i
                 out.append(made if level == LEVELS - 1 else made[there])
             if dead.sum() <= spare:
                 break
-    return np.concatenate(out)
+        bands.append((int(band == own), np.concatenate(out)))
+    return bands
+
+
+BLOBS = "bucket int, nodes binary, at binary, high binary, low binary"
+
+
+def blobs(sig: np.ndarray, owner: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row for each bucket of these (signature, node) pairs."""
+    bucket = (sig % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    sig, owner, bucket = sig[order] >> np.uint64(16), owner[order], bucket[order]
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    rows: dict[str, list] = {"bucket": [], "nodes": [], "at": [], "high": [], "low": []}
+    for b in np.flatnonzero(np.diff(cuts)):
+        here = slice(cuts[b], cuts[b + 1])
+        found, at = np.unique(owner[here], return_inverse=True)
+        rows["bucket"].append(int(b))
+        rows["nodes"].append(found.tobytes())
+        rows["at"].append(at.astype(np.uint32 if len(found) > 65_535 else np.uint16).tobytes())
+        rows["high"].append((sig[here] >> np.uint64(16)).astype(np.uint32).tobytes())
+        rows["low"].append((sig[here] & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
+    return pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in list(rows)[1:])]))
 
 
 def sign(docs: DataFrame, width: int, num: int, den: int, buckets: int, slack: int, keep: int) -> DataFrame:
@@ -149,28 +180,44 @@ def sign(docs: DataFrame, width: int, num: int, den: int, buckets: int, slack: i
                         signed.append(signatures(s, num, den, slack, keep))
                 if not nodes:
                     continue
-                sig = np.concatenate(signed)
-                owner = np.repeat(np.array(nodes, np.int64), [len(x) for x in signed])
-                bucket = (sig % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                sig, owner, bucket = sig[order] >> np.uint64(16), owner[order], bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows: dict[str, list] = {"bucket": [], "nodes": [], "at": [], "high": [], "low": []}
-                for b in np.flatnonzero(np.diff(cuts)):
-                    here = slice(cuts[b], cuts[b + 1])
-                    found, at = np.unique(owner[here], return_inverse=True)
-                    rows["bucket"].append(int(b))
-                    rows["nodes"].append(found.tobytes())
-                    rows["at"].append(at.astype(np.uint32 if len(found) > 65_535 else np.uint16).tobytes())
-                    rows["high"].append((sig[here] >> np.uint64(16)).astype(np.uint32).tobytes())
-                    rows["low"].append((sig[here] & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-                yield pa.RecordBatch.from_pydict(
-                    rows, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in list(rows)[1:])])
+                yield blobs(
+                    np.concatenate(signed), np.repeat(np.array(nodes, np.int64), [len(x) for x in signed]), buckets
                 )
 
     return docs.select("text").where("text IS NOT NULL").mapInArrow(
-        run, "bucket int, nodes binary, at binary, high binary, low binary"
+        run, BLOBS
+    )
+
+
+def refine(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
+    """Groups of sets (node, root, shingles) told apart by a second, independent signing with larger subsets.
+
+    Similar sets share a signature under any hashing, so only chance meetings fall
+    apart. Here a group also stays within two neighbouring bands: a set takes part
+    once with the band below and once with the one above, as node and node + 1.
+    Gives (member, node, root, degree, shingles) of sets that still meet another.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            sigs, owners = [], []
+            for node, root, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                inside = mix(np.array([root], np.int64).astype(np.uint64))
+                for upper, sig in signatures_by_band(np.frombuffer(raw, np.uint64), num, den, 1, 3, seed=1):
+                    sigs.append(mix(sig ^ inside))
+                    owners.append(np.full(len(sig), node + upper))
+            if sigs:
+                yield blobs(np.concatenate(sigs), np.concatenate(owners), buckets)
+
+    met = materialize(
+        sets.select("node", "root", "shingles").mapInArrow(run, BLOBS).repartition(buckets, "bucket").groupBy("bucket")
+        .applyInPandas(meet, "node long, root long, degree long"),
+        "refined",
     )
+    groups = connected(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    degrees = met.groupBy("node").agg(F.sum("degree").alias("degree"))
+    members = groups.join(degrees, "node").withColumnRenamed("node", "member")
+    return sets.select("node", "shingles").join(members, F.col("node") == F.col("member").bitwiseAND(F.lit(-2)))
 
 
 def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -262,8 +309,11 @@ def verify(rows: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
 
 def link_candidates(candidates: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Edges whose components are those of all links among candidate nodes (node, doc_id, root, degree)."""
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
-    placed = materialize(candidates.join(sizes, "root"), "candidates")
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("root").agg(F.count("*").alias("size")), "root")
+
+    placed = materialize(sized(candidates), "candidates")
     texts = join_small(docs.select("doc_id", "text"), placed, "doc_id", "inner", 64)
     sets = materialize(
         map_batches(
@@ -280,20 +330,29 @@ def link_candidates(candidates: DataFrame, docs: DataFrame, width: int, num: int
         "sets",
     )
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    small = sets.where(F.col("size") <= BLOCK).withColumns(
-        {"ask": F.lit(True), "label": F.col("node"), "block": F.lit(0)}
-    )
-    large = sets.where(F.col("size") > BLOCK)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        few = rows.where(F.col("size") <= BLOCK)
+        return few.withColumns({"ask": F.lit(True), "label": F.col("node"), "block": F.lit(0)})
+
+    small = whole(sets)
     if not placed.where(F.col("size") > BLOCK).limit(1).count():
         return materialize(verify(small, ["root", "block"], num, den), "links")
+    wide = refine(sets.where(F.col("size") > BLOCK), num, den, shuffle_partitions(docs.sparkSession))
+    wide = materialize(wide.select("member", "node", "root", "degree", "shingles"), "wide")
+    sizes = materialize(wide.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+    wide = wide.join(sizes, "root")
+    small = small.unionByName(whole(wide.drop("member")))
+    large = wide.where(F.col("size") > BLOCK)
+    placed = large.drop("shingles")
     # Large groups: the most frequent member of each of some slots against blocks of all.
     hubs = (
-        placed.where(F.col("size") > BLOCK).groupBy("root", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot"))
+        placed.groupBy("root", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot"))
         .agg(F.expr("max_by(node, struct(degree, node))").alias("hub"))
         .groupBy("root").agg(F.collect_list("hub").alias("hubs"))
     )
     with_hubs = materialize(
-        large.join(hubs, "root").withColumn("ask", F.array_contains("hubs", F.col("node"))).drop("hubs"), "hubs"
+        large.drop("member").join(hubs, "root").withColumn("ask", F.array_contains("hubs", F.col("node"))).drop("hubs"), "hubs"
     )
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     spread = with_hubs.withColumns({
