@@ -318,11 +318,9 @@ def _sorter(length: int):
 # --------------------------------------------------------------------- plan
 
 
-def _per_document(ranges: DataFrame, *fields: str) -> tuple[DataFrame, bool]:
-    """One row per doc_id with its ranges, and whether a count proves all of them small."""
-    count = ranges.count()
-    rows = ranges.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("ranges"))
-    return rows, count * 24 <= 24 << 20
+def _per_document(ranges: DataFrame, *fields: str) -> DataFrame:
+    """One row per doc_id with its ranges."""
+    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("ranges"))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -336,8 +334,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         "settled",
     )
     known = settled.where("key IS NULL").select("doc_id", "low", "width")
-    open_rows, tiny = _per_document(settled.where("key IS NOT NULL"), "low", "width", "anchor")
-    pairs = docs.join(F.broadcast(open_rows) if tiny else open_rows, "doc_id")
+    pairs = docs.join(_per_document(settled.where("key IS NOT NULL"), "low", "width", "anchor"), "doc_id")
 
     def fetch(batches):
         for batch in batches:
@@ -380,9 +377,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    ranges, tiny = _per_document(repeated_windows(texts, length), "low", "width")
+    ranges = _per_document(repeated_windows(texts, length), "low", "width")
     ranges = ranges.select(F.col("doc_id").alias("_id"), F.col("ranges").alias("_ranges"))
-    joined = docs.join(F.broadcast(ranges) if tiny else ranges, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    joined = docs.join(ranges, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     at, last = docs.columns.index("text"), len(docs.columns)
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
 

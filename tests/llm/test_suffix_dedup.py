@@ -44,11 +44,8 @@ def test_equal_to_looking_at_every_window(spark, make, seed):
     assert {r.doc_id: (bytes(r.kept), len(r.spans)) for r in rows} == plain(docs)
 
 
-def test_shuffled_joins_and_other_lengths_agree(make, monkeypatch):
+def test_other_lengths_agree(make):
     docs = passages(9)
-    monkeypatch.setattr(S, "_per_document", lambda ranges, *fields: (
-        ranges.groupBy("doc_id").agg(S.F.collect_list(S.F.struct(*fields)).alias("ranges")), False
-    ))
     for length in (40, 300):
         rows = S.remove_repeats(make(docs), length).collect()
         assert {r.doc_id: (bytes(r.kept), len(r.spans)) for r in rows} == plain(docs, length)
