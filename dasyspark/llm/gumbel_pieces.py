@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from dasyspark.llm.common import mix, pieces
 
 CHUNK = re.compile(" *[^ ]+| +")
-MOST_CHUNKS = 150_000
+MOST_CHUNKS = 60_000
 TINY = 1e-16  # mass of what is left but lost in rounding
 
 
@@ -83,11 +84,8 @@ class Lattices:
         self.start: list[int] = []
         self.end: list[int] = []
         self.mass: list[float] = []
-        self._keys: list[float] = []
-        self._pred: list[int] = []
-        self._piece: list[int] = []
-        self._weight: list[float] = []
-        self._ways: list[float] = []  # of a node: number of paths that reach it
+        self._keys, self._pred, self._piece, self._weight = array("d"), array("q"), array("i"), array("d")
+        self._ways = array("d")  # of a node: number of paths that reach it
         self.nodes = 0
         self.arrays = None
 
@@ -150,7 +148,7 @@ class Lattices:
         self.start.append(base)
         self.end.append(base + n)
         self.mass.append(total[n])
-        self._ways += ways
+        self._ways.extend(ways)
         self.nodes += n + 1 + len(extra)
         self.arrays = None
         return number
@@ -353,7 +351,7 @@ def sample_segmentations(
     def run(batches):
         lattices = Lattices(vocabulary(path, power))
         for batch in batches:
-            for part in pieces(batch, 3_000_000):
+            for part in pieces(batch, 1_000_000):
                 keys = part.column(0).to_pylist()
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 seeds = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{x}".encode()) for x in keys], np.uint64)
