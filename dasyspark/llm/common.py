@@ -20,6 +20,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER_AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+ROWS_PER_BATCH = 1_000
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text) if text else []
 
@@ -86,12 +89,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python some megabytes at a time; the default of 10,000 rows suits narrow rows only."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
 
 
 __all__ = [
     "SPACES", "WORD", "LOWER_AZ", "words_of", "crc_mod", "fold", "map_batches", "pieces", "mix", "small", "join_small",
-    "shuffle_partitions", "documents", "materialize",
+    "shuffle_partitions", "small_batches", "documents", "materialize",
 ]

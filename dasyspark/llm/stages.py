@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from dasyspark.llm import langid, packing, partenum, suffix_dedup, tokens
 from dasyspark.llm import toxicity as toxic
-from dasyspark.llm.common import fold, join_small
+from dasyspark.llm.common import fold, join_small, small_batches
 from dasyspark.session import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a learned language; those without letters, or with hardly any likeness to all, go."""
+    small_batches(spark)
     profiles = langid.fit_profiles(docs.where(fold(F.col("doc_id"), 5) != 0))
     judged = langid.identify(docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns if c != "text"}), profiles)
     kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0.02))
@@ -22,6 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier, learnt from the labels of what is left, calls toxic."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxic.fit(docs.where(fold(F.col("doc_id"), 5) != 0), labels)
     judged = toxic.score(docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns if c != "text"}), model)
@@ -34,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat a doc_id leave one; rows without a doc_id stay.
     """
+    small_batches(spark)
     found = partenum.jaccard_components(docs, width=5, num=80, den=100)
     gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     kept = join_small(docs, gone, "doc_id", "left_anti", 16)
@@ -48,6 +51,7 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Documents stay, also those with nothing left.
     """
+    small_batches(spark)
     names = {c: f"_in_{c}" for c in docs.columns if c not in ("doc_id", "text")}
     cut = suffix_dedup.remove_repeats(docs.withColumnsRenamed(names)).drop("text", "spans")
     at = cut.columns.index("kept")
@@ -69,6 +73,7 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into windows of 1024 tokens: one row per piece."""
+    small_batches(spark)
     import public_tokenizers
 
     encoder = tokens.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
