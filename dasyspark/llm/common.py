@@ -54,7 +54,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], s
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``text`` holds about so many bytes at most (single rows may hold more)."""
     sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
     total = np.cumsum(np.nan_to_num(sizes.astype(float)))
