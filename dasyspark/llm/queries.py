@@ -57,7 +57,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
     # The ranks of byte_bpe_50k.json, in the form that encodes fastest.
-    encoder = tokens.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = tokens.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
     return packing.pack_documents(documents(spark, sf), encoder)
 
 

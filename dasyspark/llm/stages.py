@@ -76,5 +76,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     import public_tokenizers
 
-    encoder = tokens.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = tokens.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
     return packing.pack_documents(docs, encoder)

@@ -82,6 +82,28 @@ def test_ids_equal_those_of_the_json_vocabulary(spark):
         assert known.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_added_tokens_get_their_ids_as_in_the_json_vocabulary():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known = Tokenizer.from_file(path)
+    make = tokens.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokens.added_tokens(path))
+    texts = ["<|endoftext|> y", "a  <|endoftext|><|endoftext|>\n b", "x<|endoftext|", "é<|endoftext|>", "plain  text"]
+    for text, ids in zip(texts, make()(texts), strict=True):
+        assert known.encode(text, add_special_tokens=False).ids == ids.tolist()
+    assert make()(texts)[0][0] == known.token_to_id("<|endoftext|>")
+
+
+def test_the_query_counts_an_added_token_once(spark, tmp_path):
+    from dasyspark.llm.queries import QUERIES
+
+    rows = [(1, "one <|endoftext|> two", "en", "a", 21)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = QUERIES["op6_sum_of_squares_packing"](spark, str(tmp_path)).collect()
+    assert {r["doc_tokens"] for r in found} == {len(known.encode(rows[0][1], add_special_tokens=False).ids) + 1}  # and the end
+
+
 def test_documents_with_odd_rows(odd, nothing):
     rows = [r.asDict() for r in packing.pack_documents(odd.where("doc_id <> 5"), encoder()).collect()]
     sizes = {r["doc_id"]: r["doc_tokens"] for r in rows}
