@@ -11,6 +11,7 @@ from dasyspark import config as C
 from dasyspark.functions.numbers import bucket_quintile, inr_to_crore, per_capita
 from dasyspark.operators.joins import attach, unique_totals, unit_key
 from dasyspark.operators.ranks import wealth_index
+from dasyspark.session import materialize
 
 
 def unit_sums(cells: DataFrame, by: Sequence[str], weight: Column, out: str = "unit_sum_raw") -> DataFrame:
@@ -89,10 +90,11 @@ def ensemble_allocate(
     ``runs``: cell, seed, unit, population, state, intensity_raw.
     """
     per_seed = dasymetric_allocate(runs, totals, by=("seed", *unit_key(runs, totals)), units=units, copies=n_seeds)
-    per_seed = wealth_index(per_seed, ("seed", "state"))
-    stats = ensemble_stats(per_seed)
+    kept = ["cell", "seed", *unit_key(runs, totals), "population", "intensity_raw", "gdp_per_capita_inr"]
+    per_seed = materialize(per_seed.select(*dict.fromkeys([*kept, "state"])), "per-seed")
+    stats = ensemble_stats(wealth_index(per_seed, ("seed", "state")))
     central = cells.join(stats, "cell").withColumn("intensity_raw", F.col("intensity_raw_mean"))
-    return ranked_wealth(dasymetric_allocate(central, totals, units=units))
+    return ranked_wealth(materialize(dasymetric_allocate(central, totals, units=units), "central"))
 
 
 def log_loss(cells: DataFrame, by: Sequence[str] = (), unit: Sequence[str] | None = None) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dasyspark import config as C
-from dasyspark.operators.allocate import dasymetric_allocate, ranked_wealth
-from dasyspark.operators.fit import ablation, fit_intensity, spatial_holdout
+from dasyspark.operators.allocate import ensemble_allocate, log_loss
+from dasyspark.operators.fit import ablation, best_epoch, fit_intensity, spatial_holdout
+from dasyspark.operators.joins import UNIT_KEY
 from dasyspark.operators.ranks import spearman
 from dasyspark.session import materialize
 
@@ -29,21 +30,35 @@ def spearman_sanity(ranked: DataFrame, by: Sequence[str] = ("state",)) -> DataFr
 
 
 def evaluation_report(
-    cells: DataFrame, featured: DataFrame, totals: DataFrame, features: Sequence[str], epochs: int = C.EPOCHS,
-    seed: int = 0, lr: float = C.LEARNING_RATE, units: DataFrame | None = None,
+    cells: DataFrame, designs: dict[str, DataFrame], totals: DataFrame, epochs: int = C.EPOCHS, seeds: Sequence[int] = C.SEEDS,
+    lr: float = C.LEARNING_RATE, units: DataFrame | None = None,
 ) -> DataFrame:
-    """``section, item, value`` rows: how well totals of unseen units are met, what a feature group adds, which evidence follows wealth."""
-    fit = fit_intensity(featured, totals, features, epochs, (seed,), lr)
-    scored = featured.select("cell", fit.intensity(seed).alias("intensity_raw"))
-    ranked = ranked_wealth(dasymetric_allocate(cells.join(scored, "cell"), totals, units=units))
+    """``section, state, item, value`` rows about the ensemble of every territory.
+
+    ``ensemble``: loss of the mean intensity before scaling, and the best training loss of
+    each seed. ``holdout``: error on totals of unseen units. ``ablation``: loss under each
+    of ``designs``, of which the first is the one to publish. ``spearman``: which evidence
+    the wealth of the ensemble follows.
+    """
+    design = next(iter(designs.values()))
+    fit = fit_intensity(design, totals, epochs, seeds, lr, tag="ensemble")
+    runs = materialize(fit.runs(design, ["cell", "unit", "state", "population"]), "runs")
+    mean = runs.groupBy("cell", *UNIT_KEY, "population").agg(F.avg("intensity_raw").alias("intensity_raw"))
+    losses = log_loss(mean.join(totals.select(*UNIT_KEY, "y_inr"), list(UNIT_KEY)), ("state",))
+
+    def rows(df: DataFrame, section: str, item: Column, value: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), "state", item.alias("item"), value.cast("double").alias("value"))
+
+    report = rows(losses, "ensemble", F.lit("log_loss"), F.col("log_loss"))
+    best = best_epoch(fit.history_table(design))
+    report = report.unionByName(rows(best, "ensemble", F.concat_ws(" ", F.lit("best_loss"), F.col("seed").cast("string")), F.col("loss")))
+    kept = cells.join(totals.select(*UNIT_KEY), list(UNIT_KEY), "left_semi")
+    ranked = ensemble_allocate(runs, kept, totals, units, len(seeds))
     columns = ["state", "population", "wealth_index", "night_lights", "road_km", "poi_count", "gdp_per_capita_inr"]
     ranked = materialize(ranked.select(*columns), "ranked")
-    item = F.concat_ws(" ", "pair", F.col("state").cast("string"))
-    report = spearman_sanity(ranked).select(F.lit("spearman").alias("section"), item.alias("item"), F.col("rho").alias("value"))
-    losses = ablation(featured, totals, features, epochs, seed, lr=lr)
-    report = report.unionByName(losses.select(F.lit("ablation").alias("section"), F.col("tag").alias("item"), F.col("log_loss").alias("value")))
-    held = spatial_holdout(featured, totals, features, epochs, seed, lr)
-    state = F.col("state").cast("string")
-    shown = F.when(F.col("skipped"), F.concat_ws(" ", F.lit("skipped, units of"), state)).otherwise(F.concat_ws(" ", F.lit("mape"), state))
-    value = F.when(F.col("skipped"), F.col("n_units")).otherwise(F.col("holdout_mape"))
-    return report.unionByName(held.select(F.lit("holdout").alias("section"), shown.alias("item"), value.alias("value")))
+    report = report.unionByName(rows(spearman_sanity(ranked), "spearman", F.col("pair"), F.col("rho")))
+    tried = ablation(designs, totals, epochs, seeds[0], lr)
+    report = report.unionByName(rows(tried, "ablation", F.col("tag"), F.col("log_loss")))
+    held = spatial_holdout(design, totals, epochs, seeds[0], lr)
+    item = F.when(F.col("skipped"), "skipped, units").otherwise("mape")
+    return report.unionByName(rows(held, "holdout", item, F.when(F.col("skipped"), F.col("n_units")).otherwise(F.col("holdout_mape"))))

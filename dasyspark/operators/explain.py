@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dasyspark.operators.joins import attach, unit_key
-from dasyspark.operators.ranks import exact_quantiles
+from dasyspark.operators.ranks import interpolated, placed, quantile_picks
+from dasyspark.session import materialize
 
 
 def pick_presets(cells: DataFrame, by: Sequence[str] = ("state",)) -> DataFrame:
@@ -19,10 +20,15 @@ def pick_presets(cells: DataFrame, by: Sequence[str] = ("state",)) -> DataFrame:
     falls back to the whole table; ties go to the smaller cell id.
     """
     by = list(by)
-    pop = exact_quantiles(cells, by, "population", {"p20": 0.2, "p60": 0.6, "p80": 0.8})
-    roads = exact_quantiles(cells, by, "road_km", {"road_mid": 0.5})
-    cuts = pop.join(roads, by)
-    joined = cells.select(*by, "cell", "population", "road_km", "wealth_index").join(cuts, by)
+    people, roads = {"p20": 0.2, "p60": 0.6, "p80": 0.8}, {"road_mid": 0.5}
+    narrow = cells.select(*by, "cell", "population", "road_km", "wealth_index")
+    rows = narrow.count()
+    ranks = placed(narrow, by, "population", rows)
+    ranks = placed(ranks, by, "road_km", rows, ("_b", "_e", "_a"))
+    found = ranks.groupBy(*by).agg(*quantile_picks("population", people), *quantile_picks("road_km", roads, ("_b", "_e", "_a")))
+    columns = interpolated("population", people) | interpolated("road_km", roads)
+    cuts = materialize(found.select(*by, *[c.alias(n) for n, c in columns.items()]), "cuts")
+    joined = attach(narrow, cuts, by, "inner", bound=cuts)
     rich = F.col("population") >= F.col("p80")
     rural = F.col("population").between(F.col("p20"), F.col("p60")) & (F.col("road_km") <= F.col("road_mid"))
     high = F.struct((-F.col("wealth_index")).alias("w"), F.col("cell").alias("c"))

@@ -77,16 +77,14 @@ def assemble_vector(df: DataFrame, names: Sequence[str], out: str = "x") -> Data
 
 
 def describe_inputs(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles."""
-    from dasyspark.operators.ranks import quantiles_of, value_ranks
-
-    ranks = value_ranks(df, by, value)
-    v, n = F.col(value), F.col("n_eq")
-    moments = ranks.groupBy(*by).agg(
-        F.sum(n).alias("count"), F.sum(v * n).alias("_s"), F.min(v).alias("min"), F.max(v).alias("max")
-    ).withColumn("mean", F.col("_s") / F.col("count"))
-    spread = ranks.join(moments.select(*by, "mean"), list(by)).groupBy(*by).agg(
-        F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.nullif(F.sum(n) - 1, F.lit(0))).alias("std")
+    """Count, mean, deviation, extremes and exact quartiles of the known values, in one aggregate over ranked rows."""
+    from dasyspark.operators.ranks import interpolated, placed, quantile_picks
+
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
+    found = placed(known, by, value).groupBy(*by).agg(
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+        F.min(value).alias("min"), F.max(value).alias("max"), *quantile_picks(value, quartiles),
     )
-    quartiles = quantiles_of(ranks, by, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return moments.drop("_s").join(spread, list(by)).join(quartiles, list(by))
+    columns = [c.alias(n) for n, c in interpolated(value, quartiles).items()]
+    return found.select(*by, "count", "mean", "std", "min", "max", *columns)

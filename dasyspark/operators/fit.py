@@ -1,9 +1,13 @@
-"""Fitting a non-negative per-capita intensity from unit totals alone.
-
-``s = scale * softplus(w.x + b)``. Each epoch is one Spark job: partitions sum
-``s * pop`` and its gradient per unit, the sums of a unit meet and turn into
-residuals, and one row per task and seed comes back. Only weights ever live on
-the driver.
+"""Fitting a non-negative per-capita intensity per territory, from unit totals alone.
+
+``s = scale * softplus(w.x + b)`` with weights of its own for every (territory, seed).
+The cells come as a design matrix (``graph.design_matrix``) that lies range-partitioned
+by territory and unit. An epoch is one Spark job for all territories and seeds: tasks sum
+``s * pop`` and its gradient per unit, the sums of a unit meet and turn into residuals,
+and the gradient of every (territory, seed) is summed up. The floor term needs no unit;
+its sums, one row per task, territory and seed, are spread over the residual tasks.
+Weights and optimiser state are a table keyed by (territory, seed); where it outgrows a
+broadcast, territories are fitted in several groups, as their fits do not depend on each other.
 """
 
 from __future__ import annotations
@@ -14,88 +18,121 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dasyspark import config as C
 from dasyspark.functions.numbers import softplus
 from dasyspark.operators.allocate import log_loss
-from dasyspark.operators.joins import UNIT_KEY, attach
+from dasyspark.operators.joins import UNIT_KEY, unit_key
+from dasyspark.session import BROADCAST_BYTES, TEXT_BYTES
 
 FLUSH_UNITS = 2_000
+START = math.log(math.e - 1)  # softplus is 1 here, so the first sums have the right size
 
 
 @dataclass
 class Fit:
-    """Best weights per seed (bias last), the output scale and the loss history."""
+    """Best weights (bias last), output scale and loss history per territory and seed."""
 
-    features: list[str]
-    scale: float
-    weights: dict[int, np.ndarray]
+    width: int
+    weights: dict[tuple, np.ndarray]
+    scale: dict[object, float]
     history: list[tuple] = field(default_factory=list)
+    state_type: str = "string"
 
-    def intensity(self, seed: int) -> Column:
-        w = self.weights[seed]
-        z = F.lit(float(w[-1]))
-        for name, value in zip(self.features, w[:-1]):
-            z = z + F.col(name) * F.lit(float(value))
-        return F.lit(self.scale) * softplus(z)
-
-    def mean_intensity(self) -> Column:
-        total = F.lit(0.0)
-        for seed in self.weights:
-            total = total + self.intensity(seed)
-        return total / F.lit(float(len(self.weights)))
-
-    def long_intensity(self, cells: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """One row per cell and seed, from a single pass over the cells."""
-        runs = F.array(
-            *[F.struct(F.lit(s).alias("seed"), self.intensity(s).alias("intensity_raw")) for s in self.weights]
-        )
-        return cells.select(*keep, F.inline(runs))
+    def table(self, like: DataFrame) -> DataFrame:
+        """The weight table: ``state, seed, scale, weights``."""
+        rows = [(state, seed, self.scale[state], w.tolist()) for (state, seed), w in self.weights.items()]
+        return like.sparkSession.createDataFrame(rows, f"state {self.state_type}, seed int, scale double, weights array<double>")
 
     def history_table(self, like: DataFrame) -> DataFrame:
-        return like.sparkSession.createDataFrame(
-            self.history, "tag string, seed int, epoch int, loss double, l_agg double, l_floor double"
-        )
+        kind = f"tag string, state {self.state_type}, seed int, epoch int, loss double, l_agg double, l_floor double"
+        return like.sparkSession.createDataFrame(self.history, kind)
+
+    def runs(self, design: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """``keep, seed, intensity_raw``: one row per cell and seed, from a single pass over the cells."""
+        of_state = self.table(design).groupBy("state").agg(F.collect_list(F.struct("seed", "scale", "weights")).alias("_w"))
+        small = len(self.weights) * (8 * self.width + 64) <= BROADCAST_BYTES
+        rows = design if "state" in design.columns else design.withColumn("state", F.lit(None).cast(self.state_type))
+        on = rows["state"].eqNullSafe(of_state["state"])
+        met = rows.join(F.broadcast(of_state) if small else of_state, on).drop(of_state["state"])
+
+        def intensity(run: Column) -> Column:
+            terms = F.zip_with("x", run["weights"], lambda v, w: v * w)  # the bias meets no value
+            z = F.aggregate(F.slice(terms, 1, self.width), run["weights"][self.width], lambda a, t: a + t)
+            return run["scale"] * softplus(z)
+
+        made = F.transform("_w", lambda run: F.struct(run["seed"].alias("seed"), intensity(run).alias("intensity_raw")))
+        return met.select(*keep, F.inline(made))
 
+    def mean_intensity(self, design: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """``keep`` and the mean over seeds as ``intensity_raw``; cells are named by ``cell``."""
+        kept = [F.first(c).alias(c) for c in keep if c != "cell"]
+        return self.runs(design, keep).groupBy("cell").agg(*kept, F.avg("intensity_raw").alias("intensity_raw"))
 
-def _partial_sums(features: list[str], weights: np.ndarray, scale: float, tau: float, flush: int):
-    """Task function: sums of one partition per unit and seed, flushed every ``flush`` units.
 
-    The floor term needs no unit: its sums travel in rows whose unit is null.
+def _partial_sums(held_weights: Broadcast, tau: float, flush: int):
+    """Task function: sums of one partition per (territory, unit) and seed, flushed every ``flush`` units.
+
+    Rows without unit hold the floor term; their ``slot`` differs from task to task.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pandas as pd
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-        seeds = len(weights)
+        table: dict[str, tuple[float, np.ndarray]] = held_weights.value
+        schema = pa.schema([("state", pa.string()), ("unit", pa.string()), ("slot", pa.int64()), ("k", pa.int32()),
+                            ("z", pa.float64()), ("grad", pa.list_(pa.float64()))])
         held: dict = {}
+        own = TaskContext.get().partitionId()
 
         def drain():
-            rows = [(unit, k, sums[k, 0], sums[k, 1:].tolist()) for unit, sums in held.items() for k in range(seeds)]
+            keys = [(state, unit, k) for (state, unit), sums in held.items() for k in range(len(sums))]
+            rows = [sums[k] for sums in held.values() for k in range(len(sums))]
             held.clear()
-            return pd.DataFrame(rows, columns=["unit", "k", "z", "grad"])
-
-        def add(unit, sums):
-            held[unit] = held[unit] + sums if unit in held else sums
+            return pa.RecordBatch.from_arrays([
+                pa.array([s for s, _, _ in keys]), pa.array([u for _, u, _ in keys], pa.string()),
+                pa.array([own if u is None else 0 for _, u, _ in keys], pa.int64()), pa.array([k for _, _, k in keys], pa.int32()),
+                pa.array([r[0] for r in rows]), pa.array([r[1:] for r in rows], pa.list_(pa.float64())),
+            ], schema=schema)
+
+        def add(key, sums):
+            if key in held:
+                held[key] += sums
+            else:
+                held[key] = sums.copy()
 
         for batch in batches:
-            x = np.column_stack([batch[features].to_numpy(float), np.ones(len(batch))])
-            pop = batch["population"].to_numpy(float)[:, None]
-            logits = x @ weights.T
-            s = scale * (np.maximum(logits, 0) + np.log1p(np.exp(-np.abs(logits))))
-            slope = pop * scale / (1 + np.exp(-np.clip(logits, -700, 700)))
-            short = np.maximum(tau - s, 0)
-            add(None, np.column_stack([(pop * short**2).sum(0), (-2 * short * slope).T @ x]))
-            codes, units = pd.factorize(batch["unit"])
-            order = np.argsort(codes, kind="stable")
-            edges = np.searchsorted(codes[order], np.arange(len(units) + 1))
-            for code, unit in enumerate(units):
-                rows = order[edges[code] : edges[code + 1]]
-                add(unit, np.column_stack([(s[rows] * pop[rows]).sum(0), slope[rows].T @ x[rows]]))
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = np.column_stack([x, np.ones(len(x))])
+            pop = batch.column("population").to_numpy(zero_copy_only=False)[:, None]
+            codes, states = pd.factorize(batch.column("state").to_pandas())
+            units = batch.column("unit").to_pandas()
+            for code, state in enumerate(states):
+                if state not in table:
+                    continue
+                rows = np.flatnonzero(codes == code)
+                scale, weights = table[state]
+                xs, ps = x[rows], pop[rows]
+                logits = xs @ weights.T
+                s = scale * (np.maximum(logits, 0) + np.log1p(np.exp(-np.abs(logits))))
+                slope = ps * scale / (1 + np.exp(-np.clip(logits, -700, 700)))
+                short = np.maximum(tau - s, 0)
+                add((state, None), np.column_stack([(ps * short**2).sum(0), (-2 * short * slope).T @ xs]))
+                at, names = pd.factorize(units.iloc[rows])
+                order = np.argsort(at, kind="stable")
+                edges = np.searchsorted(at[order], np.arange(len(names) + 1))
+                for u, name in enumerate(names):
+                    mine = order[edges[u] : edges[u + 1]]
+                    add((state, name), np.column_stack([(s[mine] * ps[mine]).sum(0), slope[mine].T @ xs[mine]]))
             if len(held) > flush:
                 yield drain()
         if held:
@@ -104,39 +141,48 @@ def _partial_sums(features: list[str], weights: np.ndarray, scale: float, tau: f
     return run
 
 
-PARTIAL = "unit string, k int, z double, grad array<double>"
+PARTIAL = "state string, unit string, slot long, k int, z double, grad array<double>"
+LOSSES = (-2, -1)  # places of the unit and floor losses, before those of the gradient
 
 
-def _residuals(width: int, seeds: int, n_units: int, pop: float):
-    """Task function: loss terms and gradient per seed from partial sums that come sorted by unit.
+def _residuals(held_facts: Broadcast, seeds: int, width: int):
+    """Task function: loss terms and gradient per (territory, seed) from partial sums that come sorted by unit.
 
     A row with k = -1 holds the published total of a unit to train on; units
-    without one pull nothing. The rows without unit are those of the floor term.
+    without one pull nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import pandas as pd
 
-        l_agg, l_floor, grad = np.zeros(seeds), np.zeros(seeds), np.zeros((seeds, width))
+        facts: dict[str, tuple[int, float]] = held_facts.value
+        out: dict[str, np.ndarray] = {}
         z, g = np.zeros(seeds), np.zeros((seeds, width))
         now, total = None, None
 
+        def of(state):
+            return out.setdefault(state, np.zeros((seeds, 2 + width)))
+
         def close():
-            if now is None:
-                l_floor[:] += z / pop
-                grad[:] += C.FLOOR_WEIGHT / pop * g
-            elif total is not None:
+            if now is not None and total is not None:
+                n = facts[now[0]][0]
                 gap = np.log10(z + C.LOG_EPS) - np.log10(total + C.LOG_EPS)
-                l_agg[:] += gap * gap / n_units
-                grad[:] += (gap * 2 / (z + C.LOG_EPS) / (math.log(10) * n_units))[:, None] * g
+                mine = of(now[0])
+                mine[:, 0] += gap * gap / n
+                mine[:, 2:] += (gap * 2 / (z + C.LOG_EPS) / (math.log(10) * n))[:, None] * g
 
         for batch in batches:
-            for unit, k, value, part in batch.itertuples(index=False):
-                unit = None if unit is None or unit != unit else unit
-                if unit != now:
+            for state, unit, _, k, value, part in batch.itertuples(index=False):
+                if unit is None or unit != unit:
+                    pop = facts[state][1]
+                    mine = of(state)
+                    mine[k, 1] += value / pop
+                    mine[k, 2:] += C.FLOOR_WEIGHT / pop * part
+                    continue
+                if (state, unit) != now:
                     close()
-                    now, total = unit, None
+                    now, total = (state, unit), None
                     z[:], g[:] = 0, 0
                 if k < 0:
                     total = value
@@ -144,107 +190,144 @@ def _residuals(width: int, seeds: int, n_units: int, pop: float):
                     z[k] += value
                     g[k] += part
         close()
-        yield pd.DataFrame({"k": range(seeds), "l_agg": l_agg, "l_floor": l_floor, "grad": grad.tolist()})
+        for state, sums in out.items():
+            k, i = np.indices(sums.shape)
+            yield pd.DataFrame({"state": state, "k": k.ravel(), "i": i.ravel() - 2, "v": sums.ravel()})
 
     return run
 
 
-def _epoch(
-    data: DataFrame, totals: DataFrame, features: list[str], weights: np.ndarray, scale: float, n_units: int, pop: float
-):
-    """Loss terms and gradient per seed under the current weights: one job, a row per task and seed back."""
-    width = len(features) + 1
-    partial = data.mapInPandas(_partial_sums(features, weights, scale, C.FLOOR_TAU, FLUSH_UNITS), PARTIAL)
-    known = totals.where("train").select(
-        "unit", F.lit(-1).alias("k"), F.col("y_inr").cast("double").alias("z"), F.lit(None).cast("array<double>").alias("grad")
-    )
-    met = partial.unionByName(known).repartition("unit").sortWithinPartitions("unit")
-    rows = met.mapInPandas(
-        _residuals(width, len(weights), n_units, pop), "k int, l_agg double, l_floor double, grad array<double>"
-    ).collect()
-    l_agg, l_floor, grad = np.zeros(len(weights)), np.zeros(len(weights)), np.zeros_like(weights)
+def _epoch(data: DataFrame, known: DataFrame, weights: dict[str, tuple[float, np.ndarray]], facts: Broadcast, seeds: int, width: int):
+    """Loss terms and gradient of each territory and seed under the current weights: one job, a row per number back."""
+    sent = data.sparkSession.sparkContext.broadcast(weights)
+    partial = data.mapInArrow(_partial_sums(sent, C.FLOOR_TAU, FLUSH_UNITS), PARTIAL)
+    met = partial.unionByName(known).repartition("state", "unit", "slot").sortWithinPartitions("state", "unit", "k")
+    sums = met.mapInPandas(_residuals(facts, seeds, width), "state string, k int, i int, v double")
+    rows = sums.groupBy("state", "k", "i").agg(F.sum("v").alias("v")).collect()
+    sent.unpersist()
+    out = {state: np.zeros((seeds, 2 + width)) for state in weights}
     for row in rows:
-        l_agg[row["k"]] += row["l_agg"]
-        l_floor[row["k"]] += row["l_floor"]
-        grad[row["k"]] += row["grad"]
-    return l_agg, l_floor, grad
+        out[row["state"]][row["k"], row["i"] + 2] = row["v"]
+    return out
 
 
-def keyed(df: DataFrame, other: DataFrame) -> DataFrame:
-    """``unit`` as one text that also names the territory, where both tables have one."""
-    if not set(UNIT_KEY) <= set(df.columns) & set(other.columns):
-        return df
-    return df.withColumn("unit", F.to_json(F.struct(*UNIT_KEY)))
+def _facts(data: DataFrame, known: DataFrame) -> dict[str, tuple[int, float, float]]:
+    """Per territory: units to train on, the scale of the output, and people; territories without such a unit have none."""
+    people = data.groupBy("state", "unit").agg(F.sum("population").alias("_p"))
+    met = people.join(known.select("state", "unit", F.col("z").alias("_y")), ["state", "unit"], "left")
+    held = met.groupBy("state").agg(
+        F.count("_y").alias("n"), F.sum("_y").alias("y"), F.sum("_p").alias("p"), F.sum(F.when(F.col("_y").isNotNull(), F.col("_p"))).alias("t")
+    ).where("n > 0")
+    return {r["state"]: (r["n"], r["y"] / max(r["t"] or 0.0, 1.0), max(r["p"] or 0.0, 1.0)) for r in held.collect()}
+
+
+def initial_weights(width: int, seed: int) -> np.ndarray:
+    return np.append(np.random.default_rng(seed).normal(0, 0.01, width), START)
+
+
+def learning_rate(epoch: int, epochs: int, lr: float) -> float:
+    low = min(C.MIN_LEARNING_RATE, lr)
+    return low + (lr - low) * (1 + math.cos(math.pi * (epoch - 1) / epochs)) / 2
+
+
+def _descend(data: DataFrame, known: DataFrame, width: int, epochs: int, seeds: Sequence[int], lr: float, tag: str):
+    """Best weights, scales and history of the territories in ``data``."""
+    facts = _facts(data, known)
+    if not facts:
+        return {}, {}, []
+    start = np.stack([initial_weights(width, s) for s in seeds])
+    weights = {state: start.copy() for state in facts}
+    first, second, kept = ({state: np.zeros_like(start) for state in facts} for _ in range(3))
+    best = {state: np.full(len(seeds), np.inf) for state in facts}
+    history: list[tuple] = []
+    told = data.sparkSession.sparkContext.broadcast({state: (n, pop) for state, (n, _, pop) in facts.items()})
+    for epoch in range(1, epochs + 1):
+        sums = _epoch(data, known, {s: (facts[s][1], w) for s, w in weights.items()}, told, len(seeds), width + 1)
+        rate = learning_rate(epoch, epochs, lr)
+        for state, found in sums.items():
+            l_agg, l_floor, step = found[:, 0], found[:, 1], found[:, 2:]
+            loss = l_agg + C.FLOOR_WEIGHT * l_floor
+            better = loss < best[state]
+            best[state][better], kept[state][better] = loss[better], weights[state][better]
+            history += [(tag, state, int(s), epoch, float(a), float(b), float(c)) for s, a, b, c in zip(seeds, loss, l_agg, l_floor)]
+            norms = np.linalg.norm(step, axis=1, keepdims=True)
+            step = step * np.minimum(1.0, C.GRADIENT_CLIP / np.maximum(norms, 1e-12))
+            first[state] = 0.9 * first[state] + 0.1 * step
+            second[state] = 0.999 * second[state] + 0.001 * step**2
+            towards = (first[state] / (1 - 0.9**epoch)) / (np.sqrt(second[state] / (1 - 0.999**epoch)) + 1e-8)
+            weights[state] = weights[state] - rate * towards
+    told.unpersist()
+    bad = [state for state in facts if not np.isfinite(best[state]).all()]
+    if bad:
+        raise ValueError(f"[{tag}] every epoch gave a non-finite loss in {bad[:20]}")
+    return {(state, int(s)): kept[state][i] for state in facts for i, s in enumerate(seeds)}, {s: f[1] for s, f in facts.items()}, history
 
 
 def fit_intensity(
-    cells: DataFrame,
+    design: DataFrame,
     totals: DataFrame,
-    features: Sequence[str],
     epochs: int = C.EPOCHS,
     seeds: Sequence[int] = (0,),
     lr: float = C.LEARNING_RATE,
     tag: str = "main",
 ) -> Fit:
-    """Minimise the mean squared log10 gap of unit sums plus the floor term.
+    """Minimise, for every territory, the mean squared log10 gap of unit sums plus the floor term.
 
-    ``cells``: unit, population and the feature columns. ``totals``: unit,
-    y_inr and optionally a boolean ``train``. All seeds share each scan.
+    ``design``: unit, population, the vector ``x`` and, if there are several territories,
+    ``state`` (``graph.design_matrix``). ``totals``: unit, y_inr, state as there, and
+    optionally a boolean ``train``. Cells without unit count for the floor only; territories
+    without a unit to train on get no weights. All territories and seeds share each scan.
     """
-    features = list(features)
-    cells, totals = keyed(cells, totals), keyed(totals, cells)
-    if "train" not in totals.columns:
-        totals = totals.withColumn("train", F.lit(True))
-    data = cells.select("unit", F.col("population").cast("double").alias("population"), *features)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    targets = totals.select("unit", "y_inr", "train").persist(StorageLevel.MEMORY_AND_DISK)
+    keys = unit_key(design, totals)
+    alone = "state" not in keys
+    state = (F.lit("") if alone else F.coalesce(F.col("state").cast("string"), F.lit(""))).alias("state")
+    kind = "string" if "state" not in design.columns else design.schema["state"].dataType.simpleString()
+    width = design.select(F.size("x")).first()
+    if width is None:
+        raise ValueError("no cell to fit on")
+    width = width[0]
+    pop = F.coalesce(F.col("population").cast("double"), F.lit(0.0)).alias("population")
+    data = design.select(state, F.col("unit").cast("string").alias("unit"), pop, "x").persist(StorageLevel.MEMORY_AND_DISK)
+    trained = totals if "train" not in totals.columns else totals.where("train")
+    known = trained.select(
+        state, F.col("unit").cast("string").alias("unit"), F.lit(0).cast("long").alias("slot"), F.lit(-1).alias("k"),
+        F.col("y_inr").cast("double").alias("z"), F.lit(None).cast("array<double>").alias("grad"),
+    )
+    # Totals of units that have no cell would be constants of the loss.
+    known = known.join(data.select("state", "unit").distinct(), ["state", "unit"], "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        facts = targets.where("train").agg(F.count(F.lit(1)).alias("n"), F.sum("y_inr").alias("y")).first()
-        if not facts["n"]:
+        names = known.select("state").distinct()
+        groups = -(-names.count() * (TEXT_BYTES + 8 * (width + 1) * len(seeds)) // BROADCAST_BYTES)
+        if not groups:
             raise ValueError("no unit is left to train on")
-        in_training = F.when(F.coalesce(F.col("train"), F.lit(False)), F.col("population")).otherwise(0.0)
-        people = data.select("unit", "population").join(targets, "unit", "left").agg(
-            F.sum("population").alias("all"), F.sum(in_training).alias("train")
-        ).first()
-        pop_all = max(people["all"] or 0.0, 1.0)
-        scale = facts["y"] / max(people["train"] or 0.0, 1.0)
-        # Start where softplus is 1, so the first sums have the right size.
-        start = math.log(math.e - 1)
-        weights = np.stack(
-            [np.append(np.random.default_rng(s).normal(0, 0.01, len(features)), start) for s in seeds]
-        )
-        first, second = np.zeros_like(weights), np.zeros_like(weights)
-        best = np.full(len(seeds), np.inf)
-        kept = weights.copy()
-        history: list[tuple] = []
-        for epoch in range(1, epochs + 1):
-            l_agg, l_floor, step = _epoch(data, targets, features, weights, scale, facts["n"], pop_all)
-            loss = l_agg + C.FLOOR_WEIGHT * l_floor
-            for k, seed in enumerate(seeds):
-                history.append((tag, int(seed), epoch, float(loss[k]), float(l_agg[k]), float(l_floor[k])))
-                if loss[k] < best[k]:
-                    best[k], kept[k] = loss[k], weights[k]
-            norms = np.linalg.norm(step, axis=1, keepdims=True)
-            step = step * np.minimum(1.0, C.GRADIENT_CLIP / np.maximum(norms, 1e-12))
-            first = 0.9 * first + 0.1 * step
-            second = 0.999 * second + 0.001 * step**2
-            low = min(C.MIN_LEARNING_RATE, lr)
-            rate = low + (lr - low) * (1 + math.cos(math.pi * (epoch - 1) / epochs)) / 2
-            weights = weights - rate * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
-        if not np.isfinite(best).all():
-            raise ValueError(f"[{tag}] every epoch gave a non-finite loss")
-        return Fit(features, scale, {int(s): kept[k].copy() for k, s in enumerate(seeds)}, history)
+        weights, scale, history = {}, {}, []
+        for group in range(groups):
+            one = F.lit(True) if groups == 1 else F.pmod(F.xxhash64("state"), F.lit(groups)) == group
+            w, sc, h = _descend(data.where(one), known.where(one), width, epochs, seeds, lr, tag)
+            weights, scale, history = weights | w, scale | sc, history + h
     finally:
         data.unpersist()
-        targets.unpersist()
+        known.unpersist()
+    # Back from text to the territory's own type.
+    typed = {k: k for k in scale}
+    if alone and "state" in design.columns:
+        typed = {"": design.select("state").first()[0]}
+    elif kind != "string":
+        back = design.sparkSession.createDataFrame([(k,) for k in scale], "k string").select("k", F.col("k").cast(kind).alias("v"))
+        typed = {r["k"]: r["v"] for r in back.collect()}
+    elif "state" not in design.columns:
+        typed = {"": None}
+    return Fit(
+        width, {(typed[k], seed): w for (k, seed), w in weights.items()}, {typed[k]: v for k, v in scale.items()},
+        [(t, typed[k], *rest) for t, k, *rest in history], kind,
+    )
 
 
 def best_epoch(history: DataFrame) -> DataFrame:
-    """Epoch of the least loss per tag and seed, the earliest on ties."""
+    """Epoch of the least loss per tag, seed and, if named, territory; the earliest on ties."""
+    keys = [c for c in ("tag", "state", "seed") if c in history.columns]
     least = F.min(F.struct("loss", "epoch")).alias("_b")
-    return history.groupBy("tag", "seed").agg(least).select(
-        "tag", "seed", F.col("_b.epoch").alias("epoch"), F.col("_b.loss").alias("loss")
-    )
+    return history.groupBy(*keys).agg(least).select(*keys, F.col("_b.epoch").alias("epoch"), F.col("_b.loss").alias("loss"))
 
 
 def holdout_units(totals: DataFrame, fraction: float = C.HOLDOUT_FRACTION, seed: int = 0) -> DataFrame | None:
@@ -264,48 +347,45 @@ def holdout_units(totals: DataFrame, fraction: float = C.HOLDOUT_FRACTION, seed:
     return totals.select("state", "unit", F.when(n >= C.MIN_HOLDOUT_UNITS, place <= share).alias("held"))
 
 
+def _last_losses(fit: Fit, like: DataFrame) -> DataFrame:
+    return fit.history_table(like).groupBy("state").agg(F.max_by("loss", "epoch").alias("final_loss"))
+
+
 def spatial_holdout(
-    cells: DataFrame, totals: DataFrame, features: Sequence[str], epochs: int = C.EPOCHS, seed: int = 0,
-    lr: float = C.LEARNING_RATE,
+    design: DataFrame, totals: DataFrame, epochs: int = C.EPOCHS, seed: int = 0, lr: float = C.LEARNING_RATE
 ) -> DataFrame:
     """Per territory, the MAPE of the raw sums of held-out units, trained on the others.
 
-    A territory with too few units has ``skipped`` true and its number of units.
+    A territory with too few units has ``skipped`` true and its number of units. Units
+    without cells are neither trained on nor held out.
     """
-    split = holdout_units(totals, seed=seed)
-    flagged = totals.join(split, list(UNIT_KEY)).withColumn("train", ~F.coalesce("held", F.lit(False)))
-    fit = fit_intensity(cells, flagged, features, epochs, (seed,), lr, tag="holdout")
-    sums = cells.groupBy(*UNIT_KEY).agg(F.sum(fit.intensity(seed) * F.col("population")).alias("predicted"))
+    present = totals.join(design.select(*UNIT_KEY).distinct(), list(UNIT_KEY), "left_semi")
+    split = holdout_units(present, seed=seed)
+    flagged = present.join(split, list(UNIT_KEY)).withColumn("train", ~F.coalesce("held", F.lit(False)))
+    fit = fit_intensity(design, flagged, epochs, (seed,), lr, tag="holdout")
+    sums = fit.runs(design, [*UNIT_KEY, "population"]).groupBy(*UNIT_KEY).agg(
+        F.sum(F.col("intensity_raw") * F.col("population")).alias("predicted")
+    )
     scored = flagged.join(sums, list(UNIT_KEY), "left")
     seen = F.col("held") & F.col("predicted").isNotNull()
     gap = F.when(seen, F.abs(F.col("predicted") - F.col("y_inr")) / F.greatest(F.abs("y_inr"), F.lit(1e-9)))
-    return scored.groupBy("state").agg(
+    told = scored.groupBy("state").agg(
         F.avg(gap).alias("holdout_mape"), F.count_if(seen).alias("n_holdout_units"), F.count(F.lit(1)).alias("n_units"),
         F.bool_and(F.col("held").isNull()).alias("skipped"),
-    ).withColumn("final_loss", F.lit(fit.history[-1][3]))
+    )
+    return told.join(_last_losses(fit, design), "state", "left").withColumn("final_loss", F.when(~F.col("skipped"), F.col("final_loss")))
 
 
 def ablation(
-    cells: DataFrame, totals: DataFrame, features: Sequence[str], epochs: int = C.EPOCHS, seed: int = 0,
-    containing: str = "night_lights", lr: float = C.LEARNING_RATE,
+    designs: dict[str, DataFrame], totals: DataFrame, epochs: int = C.EPOCHS, seed: int = 0, lr: float = C.LEARNING_RATE
 ) -> DataFrame:
-    """Loss with and without one feature group."""
-    from dasyspark.functions.numbers import ablate_features
-
+    """Loss per territory for each of several design matrices, such as one with a feature group and one without."""
     parts = []
-    for tag, names in (("with", list(features)), ("without", ablate_features(features, containing))):
-        if not names:
-            continue
-        fit = fit_intensity(cells, totals, names, epochs, (seed,), lr, tag=f"ablation_{tag}")
-        scored = attach(
-            cells.withColumn("intensity_raw", fit.intensity(seed)), totals.select(*UNIT_KEY, "y_inr"), list(UNIT_KEY), "inner", totals
-        )
-        parts.append(
-            log_loss(scored).select(
-                F.lit(tag).alias("tag"), F.lit(len(names)).alias("n_features"), "log_loss",
-                F.lit(fit.history[-1][3]).alias("final_train_loss"),
-            )
-        )
+    for tag, design in designs.items():
+        fit = fit_intensity(design, totals, epochs, (seed,), lr, tag=f"ablation_{tag}")
+        sums = fit.runs(design, [*UNIT_KEY, "population"]).join(totals.select(*UNIT_KEY, "y_inr"), list(UNIT_KEY))
+        losses = log_loss(sums, ("state",)).join(_last_losses(fit, design), "state")
+        parts.append(losses.select(F.lit(tag).alias("tag"), "state", F.lit(fit.width).alias("n_features"), "log_loss", F.col("final_loss").alias("final_train_loss")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

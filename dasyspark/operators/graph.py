@@ -19,6 +19,7 @@ from dasyspark.functions import hexgrid
 from dasyspark.session import materialize
 
 Weights = Mapping[str, np.ndarray]
+CELLS_PER_TASK = 100_000
 
 
 def adjacency_join(cells: DataFrame, level: int) -> DataFrame:
@@ -136,6 +137,40 @@ def propagate(nodes: DataFrame, edges: DataFrame, dim: int, hops: int, links: Da
     return current.drop("_hop")
 
 
+def within_territories(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose two ends lie in one territory (``state`` of ``nodes``): each has a graph of its own."""
+    owner = nodes.select("cell", "state")
+    a = owner.withColumnsRenamed({"cell": "src", "state": "_s"})
+    b = owner.withColumnsRenamed({"cell": "dst", "state": "_d"})
+    return edges.join(a, "src").join(b, "dst").where(F.col("_s").eqNullSafe(F.col("_d"))).select("src", "dst")
+
+
+def design_matrix(
+    cells: DataFrame, names: Sequence[str], edges: DataFrame | None = None, links: DataFrame | None = None, hops: int = 2
+) -> DataFrame:
+    """What the fit reads: ``cell, unit, state, population, x``, written once.
+
+    ``x`` holds the columns ``names`` and, with ``edges``, their means over 1..``hops``
+    hops and, with ``links``, the mean of the parent (see ``propagate``). Rows lie
+    range-partitioned and sorted by territory and unit, so that a task of an epoch meets few
+    units; the cell as third key splits a unit that holds much of the data.
+    """
+    nodes = cells.select(
+        "cell", "unit", "state", F.col("population").cast("double").alias("population"),
+        F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]).alias("h"),
+    )
+    if edges is not None or links is not None:
+        nodes = materialize(nodes, "nodes")
+        none = cells.select(F.col("cell").alias("src"), F.col("cell").alias("dst")).limit(0)
+        nodes = propagate(nodes, none if edges is None else edges, len(names), hops if edges is not None else 0, links)
+    else:
+        nodes = nodes.withColumn("z", F.col("h"))
+    flat = nodes.select("cell", "unit", "state", "population", F.col("z").alias("x"))
+    tasks = nodes.sparkSession.sparkContext.defaultParallelism
+    tasks = max(tasks, nodes.count() // CELLS_PER_TASK)
+    return materialize(flat.repartitionByRange(tasks, "state", "unit", "cell").sortWithinPartitions("state", "unit"), "design")
+
+
 # ------------------------------------------------------------ published layer
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dasyspark.session import fits_broadcast
+from dasyspark.session import fits_broadcast, has_at_most
 
 
 # A unit's name is unique within its territory only.
@@ -15,8 +15,17 @@ UNIT_KEY = ("state", "unit")
 
 
 def unit_key(*tables: DataFrame) -> list[str]:
-    """The columns that name a unit in all ``tables``; those of a single territory may lack ``state``."""
-    return [c for c in UNIT_KEY if all(c in t.columns for t in tables)]
+    """The columns that name a unit in all ``tables``.
+
+    Tables of a single territory may lack ``state``. Where only some lack it, a table that
+    holds several territories raises, since a name alone would mix them up.
+    """
+    found = [c for c in UNIT_KEY if all(c in t.columns for t in tables)]
+    if "state" not in found:
+        for t in tables:
+            if "state" in t.columns and not has_at_most(t.select("state").distinct(), 1):
+                raise ValueError("units of several territories meet a table without state")
+    return found
 
 
 def unique_totals(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -77,18 +86,20 @@ def join_targets(
     return attach(cells, unique_totals(totals, keys), keys, "inner", bound if bound is not None else totals)
 
 
-def missing_units(totals: DataFrame, cells: DataFrame, on: str = "unit") -> DataFrame:
-    """Units on one side only, with the side that lacks them."""
-    have, want = cells.select(on).distinct(), totals.select(on).distinct()
-    return want.join(have, on, "left_anti").withColumn("lacking", F.lit("cells")).unionByName(
-        have.join(want, on, "left_anti").withColumn("lacking", F.lit("totals"))
+def missing_units(totals: DataFrame, cells: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
+    """Units (``unit_key``) on one side only, with the side that lacks them."""
+    keys = list(on or unit_key(totals, cells))
+    have, want = cells.select(*keys).distinct(), totals.select(*keys).distinct()
+    return want.join(have, keys, "left_anti").withColumn("lacking", F.lit("cells")).unionByName(
+        have.join(want, keys, "left_anti").withColumn("lacking", F.lit("totals"))
     )
 
 
-def metro_units(metros: DataFrame, units: DataFrame, on: str = "unit") -> DataFrame:
-    """Members of each metro group that are present, in the order configured."""
-    listed = metros.select("*", F.posexplode("units").alias("position", on)).drop("units")
-    return listed.join(units.select(on).distinct(), on, "left_semi")
+def metro_units(metros: DataFrame, units: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
+    """Members of each metro group that are present in its territory, in the order configured."""
+    listed = metros.select("*", F.posexplode("units").alias("position", "unit")).drop("units")
+    keys = list(on or unit_key(listed, units))
+    return listed.join(units.select(*keys).distinct(), keys, "left_semi")
 
 
 def distinct_units(cells: DataFrame, on: str = "unit") -> DataFrame:

@@ -11,7 +11,7 @@ from dasyspark import config as C
 from dasyspark.functions.names import slug
 from dasyspark.functions.numbers import key_of, round_pack
 from dasyspark.operators.joins import first_by, unit_key
-from dasyspark.operators.ranks import exact_quantiles
+from dasyspark.operators.ranks import interpolated, placed, quantile_picks
 
 
 def rollup_rules(columns: Sequence[str]) -> dict[str, str]:
@@ -31,14 +31,16 @@ def rollup_parents(cells: DataFrame, parent: str, order: Sequence[str] = ("distr
 
 
 def unit_table(cells: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
-    """Per unit: cells, people, published and allocated total, median per-capita."""
-    by = by or unit_key(cells)
-    sums = cells.groupBy(*by).agg(
+    """Per unit: cells, people, published and allocated total, median per-capita; one aggregate over ranked rows."""
+    by = list(by or unit_key(cells))
+    value, median = "gdp_per_capita_inr", {"median_gdp_per_capita_inr": 0.5}
+    narrow = cells.select(*by, "population", "y_inr", "gdp_inr", value)
+    found = placed(narrow, by, value).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum("population").alias("population"),
-        F.max("y_inr").alias("y_inr"), F.sum("gdp_inr").alias("gdp_inr"),
+        F.max("y_inr").alias("y_inr"), F.sum("gdp_inr").alias("gdp_inr"), *quantile_picks(value, median),
     )
-    medians = exact_quantiles(cells, by, "gdp_per_capita_inr", {"median_gdp_per_capita_inr": 0.5})
-    return sums.join(medians, list(by), "left")
+    medians = [c.alias(n) for n, c in interpolated(value, median).items()]
+    return found.select(*by, "n_cells", "population", "y_inr", "gdp_inr", *medians)
 
 
 def metric_columns(columns: Sequence[str]) -> list[tuple[str, str, str, str]]:

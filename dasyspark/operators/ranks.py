@@ -1,72 +1,89 @@
-"""Exact ranks and quantiles over whole territories, without a one-task sort.
-
-All of them derive from one table: for every distinct value, how many rows hold
-it and how many lie below. Rows are first counted per value (a value that a
-third of the rows share becomes one row), the distinct values are cut into
-ranges at sampled quantiles, and the counts are accumulated per range plus the
-total of the ranges before it. There is one plan for every size.
+"""Exact ranks and quantiles over whole territories, attached to the rows in place.
+
+Rows are sorted within (territory, range of values). Ranges follow the data: a quantile
+sketch cuts all values into runs of about ROWS_PER_RANGE rows, and the rows of the ranges
+before come from one small prefix sum. A value that fills a whole range by itself, such as
+one that a third of all rows share, needs no sorting: its rows are spread over many tasks
+and take their rank from the prefix sum alone, and so do nulls, which have no rank. Nothing
+is written and ranks are not joined back by value. Where all rows make one range, only the
+sort remains, and columns ranked one after the other share its shuffle.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dasyspark.operators.joins import attach
-from dasyspark.session import materialize
+from dasyspark.session import ROW_BYTES, BROADCAST_BYTES, has_at_most
+
+# Rows that one task sorts; the number of ranges follows the data.
+ROWS_PER_RANGE = 1_000_000
+SPREAD = 256
+PLACES = ("n_below", "n_eq", "n_all")
 
-# Distinct values that one task sorts; the number of ranges follows the data.
-VALUES_PER_RANGE = 250_000
-NULL_SLOTS = 256
 
+def placed(df: DataFrame, by: Sequence[str], value: str, rows: int | None = None, names: Sequence[str] = PLACES) -> DataFrame:
+    """``df`` with, for each row of a territory, how many values lie below its own, how many equal it, and how many there are.
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """How many rows hold each non-null value; written out, since ranking reads it more than once."""
-    known = df.where(F.col(value).isNotNull())
-    counted = known.groupBy(*by, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("n_eq"))
-    return materialize(counted, "value-counts")
+    Nulls count nowhere and get nulls. ``rows`` saves counting ``df``, which is read again
+    where it makes several ranges; hand in a written table.
+    """
+    below, equal, whole = names
+    rows = df.count() if rows is None else rows
+    keyed = df.drop(*names).withColumn("_v", F.col(value).cast("double"))
+    if rows <= ROWS_PER_RANGE:
+        keys = [*by]
+        hot = F.lit(False)
+    else:
+        keyed, hot = _with_range(keyed, rows)
+        keys = [*by, "_range", "_spread"]
+    line = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_last())
+    known = F.col("_v").isNotNull()
+    upto = F.count("_v").over(line.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    lower = (F.rank().over(line) - 1).cast("long")
+    if len(keys) == len(by):
+        ranked = keyed.withColumns({below: lower, equal: upto, whole: F.count("_v").over(Window.partitionBy(*keys))})
+        ranked = ranked.withColumns({below: F.when(known, F.col(below)), equal: F.when(known, F.col(equal) - F.col(below)), whole: F.when(known, F.col(whole))})
+        return ranked.drop("_v")
+    sizes = keyed.where(known).groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    across = Window.partitionBy(*by).orderBy("_range")
+    before = F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*by, "_range", "_n", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias(whole))
+    if has_at_most(offsets, BROADCAST_BYTES // (4 * ROW_BYTES)):
+        offsets = F.broadcast(offsets)
+    ranked = keyed.withColumns({below: lower, equal: upto})
+    met = ranked.join(offsets, [*by, "_range"], "left").withColumns({
+        below: F.when(known, F.col("_before") + F.when(hot, 0).otherwise(F.col(below))),
+        equal: F.when(known, F.when(hot, F.col("_n")).otherwise(F.col(equal) - F.col(below))),
+    })
+    return met.drop("_v", "_range", "_spread", "_n", "_before")
+
+
+def _with_range(keyed: DataFrame, rows: int) -> tuple[DataFrame, Column]:
+    """``_range`` and ``_spread`` of each row, and whether its value has a range of its own."""
+    ranges = rows // ROWS_PER_RANGE + 1
+    cuts = keyed.where(F.col("_v").isNotNull()).approxQuantile("_v", [k / ranges for k in range(1, ranges)], 0.25 / ranges)
+    times = Counter(cuts)
+    bounds = sorted(times)
+    hot = F.col("_v").isin([c for c in bounds if times[c] > 1])
+    # Bucket k holds values from the cut before on; a hot one comes first in its bucket.
+    splits = [-math.inf, *bounds, math.inf]
+    sure = keyed.withColumn("_sure", F.coalesce("_v", F.lit(-math.inf)))
+    bucket = Bucketizer(splits=splits, inputCol="_sure", outputCol="_bucket").transform(sure)
+    number = F.when(F.col("_v").isNotNull(), (F.col("_bucket") * 2 + F.when(hot, 0).otherwise(1)).cast("long"))
+    apart = F.when(F.col("_v").isNull() | hot, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
+    return bucket.withColumns({"_range": number, "_spread": apart}).drop("_sure", "_bucket"), hot
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """``by, value, n_eq, n_below, n_all`` for each distinct non-null value."""
-    return rank_counts(value_counts(df, by, value), by, value)
-
-
-def rank_counts(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    by = list(by)
-    ranged = _with_range(counts, value)
-    sizes = ranged.groupBy(*by, "_range").agg(F.sum("n_eq").alias("_n"))
-    across = Window.partitionBy(*by).orderBy("_range")
-    before = F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(
-        *by,
-        "_range",
-        F.coalesce(before, F.lit(0)).alias("_before"),
-        F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_all"),
-    )
-    within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(offsets, [*by, "_range"]).select(
-        *by,
-        value,
-        "n_eq",
-        (F.col("_before") + F.coalesce(F.sum("n_eq").over(within), F.lit(0))).alias("n_below"),
-        "n_all",
-    )
-
-
-def _with_range(counts: DataFrame, value: str) -> DataFrame:
-    """Number the value ranges, one for each VALUES_PER_RANGE values; cut points come from a quantile sketch."""
-    ranges = -(-counts.count() // VALUES_PER_RANGE)
-    shares = [k / ranges for k in range(1, ranges)]
-    cuts = sorted(set(counts.approxQuantile(value, shares, 0.25 / ranges))) if shares else []
-    if not cuts:
-        return counts.withColumn("_range", F.lit(0.0))
-    splits = [-math.inf, *cuts, math.inf]
-    return Bucketizer(splits=splits, inputCol=value, outputCol="_range").transform(counts)
+    known = placed(df.select(*by, F.col(value).cast("double").alias(value)), by, value).where(F.col(value).isNotNull())
+    return known.select(*by, value, "n_eq", "n_below", "n_all").distinct()
 
 
 def average_rank(n_below: str = "n_below", n_eq: str = "n_eq") -> Column:
@@ -74,14 +91,8 @@ def average_rank(n_below: str = "n_below", n_eq: str = "n_eq") -> Column:
 
 
 def with_rank(df: DataFrame, by: Sequence[str], value: str, out: str, rank: Column) -> DataFrame:
-    """Add ``rank``, an expression over the columns of ``value_ranks``, to each row."""
-    counts = value_counts(df, by, value)
-    ranks = rank_counts(counts, by, value).select(*by, F.col(value).alias("_v"), rank.alias(out))
-    # A null matches nothing; without slots of their own all nulls of a territory would meet in one task.
-    slot = F.when(F.col("_v").isNull(), F.pmod(F.spark_partition_id(), F.lit(NULL_SLOTS))).otherwise(F.lit(0))
-    keyed = df.withColumn("_v", F.col(value).cast("double")).withColumn("_slot", slot)
-    ranks = ranks.withColumn("_slot", F.lit(0))
-    return attach(keyed, ranks, [*by, "_v", "_slot"], "left", bound=counts).drop("_v", "_slot")
+    """Add ``rank``, an expression over the places of ``value`` (``placed``), to each row."""
+    return placed(df, by, value).withColumn(out, rank).drop(*PLACES)
 
 
 def wealth_index(cells: DataFrame, by: Sequence[str] = ("state",), value: str = "gdp_per_capita_inr") -> DataFrame:
@@ -102,34 +113,45 @@ def cume_percentile(cells: DataFrame, by: Sequence[str], value: str, out: str) -
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Linearly interpolated quantiles, one column per entry of ``probs``."""
-    return quantiles_of(value_ranks(df, by, value), by, value, probs)
+    return quantiles_of(placed(df.select(*by, value), by, value), by, value, probs)
 
 
-def quantiles_of(ranks: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    picks = []
+def order_statistic(value: str, at: Column, below: str = "n_below") -> Column:
+    """Aggregate over placed rows: the value at place ``at`` (from 0) of the sorted values."""
+    return F.max(F.when(F.col(below) <= at, F.col(value).cast("double")))
+
+
+def quantile_picks(value: str, probs: Mapping[str, float], names: Sequence[str] = PLACES) -> list[Column]:
+    """Aggregates over placed rows from which ``interpolated`` makes the quantiles."""
+    picks = [F.max(names[2]).alias(f"_n_{value}")]
     for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("n_all") - 1)
-        picks += [
-            F.max(F.when(F.col("n_below") <= F.floor(at), F.col(value))).alias(f"_lo_{name}"),
-            F.max(F.when(F.col("n_below") <= F.ceil(at), F.col(value))).alias(f"_hi_{name}"),
-        ]
-    found = ranks.groupBy(*by).agg(F.max("n_all").alias("n_all"), *picks)
-    columns = []
+        at = F.lit(float(p)) * (F.col(names[2]) - 1)
+        picks.append(order_statistic(value, F.floor(at), names[0]).alias(f"_lo_{name}"))
+        picks.append(order_statistic(value, F.ceil(at), names[0]).alias(f"_hi_{name}"))
+    return picks
+
+
+def interpolated(value: str, probs: Mapping[str, float]) -> dict[str, Column]:
+    columns = {}
     for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("n_all") - 1)
+        at = F.lit(float(p)) * (F.col(f"_n_{value}") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        columns.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return found.select(*by, *columns)
+        columns[name] = lo + (hi - lo) * (at - F.floor(at))
+    return columns
+
+
+def quantiles_of(ranks: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles from placed rows; territories without a value have none."""
+    found = ranks.where(F.col(value).isNotNull()).groupBy(*by).agg(*quantile_picks(value, probs))
+    return found.select(*by, *[c.alias(n) for n, c in interpolated(value, probs).items()])
 
 
 def quantile_cuts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Colour cuts: order statistics at fixed shares, forced to increase."""
     shares = (0.02, 0.3, 0.6, 0.85, 0.99)
-    picks = [
-        F.max(F.when(F.col("n_below") <= F.floor(F.lit(t) * (F.col("n_all") - 1)), F.col(value))).alias(f"_q{i}")
-        for i, t in enumerate(shares)
-    ]
-    found = value_ranks(df, by, value).groupBy(*by).agg(*picks)
+    picks = [order_statistic(value, F.floor(F.lit(t) * (F.col("n_all") - 1))).alias(f"_q{i}") for i, t in enumerate(shares)]
+    known = placed(df.select(*by, value), by, value).where(F.col(value).isNotNull())
+    found = known.groupBy(*by).agg(*picks)
     cuts: list[Column] = []
     for i in range(len(shares)):
         raw = F.col(f"_q{i}")
@@ -140,45 +162,35 @@ def quantile_cuts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def spearman(df: DataFrame, by: Sequence[str], pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Rank correlation per pair over rows where both values are known; null if undefined.
 
-    A column without nulls has the same ranks in every pair, so they are made once.
+    All ranks of a row are attached first, those of a column without gaps once for all its
+    pairs; one aggregate then makes all correlations.
     """
     columns = list(dict.fromkeys(c for pair in pairs.values() for c in pair))
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    shared: dict[str, DataFrame] = {}
-
-    def ranks_of(rows: DataFrame, column: str, reusable: bool) -> DataFrame:
-        if reusable and column in shared:
-            return shared[column]
-        made = value_ranks(rows, by, column).select(*by, F.col(column).alias("_v"), average_rank().alias("_rank"))
-        if reusable:
-            shared[column] = made
-        return made
-
-    parts = []
-    for name, (a, b) in pairs.items():
-        whole = not gaps[a] and not gaps[b]
-        both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, *dict.fromkeys((a, b)))
-        # Correlation needs only the joint counts, so ranks join onto distinct pairs.
-        joint = both.groupBy(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
-        joint = joint.agg(F.count(F.lit(1)).alias("_n"))
-        for side, column in (("_a", a), ("_b", b)):
-            ranks = ranks_of(both, column, whole).withColumnsRenamed({"_v": side, "_rank": f"{side}_rank"})
-            joint = joint.join(ranks, [*by, side])
-        parts.append(_weighted_corr(joint, by, "_a_rank", "_b_rank", "_n").withColumn("pair", F.lit(name)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("pair", *by, "rho")
-
-
-def _weighted_corr(df: DataFrame, by: Sequence[str], a: str, b: str, n: str) -> DataFrame:
-    x, y, w = F.col(a), F.col(b), F.col(n)
-    sums = df.groupBy(*by).agg(
-        F.sum(w).alias("n"),
-        F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
-        F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy"),
-    )
-    var_x = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    var_y = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    return sums.select(*by, F.when((var_x > 0) & (var_y > 0), cov / F.sqrt(var_x) / F.sqrt(var_y)).alias("rho"))
+    facts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    masked: dict[str, Column] = {}
+
+    def masked_name(column: str, other: str) -> str:
+        """The column that holds ``column`` where ``other`` is known."""
+        name = f"_{columns.index(column)}" + (f"_{columns.index(other)}" if facts[other] else "")
+        masked[name] = F.when(F.col(other).isNotNull(), F.col(column)) if facts[other] else F.col(column)
+        return name
+
+    sides = {pair: (masked_name(a, b), masked_name(b, a)) for pair, (a, b) in pairs.items()}
+    rows = df.select(*by, *[c.cast("double").alias(n) for n, c in masked.items()])
+    for name in masked:
+        rows = placed(rows, by, name, facts["_rows"])
+        # The mean of average ranks is known beforehand.
+        rows = rows.withColumn(name, average_rank() - (F.col("n_all") + 1) / 2.0).drop(*PLACES)
+    sums = []
+    for pair, (a, b) in sides.items():
+        x, y = F.col(a), F.col(b)
+        whole = x.isNotNull() & y.isNotNull()
+        sums += [F.sum(F.when(whole, v)).alias(f"{pair}:{n}") for n, v in (("xx", x * x), ("yy", y * y), ("xy", x * y))]
+    found = rows.groupBy(*by).agg(*sums)
+
+    def rho(pair: str) -> Column:
+        xx, yy, xy = (F.col(f"`{pair}:{n}`") for n in ("xx", "yy", "xy"))
+        return F.when((xx > 0) & (yy > 0), xy / F.sqrt(xx) / F.sqrt(yy))
+
+    told = F.array(*[F.struct(F.lit(p).alias("pair"), rho(p).alias("rho")) for p in pairs])
+    return found.select(F.inline(told), *by).select("pair", *by, "rho")

@@ -43,22 +43,28 @@ def concat_parts(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+# The first condition that holds names the state of supply. Tables of a direct kind are read as they come.
+_DIRECT = ("ckan_json", "opencity_csv", "gsdp_single")
+_STATES = (
+    ("no_source", "kind IS NULL"),
+    ("needs_csv", "kind = 'local_csv' AND NOT has_csv"),
+    ("ready", "has_csv OR has_parsed"),
+    ("switched_off", "skip_reason IS NOT NULL"),
+    ("needs_parsing", "kind = 'pdf' AND has_pdf"),
+    ("needs_document", "kind = 'pdf'"),
+    ("ready", f"has_json OR kind IN {_DIRECT}"),
+)
+_FLAGS = ("has_csv", "has_json", "has_parsed", "has_pdf")
+
+
 def coverage_status(settings: DataFrame, present: DataFrame) -> DataFrame:
-    """How far each territory is supplied.
+    """How far each territory is supplied: ``status``, a code of ``_STATES`` or ``needs_fetch``, and ``usable``.
 
-    ``settings``: code, kind, skip_reason. ``present``: code and booleans
-    has_csv, has_json, has_parsed, has_pdf.
+    ``settings``: code, kind, skip_reason. ``present``: code and the booleans ``_FLAGS``; a
+    territory without a row has none. A table put there by hand or parsed records override
+    a reason to skip.
     """
-    flags = ["has_csv", "has_json", "has_parsed", "has_pdf"]
-    joined = settings.join(present, "code", "left").fillna(False, subset=flags)
-    csv, js, parsed, pdf = (F.col(f) for f in flags)
-    kind = F.col("kind")
-    status = (
-        F.when(kind.isNull() | (F.col("skip_reason").isNotNull() & ~csv & ~parsed), "skip")
-        .when((kind == "local_csv") & ~csv, "skip")
-        .when((kind == "pdf") & ~csv & ~parsed & pdf, "skip (PDF persisted; needs gddp.csv)")
-        .when((kind == "pdf") & ~csv & ~parsed, "skip (DES PDF download failed; drop-in CSV)")
-        .when(csv | js | parsed | kind.isin("ckan_json", "opencity_csv", "gsdp_single"), "in")
-        .otherwise("in (configured; run fetch)")
-    )
-    return joined.withColumn("status", status)
+    seen = settings.join(present, "code", "left").fillna(False, subset=list(_FLAGS))
+    ways = [F.when(F.expr(condition), code) for code, condition in _STATES]
+    status = F.coalesce(*ways, F.lit("needs_fetch"))
+    return seen.withColumn("status", status).withColumn("usable", F.col("status").isin("ready", "needs_fetch"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from dasyspark.functions import numbers as N
 from dasyspark.operators import allocate, joins, ranks, targets
 from dasyspark.plans.disaggregate import allocate_and_rank
-from registry.core import ALLOCATED, CELLS, RANKED, TOTAL_ROWS, TOTALS, allocated, cells, nations, query, ranked, table
+from registry.core import ALLOCATED, CELLS, RANKED, TOTAL_ROWS, TOTALS, UNIT_NAME, allocated, cells, nations, query, ranked, table
 from registry.core import total_rows, totals, with_ctes
 
 SPLIT = (CELLS, TOTALS, ALLOCATED)
@@ -31,19 +31,19 @@ def _(spark, sf):
     return targets.filter_positive_targets(rows)
 
 
+# Territories 0 and 3 have all three kinds of source, 1 and 2 two, 4 one; what a kind lacks it lists under a territory of its own.
 @query("resolve_sources", """WITH u AS (
-  SELECT n_regionkey AS state, s_name AS source_name, s_acctbal AS y_crore, 0 AS priority FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey IN (0, 3)
-  UNION ALL SELECT n_regionkey, c_name, c_acctbal, 1 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <= 2
+  SELECT CASE WHEN n_regionkey IN (0, 3) THEN n_regionkey ELSE 10 + n_regionkey END AS state, s_name AS source_name, s_acctbal AS y_crore, 0 AS priority FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT CASE WHEN n_regionkey <= 2 THEN n_regionkey ELSE 20 + n_regionkey END, c_name, c_acctbal, 1 FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT n_regionkey, n_name, n_nationkey * 1e0, 2 FROM nation)
   SELECT state, source_name, y_crore, priority FROM u WHERE (state, priority) IN (SELECT state, min(priority) FROM u GROUP BY state)""")
 def _(spark, sf):
-    nation = nations(spark, sf)
-    state = F.col("n_regionkey").alias("state")
-    csv = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).where(
-        F.col("n_regionkey").isin(0, 3)).select(state, F.col("s_name").alias("source_name"), F.col("s_acctbal").alias("y_crore"))
-    parsed = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).where(
-        F.col("n_regionkey") <= 2).select(state, F.col("c_name").alias("source_name"), F.col("c_acctbal").alias("y_crore"))
-    raw = nation.select(state, F.col("n_name").alias("source_name"), (F.col("n_nationkey") * 1.0).alias("y_crore"))
+    nation, region = nations(spark, sf), F.col("n_regionkey")
+    csv = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.when(region.isin(0, 3), region).otherwise(region + 10).alias("state"), F.col("s_name").alias("source_name"), F.col("s_acctbal").alias("y_crore"))
+    parsed = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.when(region <= 2, region).otherwise(region + 20).alias("state"), F.col("c_name").alias("source_name"), F.col("c_acctbal").alias("y_crore"))
+    raw = nation.select(region.alias("state"), F.col("n_name").alias("source_name"), (F.col("n_nationkey") * 1.0).alias("y_crore"))
     return targets.resolve_sources([csv, parsed, raw])
 
 
@@ -257,14 +257,13 @@ def _(spark, sf):
     return out.select("cell", "unit", r("y_crore", 2).alias("y_crore"))
 
 
-@query("lookup_fill", with_ctes(
-    """SELECT p_partkey AS cell, coalesce(n, 0e0) AS n, coalesce(q, 0e0) AS q FROM part LEFT JOIN
-    (SELECT l_partkey, count(*)::DOUBLE AS n, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY l_partkey) ON p_partkey = l_partkey""",
-    "one AS (SELECT 1)"))
+@query("lookup_fill", """SELECT p_partkey AS cell, coalesce(n, 0e0) AS n, coalesce(q, 0e0) AS q FROM part LEFT JOIN
+    (SELECT CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN l_partkey ELSE -l_partkey END AS cell, count(*)::DOUBLE AS n, sum(l_quantity) AS q FROM lineitem GROUP BY cell) ON p_partkey = cell""")
 def _(spark, sf):
+    """Measures of all line items; those of the common kind belong to cells that no part has."""
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("cell"))
-    hits = table(spark, sf, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
-    measures = hits.groupBy(F.col("l_partkey").alias("cell")).agg(
+    key = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), F.col("l_partkey")).otherwise(-F.col("l_partkey"))
+    measures = table(spark, sf, "lineitem").groupBy(key.alias("cell")).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("l_quantity").alias("q"))
     return joins.lookup_fill(parts, measures, "cell", ["n", "q"])
 
@@ -276,11 +275,14 @@ def _(spark, sf):
     return joins.filter_valid_cells(rows, valid).select("event_id", "cell")
 
 
-@query("missing_units", """WITH c AS (SELECT DISTINCT o_custkey AS unit FROM orders WHERE o_orderstatus = 'P'), t AS (SELECT c_custkey AS unit FROM customer WHERE c_acctbal > 5000)
-  SELECT unit, 'cells' AS lacking FROM t WHERE unit NOT IN (SELECT unit FROM c) UNION ALL SELECT unit, 'totals' FROM c WHERE unit NOT IN (SELECT unit FROM t)""")
+@query("missing_units", """WITH t AS (SELECT c_nationkey AS state, c_custkey AS unit FROM customer),
+  c AS (SELECT DISTINCT c_nationkey AS state, o_custkey AS unit FROM orders JOIN customer ON o_custkey = c_custkey UNION SELECT s_nationkey, s_suppkey FROM supplier)
+  SELECT state, unit, 'cells' AS lacking FROM t WHERE (state, unit) NOT IN (SELECT (state, unit) FROM c) UNION ALL SELECT state, unit, 'totals' FROM c WHERE (state, unit) NOT IN (SELECT (state, unit) FROM t)""")
 def _(spark, sf):
-    want = table(spark, sf, "customer").where(F.col("c_acctbal") > 5000).select(F.col("c_custkey").alias("unit"))
-    have = table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("unit"))
+    """Customers have totals; customers with orders, and suppliers, have cells. Both number their units from 1 in every nation."""
+    want = table(spark, sf, "customer").select(F.col("c_nationkey").alias("state"), F.col("c_custkey").alias("unit"))
+    have = table(spark, sf, "orders").select(F.col("o_custkey").alias("unit")).join(want, "unit").select("state", "unit").unionByName(
+        table(spark, sf, "supplier").select(F.col("s_nationkey").alias("state"), F.col("s_suppkey").alias("unit")))
     return joins.missing_units(want, have)
 
 
@@ -289,14 +291,15 @@ def _(spark, sf):
     return joins.distinct_units(cells(spark, sf))
 
 
-@query("metro_units", """WITH m AS (SELECT r_regionkey AS code, r_name AS metro, unnest(['NATION_' || r_regionkey, 'NATION_' || (r_regionkey + 7), 'NATION_' || (r_regionkey + 22), 'ELSEWHERE']) AS unit, unnest(range(4)) AS position FROM region)
-  SELECT code, metro, position, unit FROM m WHERE unit IN (SELECT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
+@query("metro_units", f"""WITH m AS (SELECT r_regionkey AS state, r_name AS metro, unnest(['NATION_' || r_regionkey, 'NATION_' || (r_regionkey + 5), 'NATION_' || (r_regionkey + 20), 'NATION_3', 'ELSEWHERE']) AS unit, unnest(range(5)) AS position FROM region)
+  SELECT state, metro, position, unit FROM m WHERE (state, unit) IN (SELECT (n_regionkey, {UNIT_NAME}) FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
 def _(spark, sf):
+    """NATION_3 is a unit of two territories and none of the others, though all metros list it."""
     k = F.col("r_regionkey")
     name = lambda c: F.concat(F.lit("NATION_"), c.cast("string"))
     metros = table(spark, sf, "region").select(
-        k.alias("code"), F.col("r_name").alias("metro"), F.array(name(k), name(k + 7), name(k + 22), F.lit("ELSEWHERE")).alias("units"))
-    return joins.metro_units(metros, cells(spark, sf)).select("code", "metro", F.col("position").cast("bigint").alias("position"), "unit")
+        k.alias("state"), F.col("r_name").alias("metro"), F.array(name(k), name(k + 5), name(k + 20), F.lit("NATION_3"), F.lit("ELSEWHERE")).alias("units"))
+    return joins.metro_units(metros, cells(spark, sf)).select("state", "metro", F.col("position").cast("bigint").alias("position"), "unit")
 
 
 @query("first_by_order", "SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders GROUP BY o_custkey")
@@ -318,20 +321,20 @@ def _(spark, sf):
 
 
 @query("coverage_status", """WITH k AS (SELECT c_custkey::VARCHAR AS code, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'local_csv' WHEN 'BUILDING' THEN 'pdf' WHEN 'FURNITURE' THEN 'ckan_json' WHEN 'MACHINERY' THEN NULL ELSE 'xlsx_table' END AS kind,
-    CASE WHEN c_acctbal < 0 THEN 'none' END AS skip_reason FROM customer),
-  f AS (SELECT o_custkey::VARCHAR AS code, bool_or(o_orderpriority = '1-URGENT') AS c, bool_or(o_orderpriority = '2-HIGH') AS j,
-    bool_or(o_orderpriority = '3-MEDIUM') AS p, bool_or(o_orderpriority = '5-LOW') AS d FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL)
-  SELECT code, CASE WHEN kind IS NULL OR (skip_reason IS NOT NULL AND NOT c AND NOT p) THEN 'skip' WHEN kind = 'local_csv' AND NOT c THEN 'skip'
-    WHEN kind = 'pdf' AND NOT c AND NOT p AND d THEN 'skip (PDF persisted; needs gddp.csv)' WHEN kind = 'pdf' AND NOT c AND NOT p THEN 'skip (DES PDF download failed; drop-in CSV)'
-    WHEN c OR j OR p OR kind IN ('ckan_json', 'opencity_csv', 'gsdp_single') THEN 'in' ELSE 'in (configured; run fetch)' END AS status
-  FROM (SELECT k.*, coalesce(c, false) AS c, coalesce(j, false) AS j, coalesce(p, false) AS p, coalesce(d, false) AS d FROM k LEFT JOIN f USING (code))""")
+    c_acctbal < 0 AS skipped FROM customer),
+  f AS (SELECT o_custkey::VARCHAR AS code, count(*) FILTER (o_orderpriority = '1-URGENT') > 2 AS c, count(*) FILTER (o_orderpriority = '2-HIGH') > 2 AS j,
+    count(*) FILTER (o_orderpriority = '3-MEDIUM') > 2 AS p, count(*) FILTER (o_orderpriority = '5-LOW') > 2 AS d FROM orders GROUP BY ALL),
+  s AS (SELECT k.*, coalesce(c, false) AS c, coalesce(j, false) AS j, coalesce(p, false) AS p, coalesce(d, false) AS d FROM k LEFT JOIN f USING (code)),
+  t AS (SELECT code, CASE WHEN kind IS NULL THEN 'no_source' WHEN kind = 'local_csv' THEN CASE WHEN c THEN 'ready' ELSE 'needs_csv' END WHEN c OR p THEN 'ready' WHEN skipped THEN 'switched_off'
+    WHEN kind = 'pdf' THEN CASE WHEN d THEN 'needs_parsing' ELSE 'needs_document' END WHEN j OR kind = 'ckan_json' THEN 'ready' ELSE 'needs_fetch' END AS status FROM s)
+  SELECT code, status, status IN ('ready', 'needs_fetch') AS usable FROM t""")
 def _(spark, sf):
     segment = F.col("c_mktsegment")
     kind = F.when(segment == "AUTOMOBILE", "local_csv").when(segment == "BUILDING", "pdf").when(segment == "FURNITURE", "ckan_json").when(
         segment == "MACHINERY", None).otherwise("xlsx_table")
     settings = table(spark, sf, "customer").select(
         F.col("c_custkey").cast("string").alias("code"), kind.alias("kind"), F.when(F.col("c_acctbal") < 0, "none").alias("skip_reason"))
-    has = lambda p: F.bool_or(F.col("o_orderpriority") == p)
-    present = table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").groupBy(F.col("o_custkey").cast("string").alias("code")).agg(
+    has = lambda p: F.count_if(F.col("o_orderpriority") == p) > 2
+    present = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("code")).agg(
         has("1-URGENT").alias("has_csv"), has("2-HIGH").alias("has_json"), has("3-MEDIUM").alias("has_parsed"), has("5-LOW").alias("has_pdf"))
-    return targets.coverage_status(settings, present).select("code", "status")
+    return targets.coverage_status(settings, present).select("code", "status", "usable")

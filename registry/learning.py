@@ -12,7 +12,7 @@ from dasyspark.operators import graph as G
 from dasyspark.plans.disaggregate import disaggregate
 from dasyspark.session import materialize
 from registry.core import CELLS, COARSE, HEXCELLS, LEVEL, MID, cells, hexcells, nations, parent_sql, query, table, totals
-from registry.core import TOTALS, axial_sql_neighbors, num, with_ctes
+from registry.core import TOTALS, axial_sql_neighbors, cell_sql, num, with_ctes
 from registry.space import _haversine_sql
 
 _MAG = ["population", "night_lights", "road_km", "poi_count", "building_area_m2", "building_count", "poi_amenity_bank", "poi_office"]
@@ -279,29 +279,163 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------------- fit
 
-def training(spark, sf):
-    wide, names = featured(spark, sf)
-    return materialize(wide, "features"), materialize(totals(spark, sf), "totals"), names
+# The occupied hexagons as cells of the fit: each belongs to the first unit that has people in it.
+LATTICE = (
+    CELLS
+    + f""",
+lattice AS (SELECT cell, min(state) AS state, min_by(unit, (state, unit)) AS unit, sum(population) AS population, max(night_lights) AS night_lights,
+  sum(road_km) AS road_km, sum(poi_count) AS poi_count, max(building_share) AS building_share FROM
+  (SELECT {cell_sql("c.lat", "c.lon", LEVEL)} AS cell, c.* EXCLUDE (cell) FROM cells c) GROUP BY cell)"""
+)
+_BASE = {}
+for _m in ("population", "night_lights", "road_km", "poi_count"):
+    _BASE |= {f"{_m}_exists": _DERIVED[f"{_m}_exists"], f"{_m}_log": _DERIVED[f"{_m}_log"]}
+_BASE |= {"building_share": "building_share", "building_share_exists": _DERIVED["building_share_exists"]}
+_DARK = [k for k in _BASE if not k.startswith("night_lights")]
+
+
+def lattice(spark, sf):
+    base = cells(spark, sf)
+    hexagon = hexgrid.point_to_cell(F.col("lat"), F.col("lon"), LEVEL)
+    out = base.groupBy(hexagon.alias("cell")).agg(
+        F.min(F.struct("state", "unit")).alias("_u"), F.sum("population").alias("population"), F.max("night_lights").alias("night_lights"),
+        F.sum("road_km").alias("road_km"), F.sum("poi_count").alias("poi_count"), F.max("building_share").alias("building_share"))
+    return materialize(out.select("cell", "_u.*", "population", "night_lights", "road_km", "poi_count", "building_share"), "lattice")
+
+
+def lattice_graph(nodes):
+    """Neighbours and parents within each territory."""
+    edges = materialize(G.within_territories(G.adjacency_join(nodes, LEVEL), nodes), "edges")
+    links = G.hierarchy_join(nodes, LEVEL, MID).join(nodes.select(F.col("cell").alias("child"), "state"), "child")
+    return edges, links.select("child", F.concat_ws(":", F.col("state").cast("string"), F.col("parent").cast("string")).alias("parent"))
+
+
+def lattice_totals(spark, sf, nodes):
+    return materialize(totals(spark, sf).join(nodes.select("state", "unit").distinct(), ["state", "unit"], "left_semi"), "totals")
 
 
-@query("fit_intensity")
+def training(spark, sf):
+    """Cells, totals, and the design matrices with and without lights: own features, neighbours within two steps, the parent's mean."""
+    nodes = lattice(spark, sf)
+    edges, links = lattice_graph(nodes)
+    wide, names = X.engineer_features(nodes, ("state",), regions(spark, sf), keep=["cell", "unit", "population"])
+    wide = materialize(wide, "features")
+    designs = {tag: G.design_matrix(wide, kept, edges, links) for tag, kept in (("with", names), ("without", ablate_features(names)))}
+    return nodes, lattice_totals(spark, sf, nodes), designs
+
+
+def design_sql(names, d):
+    """The design matrix ``d`` (state, unit, cell, population, x with a 1 at the end) over the lattice."""
+    n = len(names)
+    z = ", ".join(f"(({_BASE[k]}) - avg({_BASE[k]}) OVER s) / CASE WHEN stddev_pop({_BASE[k]}) OVER s > 1e-9 THEN stddev_pop({_BASE[k]}) OVER s ELSE 1e0 END" for k in names)
+    zeros = "[" + ", ".join(["0e0"] * n) + "]"
+    out = [f"{d}_0 AS MATERIALIZED (SELECT cell, state, unit, population, [{z}] AS h FROM lattice WINDOW s AS (PARTITION BY state))",
+           f"{d}_e AS MATERIALIZED (SELECT src, dst FROM (SELECT cell AS src, state, unnest({axial_sql_neighbors('cell', LEVEL)}) AS dst FROM lattice) a JOIN lattice b ON b.cell = a.dst AND b.state = a.state)"]
+    for k in (1, 2):
+        out.append(f"""{d}_{k} AS MATERIALIZED (SELECT z.cell, coalesce(m.h, {zeros}) AS h FROM {d}_0 z LEFT JOIN (SELECT dst, list(t ORDER BY i) AS h FROM (SELECT dst, i, sum(v) / (1 + count(*)) AS t
+          FROM {d}_e JOIN (SELECT cell, unnest(h) AS v, unnest(range({n})) AS i FROM {d}_{k - 1}) ON src = cell GROUP BY dst, i) GROUP BY dst) m ON m.dst = z.cell)""")
+    out.append(f"{d}_p AS MATERIALIZED (SELECT cell, state, {parent_sql('cell', LEVEL, MID)} AS parent, h FROM {d}_0)")
+    out.append(f"""{d}_c AS MATERIALIZED (SELECT state, parent, list(t ORDER BY i) AS h FROM (SELECT state, parent, i, avg(v) AS t FROM (SELECT state, parent, unnest(h) AS v, unnest(range({n})) AS i FROM {d}_p)
+      GROUP BY ALL) GROUP BY ALL)""")
+    out.append(f"""{d} AS MATERIALIZED (SELECT z.cell, z.state, unit, population, list_concat(list_concat(list_concat(list_concat(z.h, a.h), b.h), c.h), [1e0]) AS x FROM {d}_0 z JOIN {d}_1 a USING (cell)
+      JOIN {d}_2 b USING (cell) JOIN {d}_p p USING (cell) JOIN {d}_c c ON c.state = p.state AND c.parent = p.parent)""")
+    return out
+
+
+def fit_sql(d, known, out, width, seeds, epochs=C.EPOCHS, lr=C.LEARNING_RATE):
+    """All epochs as one recursive table over ``d`` and ``known`` (state, unit, y_inr, train); ``out``: state, seed, scale, w, loss, final_loss."""
+    start = ", ".join(f"({s}, [{', '.join(num(v) for v in FIT.initial_weights(width - 1, s))}])" for s in seeds)
+    low = num(min(C.MIN_LEARNING_RATE, lr))
+    rate = f"({low} + ({num(lr)} - {low}) * (1 + cos(pi() * epoch / {epochs})) / 2)"
+    both = lambda a, b, f: f"list_transform(list_zip({a}, {b}), lambda p: {f})"
+    return [
+        f"""{out}_k AS MATERIALIZED (SELECT state, unit, y_inr FROM {known} WHERE train AND (state, unit) IN (SELECT (state, unit) FROM {d}))""",
+        f"""{out}_f AS MATERIALIZED (SELECT state, count(y_inr) AS n, sum(y_inr) / greatest(coalesce(sum(p) FILTER (y_inr IS NOT NULL), 0), 1) AS scale, greatest(sum(p), 1) AS pop
+          FROM (SELECT state, unit, sum(population) AS p FROM {d} GROUP BY ALL) LEFT JOIN {out}_k USING (state, unit) GROUP BY state HAVING count(y_inr) > 0)""",
+        f"""{out}_d AS MATERIALIZED (SELECT d.state, d.unit, population, x, y_inr, n, scale, pop, count(*) OVER (PARTITION BY d.state, d.unit) AS mates FROM {d} d JOIN {out}_f USING (state) LEFT JOIN {out}_k k ON k.state = d.state AND k.unit = d.unit)""",
+        f"""{out}_r AS (SELECT 0 AS epoch, state, seed, w, list_transform(w, lambda v: 0e0) AS m, list_transform(w, lambda v: 0e0) AS v, w AS used, NULL::DOUBLE AS loss
+          FROM {out}_f, (VALUES {start}) s(seed, w)
+          UNION ALL SELECT epoch + 1, state, seed, {both('w', 'step', f'p[1] - {rate} * p[2]')}, m, v, w, loss FROM (
+          SELECT *, {both('m', 'v', '(p[1] / (1 - power(0.9e0, epoch + 1))) / (sqrt(p[2] / (1 - power(0.999e0, epoch + 1))) + 1e-8)')} AS step FROM (
+          SELECT epoch, state, seed, w, loss, {both('m', 'g', '0.9e0 * p[1] + 0.1e0 * p[2]')} AS m, {both('v', 'g', '0.999e0 * p[1] + 0.001e0 * p[2] * p[2]')} AS v FROM (
+          SELECT epoch, state, seed, w, m, v, loss, list_transform(raw, lambda q: q * least(1e0, {C.GRADIENT_CLIP}e0 / greatest(sqrt(list_sum(list_transform(raw, lambda q: q * q))), 1e-12))) AS g FROM (
+          SELECT epoch, state, seed, any_value(w) AS w, any_value(m) AS m, any_value(v) AS v, max(t) FILTER (i = {width}) AS loss, list(t ORDER BY i) FILTER (i < {width}) AS raw FROM (
+          SELECT epoch, state, seed, any_value(w) AS w, any_value(m) AS m, any_value(v) AS v, i, sum(t) AS t FROM (
+          SELECT epoch, state, seed, w, m, v, unnest(range({width + 1})) AS i, unnest(list_append(list_transform(x, lambda q: q * (pull * slope - {num(2 * C.FLOOR_WEIGHT)} / pop * short * slope)),
+            coalesce(gap * gap / n / mates, 0) + {num(C.FLOOR_WEIGHT)} * population * short * short / pop)) AS t FROM (
+          SELECT *, coalesce(gap * 2 / (z + 1e-6) / (ln(10e0) * n), 0) AS pull FROM (
+          SELECT *, log10(z + 1e-6) - log10(y_inr + 1e-6) AS gap FROM (
+          SELECT *, sum(s * population) OVER (PARTITION BY state, seed, unit) AS z, greatest({num(C.FLOOR_TAU)} - s, 0e0) AS short, population * scale / (1 + exp(-l)) AS slope FROM (
+          SELECT *, scale * (greatest(l, 0e0) + ln(1 + exp(-abs(l)))) AS s FROM (
+          SELECT epoch, state, seed, w, m, v, unit, population, x, y_inr, n, scale, pop, mates, list_dot_product(w, x) AS l FROM {out}_r JOIN {out}_d USING (state) WHERE epoch < {epochs})))))) GROUP BY epoch, state, seed, i)
+          GROUP BY epoch, state, seed)))))""",
+        f"""{out} AS MATERIALIZED (SELECT state, seed, scale, arg_min(used, (loss, epoch)) AS w, min(loss) AS loss, arg_max(loss, epoch) AS final_loss FROM {out}_r JOIN {out}_f USING (state) WHERE epoch > 0 GROUP BY state, seed, scale)""",
+        f"""{out}_s AS MATERIALIZED (SELECT cell, state, unit, population, seed, scale, scale * (greatest(l, 0e0) + ln(1 + exp(-abs(l)))) AS s FROM (SELECT *, list_dot_product(w, x) AS l FROM {d} JOIN {out} USING (state)))""",
+    ]
+
+
+def fitted(body, *ctes):
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
+
+
+WIDTH, DARK_WIDTH = 4 * len(_BASE) + 1, 4 * len(_DARK) + 1
+_ALL = "known AS (SELECT state, unit, y_inr, true AS train FROM totals WHERE (state, unit) IN (SELECT (state, unit) FROM lattice))"
+ONE = (LATTICE, TOTALS, _ALL, *design_sql(list(_BASE), "d"), *fit_sql("d", "known", "one", WIDTH, (0,)))
+
+
+@query("design_matrix", fitted(
+    "SELECT cell, state, unit, round(list_sum(list_transform(x[:-2], lambda v, i: v * i)), 6) AS weighted, len(x) - 1 AS dims FROM d", LATTICE, *design_sql(list(_BASE), "d")))
 def _(spark, sf):
-    wide, known, names = training(spark, sf)
-    fit = FIT.fit_intensity(wide, known, names, seeds=(0,))
-    return wide.select("cell", "unit", fit.intensity(0).alias("intensity_raw"))
+    """Own features, means over one and two steps and of the parent, of every cell."""
+    _, _, designs = training(spark, sf)
+    weighted = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return designs["with"].select("cell", "state", "unit", F.round(weighted, 6).alias("weighted"), F.size("x").cast("bigint").alias("dims"))
 
 
-@query("fit_ensemble")
+@query("fit_intensity", fitted("SELECT cell, state, unit, round(s / scale, 5) AS relative, round(scale / 1e7, 5) AS scale FROM one_s", *ONE))
 def _(spark, sf):
-    out, _ = disaggregate(
-        cells(spark, sf).drop("intensity_raw"), totals(spark, sf), seeds=C.SEEDS, units=nations(spark, sf), territories=regions(spark, sf))
-    return out.select("cell", "unit", "intensity_raw", "gdp_crore", "wealth_index", "wealth_index_min", "wealth_index_max", "wealth_quintile")
+    """One seed for every territory, on propagated features; intensities relative to the territory's scale."""
+    _, known, designs = training(spark, sf)
+    fit = FIT.fit_intensity(designs["with"], known, seeds=(0,))
+    runs = fit.runs(designs["with"], ["cell", "state", "unit"])
+    scale = fit.table(known).select("state", "scale")
+    return runs.join(F.broadcast(scale), "state").select(
+        "cell", "state", "unit", F.round(F.col("intensity_raw") / F.col("scale"), 5).alias("relative"), F.round(F.col("scale") / 1e7, 5).alias("scale"))
+
 
+_FIVE = (LATTICE, TOTALS, _ALL, *design_sql(list(_BASE), "d"), *fit_sql("d", "known", "five", WIDTH, C.SEEDS))
+_MEAN = """mean AS (SELECT cell, state, unit, population, avg(s) AS s, min(s) AS low, max(s) AS high FROM five_s GROUP BY ALL),
+central AS (SELECT m.*, y_inr, s * population / sum(s * population) OVER (PARTITION BY m.state, m.unit) * y_inr AS gdp FROM mean m JOIN totals USING (state, unit))"""
 
-@query("spatial_holdout")
+
+@query("fit_ensemble", fitted(
+    "SELECT cell, state, unit, round(gdp / 1e7, 2) AS gdp_crore, round(s / scale, 5) AS relative, round(low / scale, 5) AS low, round(high / scale, 5) AS high FROM central JOIN five_f USING (state)", *_FIVE, _MEAN))
+def _(spark, sf):
+    """The whole job over hexagons: features, propagation, five seeds for every territory, allocation."""
+    nodes = lattice(spark, sf)
+    edges, links = lattice_graph(nodes)
+    out, fit = disaggregate(
+        nodes, lattice_totals(spark, sf, nodes), seeds=C.SEEDS, units=nations(spark, sf), territories=regions(spark, sf), edges=edges, links=links)
+    scale = fit.table(nodes).select("state", "scale").distinct()
+    shown = {"relative": "intensity_raw", "low": "intensity_raw_min", "high": "intensity_raw_max"}
+    return out.join(F.broadcast(scale), "state").select(
+        "cell", "state", "unit", F.round("gdp_crore", 2).alias("gdp_crore"), *[F.round(F.col(c) / F.col("scale"), 5).alias(n) for n, c in shown.items()])
+
+
+_HELD = """held AS (SELECT state, unit, y_inr, n, CASE WHEN n >= 5 THEN rn <= greatest(1, round_even(0.2e0 * n, 0)) END AS held FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY md5(unit || ':0'), unit) AS rn,
+  count(*) OVER (PARTITION BY state) AS n FROM known)),
+rest AS (SELECT state, unit, y_inr, NOT coalesce(held, false) AS train FROM held)"""
+_HOLD = (LATTICE, TOTALS, _ALL, _HELD, *design_sql(list(_BASE), "d"), *fit_sql("d", "rest", "hold", WIDTH, (0,)))
+_HOLDOUT = """h AS (SELECT state, avg(abs(z - y_inr) / greatest(abs(y_inr), 1e-9)) FILTER (held) AS mape, count(*) FILTER (held) AS n_holdout_units, count(*) AS n_units, bool_and(held IS NULL) AS skipped
+  FROM held JOIN (SELECT state, unit, sum(s * population) AS z FROM hold_s GROUP BY ALL) USING (state, unit) GROUP BY state)"""
+
+
+@query("spatial_holdout", fitted(
+    "SELECT state, round(mape, 5) AS holdout_mape, n_holdout_units, n_units, skipped, CASE WHEN NOT skipped THEN round(final_loss, 6) END AS final_loss FROM h JOIN hold USING (state)", *_HOLD, _HOLDOUT))
 def _(spark, sf):
-    wide, known, names = training(spark, sf)
-    return FIT.spatial_holdout(wide, known, names)
+    _, known, designs = training(spark, sf)
+    out = FIT.spatial_holdout(designs["with"], known)
+    return out.select("state", F.round("holdout_mape", 5).alias("holdout_mape"), "n_holdout_units", "n_units", "skipped", F.round("final_loss", 6).alias("final_loss"))
 
 
 @query("holdout_units", with_ctes(
@@ -310,10 +444,18 @@ def _(spark, sf):
     return FIT.holdout_units(totals(spark, sf))
 
 
-@query("ablation")
+_LOSS = """SELECT state, avg(power(log10(z + 1e-6) - log10(y_inr + 1e-6), 2)) AS log_loss FROM (SELECT state, unit, sum(s * population) AS z FROM {} GROUP BY ALL) JOIN known USING (state, unit) GROUP BY state"""
+_DIM = (*design_sql(_DARK, "dark"), *fit_sql("dark", "known", "dim", DARK_WIDTH, (0,)))
+
+
+@query("ablation", fitted(
+    " UNION ALL ".join(
+        f"SELECT '{tag}' AS tag, state, {width - 1} AS n_features, round(log_loss, 6) AS log_loss, round(final_loss, 6) AS final_train_loss FROM ({_LOSS.format(name + '_s')}) JOIN {name} USING (state)"
+        for tag, name, width in (("with", "one", WIDTH), ("without", "dim", DARK_WIDTH))), *ONE, *_DIM))
 def _(spark, sf):
-    wide, known, names = training(spark, sf)
-    return FIT.ablation(wide, known, names)
+    _, known, designs = training(spark, sf)
+    out = FIT.ablation(designs, known)
+    return out.select("tag", "state", "n_features", F.round("log_loss", 6).alias("log_loss"), F.round("final_train_loss", 6).alias("final_train_loss"))
 
 
 @query("best_epoch", """SELECT tag, seed, (m).epoch AS epoch, (m).loss AS loss FROM (SELECT event_type AS tag, user_id AS seed, min({'loss': round(value, 0), 'epoch': event_id}) AS m FROM events GROUP BY ALL)""")
@@ -323,10 +465,27 @@ def _(spark, sf):
     return FIT.best_epoch(history)
 
 
-@query("evaluation_report")
+def _report_sql():
+    ranks = "rank() OVER (PARTITION BY state ORDER BY {0}) + (count(*) OVER (PARTITION BY state, {0}) - 1) / 2e0 AS r_{0}"
+    columns = ("wealth", "night_lights", "road_km", "poi_count", "pci")
+    names = {"wealth_index_vs_night_lights": ("wealth", "night_lights"), "wealth_index_vs_road_km": ("wealth", "road_km"),
+             "wealth_index_vs_poi_count": ("wealth", "poi_count"), "gdp_per_capita_vs_night_lights": ("pci", "night_lights")}
+    rk = f"""rk AS (SELECT state, {", ".join(ranks.format(c) for c in columns)} FROM (SELECT c.state, gdp / c.population AS pci, gdp / c.population AS wealth, night_lights, road_km, poi_count
+      FROM central c JOIN lattice l USING (cell) WHERE c.population > 0))"""
+    parts = [f"SELECT 'ensemble' AS section, state, 'log_loss' AS item, log_loss AS value FROM ({_LOSS.format('mean')})",
+             "SELECT 'ensemble', state, 'best_loss ' || seed, loss FROM five",
+             *[f"SELECT 'spearman', state, '{p}', corr(r_{a}, r_{b}) FROM rk GROUP BY state" for p, (a, b) in names.items()],
+             *[f"SELECT 'ablation', state, '{tag}', log_loss FROM ({_LOSS.format(name)})" for tag, name in (("with", "(SELECT * FROM five_s WHERE seed = 0)"), ("without", "dim_s"))],
+             "SELECT 'holdout', state, CASE WHEN skipped THEN 'skipped, units' ELSE 'mape' END, CASE WHEN skipped THEN n_units ELSE mape END FROM h"]
+    body = "SELECT section, state, item, round(value, 5) AS value FROM (" + " UNION ALL ".join(parts) + ")"
+    return fitted(body, *_FIVE, _MEAN, _HELD, *fit_sql("d", "rest", "hold", WIDTH, (0,)), _HOLDOUT, *_DIM, rk)
+
+
+@query("evaluation_report", _report_sql())
 def _(spark, sf):
-    """Hold-out error, ablation losses and rank correlations of one fit, as rows."""
+    """Ensemble losses, hold-out error, ablation and rank correlations of every territory, as rows."""
     from dasyspark.operators.evaluate import evaluation_report
 
-    wide, known, names = training(spark, sf)
-    return evaluation_report(cells(spark, sf).drop("intensity_raw"), wide, known, names, units=nations(spark, sf))
+    nodes, known, designs = training(spark, sf)
+    out = evaluation_report(nodes, designs, known, units=nations(spark, sf))
+    return out.select("section", "state", "item", F.round("value", 5).alias("value"))

@@ -75,11 +75,9 @@ def _(spark, sf):
     return publish.available_metrics(base).select("state", "metric", r("share", 8))
 
 
-@query("metric_union", with_ctes(
-    "SELECT p_type AS metric, min(p_brand) AS label FROM part WHERE p_size < 30 GROUP BY p_type", "one AS (SELECT 1)").replace(
-    "min(p_brand) AS label", "(min_by({'l': p_name}, (p_brand, p_partkey))).l AS label"))
+@query("metric_union", "SELECT p_type AS metric, (min_by({'l': p_name}, (p_brand, p_partkey))).l AS label FROM part GROUP BY p_type")
 def _(spark, sf):
-    rows = table(spark, sf, "part").where(F.col("p_size") < 30).select(
+    rows = table(spark, sf, "part").select(
         F.col("p_type").alias("metric"), F.col("p_brand").alias("state"), F.col("p_partkey").alias("position"), F.col("p_name").alias("label"))
     return publish.metric_union(rows).select("metric", "label")
 
@@ -166,10 +164,12 @@ def _(spark, sf):
     return out.select("state", "n_cells", r("population", 2), F.array_join("units", ",").alias("units"), F.array_join(listed, ";").alias("metros"))
 
 
-@query("build_catalog", """SELECT s_nationkey AS state, count(*) AS n, 'new' AS made FROM supplier WHERE s_acctbal > 6000 GROUP BY ALL
+@query("build_catalog", """SELECT CASE WHEN s_acctbal > 6000 THEN s_nationkey ELSE 100 + s_nationkey END AS state, count(*) AS n, 'new' AS made FROM supplier GROUP BY ALL
   UNION ALL SELECT c_nationkey, count(*), 'old' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 6000) GROUP BY ALL""")
 def _(spark, sf):
-    fresh = table(spark, sf, "supplier").where(F.col("s_acctbal") > 6000).groupBy(F.col("s_nationkey").alias("state")).agg(
+    """Nations of rich suppliers are made anew, under their number; the poorer ones make territories beyond."""
+    nation = F.col("s_nationkey")
+    fresh = table(spark, sf, "supplier").groupBy(F.when(F.col("s_acctbal") > 6000, nation).otherwise(nation + 100).alias("state")).agg(
         F.count(F.lit(1)).alias("n"), F.lit("new").alias("made"))
     old = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("state")).agg(F.count(F.lit(1)).alias("n"), F.lit("old").alias("made"))
     return publish.build_catalog(fresh, old)
@@ -265,7 +265,7 @@ _TOP = ("top AS (SELECT cell, max_by(feature, (abs(z), -ord)) AS feature FROM (S
 
 @query("cell_dossier", with_ctes(
     """SELECT r.cell, r.unit, round(population, 2) AS population, round(wealth_index, 6) AS wealth_index, round(gdp_crore, 2) AS gdp_crore, coalesce(n, 0)::BIGINT AS neighbors, people,
-    feature AS top_feature, (SELECT count(*) FROM cells c WHERE c.unit = r.unit) AS unit_cells FROM ranked r JOIN presets USING (cell) LEFT JOIN near USING (cell) JOIN top USING (cell)""",
+    feature AS top_feature, (SELECT count(*) FROM cells c WHERE c.state = r.state AND c.unit = r.unit) AS unit_cells FROM ranked r JOIN presets USING (cell) LEFT JOIN near USING (cell) JOIN top USING (cell)""",
     *WEALTH, FEATURES, _PRESETS, _NEAR, _TOP))
 def _(spark, sf):
     """Dossiers of the preset cells of every territory, read back from their JSON."""

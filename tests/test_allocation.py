@@ -72,7 +72,7 @@ def test_ranges_give_the_same_ranks_as_one_sort(spark, monkeypatch):
     pdf = pd.DataFrame({"cell": np.arange(len(v)), "state": np.arange(len(v)) % 3, "v": v})
     rows = spark.createDataFrame(pdf)
     whole = sorted(map(tuple, ranks.value_ranks(rows, ["state"], "v").collect()))
-    monkeypatch.setattr(ranks, "VALUES_PER_RANGE", 10)
+    monkeypatch.setattr(ranks, "ROWS_PER_RANGE", 100)
     assert sorted(map(tuple, ranks.value_ranks(rows, ["state"], "v").collect())) == whole
     got = ranks.with_rank(rows, ["state"], "v", "rk", ranks.average_rank()).toPandas().sort_values("cell")
     assert np.allclose(got.rk, pdf.groupby("state").v.rank(method="average"))

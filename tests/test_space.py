@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ def test_containment_boundary_hole_and_claim(spark):
     shapes = polygons(spark, ("b", "0", square), ("b", "0", hole), ("a", "0", other))
     pts = [(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 0.0, 2.0), (4, 4.0, 4.0), (5, 2.0, 3.5), (6, 5.0, 5.0), (7, 1.0, 1.5), (8, 2.0, 6.0), (9, 4.0, 0.0), (10, 1.0, 0.5)]
     points = spark.createDataFrame(pts, "cell int, lat double, lon double")
-    got = {r.cell: r.unit for r in spatial.pip_join(points, shapes, tile=1.0, band=0.3).collect()}
+    got = {r.cell: r.unit for r in spatial.pip_join(points, shapes, band=0.3, slot=1.0).collect()}
     assert got == {1: "b", 3: "b", 4: "a", 5: "a", 7: "b", 8: "a", 9: "b", 10: "b"}
 
 
@@ -156,3 +157,96 @@ def test_rollup_weights_and_coarse_ids(spark):
     assert evidence.h3_population(grid, 7).first().population == 6.0
     with pytest.raises(ValueError):
         evidence.assert_single_resolution(grid)
+
+
+def _even_odd(lat, lon, rings):
+    """On an edge, or an odd number of edges to the east."""
+    odd = False
+    for ring in rings:
+        for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1]):
+            turn = (d - b) * (lat - a) - (c - a) * (lon - b)
+            if turn == 0 and min(a, c) <= lat <= max(a, c) and min(b, d) <= lon <= max(b, d):
+                return True
+            if (a > lat) != (c > lat) and (turn > 0) == (c > a):
+                odd = not odd
+    return odd
+
+
+def _star(rng, lat, lon, size, corners):
+    angles = sorted(rng.uniform(0, 6.283) for _ in range(corners))
+    return [(lat + rng.uniform(0.3, 1) * size * math.sin(t), lon + rng.uniform(0.3, 1) * size * math.cos(t)) for t in angles]
+
+
+@pytest.fixture(scope="module")
+def shapes():
+    """Stars with holes and islands, and boxes whose corners, edges and the points on them have round coordinates."""
+    rng = random.Random(4)
+    out = {}
+    for k in range(12):
+        lat, lon = rng.uniform(10, 11), rng.uniform(70, 71)
+        outer = _star(rng, lat, lon, 0.4, rng.randint(3, 40))
+        out[f"star{k}", "0"] = [outer, [(lat, lon), (lat + 0.05, lon), (lat, lon + 0.05)]]
+        out[f"star{k}", "1"] = [_star(rng, lat - 0.5, lon, 0.03, 5)]
+    for k in range(4):
+        a, b = 10.0 + 0.25 * k, 70.0 + 0.25 * k
+        out[f"box{k}", "0"] = [[(a, b), (a, b + 0.5), (a + 0.5, b + 0.5), (a + 0.5, b)], [(a + 0.25, b + 0.25), (a + 0.25, b + 0.3), (a + 0.3, b + 0.25)]]
+    return out
+
+
+def _table(spark, shapes):
+    rows = [(u, p, [(float(a), float(b)) for a, b in ring]) for (u, p), rings in shapes.items() for ring in rings]
+    return spark.createDataFrame(rows, "unit string, part string, ring array<struct<lat: double, lon: double>>")
+
+
+@pytest.mark.parametrize("band, slot, broadcast", [(0.05, 0.05, True), (0.05, 0.05, False), (0.3, 0.02, False), (2.0, 3.0, True)])
+def test_containment_matches_even_odd(spark, shapes, band, slot, broadcast):
+    rng = random.Random(9)
+    spots = [(i, rng.uniform(9.3, 11.7), rng.uniform(69.3, 71.7)) for i in range(600)]
+    spots += [(1000 + 41 * i + j, 10 + i * 0.05, 70 + j * 0.05) for i in range(30) for j in range(30)]
+    # Corners of the stars, and points straight above and beside them.
+    corners = [v for (u, _), rings in shapes.items() if u < "t" for v in rings[0]][:60]
+    spots += [(5000 + i, a + d, b) for i, (a, b) in enumerate(corners) for d in (0.0,)] + [(6000 + i, a + 0.01, b) for i, (a, b) in enumerate(corners)]
+    points = spark.createDataFrame(spots, "cell long, lat double, lon double")
+    want = {(c, u) for c, lat, lon in spots for (u, _), rings in shapes.items() if _even_odd(lat, lon, rings)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        if not broadcast:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = {(r.cell, r.unit) for r in spatial.containing_units(points, _table(spark, shapes), band, slot).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == want and len(want) > 300
+
+
+def test_filling_matches_a_test_of_every_centre(spark, shapes):
+    level = 8
+    cells = spatial.polyfill(_table(spark, shapes), level)
+    got = {r.cell: (r.unit, r.lat, r.lon) for r in cells.collect()}
+    s = hexgrid.side_km(level)
+    want = {}
+    for r in range(int(math.sin(math.radians(9.2)) * hexgrid.RADIUS_KM / (1.5 * s)), int(math.sin(math.radians(11.9)) * hexgrid.RADIUS_KM / (1.5 * s)) + 1):
+        lat = math.degrees(math.asin(1.5 * s * r / hexgrid.RADIUS_KM))
+        for q in range(int(math.radians(69.2) * hexgrid.RADIUS_KM / (s * math.sqrt(3)) - r / 2), int(math.radians(71.9) * hexgrid.RADIUS_KM / (s * math.sqrt(3)) - r / 2) + 1):
+            lon = math.degrees(s * math.sqrt(3) * (q + r / 2) / hexgrid.RADIUS_KM)
+            units = [u for (u, _), rings in shapes.items() if _even_odd(lat, lon, rings)]
+            if units:
+                want[q, r] = min(units)
+    assert len(got) == len(want) > 1000
+    found = {}
+    for cell, (unit, _, _) in got.items():
+        found[(cell >> 28) % (1 << 28) - (1 << 27), cell % (1 << 28) - (1 << 27)] = unit
+    assert found == want
+
+
+def test_filling_meets_centres_on_the_outline(spark):
+    """A box whose sides run through centres keeps them."""
+    level = 4
+    s = hexgrid.side_km(level)
+    lat = [math.degrees(math.asin(1.5 * s * r / hexgrid.RADIUS_KM)) for r in (10, 12)]
+    lon = [math.degrees(s * math.sqrt(3) * (q + 5.0) / hexgrid.RADIUS_KM) for q in (40, 43)]
+    shape = {("u", "0"): [[(lat[0], lon[0]), (lat[0], lon[1]), (lat[1], lon[1]), (lat[1], lon[0])]]}
+    rows = spatial.polyfill(_table(spark, shape), level).collect()
+    got = sorted(((c.cell >> 28) % (1 << 28) - (1 << 27), c.cell % (1 << 28) - (1 << 27)) for c in rows)
+    centres = [(q, r) for r in (10, 11, 12) for q in range(30, 60) if _even_odd(
+        math.degrees(math.asin(min(1.0, s * 1.5 * r / hexgrid.RADIUS_KM))), math.degrees(s * math.sqrt(3) * (q + r / 2.0) / hexgrid.RADIUS_KM), shape["u", "0"])]
+    assert got == sorted(centres) and (40, 10) in got
