@@ -57,7 +57,7 @@ def evaluation_report(
     columns = ["state", "population", "wealth_index", "night_lights", "road_km", "poi_count", "gdp_per_capita_inr"]
     ranked = materialize(ranked.select(*columns), "ranked")
     report = report.unionByName(rows(spearman_sanity(ranked), "spearman", F.col("pair"), F.col("rho")))
-    tried = ablation(designs, totals, epochs, seeds[0], lr)
+    tried = ablation(designs, totals, epochs, seeds[0], lr, made={next(iter(designs)): fit})
     report = report.unionByName(rows(tried, "ablation", F.col("tag"), F.col("log_loss")))
     held = spatial_holdout(design, totals, epochs, seeds[0], lr)
     item = F.when(F.col("skipped"), "skipped, units").otherwise("mape")

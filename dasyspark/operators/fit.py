@@ -48,6 +48,10 @@ class Fit:
         rows = [(state, seed, self.scale[state], w.tolist()) for (state, seed), w in self.weights.items()]
         return like.sparkSession.createDataFrame(rows, f"state {self.state_type}, seed int, scale double, weights array<double>")
 
+    def of_seed(self, seed: int) -> Fit:
+        kept = {key: w for key, w in self.weights.items() if key[1] == seed}
+        return Fit(self.width, kept, self.scale, [h for h in self.history if h[2] == seed], self.state_type)
+
     def history_table(self, like: DataFrame) -> DataFrame:
         kind = f"tag string, state {self.state_type}, seed int, epoch int, loss double, l_agg double, l_floor double"
         return like.sparkSession.createDataFrame(self.history, kind)
@@ -377,12 +381,17 @@ def spatial_holdout(
 
 
 def ablation(
-    designs: dict[str, DataFrame], totals: DataFrame, epochs: int = C.EPOCHS, seed: int = 0, lr: float = C.LEARNING_RATE
+    designs: dict[str, DataFrame], totals: DataFrame, epochs: int = C.EPOCHS, seed: int = 0, lr: float = C.LEARNING_RATE,
+    made: dict[str, Fit] | None = None,
 ) -> DataFrame:
-    """Loss per territory for each of several design matrices, such as one with a feature group and one without."""
+    """Loss per territory for each of several design matrices, such as one with a feature group and one without.
+
+    ``made`` holds fits that exist already under the same settings, with ``seed`` among their seeds.
+    """
     parts = []
     for tag, design in designs.items():
-        fit = fit_intensity(design, totals, epochs, (seed,), lr, tag=f"ablation_{tag}")
+        fit = (made or {}).get(tag) or fit_intensity(design, totals, epochs, (seed,), lr, tag=f"ablation_{tag}")
+        fit = fit.of_seed(seed)
         sums = fit.runs(design, [*UNIT_KEY, "population"]).join(totals.select(*UNIT_KEY, "y_inr"), list(UNIT_KEY))
         losses = log_loss(sums, ("state",)).join(_last_losses(fit, design), "state")
         parts.append(losses.select(F.lit(tag).alias("tag"), "state", F.lit(fit.width).alias("n_features"), "log_loss", F.col("final_loss").alias("final_train_loss")))

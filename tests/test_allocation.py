@@ -12,7 +12,7 @@ from dasyspark.operators.explain import top_features
 def frame(spark, seed=0, n=400):
     rng = np.random.default_rng(seed)
     pdf = pd.DataFrame({
-        "cell": np.arange(n), "unit": [f"u{i % 7}" for i in range(n)], "state": np.arange(n) % 2,
+        "cell": np.arange(n), "unit": [f"u{i % 7}" for i in range(n)], "state": np.arange(n) % 7 % 2,
         "population": np.where(rng.random(n) < 0.2, 0.0, rng.integers(1, 500, n)).astype(float),
         "night_lights": np.where(rng.random(n) < 0.3, 0.0, rng.random(n) * 10), "road_km": rng.integers(0, 5, n).astype(float),
         "poi_count": rng.integers(0, 3, n).astype(float), "building_share": rng.random(n),
@@ -20,6 +20,11 @@ def frame(spark, seed=0, n=400):
     return pdf, spark.createDataFrame(pdf)
 
 
+def unit_totals(spark, size):
+    """The seven units of ``frame``, in two territories."""
+    return spark.createDataFrame([(i % 2, f"u{i}", size * (i + 1)) for i in range(7)], "state long, unit string, y_inr double")
+
+
 def test_worked_example(spark):
     cells = spark.createDataFrame([(1, "a", 100.0, 10.0), (2, "a", 200.0, 20.0), (3, "a", 300.0, 10.0)], "cell int, unit string, population double, intensity_raw double")
     totals = spark.createDataFrame([("a", 10000.0)], "unit string, y_inr double")
@@ -31,7 +36,7 @@ def test_worked_example(spark):
 def test_allocation_adds_up_and_ranks_like_pandas(spark):
     pdf, cells = frame(spark)
     cells = cells.withColumn("intensity_raw", F.col("night_lights") + 1)
-    totals = spark.createDataFrame([(f"u{i}", 1e9 * (i + 1)) for i in range(7)], "unit string, y_inr double")
+    totals = unit_totals(spark, 1e9)
     out = allocate.ranked_wealth(allocate.dasymetric_allocate(cells, totals)).toPandas()
     sums = out.groupby("unit").agg(a=("gdp_inr", "sum"), y=("y_inr", "first"))
     assert ((sums.a - sums.y).abs() / sums.y).max() < 1e-9
@@ -79,6 +84,29 @@ def test_ranges_give_the_same_ranks_as_one_sort(spark, monkeypatch):
     assert ranks.value_ranks(rows.where("v = 2.5"), ["state"], "v").count() == 3
 
 
+def test_hot_values_and_nulls_are_ranked_without_meeting(spark, monkeypatch):
+    """A value over a third of all rows has a range of its own; its rows and the nulls are spread, the ranks exact."""
+    rng = np.random.default_rng(8)
+    v = np.concatenate([np.full(500, 3.0), rng.random(400) * 10, np.full(300, np.nan), np.full(300, 7.0)])
+    pdf = pd.DataFrame({"cell": np.arange(len(v)), "state": rng.integers(0, 3, len(v)), "v": v})
+    rows = spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    monkeypatch.setattr(ranks, "ROWS_PER_RANGE", 100)
+    got = ranks.placed(rows, ["state"], "v").toPandas().sort_values("cell").reset_index(drop=True)
+    for _, part in pdf.groupby("state"):
+        mine = got.loc[part.index]
+        assert np.allclose(mine.n_below + 1, part.v.rank(method="min"), equal_nan=True)
+        assert np.allclose(mine.n_below + mine.n_eq, part.v.rank(method="max"), equal_nan=True)
+        assert set(mine.n_all.dropna()) == {part.v.notna().sum()}
+    keyed, _ = ranks._with_range(rows.withColumn("_v", F.col("v")), len(v))
+    parts = keyed.groupBy("_range", "_spread", "v").count().where("v IN (3, 7)").toPandas()
+    assert parts.groupby("v").size().min() > 20 and keyed.where("v IN (3, 7)").select("_range").distinct().count() == 2
+    pairs = {"p": ("v", "cell")}
+    rho = {r.state: r.rho for r in ranks.spearman(rows, ["state"], pairs).collect()}
+    for state, part in pdf.groupby("state"):
+        some = part[part.v.notna()]
+        assert rho[state] == pytest.approx(some.v.rank().corr(some.cell.rank()))
+
+
 def test_index_follows_sorted_names(spark):
     names = [f"n{i:03d}" for i in np.random.default_rng(1).permutation(300)]
     rows = spark.createDataFrame([(n,) for n in names + names[:50]], "unit string").repartition(5)
@@ -90,15 +118,15 @@ def test_disaggregate_adds_up_with_seed_ranges(spark):
     from dasyspark.plans.disaggregate import disaggregate
 
     _, cells = frame(spark, n=200)
-    totals = spark.createDataFrame([(f"u{i}", 1e6 * (i + 1)) for i in range(7)], "unit string, y_inr double")
+    totals = unit_totals(spark, 1e6)
     out, result = disaggregate(cells, totals, epochs=2, seeds=(0, 1), lr=0.05, units=totals)
     pdf = out.toPandas()
-    assert len(pdf) == 200 and len(result.history) == 4
+    assert len(pdf) == 200 and len(result.history) == 8
     sums = pdf.groupby("unit").gdp_inr.sum()
     assert all(abs(sums[f"u{i}"] / (1e6 * (i + 1)) - 1) < 1e-9 for i in range(7))
     live = pdf[pdf.population > 0]
     assert (live.wealth_index_min <= live.wealth_index_max).all() and pdf.wealth_index.between(0, 100).all()
-    assert fit.best_epoch(result.history_table(cells)).count() == 2
+    assert fit.best_epoch(result.history_table(cells)).count() == 4 and len(result.weights) == 4
 
 
 def test_spearman_matches_pandas_and_null_when_constant(spark):
@@ -118,7 +146,10 @@ def test_spearman_matches_pandas_and_null_when_constant(spark):
 
 def test_join_targets_refuses_totals_without_cells(spark):
     _, cells = frame(spark)
-    totals = spark.createDataFrame([("u1", 1.0), ("nowhere", 2.0)], "unit string, y_inr double")
+    nameless = spark.createDataFrame([("u1", 1.0)], "unit string, y_inr double")
+    with pytest.raises(ValueError, match="without state"):
+        joins.join_targets(cells, nameless)
+    totals = spark.createDataFrame([(1, "u1", 1.0), (1, "nowhere", 2.0)], "state long, unit string, y_inr double")
     with pytest.raises(ValueError, match="nowhere"):
         joins.join_targets(cells, totals)
     assert {r.unit for r in joins.join_targets(cells, totals.where("unit = 'u1'")).select("unit").distinct().collect()} == {"u1"}
@@ -162,32 +193,119 @@ def test_pack_and_unpack_round_trip(spark):
     assert text[2] == '{"n":1,"h":[12],"p":[3.0],"poi":[2.0]}'
 
 
-def test_fit_gradient_and_progress(spark):
+def plain_fit(cells, totals, epochs, seed, lr):
+    """The same descent for one territory, cell by cell in memory: best weights and losses."""
+    x = np.column_stack([np.stack(cells.x.to_numpy()), np.ones(len(cells))])
+    pop, y = cells.population.to_numpy(), cells.unit.map(totals).to_numpy(float)
+    units = [np.flatnonzero(cells.unit == u) for u in totals]
+    scale = sum(totals.values()) / max(pop[~np.isnan(y)].sum(), 1)
+    w, m, v, best, kept, losses = fit.initial_weights(x.shape[1] - 1, seed), 0, 0, np.inf, None, []
+
+    def loss(w):
+        s = scale * np.logaddexp(0, x @ w)
+        gaps = [np.log10((s[r] * pop[r]).sum() + C.LOG_EPS) - np.log10(y[r[0]] + C.LOG_EPS) for r in units]
+        return np.mean(np.square(gaps)) + C.FLOOR_WEIGHT * (pop * np.maximum(C.FLOOR_TAU - s, 0) ** 2).sum() / max(pop.sum(), 1)
+
+    for epoch in range(1, epochs + 1):
+        losses.append(loss(w))
+        if losses[-1] < best:
+            best, kept = losses[-1], w
+        steps = np.eye(len(w)) * 1e-6
+        g = np.array([(loss(w + d) - loss(w - d)) / 2e-6 for d in steps])
+        g = g * min(1, C.GRADIENT_CLIP / np.linalg.norm(g))
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - fit.learning_rate(epoch, epochs, lr) * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
+    return kept, losses
+
+
+@pytest.fixture(scope="module")
+def design(spark):
     pdf, cells = frame(spark, n=300)
-    cells = cells.withColumns({"f1": F.col("night_lights") / 10, "f2": F.col("road_km") / 5})
-    totals = spark.createDataFrame([(f"u{i}", 1e6 * (i + 1)) for i in range(7)], "unit string, y_inr double").withColumn("train", F.lit(True))
+    x = F.array(F.col("night_lights") / 10, F.col("road_km") / 5)
+    return pdf.assign(x=[[a / 10, b / 5] for a, b in zip(pdf.night_lights, pdf.road_km)]), cells.withColumn("x", x)
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_each_territory_is_fitted_by_itself(spark, design, monkeypatch, grouped):
+    """Weights of every territory and seed are those of a plain descent on its own cells, also in several groups."""
+    pdf, cells = design
+    if grouped:
+        monkeypatch.setattr(fit, "BROADCAST_BYTES", 300)
+    result = fit.fit_intensity(cells, unit_totals(spark, 1e6), epochs=6, seeds=(0, 1), lr=0.1)
+    assert set(result.weights) == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    for state in (0, 1):
+        part = pdf[pdf.state == state]
+        totals = {f"u{i}": 1e6 * (i + 1) for i in range(7) if i % 2 == state}
+        for seed in (0, 1):
+            want, losses = plain_fit(part, totals, 6, seed, 0.1)
+            assert np.allclose(result.weights[state, seed], want, atol=1e-4)
+            got = [h[4] for h in result.history if h[1:3] == (state, seed)]
+            assert np.allclose(got, losses, rtol=1e-4)
+    runs = result.runs(cells, ["cell", "state", "population"]).toPandas()
+    row = runs[(runs.cell == 5) & (runs.seed == 1)].iloc[0]
+    w = result.weights[row.state, 1]
+    assert row.intensity_raw == pytest.approx(result.scale[row.state] * np.logaddexp(0, np.dot(w, [*pdf.x[5], 1])))
+    assert result.mean_intensity(cells, ["cell", "state"]).count() == 300
+
+
+def test_fit_gradient(spark, design):
+    """Against finite differences, with a unit that is not trained on and cells without unit."""
+    _, cells = design
+    data = cells.select(F.lit("s").alias("state"), F.when(F.col("cell") % 11 > 0, F.col("unit")).alias("unit"), "population", "x")
+    totals = [("s", f"u{i}", 0, -1, 1e6 * (i + 1), None) for i in range(6)]
+    known = spark.createDataFrame(totals, fit.PARTIAL)
     weights = np.array([[0.3, -0.2, 0.1], [0.0, 0.1, -4.0]])
-    data = cells.select("unit", "population", "f1", "f2")
-    scale = 3.0
+    facts = spark.sparkContext.broadcast({"s": (6, 1e4)})
 
     def loss(w):
-        l_agg, l_floor, grad = fit._epoch(data, totals, ["f1", "f2"], w, scale, 7, 1e4)
-        return l_agg + C.FLOOR_WEIGHT * l_floor, grad
+        out = fit._epoch(data, known, {"s": (3.0, w)}, facts, 2, 3)["s"]
+        return out[:, 0] + C.FLOOR_WEIGHT * out[:, 1], out[:, 2:]
 
-    base, grad = loss(weights)
+    _, grad = loss(weights)
     for j in range(3):
         step = np.zeros_like(weights)
         step[:, j] = 1e-5
         up, down = loss(weights + step)[0], loss(weights - step)[0]
         assert np.allclose((up - down) / 2e-5, grad[:, j], rtol=1e-4, atol=1e-7)
-    result = fit.fit_intensity(cells, totals, ["f1", "f2"], epochs=12, seeds=(0, 1), lr=0.1)
-    by_seed = {s: [h[3] for h in result.history if h[1] == s] for s in (0, 1)}
-    assert all(min(v) < v[0] for v in by_seed.values())
-    again = fit.fit_intensity(cells, totals, ["f1", "f2"], epochs=12, seeds=(0,), lr=0.1)
-    assert np.allclose(again.weights[0], result.weights[0], rtol=1e-6)
-    assert cells.select(F.min(result.intensity(0))).first()[0] >= 0
-    with pytest.raises(ValueError):
-        fit.fit_intensity(cells, totals.withColumn("train", F.lit(False)), ["f1"], epochs=1)
+
+
+def test_fit_of_odd_tables(spark, design):
+    """One territory without a name; totals that nothing can be trained on raise; flushing often changes nothing."""
+    pdf, cells = design
+    alone = cells.drop("state")
+    totals = spark.createDataFrame([(f"u{i}", 1e6 * (i + 1)) for i in range(7)] + [("nowhere", 5.0)], "unit string, y_inr double")
+    result = fit.fit_intensity(alone, totals, epochs=3, lr=0.1)
+    want, _ = plain_fit(pdf, {f"u{i}": 1e6 * (i + 1) for i in range(7)}, 3, 0, 0.1)
+    assert np.allclose(result.weights[None, 0], want, atol=1e-4)
+    assert result.runs(alone, ["cell"]).count() == 300
+    with pytest.raises(ValueError, match="train"):
+        fit.fit_intensity(alone, totals.withColumn("train", F.lit(False)), epochs=1)
+    with pytest.raises(ValueError, match="train"):
+        fit.fit_intensity(alone, totals.where("unit = 'nowhere'"), epochs=1)
+    with pytest.raises(ValueError, match="no cell"):
+        fit.fit_intensity(alone.limit(0), totals, epochs=1)
+
+
+def test_design_matrix_stays_within_territories(spark):
+    """Neighbours and parents of another territory send nothing."""
+    rows = [(1, "a", "A", 10.0, 1.0), (2, "a", "A", 10.0, 3.0), (3, "b", "B", 10.0, 100.0)]
+    cells = spark.createDataFrame(rows, "cell long, unit string, state string, population double, f double")
+    edges = spark.createDataFrame([(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b], "src long, dst long")
+    edges = graph.within_territories(edges, cells)
+    assert {tuple(r) for r in edges.collect()} == {(1, 2), (2, 1)}
+    links = cells.select(F.col("cell").alias("child"), F.concat("state", F.lit(":7")).alias("parent"))
+    got = {r.cell: r.x for r in graph.design_matrix(cells, ["f"], edges, links, hops=1).collect()}
+    assert got == {1: [1.0, 1.5, 2.0], 2: [3.0, 0.5, 2.0], 3: [100.0, 0.0, 100.0]}
+    assert {r.cell: r.x for r in graph.design_matrix(cells, ["f"]).collect()} == {1: [1.0], 2: [3.0], 3: [100.0]}
+
+
+def test_metros_and_missing_units_tell_namesakes_apart(spark):
+    units = spark.createDataFrame([("A", "x"), ("B", "x"), ("B", "y")], "state string, unit string")
+    metros = spark.createDataFrame([("A", "m", ["x", "y"]), ("B", "n", ["y", "x", "z"])], "state string, metro string, units array<string>")
+    got = sorted((r.state, r.position, r.unit) for r in joins.metro_units(metros, units).collect())
+    assert got == [("A", 0, "x"), ("B", 0, "y"), ("B", 1, "x")]
+    totals = spark.createDataFrame([("A", "x", 1.0), ("A", "y", 1.0), ("B", "y", 1.0)], "state string, unit string, y_inr double")
+    assert {tuple(r) for r in joins.missing_units(totals, units).collect()} == {("A", "y", "cells"), ("B", "x", "totals")}
 
 
 def test_holdout_needs_five_units(spark):
