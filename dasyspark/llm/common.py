@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -37,6 +39,27 @@ def fold(key: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a reused worker does not keep the peak of the task before."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(fn: Callable) -> Callable:
+    """A task function over batches that gives memory back when it starts and when it is through."""
+
+    @functools.wraps(fn)
+    def run(batches: Iterator) -> Iterator:
+        give_back()
+        yield from fn(batches)
+        give_back()
+
+    return run
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
     """mapInArrow with a function from one batch to dicts of equally long columns."""
     from pyspark.sql.types import _parse_datatype_string
@@ -51,7 +74,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], s
                     [pa.array(columns[f.name], type=f.type, from_pandas=False) for f in arrow], schema=arrow
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def pieces(batch: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
@@ -102,6 +125,6 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 __all__ = [
-    "SPACES", "WORD", "LOWER_AZ", "words_of", "crc_mod", "fold", "map_batches", "pieces", "mix", "small", "join_small",
+    "SPACES", "WORD", "LOWER_AZ", "words_of", "crc_mod", "fold", "map_batches", "pieces", "give_back", "trimmed", "mix", "small", "join_small",
     "shuffle_partitions", "small_batches", "documents", "materialize",
 ]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dasyspark.llm.common import pieces
+from dasyspark.llm.common import pieces, trimmed
 
 SIZE, LONGEST = 300, 3
 UNKNOWN = "und"
@@ -87,7 +87,7 @@ def fit_profiles(docs: DataFrame, size: int = SIZE, longest: int = LONGEST) -> D
             )
 
     rows = docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(trimmed(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     return counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < size).drop("n")
 
@@ -139,4 +139,4 @@ def identify(
                 names=[*batch.schema.names, "lang_pred", "score"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)

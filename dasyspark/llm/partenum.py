@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dasyspark.llm.common import join_small, map_batches, mix, pieces, shuffle_partitions
+from dasyspark.llm.common import join_small, map_batches, mix, pieces, shuffle_partitions, trimmed
 from dasyspark.llm.components import Forest, connected
 from dasyspark.session import materialize
 
@@ -185,7 +185,7 @@ def sign(docs: DataFrame, width: int, num: int, den: int, buckets: int, slack: i
                 )
 
     return docs.select("text").where("text IS NOT NULL").mapInArrow(
-        run, BLOBS
+        trimmed(run), BLOBS
     )
 
 
@@ -210,7 +210,7 @@ def refine(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
                 yield blobs(np.concatenate(sigs), np.concatenate(owners), buckets)
 
     met = materialize(
-        sets.select("node", "root", "shingles").mapInArrow(run, BLOBS).repartition(buckets, "bucket").groupBy("bucket")
+        sets.select("node", "root", "shingles").mapInArrow(trimmed(run), BLOBS).repartition(buckets, "bucket").groupBy("bucket")
         .applyInPandas(meet, "node long, root long, degree long"),
         "refined",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dasyspark.llm import langid, packing, partenum, suffix_dedup, tokens
 from dasyspark.llm import toxicity as toxic
-from dasyspark.llm.common import fold, join_small, small_batches
+from dasyspark.llm.common import fold, join_small, small_batches, trimmed
 from dasyspark.session import materialize
 
 
@@ -65,7 +65,7 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             )
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in cut.dtypes if n != "kept"), "text string"])
-    out = cut.mapInArrow(decode, schema).withColumnsRenamed({v: k for k, v in names.items()})
+    out = cut.mapInArrow(trimmed(decode), schema).withColumnsRenamed({v: k for k, v in names.items()})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

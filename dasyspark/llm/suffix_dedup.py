@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dasyspark.llm.common import mix, pieces, shuffle_partitions
+from dasyspark.llm.common import mix, pieces, shuffle_partitions, trimmed
 from dasyspark.session import materialize
 
 LENGTH, GRAM = 100, 24
@@ -161,7 +161,7 @@ def cut_segments(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 ]))
 
     return docs.mapInArrow(
-        run, "bucket int, docs binary, at binary, low binary, width binary, anchor binary, key binary, content binary, ranges boolean"
+        trimmed(run), "bucket int, docs binary, at binary, low binary, width binary, anchor binary, key binary, content binary, ranges boolean"
     )
 
 
@@ -351,13 +351,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ]))
 
     held = pairs.select("doc_id", "text", "ranges").mapInArrow(
-        fetch, "doc_id long, low long, width int, anchor int, segment binary"
+        trimmed(fetch), "doc_id long, low long, width int, anchor int, segment binary"
     )
     lead = F.expr(f"substring(segment, anchor + 1, {GRAM})")
     buckets = shuffle_partitions(spark)
     found = materialize(
         held.withColumn("lead", lead).repartitionByRange(buckets, "lead").drop("lead")
-        .mapInPandas(_sorter(length), "doc_id long, low long, width int"),
+        .mapInPandas(trimmed(_sorter(length)), "doc_id long, low long, width int"),
         "shared",
     )
     return known.unionByName(found)
@@ -403,4 +403,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 names=[*batch.schema.names[:last], "kept", "spans"],
             )
 
-    return joined.mapInArrow(cut, schema + ", kept binary, spans array<struct<start: long, end: long>>")
+    return joined.mapInArrow(trimmed(cut), schema + ", kept binary, spans array<struct<start: long, end: long>>")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dasyspark.llm.common import join_small
+from dasyspark.llm.common import join_small, trimmed
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -102,7 +102,7 @@ def separating_words(labelled: DataFrame, label: str, least: int, most: int) ->
         yield flush()
 
     found = (
-        labelled.select("text", F.col(label).cast("int").alias("y")).mapInArrow(count, "word string, n0 long, n1 long")
+        labelled.select("text", F.col(label).cast("int").alias("y")).mapInArrow(trimmed(count), "word string, n0 long, n1 long")
         .groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .where((F.col("n0") + F.col("n1") >= least) | (F.col("word") == ""))
     )
@@ -195,7 +195,7 @@ def fit(
     order = F.pmod(order, F.lit(1 << 20))
     chosen = rows.where(near).withColumn("text", F.coalesce("text", F.lit(""))).select(F.col("doc_id").cast("long"), "text", "y")
     sample = (
-        chosen.mapInArrow(features, "doc_id long, words array<string>, y int")
+        chosen.mapInArrow(trimmed(features), "doc_id long, words array<string>, y int")
         .orderBy(order, "doc_id", F.concat_ws(" ", "words")).limit(max_rows)
     )
     return train([(set(r.words), r.y) for r in sample.collect()], words, groups, **settings)
@@ -219,4 +219,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names=[*batch.schema.names, "score", "predicted"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
