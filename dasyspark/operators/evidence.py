@@ -5,11 +5,11 @@ An element has ``type, id, lat, lon, tags: map, geometry: array<struct<lat, lon>
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from dasyspark import config as C
@@ -195,64 +195,69 @@ def poi_counts(elements: DataFrame, level: int) -> DataFrame:
     )
 
 
-MEASURES = (
-    ["road_km", "road_segments", "building_area_m2", "building_count"]
+HOME_MEASURES = (
+    ["building_area_m2", "building_count"]
     + [f"landuse_{c}_m2" for c in C.LANDUSE_CLASSES]
+    + [f"landuse_{c}_count" for c in C.LANDUSE_CLASSES]
     + ["poi_count"]
     + [f"poi_{g}" for g in C.POI_GROUPS]
 )
+MEASURES = ["road_km", "road_segments", *HOME_MEASURES]
 
 
-def bin_elements(elements: DataFrame, level: int) -> DataFrame:
-    """All element measures per cell in one scan and one shuffle.
-
-    Every element yields one record for its own cell plus one per road segment;
-    cells and lengths are computed after that, row by row, and a single
-    partially aggregated sum collects everything.
-    """
-    tags, geometry = F.col("tags"), F.col("geometry")
-    way = F.col("type") == "way"
-    building = F.map_contains_key(tags, "building")
-    landuse = landuse_class(tags)
-    point = geometry_point()
-    own = F.array(F.struct(F.lit(None).cast(point).alias("a"), F.lit(None).cast(point).alias("b")))
-    segments = F.coalesce(geo.segments(F.when(way & is_road(tags), geometry)), F.array())
-    # The segments go through as they are; only the scalars an element needs travel with them.
+def home_measures(elements: DataFrame, level: int) -> DataFrame:
+    """Buildings, land use and POIs per cell of the element itself: one row for each element, one partial sum."""
+    tags, way = F.col("tags"), F.col("type") == "way"
+    building, landuse = F.map_contains_key(tags, "building"), landuse_class(tags)
     wide = positioned(elements).select(
-        "lat", "lon", building.alias("_building"), landuse.alias("_class"),
-        *[poi_hit(tags, g).alias(f"_{g}") for g in C.POI_GROUPS],
-        F.when(way & (building | landuse.isNotNull()), geo.ring_area_m2(geometry)).otherwise(F.lit(0.0)).alias("_m2"),
-        F.concat(own, segments).alias("_pairs"),
-    )
-    wide = wide.select(*[c for c in wide.columns if c != "_pairs"], F.inline("_pairs").alias("a", "b"))
-    road = F.col("a").isNotNull()
-    lat1, lon1, lat2, lon2 = F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")
-    cell = hexgrid.point_to_cell(
-        F.when(road, (lat1 + lat2) * 0.5).otherwise(F.col("lat")), F.when(road, (lon1 + lon2) * 0.5).otherwise(F.col("lon")), level
+        hexgrid.point_to_cell(F.col("lat"), F.col("lon"), level).alias("cell"),
+        building.alias("_building"), landuse.alias("_class"), *[poi_hit(tags, g).alias(f"_{g}") for g in C.POI_GROUPS],
+        F.when(way & (building | landuse.isNotNull()), geo.ring_area_m2(F.col("geometry"))).otherwise(F.lit(0.0)).alias("_m2"),
     )
     area = F.col("_m2")
+    solid = area > 0
     # From the columns, not from the tags again: the planner compares every alias with every expression.
     matched = reduce(or_, [F.col(f"_{g}") for g in C.POI_GROUPS])
-
-    def home(condition: Column, value: Column | None = None) -> Column:
-        return F.when(~road & condition, F.lit(1.0) if value is None else value).otherwise(F.lit(0.0))
-
     measures = {
-        "road_km": F.when(road, geo.haversine_km(lat1, lon1, lat2, lon2)).otherwise(F.lit(0.0)),
-        "road_segments": road.cast("double"),
-        "building_area_m2": home(F.col("_building"), area),
-        "building_count": home(F.col("_building") & (area > 0)),
-        **{f"landuse_{c}_m2": home(F.col("_class") == c, area) for c in C.LANDUSE_CLASSES},
-        "poi_count": home(matched),
-        **{f"poi_{g}": home(F.col(f"_{g}")) for g in C.POI_GROUPS},
+        "building_area_m2": F.when(F.col("_building"), area), "building_count": F.when(F.col("_building") & solid, 1.0),
+        **{f"landuse_{c}_m2": F.when(F.col("_class") == c, area) for c in C.LANDUSE_CLASSES},
+        **{f"landuse_{c}_count": F.when((F.col("_class") == c) & solid, 1.0) for c in C.LANDUSE_CLASSES},
+        "poi_count": F.when(matched, 1.0), **{f"poi_{g}": F.when(F.col(f"_{g}"), 1.0) for g in C.POI_GROUPS},
     }
-    records = wide.select(cell.alias("cell"), *[col.alias(name) for name, col in measures.items()])
     # What has no position gathers in NO_CELL, which no cell table holds.
-    return records.groupBy("cell").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    return wide.groupBy("cell").agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(n) for n, v in measures.items()])
+
 
+def bin_elements(elements: DataFrame, level: int) -> DataFrame:
+    """All element measures per cell, from two narrow aggregates: elements where they lie, road segments where theirs do."""
+    homes, roads = home_measures(elements, level), road_length(elements, level)
+    return homes.join(roads, "cell", "full").na.fill(0.0, MEASURES).na.fill(0, ["road_segments"]).select("cell", *MEASURES)
+
+
+def bin_with_counters(elements: DataFrame, level: int, valid: DataFrame) -> tuple[DataFrame, Callable[[], dict]]:
+    """Measures of the ``valid`` cells, and a function that tells the counters of that same run, once it is through.
 
-def geometry_point() -> str:
-    return "struct<lat: double, lon: double>"
+    Counters are observed while the rows stream by: elements in the scan, everything else on the
+    binned cells. ``landuse_<class>`` counts areas, ``cells_with_...`` cells. The table has to be
+    written or collected once before they are known.
+    """
+    scanned, binned = Observation(), Observation()
+    seen = elements.observe(scanned, F.count(F.lit(1)).alias("objects_scanned"))
+    homes = home_measures(seen, level)
+    table = homes.join(road_length(elements, level), "cell", "full").na.fill(0.0, MEASURES).na.fill(0, ["road_segments"])
+    kept = table.join(valid.select("cell"), "cell", "left_semi").select("cell", *MEASURES)
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0)).cast("long")
+
+    counters = {
+        "road_segments": total("road_segments"), "buildings": total("building_count"),
+        **{f"landuse_{c}": total(f"landuse_{c}_count") for c in C.LANDUSE_CLASSES}, "pois": total("poi_count"),
+        "cells_with_buildings": F.count_if(F.col("building_count") > 0), "cells_with_pois": F.count_if(F.col("poi_count") > 0),
+        "cells_with_roads": F.count_if(F.col("road_segments") > 0),
+    }
+    watched = kept.observe(binned, *[v.alias(n) for n, v in counters.items()])
+    return watched, lambda: scanned.get | binned.get
 
 
 def finalise_cell_features(cells: DataFrame, measures: DataFrame) -> DataFrame:
@@ -263,17 +268,3 @@ def finalise_cell_features(cells: DataFrame, measures: DataFrame) -> DataFrame:
     derived["building_share"] = safe_ratio_clip(F.col("building_area_m2"), area)
     derived |= {f"poi_{g}_density": safe_density(F.col(f"poi_{g}"), area) for g in C.POI_GROUPS}
     return filled.withColumns(derived)
-
-
-def element_stats(elements: DataFrame) -> DataFrame:
-    """Counters of one element scan."""
-    tags, way = F.col("tags"), F.col("type") == "way"
-    area = F.when(way, geo.ring_area_m2(F.col("geometry"))).otherwise(F.lit(0.0))
-    pieces = F.when(way & is_road(tags), F.greatest(F.size("geometry") - 1, F.lit(0))).otherwise(0)
-    return elements.select(
-        pieces.alias("p"), (F.map_contains_key(tags, "building") & (area > 0)).alias("b"),
-        (landuse_class(tags).isNotNull() & (area > 0)).alias("l"), any_poi(tags).alias("poi"),
-    ).agg(
-        F.count(F.lit(1)).alias("objects_scanned"), F.sum("p").alias("road_segments"),
-        F.count_if("b").alias("buildings"), F.count_if("l").alias("landuse"), F.count_if("poi").alias("pois"),
-    )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,7 +123,18 @@ def claim_once(claims: DataFrame, cell: str = "cell", unit: str = "unit") -> Dat
 
 
 def dedupe_elements(elements: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep the first copy of each key in ``order``, without sorting the copies."""
-    rest = [c for c in elements.columns if c not in keys]
-    kept = elements.groupBy(*keys).agg(first_by(F.struct(*rest), *order).alias("_row"))
-    return kept.select(*keys, "_row.*")
+    """The first copy of each key in ``order``; copies alike in that are told apart by their place in the table.
+
+    A pass over ``keys`` and ``order`` alone finds the keys that occur more than once and the
+    places of all but their first copies; the wide rows are then only filtered by place, so
+    that geometries never move with their copies. ``elements`` is a written table, whose rows
+    have one place in every scan. Null keys are keys.
+    """
+    placed = elements.withColumn("_place", F.monotonically_increasing_id())
+    narrow = placed.select(*keys, *order, "_place")
+    found = narrow.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
+        F.min_by("_place", F.struct(*order, "_place")).alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    later = narrow.join(found.where("_n > 1"), same).where("_place <> _first").select("_place")
+    return placed.join(later, "_place", "left_anti").drop("_place")

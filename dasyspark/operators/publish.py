@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dasyspark import config as C
 from dasyspark.functions.names import slug
 from dasyspark.functions.numbers import key_of, round_pack
-from dasyspark.operators.joins import first_by, unit_key
+from dasyspark.operators.joins import attach, first_by, unit_key
 from dasyspark.operators.ranks import interpolated, placed, quantile_picks
 
 
@@ -43,10 +43,16 @@ def unit_table(cells: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     return found.select(*by, "n_cells", "population", "y_inr", "gdp_inr", *medians)
 
 
+def poi_label(group: str) -> str:
+    """Display name of a POI group: its value, else its key, as words."""
+    key, _, value = group.partition("_")
+    return (value or key).replace("_", " ").capitalize()
+
+
 def metric_columns(columns: Sequence[str]) -> list[tuple[str, str, str, str]]:
     base = [m for m in C.BASE_METRICS if m[0] in columns or m[0] in C.ALWAYS_OFFERED_METRICS]
     land = [(f"landuse_{c}", f"Landuse: {c}", "share of cell area", "Landuse") for c in C.LANDUSE_CLASSES]
-    pois = [(f"poi_{g}", g, "count", "POI class") for g in C.POI_GROUPS]
+    pois = [(f"poi_{g}", poi_label(g), "count", "POI class") for g in C.POI_GROUPS]
     return base + [m for m in land + pois if m[0] in columns]
 
 
@@ -85,40 +91,84 @@ def map_filter(cells: DataFrame, min_population: float, unit: str | None = None,
 # ------------------------------------------------------------ packed payloads
 
 
-def pack_columnar(cells: DataFrame, group: Sequence[str], cell: str, columns: Sequence[str]) -> DataFrame:
-    """One row per ``group`` with an array per field, in cell order.
+def pack_columnar(
+    cells: DataFrame, payload: Sequence[str], block: str, cell: str, columns: Sequence[str], unit: str = "unit",
+    constants: DataFrame | None = None, res: int | None = None,
+) -> DataFrame:
+    """Columnar payloads: one row per ``payload`` and ``block``, with an array per field in cell order.
 
-    ``group`` must bound its rows: a unit is packed block by block (``unit`` and
-    a coarse ancestor cell), so that no unit, however large, is gathered in one
-    place. Fields that are null or zero throughout a block become null.
+    A payload is named by some columns, such as a unit or a territory; ``block``, a coarse
+    ancestor cell, bounds what is gathered in one row. Of a payload of one unit
+    (``unit`` is among its columns) the header holds the name as ``district``, of others
+    ``d_vals``, the sorted names in the block, and ``d`` codes each cell's unit by place.
+    ``constants`` (``unit_constants``: unit key, y, s) go into the map ``per_district`` once for
+    each unit instead of into every cell. A field that is null or zero throughout a payload is
+    null in all its blocks. Fields without decimals are integers.
     """
     keys = {c: key_of(c) for c in columns}
-    fields = [round_pack(F.col(c).cast("double"), k).alias(k) for c, k in keys.items()]
-    rows = F.sort_array(F.collect_list(F.struct(F.col(cell).alias("h"), *fields)))
-    packed = cells.groupBy(*group).agg(rows.alias("_rows"))
-
-    def column(k: str) -> Column:
-        used = F.exists("_rows", lambda r: F.coalesce(r[k], F.lit(0.0)) != 0)
-        return F.when(used, F.transform("_rows", lambda r: r[k])).alias(k)
-
-    return packed.select(
-        *group, F.size("_rows").alias("n"), F.transform("_rows", lambda r: r["h"]).alias("h"),
-        *[column(k) for k in keys.values()],
-    )
-
-
-def payload_json(packed: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Packed rows as compact JSON; absent fields are left out."""
-    body = F.struct("n", *[c for c in packed.columns if c not in group and c != "n"])
-    return packed.select(*group, F.to_json(body).alias("payload"))
-
-
-def unpack_columnar(packed: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Rows from packed arrays; a field that was left out is null."""
-    fields = [c for c in packed.columns if c not in (*group, "n")]
-    filled = [F.coalesce(F.col(f), F.array_repeat(F.lit(None).cast("double"), F.col("n"))).alias(f) for f in fields if f != "h"]
-    zipped = packed.select(*group, F.arrays_zip("h", *[c for c in filled]).alias("_z"))
-    return zipped.select(*group, F.inline("_z").alias("h", *[f for f in fields if f != "h"]))
+    single = unit in payload
+    own = [k for k in dict.fromkeys([*payload, unit]) if k != block]
+    fields = []
+    for c, k in keys.items():
+        value = round_pack(F.col(c).cast("double"), k)
+        fields.append((value.cast("bigint") if C.KEY_DECIMALS.get(k) == 0 else value).alias(k))
+    rows = cells.select(*own, block, F.col(cell).alias("h"), *fields)
+    used = rows.groupBy(*payload).agg(*[F.max(F.coalesce(F.col(k), F.lit(0)) != 0).alias(f"_has_{k}") for k in keys.values()])
+    facts = ["y", "s"] if constants is not None else []
+    if constants is not None:
+        rows = attach(rows, constants.select(*[k for k in own if k in constants.columns], *facts), [k for k in own if k in constants.columns], "left", constants)
+    body = F.struct("h", F.col(unit).alias("u"), *facts, *keys.values())
+    packed = rows.groupBy(*payload, block).agg(F.sort_array(F.collect_list(body)).alias("_rows"))
+    packed = attach(packed, used, list(payload), "inner", used if constants is None else constants)
+
+    def each(name: str) -> Column:
+        return F.transform("_rows", lambda r: r[name])
+
+    header = [F.lit(res).cast("int").alias("res")] if res is not None else []
+    header.append(F.size("_rows").alias("n"))
+    names = F.array_sort(F.array_distinct(each("u")))
+    if single:
+        header.append(F.col(unit).alias("district"))
+    else:
+        packed = packed.withColumn("_names", names)
+        header += [F.col("_names").alias("d_vals"), F.transform("_rows", lambda r: (F.array_position("_names", r["u"]) - 1).cast("int")).alias("d")]
+    if facts:
+        entry = F.transform("_rows", lambda r: F.struct(r["u"].alias("u"), F.struct(r["y"].alias("y"), r["s"].alias("s")).alias("v")))
+        header.append(F.map_from_entries(F.array_distinct(F.filter(entry, lambda e: e["u"].isNotNull()))).alias("per_district"))
+    return packed.select(*payload, block, *header, each("h").alias("h"), *[F.when(F.col(f"_has_{k}"), each(k)).alias(k) for k in keys.values()])
+
+
+_HEADER = ("res", "n", "district", "d_vals", "per_district")
+
+
+def payload_json(packed: DataFrame, payload: Sequence[str], block: str = "block") -> DataFrame:
+    """Packed rows as compact JSON: the header, and the arrays under ``cols``; absent fields are left out."""
+    head = [c for c in _HEADER if c in packed.columns]
+    cols = [c for c in packed.columns if c not in (*payload, block, *_HEADER)]
+    body = F.struct(*head, F.lit(True).alias("columnar"), F.struct(*cols).alias("cols"))
+    return packed.select(*payload, block, F.to_json(body).alias("payload"))
+
+
+def unpack_columnar(packed: DataFrame, payload: Sequence[str], block: str = "block") -> DataFrame:
+    """The cells of packed rows: ``payload, block, h, unit``, the fields, and the unit's constants on each cell.
+
+    A field that was left out is null.
+    """
+    cols = [c for c in packed.columns if c not in (*payload, block, *_HEADER, "h", "d")]
+    types = {c: packed.schema[c].dataType.elementType.simpleString() for c in cols}
+    filled = [F.coalesce(F.col(c), F.array_repeat(F.lit(None).cast(types[c]), F.col("n"))).alias(c) for c in cols]
+    if "d_vals" in packed.columns:
+        name = F.transform("d", lambda i: F.get("d_vals", i)).alias("unit")
+    else:
+        name = F.array_repeat("district", F.col("n")).alias("unit")
+    kept = [k for k in payload if k != "unit"]
+    facts = ["per_district"] if "per_district" in packed.columns else []
+    rows = packed.select(*kept, block, *facts, F.arrays_zip("h", name, *filled).alias("_z"))
+    rows = rows.select(*kept, block, *facts, F.inline("_z").alias("h", "unit", *cols))
+    if facts:
+        own = F.try_element_at("per_district", F.col("unit"))
+        rows = rows.withColumns({"y": own["y"], "s": own["s"]}).drop("per_district")
+    return rows
 
 
 def unit_constants(cells: DataFrame, by: Sequence[str] | None = None) -> DataFrame:

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from dasyspark import config as C
 from dasyspark.functions import hexgrid
 from dasyspark.operators import evidence, joins
-from dasyspark.session import scratch_path
+from dasyspark.session import materialize, scratch_path
 from dasyspark.sources import grids
-from registry.core import CELLS, ELEMENTS, FINE_GRID, LEVEL, cell_sql, cells, elements, fine_grid
-from registry.core import num, query, table, with_ctes
+from registry.core import CELLS, ELEMENTS, FINE_GRID, HEXCELLS, LEVEL, cell_sql, cells, elements, fine_grid, hexcells
+from registry.core import num, query, table, tiles, with_ctes
 from registry.space import AREAS, _haversine_sql
 
 ROAD = "highway IN (" + ", ".join(f"'{c}'" for c in C.ROAD_CLASSES) + ")"
@@ -137,10 +137,11 @@ def geo_type():
 
 
 @query("dedupe_elements", with_ctes(
-    "SELECT type, id, (min_by({'part': part, 'supp': supp}, (ship, part, supp))).part AS part, count(*) AS copies FROM elements GROUP BY type, id", ELEMENTS))
+    """SELECT type, id, (min_by({'part': part}, (tile, part))).part AS part, count(*) AS copies FROM (SELECT type, id, part, 0 AS tile FROM elements
+    UNION ALL SELECT type, id, part + 1000000, 1 FROM elements WHERE id % 3 = 0) GROUP BY type, id""", ELEMENTS))
 def _(spark, sf):
-    rows = elements(spark, sf)
-    kept = joins.dedupe_elements(rows.select("type", "id", "ship", "part", "supp", "lat", "geometry"), ["type", "id"], ["ship", "part", "supp"])
+    rows = tiles(spark, sf)
+    kept = joins.dedupe_elements(rows, ["type", "id"], ["tile", "part"])
     copies = rows.groupBy("type", "id").agg(F.count(F.lit(1)).alias("copies"))
     return kept.join(copies, ["type", "id"]).select("type", "id", "part", "copies")
 
@@ -203,29 +204,44 @@ _BASE = f"base AS (SELECT DISTINCT cell, {num(hexgrid.cell_area(LEVEL) / 400)} A
 _FINAL_COLUMNS = (
     ["round(coalesce(road_km, 0e0), 6) AS road_km", "round(coalesce(building_area_m2, 0e0) / 1e6, 6) AS building_km2", "coalesce(building_count, 0)::DOUBLE AS building_count",
      "coalesce(poi_count, 0)::DOUBLE AS poi_count", "round(least(coalesce(building_area_m2, 0e0) / (area_km2 * 1e6), 1.5e0), 8) AS building_share"]
-    + [f"round(least(coalesce(landuse_{c}_m2, 0e0) / (area_km2 * 1e6), 1.5e0), 9) AS landuse_{c}" for c in C.LANDUSE_CLASSES]
+    + [f"round(least(coalesce(landuse_{c}_m2, 0e0) / (area_km2 * 1e6), 1.5e0), 7) AS landuse_{c}" for c in C.LANDUSE_CLASSES]
     + [f"round(coalesce(poi_{g}, 0) / area_km2, 8) AS poi_{g}_density" for g in C.POI_GROUPS]
 )
 
 
+# Line items with one number are one element.
+ONCE = ELEMENTS.replace("AS ship FROM lineitem)", "AS ship FROM lineitem QUALIFY row_number() OVER (PARTITION BY type, id ORDER BY ship, part, supp) = 1)")
+
+
 @query("finalise_cell_features", with_ctes(
     f"SELECT cell, {', '.join(_FINAL_COLUMNS)} FROM base LEFT JOIN roads USING (cell) LEFT JOIN blds USING (cell) LEFT JOIN lands USING (cell) LEFT JOIN pois USING (cell)",
-    ELEMENTS, AREAS, _ROADS, _HOME, _BUILDINGS, _LANDUSE, _POIS, _BASE))
+    ONCE, AREAS, _ROADS, _HOME, _BUILDINGS, _LANDUSE, _POIS, _BASE))
 def _(spark, sf):
-    """All measures from one scan of the elements, on the cells where any element lies."""
-    rows = elements(spark, sf)
-    home = evidence.positioned(rows).select(hexgrid.point_to_cell(F.col("lat"), F.col("lon"), LEVEL).alias("cell")).distinct()
+    """All measures from overlapping tiles, whose common elements count once, on the cells where any element lies."""
+    rows = joins.dedupe_elements(tiles(spark, sf), ["type", "id"], ["tile", "ship", "part", "supp"])
+    measures = materialize(evidence.bin_elements(rows, LEVEL), "binned")
+    home = evidence.positioned(elements(spark, sf)).select(hexgrid.point_to_cell(F.col("lat"), F.col("lon"), LEVEL).alias("cell")).distinct()
     base = home.withColumn("area_km2", F.lit(hexgrid.cell_area(LEVEL) / 400))
-    out = evidence.finalise_cell_features(base, evidence.bin_elements(rows, LEVEL))
+    out = evidence.finalise_cell_features(base, measures)
     return out.select(
         "cell", F.round("road_km", 6).alias("road_km"), F.round(F.col("building_area_m2") / 1e6, 6).alias("building_km2"), "building_count", "poi_count",
-        F.round("building_share", 8).alias("building_share"), *[F.round(f"landuse_{c}", 9).alias(f"landuse_{c}") for c in C.LANDUSE_CLASSES],
+        F.round("building_share", 8).alias("building_share"), *[F.round(f"landuse_{c}", 7).alias(f"landuse_{c}") for c in C.LANDUSE_CLASSES],
         *[F.round(f"poi_{g}_density", 8).alias(f"poi_{g}_density") for g in C.POI_GROUPS])
 
 
+_COUNTED = ", ".join(f"(SELECT count(*) FROM live WHERE type = 'way' AND lower(landuse) = '{c}' AND m2 > 0) AS landuse_{c}" for c in C.LANDUSE_CLASSES)
+
+
 @query("osm_stats", with_ctes(
-    f"""SELECT count(*) AS objects_scanned, (SELECT count(*) FROM pieces JOIN elements USING (uid) WHERE {ROAD}) AS road_segments,
-    count(*) FILTER (building IS NOT NULL AND m2 > 0 AND type = 'way') AS buildings, count(*) FILTER ({LAND} AND m2 > 0 AND type = 'way') AS landuse,
-    count(*) FILTER ({ANY_POI}) AS pois FROM areas""", ELEMENTS, AREAS))
-def _(spark, sf):
-    return evidence.element_stats(elements(spark, sf))
+    f"""SELECT (SELECT count(*) FROM elements) AS objects_scanned, (SELECT count(*) FROM segs WHERE cell IN (SELECT cell FROM hexcells)) AS road_segments,
+    (SELECT count(*) FROM live WHERE type = 'way' AND building IS NOT NULL AND m2 > 0) AS buildings, {_COUNTED}, (SELECT count(*) FROM live WHERE {ANY_POI}) AS pois,
+    (SELECT count(DISTINCT cell) FROM live WHERE type = 'way' AND building IS NOT NULL AND m2 > 0) AS cells_with_buildings, (SELECT count(DISTINCT cell) FROM live WHERE {ANY_POI}) AS cells_with_pois,
+    (SELECT count(DISTINCT cell) FROM segs WHERE cell IN (SELECT cell FROM hexcells)) AS cells_with_roads""",
+    HEXCELLS, ELEMENTS, AREAS, _ROADS, _HOME, "live AS (SELECT * FROM home WHERE cell IN (SELECT cell FROM hexcells))"))
+def _(spark, sf):
+    """Counters of the binning run itself, on the occupied hexagons."""
+    valid = materialize(hexcells(spark, sf).select("cell"), "valid")
+    binned, counters = evidence.bin_with_counters(elements(spark, sf), LEVEL, valid)
+    materialize(binned, "binned")
+    found = counters()
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{n} bigint" for n in found))

@@ -357,6 +357,20 @@ def _elements(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The elements of two overlapping tiles: a third of them lie in both, there without tags and geometry."""
+    return written(spark, sf, "tiles", _tiles)
+
+
+def _tiles(spark: SparkSession, sf: str) -> DataFrame:
+    first = elements(spark, sf).withColumn("tile", F.lit(0))
+    again = first.where(F.col("id") % 3 == 0).withColumns({
+        "tile": F.lit(1), "part": F.col("part") + 1_000_000, "lat": F.lit(20.0), "lon": F.lit(75.0),
+        "tags": F.create_map(F.lit("amenity"), F.lit("cafe")), "geometry": F.lit(None).cast(first.schema["geometry"].dataType),
+    })
+    return again.unionByName(first)
+
+
 def _tag_sql(key: str) -> str:
     condition, values = _TAGS[key]
     listed = ", ".join(f"'{v}'" for v in values)

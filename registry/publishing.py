@@ -25,14 +25,14 @@ def published(spark, sf):
     """Allocated hexagons under the export names: one row per hexagon, with its parent and unit."""
     base = allocated(spark, sf).withColumn("hex", hexgrid.point_to_cell(F.col("lat"), F.col("lon"), LEVEL))
     out = base.groupBy("hex").agg(
-        F.min("unit").alias("district"), (F.sum("population") / 7).alias("population"), (F.avg("night_lights") / 7).alias("night_lights"),
+        F.min(F.struct("unit", "state")).alias("_u"), F.min("unit").alias("district"), (F.sum("population") / 7).alias("population"), (F.avg("night_lights") / 7).alias("night_lights"),
         (F.sum("road_km") / 7).alias("road_km"), F.sum("poi_count").alias("poi_count"), (F.max("building_share") / 7).alias("building_share"),
         F.round(F.sum("gdp_crore"), 4).alias("gdp_crore"), (F.avg("intensity_raw") / 7).alias("intensity_raw"),
         F.max("pci").alias("gdp_per_capita_inr"), F.round(F.max("y_crore"), 2).alias("y_crore"))
-    return out.withColumn("parent", hexgrid.cell_parent(F.col("hex"), LEVEL, LEVEL - 1))
+    return out.withColumns({"state": F.col("_u.state"), "parent": hexgrid.cell_parent(F.col("hex"), LEVEL, LEVEL - 1)}).drop("_u")
 
 
-PUBLISHED = f"""pub AS (SELECT *, {parent_sql("hex", LEVEL, LEVEL - 1)} AS parent FROM (SELECT hex, min(unit) AS district, sum(population) / 7 AS population,
+PUBLISHED = f"""pub AS (SELECT *, {parent_sql("hex", LEVEL, LEVEL - 1)} AS parent FROM (SELECT hex, min(unit) AS district, min_by(state, (unit, state)) AS state, sum(population) / 7 AS population,
   avg(night_lights) / 7 AS night_lights, sum(road_km) / 7 AS road_km, sum(poi_count) AS poi_count, max(building_share) / 7 AS building_share, round(sum(gdp_crore), 4) AS gdp_crore,
   avg(intensity_raw) / 7 AS intensity_raw, max(pci) AS gdp_per_capita_inr, round(max(y_crore), 2) AS y_crore
   FROM (SELECT *, {cell_sql("a.lat", "a.lon", LEVEL)} AS hex FROM allocated a) GROUP BY hex))"""
@@ -98,34 +98,76 @@ def _(spark, sf):
 PACKED = ["population", "night_lights", "road_km", "poi_count", "building_share", "gdp_crore", "gdp_per_capita_inr", "intensity_raw"]
 
 
-def packed(spark, sf):
-    base = published(spark, sf).withColumn("block", hexgrid.cell_parent(F.col("hex"), LEVEL, BLOCK))
-    exact = base.withColumns({c: F.round(c, 9) for c in ("night_lights", "road_km", "intensity_raw", "building_share")})
-    return publish.pack_columnar(exact, ["district", "block"], "hex", PACKED)
+def to_pack(spark, sf):
+    base = published(spark, sf).withColumn("block", hexgrid.cell_parent(F.col("hex"), LEVEL, BLOCK)).withColumnRenamed("district", "unit")
+    return base.withColumns({c: F.round(c, 9) for c in ("night_lights", "road_km", "intensity_raw", "building_share")})
 
 
+def constants(spark, sf):
+    base = allocated(spark, sf).withColumns({"y_crore": F.round("y_crore", 2), "dasymetric_scale": F.round(F.col("dasymetric_scale") / 1e7, 6)})
+    return materialize(publish.unit_constants(base).select("state", "unit", "y", "s"), "constants")
+
+
+def packed(spark, sf, payload=("state", "unit")):
+    return publish.pack_columnar(to_pack(spark, sf), list(payload), "block", "hex", PACKED, constants=constants(spark, sf), res=LEVEL)
+
+
+_DECIMALS = {"p": 1, "nl": 3, "rd": 2, "poi": 0, "bsh": 4, "c": 4, "g": 0, "sr": 6}
 _ROUNDED = """round_even(population, 1) AS p, round_even(round(night_lights, 9), 3) AS nl, round_even(round(road_km, 9), 2) AS rd, round_even(poi_count, 0) AS poi,
   round_even(round(building_share, 9), 4) AS bsh, round_even(gdp_crore, 4) AS c, round_even(gdp_per_capita_inr, 0) AS g, round_even(round(intensity_raw, 9), 6) AS sr"""
-_BLOCKED = f"rounded AS (SELECT district, hex, {parent_sql('hex', LEVEL, BLOCK)} AS block, {_ROUNDED} FROM pub)"
+_BLOCKED = f"""rounded AS (SELECT state, district AS unit, hex, {parent_sql('hex', LEVEL, BLOCK)} AS block, {_ROUNDED} FROM pub),
+constants AS (SELECT state, unit, round_even(round(max(y_crore), 2), 2) AS y, round_even(round(max(dasymetric_scale) / 1e7, 6), 8) AS s FROM allocated GROUP BY state, unit)"""
+_USED = "used AS (SELECT {0}, " + ", ".join(f"bool_or(coalesce({k}, 0) <> 0) AS has_{k}" for k in _DECIMALS) + " FROM rounded GROUP BY {0})"
+
+
+def _pack_sql(keys, unit_sql):
+    whole = ", ".join(
+        f"CASE WHEN any_value(has_{k}) THEN array_to_string(list(coalesce(round({k} * {10 ** d})::BIGINT::VARCHAR, '-') ORDER BY hex), ',') END AS {k}" for k, d in _DECIMALS.items())
+    return with_ctes(
+        f"""SELECT {keys}, block, {LEVEL} AS res, count(*) AS n, {unit_sql}, array_to_string(list(hex ORDER BY hex), ',') AS h,
+        array_to_string(list_sort(list(DISTINCT unit || '=' || round(y * 100)::BIGINT || '/' || round(s * 1000000)::BIGINT)), ',') AS per_district, {whole}
+        FROM rounded JOIN used USING ({keys}) JOIN constants USING (state, unit) GROUP BY {keys}, block""", *SPLIT, PUBLISHED, _BLOCKED, _USED.format(keys))
+
+
+def _whole(out, *keys):
+    """Every array, the dictionary and the map as text, numbers as integers of their last decimal."""
+    text = lambda a: F.array_join(F.transform(a, lambda v: v.cast("string")), ",")
+    whole = lambda d: lambda v: F.coalesce(F.round(v * 10**d).cast("bigint").cast("string"), F.lit("-"))
+    scaled = {k: F.array_join(F.transform(k, whole(d)), ",") for k, d in _DECIMALS.items()}
+    entry = lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"]["y"] * 100).cast("bigint").cast("string"), F.lit("/"), F.round(e["value"]["s"] * 1000000).cast("bigint").cast("string"))
+    facts = F.array_join(F.array_sort(F.transform(F.map_entries("per_district"), entry)), ",")
+    own = [F.array_join("d_vals", ",").alias("d_vals"), text("d").alias("d")] if "d_vals" in out.columns else [F.col("district")]
+    return out.select(
+        *keys, "block", "res", F.col("n").cast("bigint").alias("n"), *own, text("h").alias("h"), facts.alias("per_district"), *[v.alias(k) for k, v in scaled.items()])
 
 
-@query("pack_columnar", with_ctes(
-    """SELECT district, block, count(*) AS n, array_to_string(list(hex ORDER BY hex), ',') AS h, round(sum(p), 1) AS p, round(sum(nl), 3) AS nl, sum(poi) AS poi,
-    bool_or(coalesce(g, 0) <> 0) AS has_g FROM rounded GROUP BY ALL""", *SPLIT, PUBLISHED, _BLOCKED))
+@query("pack_columnar", _pack_sql("state, unit", "unit AS district"))
 def _(spark, sf):
-    add = lambda k: F.aggregate(F.coalesce(k, F.array().cast("array<double>")), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    out = packed(spark, sf)
-    return out.select(
-        "district", "block", F.col("n").cast("bigint").alias("n"), F.array_join(F.transform("h", lambda v: v.cast("string")), ",").alias("h"),
-        r("p", 1, add("p")), r("nl", 3, add("nl")), add("poi").alias("poi"), F.col("g").isNotNull().alias("has_g"))
+    """Payloads of units, whole: header, constants of the unit, arrays of all fields."""
+    return _whole(packed(spark, sf), "state", "unit")
+
+
+@query("pack_overview", _pack_sql(
+    "state", """array_to_string(list_sort(list(DISTINCT unit)), ',') AS d_vals, array_to_string(list_transform(list(unit ORDER BY hex), lambda u: list_position(list_sort(list(DISTINCT unit)), u) - 1), ',') AS d"""))
+def _(spark, sf):
+    """Payloads of territories: units by a dictionary, constants in a map by unit."""
+    return _whole(packed(spark, sf, ("state",)), "state")
+
+
+_UNPACKED = ", ".join(f"CASE WHEN has_{k} THEN {k}{'::BIGINT' if d == 0 else ''} END AS {k}" for k, d in _DECIMALS.items())
 
 
-@query("unpack_columnar", with_ctes("SELECT district, block, hex AS h, p, nl, rd, poi, bsh, c, g, sr FROM rounded", *SPLIT, PUBLISHED, _BLOCKED).replace(
-    "p, nl, rd, poi, bsh, c, g, sr FROM rounded", "p, nl, rd, poi, CASE WHEN bool_or(coalesce(bsh, 0) <> 0) OVER b THEN bsh END AS bsh, c, CASE WHEN bool_or(coalesce(g, 0) <> 0) OVER b THEN g END AS g, sr FROM (SELECT district, block, hex, "
-    "CASE WHEN bool_or(p <> 0) OVER b THEN p END AS p, CASE WHEN bool_or(nl <> 0) OVER b THEN nl END AS nl, CASE WHEN bool_or(rd <> 0) OVER b THEN rd END AS rd, CASE WHEN bool_or(poi <> 0) OVER b THEN poi END AS poi, bsh, "
-    "CASE WHEN bool_or(c <> 0) OVER b THEN c END AS c, g, sr FROM rounded WINDOW b AS (PARTITION BY district, block)) WINDOW b AS (PARTITION BY district, block)"))
+@query("unpack_columnar", with_ctes(
+    f"SELECT 'unit' AS source, state, unit, block, hex AS h, {_UNPACKED}, y, s FROM rounded JOIN used USING (state, unit) JOIN constants USING (state, unit) "
+    f"UNION ALL SELECT 'overview', state, unit, block, hex AS h, {_UNPACKED}, y, s FROM rounded JOIN over USING (state) JOIN constants USING (state, unit)",
+    *SPLIT, PUBLISHED, _BLOCKED, _USED.format("state, unit"), _USED.format("state").replace("used AS", "over AS")))
 def _(spark, sf):
-    return publish.unpack_columnar(materialize(packed(spark, sf), "packed"), ["district", "block"])
+    """Cells from both kinds of payload, with unit, fields and the unit's constants."""
+    parts = []
+    for source, payload in (("unit", ("state", "unit")), ("overview", ("state",))):
+        rows = publish.unpack_columnar(materialize(packed(spark, sf, payload), "packed"), payload)
+        parts.append(rows.select(F.lit(source).alias("source"), "state", "unit", "block", "h", *_DECIMALS, "y", "s"))
+    return parts[0].unionByName(parts[1])
 
 
 @query("unit_constants", with_ctes("SELECT state, unit, round_even(round(max(y_crore), 2), 2) AS y FROM allocated GROUP BY state, unit", *SPLIT))
@@ -198,14 +240,14 @@ def _(spark, sf):
 
 
 @query("sink_by_unit", with_ctes(
-    "SELECT lower(replace(district, '_', '-')) AS unit_slug, district, count(*) AS blocks, sum(n) AS n FROM (SELECT district, block, count(*) AS n FROM rounded GROUP BY ALL) GROUP BY district".replace("sum(n)", "sum(n)::BIGINT"),
+    "SELECT state, lower(replace(unit, '_', '-')) AS unit_slug, unit, count(*) AS blocks, sum(n)::BIGINT AS n FROM (SELECT state, unit, block, count(*) AS n FROM rounded GROUP BY ALL) GROUP BY state, unit",
     *SPLIT, PUBLISHED, _BLOCKED))
 def _(spark, sf):
     path = scratch_path(spark, "units")
-    payload = publish.payload_json(packed(spark, sf), ["district", "block"])
-    sinks.sink_by_unit(payload, path, "district")
+    payload = publish.payload_json(packed(spark, sf), ["state", "unit"])
+    sinks.sink_by_unit(payload, path, "unit")
     read = spark.read.json(path).withColumn("n", F.get_json_object("payload", "$.n").cast("bigint"))
-    return read.groupBy("unit_slug", "district").agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("n"))
+    return read.groupBy("state", "unit_slug", "unit").agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("n"))
 
 
 @query("unit_files", "SELECT s_name AS unit, lower(replace(s_name, '#', '-')) AS unit_slug, 'r7/' || lower(replace(s_name, '#', '-')) || '.json' AS file FROM supplier")

@@ -182,15 +182,31 @@ def test_top_features_orders_by_size_then_name(spark):
 
 
 def test_pack_and_unpack_round_trip(spark):
-    rows = [("u", 1, 10, 1.26, 0.0), ("u", 1, 11, None, 0.0), ("u", 2, 12, 3.0, 2.5)]
+    rows = [("u", 1, 10, 1.26, 0.0), ("u", 1, 11, None, 0.0), ("u", 2, 12, 3.0, 2.5), ("v", 2, 13, 4.0, 0.0)]
     cells = spark.createDataFrame(rows, "unit string, block int, hex int, population double, poi_count double")
-    packed = publish.pack_columnar(cells, ["unit", "block"], "hex", ["population", "poi_count"])
-    first = {r.block: r for r in packed.collect()}
-    assert first[1].poi is None and first[1].p == [1.3, None] and first[2].poi == [2.0]
-    back = sorted(tuple(r) for r in publish.unpack_columnar(packed, ["unit", "block"]).collect())
-    assert back == [("u", 1, 10, 1.3, None), ("u", 1, 11, None, None), ("u", 2, 12, 3.0, 2.0)]
-    text = {r.block: r.payload for r in publish.payload_json(packed, ["unit", "block"]).collect()}
-    assert text[2] == '{"n":1,"h":[12],"p":[3.0],"poi":[2.0]}'
+    known = spark.createDataFrame([("u", 5.25, 1.5), ("v", None, 2.0)], "unit string, y double, s double")
+    packed = publish.pack_columnar(cells, ["unit"], "block", "hex", ["population", "poi_count"], constants=known, res=7)
+    first = {(r.unit, r.block): r for r in packed.collect()}
+    # A field goes only where it is empty in the whole payload.
+    assert first["u", 1].poi == [0, 0] and first["v", 2].poi is None and first["u", 1].p == [1.3, None]
+    back = sorted(tuple(r) for r in publish.unpack_columnar(packed, ["unit"]).select("block", "h", "unit", "p", "poi", "y", "s").collect())
+    assert back == [(1, 10, "u", 1.3, 0, 5.25, 1.5), (1, 11, "u", None, 0, 5.25, 1.5), (2, 12, "u", 3.0, 2, 5.25, 1.5), (2, 13, "v", 4.0, None, None, 2.0)]
+    text = {(r.unit, r.block): r.payload for r in publish.payload_json(packed, ["unit"]).collect()}
+    assert text["u", 2] == (
+        '{"res":7,"n":1,"district":"u","per_district":{"u":{"y":5.25,"s":1.5}},"columnar":true,"cols":{"h":[12],"p":[3.0],"poi":[2]}}')
+
+
+def test_overview_payload_codes_units_by_a_dictionary(spark):
+    rows = [("S", "b", 1, 10, 1.0), ("S", "a", 1, 11, 2.0), ("S", "b", 1, 12, 3.0), ("S", None, 1, 13, 4.0), ("T", "a", 2, 14, 0.0)]
+    cells = spark.createDataFrame(rows, "state string, unit string, block int, hex int, population double")
+    known = spark.createDataFrame([("S", "a", 1.0, 2.0), ("S", "b", 3.0, 4.0), ("T", "a", 5.0, 6.0)], "state string, unit string, y double, s double")
+    packed = publish.pack_columnar(cells, ["state"], "block", "hex", ["population"], constants=known)
+    got = {r.state: r for r in packed.collect()}
+    assert got["S"].d_vals[:2] == ["a", "b"] and got["S"].d[:3] == [1, 0, 1] and got["T"].p is None
+    assert {k: tuple(v) for k, v in got["S"].per_district.items()} == {"a": (1.0, 2.0), "b": (3.0, 4.0)}
+    back = {r.h: (r.state, r.unit, r.p, r.y, r.s) for r in publish.unpack_columnar(packed, ["state"]).collect()}
+    assert back == {10: ("S", "b", 1.0, 3.0, 4.0), 11: ("S", "a", 2.0, 1.0, 2.0), 12: ("S", "b", 3.0, 3.0, 4.0),
+                    13: ("S", None, 4.0, None, None), 14: ("T", "a", None, 5.0, 6.0)}
 
 
 def plain_fit(cells, totals, epochs, seed, lr):

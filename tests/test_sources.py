@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from dasyspark.functions import hexgrid
 from dasyspark.operators import evidence, joins, publish
+from dasyspark.session import materialize
 from dasyspark.sources import grids, sheets, sinks, totals
 
 
@@ -80,6 +82,33 @@ def test_tiles_are_deduplicated_in_file_order(spark, tmp_path):
     assert [r.type for r in grids.scan_osm_elements(rows.where("tile = 'tile_0.json'")).collect()] == ["node"]
 
 
+def test_copies_go_without_moving_the_wide_rows(spark):
+    """Null keys, copies alike in the order, many copies of one key; the plan shuffles no wide column."""
+    rows = [("node", 1, 2, "b"), ("node", 1, 1, "a"), (None, 1, 1, "n1"), (None, 1, 2, "n2"), ("way", None, 1, "w")]
+    rows += [("node", 7, 3, f"c{i}") for i in range(500)] + [("node", i, 1, f"d{i}") for i in range(100, 400)]
+    df = spark.createDataFrame(rows, "type string, id int, tile int, wide string").repartition(7)
+    kept = joins.dedupe_elements(materialize(df, "copies"), ["type", "id"], ["tile"]).collect()
+    found = {(r.type, r.id): r.wide for r in kept}
+    assert len(kept) == len(found) == 304 and found["node", 1] == "a" and found[None, 1] == "n1" and found["way", None] == "w"
+
+
+def test_counters_come_from_the_binning_run(spark):
+    point = lambda a, b: {"lat": a, "lon": b}
+    way = [point(10.0, 70.0), point(10.0, 70.001), point(10.001, 70.001)]
+    rows = [
+        ("way", {"highway": "primary"}, None, None, way), ("way", {"building": "yes", "landuse": "Retail"}, None, None, way),
+        ("node", {"amenity": "cafe"}, 10.0, 70.0, None), ("node", {"amenity": "cafe"}, 40.0, 70.0, None), ("node", {"shop": "mall"}, None, None, None),
+    ]
+    geo = "array<struct<lat: double, lon: double>>"
+    elements = spark.createDataFrame(rows, f"type string, tags map<string,string>, lat double, lon double, geometry {geo}").withColumn("id", F.lit(1))
+    valid = spark.createDataFrame([(10.0, 70.0)], "a double, b double").select(hexgrid.point_to_cell(F.col("a"), F.col("b"), 5).alias("cell"))
+    binned, counters = evidence.bin_with_counters(elements, 5, valid)
+    assert materialize(binned, "binned").count() == 1
+    assert counters() == {
+        "objects_scanned": 5, "road_segments": 2, "buildings": 1, "landuse_residential": 0, "landuse_commercial": 0, "landuse_industrial": 0,
+        "landuse_retail": 1, "pois": 1, "cells_with_buildings": 1, "cells_with_pois": 1, "cells_with_roads": 1}
+
+
 def test_way_outside_by_envelope_only(spark):
     geometry = [{"lat": 0.0, "lon": 0.0}, {"lat": 10.0, "lon": 10.0}]
     rows = [("way", 1, None, None, geometry), ("way", 2, None, None, geometry[:1]), ("node", 3, 4.0, 6.0, None), ("node", 4, 4.0, 6.01, None), ("relation", 5, 5.0, 5.0, None)]
@@ -93,8 +122,8 @@ def test_sinks_round_trip(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/cells").where("unit = 'C'").count() == 2
     sinks.sink_gzip_csv(cells, f"{tmp_path}/csv")
     assert any(f.name.endswith(".csv.gz") for f in (tmp_path / "csv").iterdir())
-    packed = publish.pack_columnar(cells.withColumn("block", F.lit(1)), ["unit", "block"], "hex", ["population"])
-    sinks.sink_by_unit(publish.payload_json(packed, ["unit", "block"]), f"{tmp_path}/units")
+    packed = publish.pack_columnar(cells.withColumn("block", F.lit(1)), ["unit"], "block", "hex", ["population"])
+    sinks.sink_by_unit(publish.payload_json(packed, ["unit"]), f"{tmp_path}/units")
     assert sorted(f.name for f in (tmp_path / "units").iterdir() if f.is_dir()) == ["unit_slug=an-b", "unit_slug=c"]
     assert sinks.export_columns(["h3_r7", "road_km_z", "poi_x", "other", "district"]) == ["h3_r7", "district", "road_km_z", "poi_x"]
 
