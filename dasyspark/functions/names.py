@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+HANGUL = ("\uac00", "\ud7a3")  # syllables, composed by arithmetic
+_LEADS, _VOWELS, _TAILS, _PER_LEAD, _PER_VOWEL = 0x1100, 0x1161, 0x11A7, 588, 28
+
+
 @lru_cache(maxsize=1)
-def _decomposition() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Compatibility decomposition as a translate table, derived by rule.
+def _decomposition() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decomposition of every assigned character, derived by rule from the character database.
 
-    Characters whose decomposition (marks dropped) is one character go to the
-    translate table, bare combining marks to its deleted tail; the few that
-    expand to several characters become literal replacements.
+    Characters that become one character (combining marks dropped) make a translate table,
+    whose tail without counterpart is deleted; those that become several are returned apart.
     """
-    source, target, deleted, wide = [], [], [], []
-    for point in [*range(0xA0, 0x2500), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+    source, target, deleted, wide = [], [], [], {}
+    for point in range(0x80, sys.maxunicode + 1):
         char = chr(point)
-        if unicodedata.combining(char):
-            deleted.append(char)
+        if HANGUL[0] <= char <= HANGUL[1] or unicodedata.category(char) in ("Cn", "Cs", "Co"):
             continue
         base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
         if base == char:
@@ -29,18 +33,58 @@ def _decomposition() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         if len(base) == 1:
             source.append(char)
             target.append(base)
-        elif base and (point < 0x180 or point >= 0xFB00):
-            wide.append((char, base))
-    return "".join(source + deleted), "".join(target), tuple(wide)
+        elif base:
+            wide[char] = base
+        else:
+            deleted.append(char)
+    return "".join(source + deleted), "".join(target), wide
+
+
+def _ranges(chars: Iterable[str]) -> str:
+    """The body of a character class of these characters."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(rf"\x{{{a:x}}}" + (rf"-\x{{{b:x}}}" if b > a else "") for a, b in out)
+
+
+def _jamo(offset: Column, base: int) -> Column:
+    """The character ``offset`` places after ``base``."""
+    return F.decode(F.unhex(F.lpad(F.hex(offset + base), 4, "0")), "UTF-16BE")
+
+
+def _syllable(char: Column) -> Column:
+    """Lead, vowel and tail of a Hangul syllable."""
+    place = F.conv(F.hex(F.encode(char, "UTF-16BE")), 16, 10).cast("int") - ord(HANGUL[0])
+    tail = place % _PER_VOWEL
+    vowel = F.floor(place % _PER_LEAD / _PER_VOWEL).cast("int")
+    return F.concat(
+        _jamo(F.floor(place / _PER_LEAD).cast("int"), _LEADS), _jamo(vowel, _VOWELS),
+        F.when(tail == 0, "").otherwise(_jamo(tail, _TAILS)),
+    )
 
 
 def strip_marks(col: Column) -> Column:
-    """Compatibility-decompose and drop combining marks (Latin, Greek, Cyrillic, Indic)."""
+    """Compatibility-decompose (NFKD) and drop combining marks, for all scripts.
+
+    Most texts are told by two quick looks: one without anything beyond ASCII stays as it
+    is, and one without a character that expands to several goes to one translate table.
+    Only in the others are those characters replaced, all in one pass, Hangul by arithmetic.
+    """
     source, target, wide = _decomposition()
-    # A plain search per expanding character costs far less than one regex over all of them.
-    for char, base in wide:
-        col = F.replace(col, F.lit(char), F.lit(base))
-    return F.translate(col, source, target)
+    table = F.create_map(*[F.lit(x) for pair in wide.items() for x in pair])
+    group = _ranges(wide) + f"{HANGUL[0]}-{HANGUL[1]}"
+    early = _ranges(c for c in wide if c < "\u0180")
+    runs = F.regexp_extract_all(col, F.lit(f"[{group}]|[^{group}]+"), F.lit(0))
+    spelt = F.transform(
+        runs,
+        lambda r: F.when(r.between(*HANGUL) & (F.length(r) == 1), _syllable(r)).otherwise(F.coalesce(F.try_element_at(table, r), r)),
+    )
+    open_ = F.when(col.rlike(rf"[{early}\x{{180}}-\x{{10FFFF}}]") & col.rlike(f"[{group}]"), F.array_join(spelt, "")).otherwise(col)
+    return F.when(col.rlike(r"[^\x00-\x7F]"), F.translate(open_, source, target)).otherwise(col)
 
 
 def collapse_spaces(col: Column) -> Column:

@@ -27,15 +27,18 @@ ROW_PATTERN = (
 QUOTE_PATTERN = r"([\d,]{4,})\s*Crore in (\d{4}-\d{2})"
 
 
-def matrix_to_long(
-    rows: DataFrame, row_label: str, drop_names: Sequence[str] = (), value_scale: float = 1.0, sheet: str = "sheet_id"
-) -> DataFrame:
-    """Totals of sheets with the units across.
-
-    Header: among the first rows the one with most short text labels from the
-    third column on. Values: the last row below it whose second cell holds the
-    label. Both are found by aggregates; only those two rows are widened.
-    """
+def _unreadable(rows: DataFrame, sheet: str, steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """``sheet, reason`` of the sheets that miss a step, with the first one they miss."""
+    out = rows.select(sheet).distinct()
+    missed = []
+    for i, (reason, reached) in enumerate(steps):
+        out = out.join(reached.select(sheet).distinct().withColumn(f"_s{i}", F.lit(True)), sheet, "left")
+        missed.append(F.when(F.col(f"_s{i}").isNull(), reason))
+    return out.select(sheet, F.coalesce(*missed).alias("reason")).where("reason IS NOT NULL")
+
+
+def _matrix_header(rows: DataFrame, sheet: str) -> DataFrame:
+    """``sheet, _h`` (row_idx, cells): among the first rows the one with most short text labels from the third column on."""
     first_rows = F.col("row_idx") < HEADER_ROWS
     tail = F.slice("cells", F.lit(3), F.greatest(F.size("cells") - 2, F.lit(0)))
     # A cell with any non-digit is text; whitespace is only collapsed where that could matter.
@@ -44,16 +47,32 @@ def matrix_to_long(
     )
     labels = F.when(first_rows, F.size(F.filter(tail, is_label))).otherwise(0)
     early = rows.where(first_rows).withColumn("_n", labels).where(F.col("_n") >= MIN_HEADER_LABELS)
-    header = early.groupBy(sheet).agg(
+    return early.groupBy(sheet).agg(
         F.max_by(F.struct("row_idx", "cells"), F.struct(F.col("_n"), -F.col("row_idx"))).alias("_h")
     )
+
+
+def _matrix_values(rows: DataFrame, header: DataFrame, row_label: str, sheet: str) -> DataFrame:
+    """``sheet, _values``: the last row below the header whose second cell holds the label."""
     labelled = rows.where(F.contains(F.lower(clean_ws(F.get("cells", F.lit(1)))), F.lit(row_label.lower())))
-    values = (
+    return (
         labelled.join(header.select(sheet, F.col("_h.row_idx").alias("_top")), sheet)
         .where(F.col("row_idx") > F.col("_top"))
         .groupBy(sheet)
         .agg(last_by("cells", "row_idx").alias("_values"))
     )
+
+
+def matrix_to_long(
+    rows: DataFrame, row_label: str, drop_names: Sequence[str] = (), value_scale: float = 1.0, sheet: str = "sheet_id"
+) -> DataFrame:
+    """Totals of sheets with the units across.
+
+    The header and the row of values are found by aggregates; only those two rows are
+    widened. Sheets that yield nothing are told by ``unreadable_matrices``.
+    """
+    header = _matrix_header(rows, sheet)
+    values = _matrix_values(rows, header, row_label, sheet)
     # Names and amounts are cleaned as arrays, once, and only then widened together.
     names = F.transform("_h.cells", clean_ws)
     amounts = F.transform("_values", lambda v: to_float_lenient(v) * F.lit(value_scale))
@@ -71,27 +90,53 @@ def matrix_to_long(
     )
 
 
-def headed_table(
-    rows: DataFrame, name_label: str, value_label: str, drop_names: Sequence[str] = (), value_scale: float = 1.0,
-    sheet: str = "sheet_id",
-) -> DataFrame:
-    """Totals of sheets with the units down, below the first row that holds both labels."""
+def unreadable_matrices(rows: DataFrame, row_label: str, drop_names: Sequence[str] = (), sheet: str = "sheet_id") -> DataFrame:
+    """``sheet, reason`` of sheets that ``matrix_to_long`` reads nothing from: no_header, no_value_row or no_values."""
+    header = _matrix_header(rows, sheet)
+    values = _matrix_values(rows, header, row_label, sheet)
+    read = matrix_to_long(rows, row_label, drop_names, 1.0, sheet)
+    return _unreadable(rows, sheet, [("no_header", header), ("no_value_row", values), ("no_values", read)])
+
+
+def _table_header(rows: DataFrame, name_label: str, value_label: str, sheet: str) -> DataFrame:
+    """``sheet, _h`` (row_idx, places of both labels): the first row that holds both."""
     cleaned = F.transform("cells", lambda c: F.lower(clean_ws(c)))
     at_name = F.array_position(cleaned, clean_label(name_label))
     at_value = F.array_position(cleaned, clean_label(value_label))
     heads = rows.where(F.col("row_idx") < TABLE_HEADER_ROWS).select(
         sheet, "row_idx", at_name.alias("_name"), at_value.alias("_value")
     ).where((F.col("_name") > 0) & (F.col("_value") > 0))
-    header = heads.groupBy(sheet).agg(F.min(F.struct("row_idx", "_name", "_value")).alias("_h"))
+    return heads.groupBy(sheet).agg(F.min(F.struct("row_idx", "_name", "_value")).alias("_h"))
+
+
+def headed_table(
+    rows: DataFrame, name_label: str, value_label: str, drop_names: Sequence[str] = (), value_scale: float = 1.0,
+    sheet: str = "sheet_id",
+) -> DataFrame:
+    """Totals of sheets with the units down, below the first row that holds both labels.
+
+    ``source_name`` is the label of the value column. Sheets that yield nothing are told by
+    ``unreadable_tables``.
+    """
+    header = _table_header(rows, name_label, value_label, sheet)
     below = rows.join(header, sheet).where(F.col("row_idx") > F.col("_h.row_idx"))
     name = clean_ws(F.try_element_at("cells", F.col("_h._name").cast("int")))
     value = to_float_lenient(F.try_element_at("cells", F.col("_h._value").cast("int"))) * F.lit(value_scale)
-    kept = below.select(sheet, "row_idx", name.alias("district"), value.alias("y_crore")).where(
+    kept = below.select(sheet, "row_idx", name.alias("district"), value.alias("y_crore"), F.lit(value_label).alias("source_name")).where(
         (F.col("district") != "") & (F.col("y_crore") > 0)
     )
     return kept.where(~F.lower("district").isin(*[d.lower() for d in drop_names])) if drop_names else kept
 
 
+def unreadable_tables(
+    rows: DataFrame, name_label: str, value_label: str, drop_names: Sequence[str] = (), sheet: str = "sheet_id"
+) -> DataFrame:
+    """``sheet, reason`` of sheets that ``headed_table`` reads nothing from: no_header or no_values."""
+    header = _table_header(rows, name_label, value_label, sheet)
+    read = headed_table(rows, name_label, value_label, drop_names, 1.0, sheet)
+    return _unreadable(rows, sheet, [("no_header", header), ("no_values", read)])
+
+
 def clean_label(text: str) -> str:
     return " ".join(text.split()).lower()
 

@@ -343,9 +343,23 @@ def _(spark, sf):
     return out.select("sheet_id", "district", F.round("y_crore", 6).alias("y_crore"), "source_name")
 
 
-@query("headed_table", """SELECT c_custkey AS sheet_id, 2 AS row_idx, c_name AS district, c_acctbal AS y_crore FROM customer WHERE c_acctbal > 0
-  UNION ALL SELECT c_custkey, 3, 'Second of ' || c_custkey, 12345.5e0 FROM customer""")
+def _uneven(spark, sf):
+    """The same sheets, of which every fifth has no header, every seventh no value row, and every eleventh no values."""
+    k, i = F.col("sheet_id"), F.col("row_idx")
+    rows = _matrix(spark, sf)
+    cells = F.when((k % 5 == 0) & (i == 1), F.slice("cells", 1, 4)).when((k % 7 == 0) & (i.isin(2, 4)), F.array(F.lit("4"), F.lit("other"))).when(
+        (k % 11 == 0) & (i == 4), F.slice("cells", 1, 2)).otherwise(F.col("cells"))
+    return rows.withColumn("cells", cells)
+
+
+@query("unreadable_matrices", """SELECT o_orderkey AS sheet_id, CASE WHEN o_orderkey % 5 = 0 THEN 'no_header' WHEN o_orderkey % 7 = 0 THEN 'no_value_row' ELSE 'no_values' END AS reason
+  FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0""")
 def _(spark, sf):
+    """Sheets that give no totals, with the reason, beside those that do."""
+    return sheets.unreadable_matrices(_uneven(spark, sf), "gross domestic product", ["all"])
+
+
+def _tables(spark, sf):
     row = lambda i, *c: F.struct(F.lit(i).alias("row_idx"), F.array(*c).alias("cells"))
     k = F.col("c_custkey").cast("string")
     rows = F.array(
@@ -355,8 +369,21 @@ def _(spark, sf):
         row(3, F.lit("2"), F.concat(F.lit(" Second  of "), k), F.lit("12,345.5")),
         row(4, F.lit("3"), F.lit("Total"), F.lit("99")), row(5, F.lit("4"), F.lit(""), F.lit("5")), row(6, F.lit("5"), F.lit("short")),
     )
-    sheet = table(spark, sf, "customer").select(F.col("c_custkey").alias("sheet_id"), F.inline(rows))
-    return sheets.headed_table(sheet, "District", "nominal gdp", ["total"])
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("sheet_id"), F.inline(rows))
+
+
+@query("headed_table", """SELECT c_custkey AS sheet_id, 2 AS row_idx, c_name AS district, c_acctbal AS y_crore, 'nominal gdp' AS source_name FROM customer WHERE c_acctbal > 0
+  UNION ALL SELECT c_custkey, 3, 'Second of ' || c_custkey, 12345.5e0, 'nominal gdp' FROM customer""")
+def _(spark, sf):
+    return sheets.headed_table(_tables(spark, sf), "District", "nominal gdp", ["total"])
+
+
+@query("unreadable_tables", """SELECT c_custkey AS sheet_id, CASE WHEN c_custkey % 5 = 0 THEN 'no_header' ELSE 'no_values' END AS reason FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 = 0""")
+def _(spark, sf):
+    k, i = F.col("sheet_id"), F.col("row_idx")
+    rows = _tables(spark, sf).withColumn("cells", F.when((k % 5 == 0) & (i == 1), F.slice("cells", 1, 2)).when(
+        (k % 7 == 0) & i.isin(2, 3), F.slice("cells", 1, 2)).otherwise(F.col("cells")))
+    return sheets.unreadable_tables(rows, "District", "nominal gdp", ["total"])
 
 
 def _pages(spark, sf):

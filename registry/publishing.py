@@ -109,7 +109,7 @@ def constants(spark, sf):
 
 
 def packed(spark, sf, payload=("state", "unit")):
-    return publish.pack_columnar(to_pack(spark, sf), list(payload), "block", "hex", PACKED, constants=constants(spark, sf), res=LEVEL)
+    return publish.pack_columnar(materialize(to_pack(spark, sf), "to-pack"), list(payload), "block", "hex", PACKED, constants=constants(spark, sf), res=LEVEL)
 
 
 _DECIMALS = {"p": 1, "nl": 3, "rd": 2, "poi": 0, "bsh": 4, "c": 4, "g": 0, "sr": 6}

@@ -18,6 +18,21 @@ def test_fold_drops_marks_and_collapses(spark):
         assert one(spark, raw, S.fold_name) == want
 
 
+def test_every_assigned_character_decomposes(spark):
+    """Alone and inside a text, for the whole character database; several expanding characters in a row too."""
+    import unicodedata
+
+    def plain(text):
+        return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+    chars = [chr(p) for p in range(1, 0x110000) if unicodedata.category(chr(p)) not in ("Cn", "Cs", "Co")]
+    texts = chars + [f"a{c}b" for c in chars[::7]] + ["½각ﬁﷺ…각ㅏ", "힣가A각각", "㍿㎏½", "", "ñ́x", "𝒜𝟘ﬀ"]
+    rows = spark.createDataFrame([(t, plain(t)) for t in texts], "raw string, want string").repartition(8)
+    wrong = rows.withColumn("got", S.strip_marks(F.col("raw"))).where("NOT (got <=> want)")
+    assert wrong.count() == 0, wrong.limit(5).collect()
+    assert spark.createDataFrame([(None,)], "v string").select(S.strip_marks(F.col("v"))).first()[0] is None
+
+
 def test_title_case_follows_letter_runs(spark):
     for raw in ("o'neil-smith 3rd s. madhopur", "north 24 parganas", "ABC dEF", "x"):
         assert one(spark, raw, S.title_case) == raw.title()

@@ -72,6 +72,27 @@ def test_pixels_at_the_border_count(spark):
         grids.resolve_aliased_columns(pixels)
 
 
+def test_unreadable_sheets_are_told_with_the_reason(spark):
+    names = ["Aa", "Bb", "Cc", "Dd", "Ee"]
+    sheet = lambda k, *cells: [(k, i, list(c)) for i, c in enumerate(cells)]
+    rows = (
+        sheet("good", ["no", "x", *names], ["1", "the label", "5", "6", "", "0", "1"])
+        + sheet("headless", ["no", "x", "Aa", "Bb"], ["1", "the label", "5", "6"])
+        + sheet("no row", ["no", "x", *names], ["1", "other", "5"]) + sheet("label above", ["1", "the label", "5"], ["no", "x", *names])
+        + sheet("all nought", ["no", "x", *names], ["1", "the label", "0", "-", None, "", "0"])
+    )
+    table = spark.createDataFrame(rows, "sheet_id string, row_idx int, cells array<string>")
+    assert {r.sheet_id for r in sheets.matrix_to_long(table, "the label").collect()} == {"good"}
+    told = {r.sheet_id: r.reason for r in sheets.unreadable_matrices(table, "the label").collect()}
+    assert told == {"headless": "no_header", "no row": "no_value_row", "label above": "no_value_row", "all nought": "no_values"}
+    rows = sheet("good", ["Name", "Val"], ["a", "1"]) + sheet("late", *[["x"]] * 12, ["Name", "Val"], ["a", "1"]) + sheet("dropped", ["Val", " name "], ["3", "Total"])
+    table = spark.createDataFrame(rows, "sheet_id string, row_idx int, cells array<string>")
+    got = sheets.headed_table(table, "name", "Val", ["total"]).collect()
+    assert [(r.sheet_id, r.district, r.source_name) for r in got] == [("good", "a", "Val")]
+    told = {r.sheet_id: r.reason for r in sheets.unreadable_tables(table, "name", "Val", ["total"]).collect()}
+    assert told == {"late": "no_header", "dropped": "no_values"}
+
+
 def test_tiles_are_deduplicated_in_file_order(spark, tmp_path):
     node = lambda lat: {"type": "node", "id": 1, "lat": lat, "lon": 2.0, "tags": {"shop": "mall"}}
     (tmp_path / "tile_1.json").write_text(json.dumps({"elements": [node(5.0), node(6.0)]}))
