@@ -8,6 +8,7 @@ A polygon table has one row per ring: ``unit, part, ring`` with ``ring`` an
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,8 +145,8 @@ def pip_join(points: DataFrame, polygons: DataFrame, band: float = 0.05, slot: f
     return claim_once(containing_units(points, polygons, band, slot))
 
 
-def fill_spans(polygons: DataFrame, level: int) -> DataFrame:
-    """``unit, r, q0, q1``: runs of cells in a grid row whose centres lie in or on a unit.
+def fill_spans(polygons: DataFrame, level: int, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, unit, r, q0, q1``: runs of cells in a grid row whose centres lie in or on a unit.
 
     Scan lines: the edges that cross the latitude of a row are sorted by where they do, and
     what lies between an odd one and the next is inside.
@@ -155,7 +156,7 @@ def fill_spans(polygons: DataFrame, level: int) -> DataFrame:
     width, height = s * math.sqrt(3), s * 1.5
     low, high = (F.sin(F.radians(f(lat1, lat2))) * radius / height for f in (F.least, F.greatest))
     # One row more on both sides, as the sign tests below decide.
-    rows = ring_edges(polygons).withColumn("r", F.explode(F.sequence((F.ceil(low) - 1).cast("long"), (F.floor(high) + 1).cast("long"))))
+    rows = ring_edges(polygons, *keys).withColumn("r", F.explode(F.sequence((F.ceil(low) - 1).cast("long"), (F.floor(high) + 1).cast("long"))))
     line = hexgrid.plane_to_latlon(*hexgrid.axial_center(F.lit(0), F.col("r"), level))[0]
 
     def lon_of(q: Column) -> Column:
@@ -179,40 +180,42 @@ def fill_spans(polygons: DataFrame, level: int) -> DataFrame:
     q = F.col("_q")
     start = F.coalesce(*[F.when(is_east(q + k), q + k) for k in (-1, 0, 1)], q + 2)
     end = F.coalesce(*[F.when(is_west(q + k), q + k) for k in (2, 1, 0)], q - 1)
-    along = Window.partitionBy("unit", "part", "r").orderBy("_x", "lat1", "lon1", "lat2", "lon2")
-    cut = met.select("unit", "part", "r", start.alias("q0"), F.lead(end).over(along).alias("q1"), F.row_number().over(along).alias("_i"))
-    spans = cut.where(F.col("_i") % 2 == 1).select("unit", "r", "q0", "q1")
+    along = Window.partitionBy(*keys, "unit", "part", "r").orderBy("_x", "lat1", "lon1", "lat2", "lon2")
+    cut = met.select(*keys, "unit", "part", "r", start.alias("q0"), F.lead(end).over(along).alias("q1"), F.row_number().over(along).alias("_i"))
+    spans = cut.where(F.col("_i") % 2 == 1).select(*keys, "unit", "r", "q0", "q1")
     # Level edges cross no line, yet centres may lie on them.
     level_edges = rows.where((lat1 == lat2) & (lat1 == lat))
     a, b = F.least(lon1, lon2), F.greatest(lon1, lon2)
     first = F.coalesce(*[F.when(lon_of(q_at(a) + k) >= a, q_at(a) + k) for k in (-1, 0, 1)], q_at(a) + 2)
     last = F.coalesce(*[F.when(lon_of(q_at(b) + k) <= b, q_at(b) + k) for k in (2, 1, 0)], q_at(b) - 1)
-    flat = level_edges.select("unit", "r", first.alias("q0"), last.alias("q1"))
+    flat = level_edges.select(*keys, "unit", "r", first.alias("q0"), last.alias("q1"))
     # A vertex or edge of its own may hold a centre that no span reaches.
-    touched = met.where(start <= end).select("unit", "r", start.alias("q0"), end.alias("q1"))
+    touched = met.where(start <= end).select(*keys, "unit", "r", start.alias("q0"), end.alias("q1"))
     return spans.unionByName(flat).unionByName(touched).where(F.col("q0") <= F.col("q1"))
 
 
-def polyfill(polygons: DataFrame, level: int) -> DataFrame:
-    """All cells whose centre lies in a unit, or on its outline: ``cell, unit, lat, lon``.
+def polyfill(polygons: DataFrame, level: int, keys: Sequence[str] = ()) -> DataFrame:
+    """All cells whose centre lies in a unit, or on its outline: ``cell, keys, unit, lat, lon``.
 
-    A cell in several units goes to the first name. Cells come straight from spans of grid
+    ``keys`` name a unit together with ``unit``, such as its territory. A cell in several
+    units goes to the first of these names. Cells come straight from spans of grid
     rows (``fill_spans``); long spans are spread over tasks before they are widened.
     """
-    spans = fill_spans(polygons, level).repartition("unit", "r", "q0")
-    cells = spans.select("unit", "r", F.explode(F.sequence("q0", "q1")).alias("q"))
-    claimed = cells.groupBy("q", "r").agg(F.min("unit").alias("unit"))
+    spans = fill_spans(polygons, level, keys).repartition("unit", "r", "q0")
+    cells = spans.select(*keys, "unit", "r", F.explode(F.sequence("q0", "q1")).alias("q"))
+    claimed = cells.groupBy("q", "r").agg(F.min(F.struct(*keys, "unit")).alias("_u"))
     lat, lon = hexgrid.plane_to_latlon(*hexgrid.axial_center(F.col("q"), F.col("r"), level))
-    return claimed.select(hexgrid.pack(level, F.col("q"), F.col("r")).alias("cell"), "unit", lat.alias("lat"), lon.alias("lon"))
+    own = [F.col(f"_u.{k}").alias(k) for k in (*keys, "unit")]
+    return claimed.select(hexgrid.pack(level, F.col("q"), F.col("r")).alias("cell"), *own, lat.alias("lat"), lon.alias("lon"))
 
 
-def filter_units_in_area(polygons: DataFrame, area: DataFrame) -> DataFrame:
-    """Keep the units whose area centroid lies inside ``area`` (polygons of one territory).
+def area_centroids(polygons: DataFrame) -> DataFrame:
+    """``unit, lat, lon``: the area centroid of all parts of a unit.
 
     The winding of rings does not matter: of the rings of a part the largest is its
     outline and the others are holes.
     """
-    lat1, lon1, lat2, lon2 = (F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))
+    lat1, lon1, lat2, lon2 = _ends()
     cross = lon1 * lat2 - lon2 * lat1
     ring = ring_edges(polygons.withColumn("_ring", F.xxhash64("ring")), "_ring").groupBy("unit", "part", "_ring").agg(
         F.sum(cross).alias("a"), F.sum((lon1 + lon2) * cross).alias("x"), F.sum((lat1 + lat2) * cross).alias("y")
@@ -224,9 +227,12 @@ def filter_units_in_area(polygons: DataFrame, area: DataFrame) -> DataFrame:
     )
     moments = parts.groupBy("unit").agg(*[F.sum(F.col(f"o.{c}") * 2 - F.col(f"_{c}")).alias(f"_{c}") for c in ("a", "x", "y")])
     thrice = F.nullif(F.col("_a") * 3, F.lit(0.0))
-    centroids = moments.select(
-        F.col("unit").alias("cell"), (F.col("_y") / thrice).alias("lat"), (F.col("_x") / thrice).alias("lon")
-    )
+    return moments.select("unit", (F.col("_y") / thrice).alias("lat"), (F.col("_x") / thrice).alias("lon"))
+
+
+def filter_units_in_area(polygons: DataFrame, area: DataFrame) -> DataFrame:
+    """Keep the units whose area centroid lies inside ``area`` (polygons of one territory)."""
+    centroids = area_centroids(polygons).withColumnRenamed("unit", "cell")
     inside = containing_units(centroids, area).select(F.col("cell").alias("unit"))
     return polygons.join(inside.distinct(), "unit", "left_semi")
 

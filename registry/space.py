@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from dasyspark.functions import geo, h3id, hexgrid
+from dasyspark.session import materialize
 from dasyspark.operators import evidence, spatial
 from dasyspark import config as C
 from registry.core import CELLS, ELEMENTS, FINE_GRID, HEXCELLS, LEVEL, MID, cell_sql, cells, center_sql, elements, fine_grid, hexcells
@@ -242,3 +243,65 @@ def _(spark, sf):
 def _(spark, sf):
     out = spatial.extent(cells(spark, sf), ("unit",))
     return out.select("unit", *[F.round(c, 9).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
+
+
+# ------------------------------------------------- from raw sources to cells
+
+# Suppliers are the boundary features, nations the territories. Numbers that end in 1 or 2 have one canonical name per
+# territory, so those features merge; every fifth territory reports as one unit.
+_PLAN_CTES = (
+    f"""feats AS (SELECT s_suppkey AS k, s_name, {lat_sql('s_suppkey')} AS y, {lon_sql('s_suppkey')} AS x FROM supplier)""",
+    UNIT_BOXES,
+    f"""owned AS (SELECT f.k AS f, f.y, f.x, s_name, b.unit AS state, b.k AS n FROM (SELECT *, y + CASE WHEN k % 2 = 0 THEN 0.3e0 ELSE 0.2e0 END AS lat, x + CASE WHEN k % 2 = 0 THEN 0.4e0 ELSE 0.8e0 / 3 END AS lon FROM feats) f,
+      boxes b WHERE {INSIDE.replace('k %', 'b.k %')})""",
+    """named AS (SELECT *, CASE WHEN n % 5 = 0 THEN 'Whole of ' || state WHEN f % 10 IN (1, 2) THEN 'Merged ' || state ELSE upper(s_name[1]) || lower(s_name[2:]) END AS unit,
+      CASE WHEN f % 10 IN (1, 2) THEN 'Merged ' || state ELSE upper(s_name[1]) || lower(s_name[2:]) END AS own FROM (SELECT * REPLACE (replace(s_name, '#', '') AS s_name) FROM owned))""",
+    f"""rows AS (SELECT *, unnest(range(floor(sin(radians(y)) * {_R} / {num(_S * 1.5)})::BIGINT - 1, ceil(sin(radians(y + 0.6e0)) * {_R} / {num(_S * 1.5)})::BIGINT + 2)) AS r FROM named)""",
+    f"""grid AS (SELECT *, unnest(range(floor(radians(x) * {_R} / {num(_S * 3 ** 0.5)} - r / 2e0)::BIGINT - 1, ceil(radians(x + 0.8e0) * {_R} / {num(_S * 3 ** 0.5)} - r / 2e0)::BIGINT + 2)) AS q FROM rows)""",
+    f"""centres AS (SELECT *, degrees(asin({num(_S * 1.5)} * r / {_R})) AS lat, degrees({num(_S * 3 ** 0.5)} * (q + r / 2e0) / {_R}) AS lon FROM grid)""",
+    f"""filled AS (SELECT {_FILL_LEVEL * 2 ** 56} + (q::BIGINT + {2 ** 27}) * 268435456 + r::BIGINT + {2 ** 27} AS cell, min({{'s': state, 'u': unit}}) AS o FROM centres
+      WHERE lon BETWEEN x AND x + 0.8e0 AND lat BETWEEN y AND y + 0.6e0 AND (f % 2 = 0 OR (lon - x) / 0.8e0 + (lat - y) / 0.6e0 <= 1e0) GROUP BY q, r)""",
+    f"people AS (SELECT {cell_sql('c.lat', 'c.lon', _FILL_LEVEL)} AS cell, sum(population) AS population, max(night_lights) AS night_lights FROM cells c GROUP BY 1)",
+    """rich AS (SELECT DISTINCT state FROM named WHERE f % 4 = 0),
+    totals AS (SELECT state, CASE WHEN n % 5 = 0 THEN 'Whole of ' || state ELSE own END AS unit, sum(y) AS y_crore FROM (
+      SELECT state, n, own, CASE WHEN f % 4 = 0 THEN 2e0 * f ELSE NULL END AS y FROM named WHERE state IN (SELECT state FROM rich)
+      UNION ALL SELECT state, n, own, 0.01e0 * f FROM named WHERE state NOT IN (SELECT state FROM rich) AND f % 3 <> 0) GROUP BY ALL HAVING sum(y) > 0)""",
+)
+
+
+@query("build_cells", with_ctes(
+    """SELECT cell, o.s AS state, o.u AS unit, round(coalesce(population, 0), 2) AS population, round(coalesce(night_lights, 0), 8) AS night_lights, round(y_crore, 4) AS y_crore
+    FROM filled JOIN totals ON state = o.s AND unit = o.u LEFT JOIN people USING (cell)""", CELLS, *_PLAN_CTES))
+def _(spark, sf):
+    """Boundaries, names, totals of two kinds of source and evidence, to one cell table."""
+    from dasyspark.plans.cells import build_cells
+    from dasyspark.sources.totals import feature_rings
+
+    name = F.regexp_replace("unit", "#", "")
+    as_pairs = lambda ring: F.array(F.transform(ring, lambda v: F.array(v["lon"], v["lat"])))
+    boxes = _supplier_boxes(spark, sf).withColumn("f", F.regexp_extract("unit", r"(\d+)$", 1).cast("bigint"))
+    features = materialize(boxes.select(name.alias("name"), "f", F.array(as_pairs(F.col("ring"))).alias("polygons")), "suppliers")
+    borders = unit_polygons(spark, sf)
+    nation = nations(spark, sf)
+    territories = nation.select(F.col("n_name").alias("code"), F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("Whole of "), "n_name")).alias("dissolve_to"))
+    merged = F.concat(F.lit("Merged "), F.col("code")).alias("canonical")
+    one = F.array(F.struct(F.lit(1.0).alias("x")))
+    listed = features.where(F.col("f") % 10 < 3).where(F.col("f") % 10 > 0).select(F.lower("name").alias("alias"), F.explode(one).alias("_o"))
+    aliases = materialize(listed.select("alias", F.explode(F.array(*[F.lit(f"NATION_{i}") for i in range(25)])).alias("code")).select("code", "alias", merged), "aliases")
+    # Where a feature lies, as the published tables know it.
+    rings = feature_rings(features.withColumn("_id", F.col("f").cast("string")), "_id", F.lit(""))
+    owned = spatial.containing_units(spatial.area_centroids(rings).withColumnRenamed("unit", "cell"), borders)
+    told = materialize(owned.select(F.col("cell").cast("bigint").alias("f"), F.col("unit").alias("code")).join(features.select("f", "name"), "f"), "told")
+    whole = F.col("code").isin([f"NATION_{i}" for i in range(0, 25, 5)])
+    source_name = F.when(whole, F.concat(F.lit("Whole of "), "code")).otherwise(F.col("name"))
+    dissolved = territories.where("dissolve_to IS NOT NULL").select("code", F.lower("dissolve_to").alias("alias"), F.col("dissolve_to").alias("canonical"))
+    rows = told.select("code", source_name.alias("source_name"), "f", F.col("f").alias("position"))
+    csv = rows.where("f % 4 = 0").select("code", "source_name", (F.col("f") * 2.0).alias("y_crore"), "position")
+    parsed = rows.select("code", "source_name", F.col("f").cast("double").alias("y_crore"), "position", F.lit(True).alias("raw"))
+    parsed = parsed.withColumn("source_name", F.when(F.col("position") % 3 == 0, F.lit(" Total")).otherwise(F.col("source_name")))
+    settings = territories.select("code", F.lit(0.01).alias("value_scale"), F.array(F.lit("TOTAL")).alias("drop_names"))
+    base = cells(spark, sf)
+    people = base.groupBy(hexgrid.point_to_cell(F.col("lat"), F.col("lon"), _FILL_LEVEL).alias("cell")).agg(
+        F.sum("population").alias("population"), F.max("night_lights").alias("night_lights"))
+    out = build_cells(features, borders, [csv, parsed], settings, aliases.unionByName(dissolved), territories, _FILL_LEVEL, [people], check=False)
+    return out.select("cell", "state", "unit", F.round("population", 2).alias("population"), F.round("night_lights", 8).alias("night_lights"), F.round("y_crore", 4).alias("y_crore"))
