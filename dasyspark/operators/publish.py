@@ -185,8 +185,16 @@ def unit_files(units: DataFrame, unit: str = "unit") -> DataFrame:
 # ------------------------------------------------------------------ catalogues
 
 
-def run_manifest(cells: DataFrame, by: Sequence[str] = ("state",)) -> DataFrame:
-    """Counts, totals and the reconstruction error of a run as one JSON line per territory."""
+def run_manifest(
+    cells: DataFrame, by: Sequence[str] = ("state",), sources: DataFrame | None = None, evaluation: DataFrame | None = None
+) -> DataFrame:
+    """What a run made of each territory, as columns and as one JSON line ``manifest``.
+
+    Counts, totals, the reconstruction error, mean per-capita and whether lights were used;
+    ``sources`` (``by``, then facts such as year and price basis) joins the provenance,
+    ``evaluation`` (``by``, section, item, value) the report, as a map of maps.
+    """
+    by = list(by)
     errors = cells.groupBy(*by, "unit").agg(F.sum("gdp_inr").alias("a"), F.max("y_inr").alias("y"))
     per_unit = errors.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_units"), F.sum("y").alias("total_y_inr"),
@@ -195,28 +203,65 @@ def run_manifest(cells: DataFrame, by: Sequence[str] = ("state",)) -> DataFrame:
     sums = cells.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum("population").alias("total_population"),
         F.count_if(F.col("population") > 0).alias("n_inhabited"), F.sum("gdp_inr").alias("allocated_inr"),
+        F.avg("gdp_per_capita_inr").alias("mean_gdp_per_capita_inr"),
+        (F.coalesce(F.sum("night_lights"), F.lit(0.0)) > 0).alias("night_lights_used"),
     )
-    joined = sums.join(per_unit, list(by))
+    joined = sums.join(per_unit, by)
+    if sources is not None:
+        facts = [F.col(c) for c in sources.columns if c not in by]
+        joined = joined.join(sources.select(*by, F.struct(*facts).alias("source")), by, "left")
+    if evaluation is not None:
+        told = evaluation.groupBy(*by, "section").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("item", "value")))).alias("_items"))
+        told = told.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", F.to_json("_items").alias("j"))))).alias("_m"))
+        joined = joined.join(told.withColumnRenamed("_m", "evaluation"), by, "left")
     names = [c for c in joined.columns if c not in by]
     return joined.withColumn("manifest", F.to_json(F.struct(*names)))
 
 
-def state_summary(cells: DataFrame, metros: DataFrame, by: str = "state") -> DataFrame:
-    """Per territory: cells, sorted unit names, metro groups present. Units are few; cells are only counted."""
-    units = cells.groupBy(by, "unit").agg(F.count(F.lit(1)).alias("n"), F.sum("population").alias("p"))
-    base = units.groupBy(by).agg(
-        F.sum("n").alias("n_cells"), F.sum("p").alias("population"), F.sort_array(F.collect_list("unit")).alias("units")
+def state_summary(
+    cells: DataFrame, metros: DataFrame, by: str = "state", parent: str | None = None, sources: DataFrame | None = None
+) -> DataFrame:
+    """Everything a viewer needs to know of a territory before any cell is loaded: one row each.
+
+    Counts of cells and parents, people, sorted units with their files, the table of units (largest total
+    first), the metro groups that are present, the metrics on offer, whether there are lights,
+    and the facts of ``sources``. Cells are only aggregated; what is listed are units and metrics.
+    """
+    per_unit = unit_table(cells, [by, "unit"])
+    row = F.struct(
+        (-F.coalesce("y_inr", F.lit(0.0))).alias("_k"), F.col("unit"), F.col("n_cells"), F.col("population"), F.col("y_inr"), F.col("gdp_inr"),
+        F.col("median_gdp_per_capita_inr"),
+    )
+    base = per_unit.groupBy(by).agg(
+        F.sum("n_cells").alias("n_cells"), F.sum("population").alias("population"),
+        F.sort_array(F.collect_list("unit")).alias("units"), F.sort_array(F.collect_list(row)).alias("_table"),
+    )
+    base = base.withColumn("unit_table", F.transform("_table", lambda r: r.dropFields("_k"))).drop("_table")
+    file = F.transform("units", lambda u: F.concat(F.lit("r7/"), slug(u), F.lit(".json")))
+    base = base.withColumn("unit_files", F.map_from_arrays("units", file))
+    facts = [(F.coalesce(F.sum("night_lights"), F.lit(0.0)) > 0).alias("night_lights_used")]
+    facts += [F.count_distinct(parent).alias("n_parents")] if parent else []
+    offered = available_metrics(cells, (by,)).groupBy(by).agg(
+        F.sort_array(F.collect_list(F.struct("position", "metric", "label", "units", "grouping"))).alias("metrics")
     )
     joined = metros.join(base.select(by, F.col("units").alias("_have")), by)
     present = joined.withColumn("members", F.array_intersect("units", "_have")).where(F.size("members") > 0)
     groups = present.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("metro", "members"))).alias("metros"))
-    return base.join(groups, by, "left")
+    out = base.join(cells.groupBy(by).agg(*facts), by).join(offered, by, "left").join(groups, by, "left")
+    return out if sources is None else out.join(sources, by, "left")
 
 
 def build_catalog(rebuilt: DataFrame, previous: DataFrame, code: str = "state") -> DataFrame:
-    """Fresh summaries plus the earlier ones of territories that were not rebuilt."""
+    """Fresh summaries plus the earlier ones of territories that were not rebuilt, in order of their codes."""
     kept = previous.join(rebuilt.select(code).distinct(), code, "left_anti")
-    return rebuilt.unionByName(kept, allowMissingColumns=True)
+    return rebuilt.unionByName(kept, allowMissingColumns=True).orderBy(code)
+
+
+def catalog_metrics(summaries: DataFrame, code: str = "state") -> DataFrame:
+    """Each metric that any summary offers, once, as its first territory defines it: ``place, metric, label, units, grouping``."""
+    rows = summaries.select(F.col(code).alias("state"), F.inline("metrics"))
+    first = metric_union(rows, ("state", "position"))
+    return first.withColumn("place", F.struct("state", "position")).select("place", "metric", "label", "units", "grouping")
 
 
 def metric_union(metrics: DataFrame, order: Sequence[str] = ("state", "position"), key: str = "metric") -> DataFrame:

@@ -176,16 +176,43 @@ def _(spark, sf):
     return publish.unit_constants(base).select("state", "unit", "y")
 
 
+_SOURCES = "sources AS (SELECT r_regionkey AS state, r_name AS name, (2020 + r_regionkey)::VARCHAR AS year, CASE WHEN r_regionkey % 2 = 0 THEN 'constant' ELSE 'current' END AS price_basis FROM region)"
+
+
+def _sources(spark, sf):
+    k = F.col("r_regionkey")
+    return table(spark, sf, "region").select(
+        k.alias("state"), F.col("r_name").alias("name"), (k + 2020).cast("string").alias("year"), F.when(k % 2 == 0, "constant").otherwise("current").alias("price_basis"))
+
+
+def _report(spark, sf):
+    """Rows of an evaluation: losses and coverage of every territory."""
+    base = allocated(spark, sf)
+    from dasyspark.operators.allocate import log_loss
+
+    losses = log_loss(base, ["state"]).select("state", F.lit("ensemble").alias("section"), F.lit("log_loss").alias("item"), F.round("log_loss", 6).alias("value"))
+    lit = base.groupBy("state").agg(F.round(F.avg((F.col("night_lights") > 0).cast("double")), 6).alias("value"))
+    return losses.unionByName(lit.select("state", F.lit("coverage").alias("section"), F.lit("lit_share").alias("item"), "value"))
+
+
 @query("run_manifest", with_ctes(
-    """SELECT state, count(*) AS n_cells, round(sum(population), 2) AS total_population, count(*) FILTER (population > 0) AS n_inhabited, count(DISTINCT unit) AS n_units,
-    round((SELECT sum(y_crore) FROM (SELECT DISTINCT unit, y_crore, state FROM allocated) d WHERE d.state = a.state), 2) AS total_crore, true AS exact FROM allocated a GROUP BY state""", *SPLIT))
+    """SELECT a.state, count(*) AS n_cells, round(sum(population), 2) AS total_population, count(*) FILTER (population > 0) AS n_inhabited, count(DISTINCT unit) AS n_units,
+    round((SELECT sum(y_crore) FROM (SELECT DISTINCT unit, y_crore, state FROM allocated) d WHERE d.state = a.state), 2) AS total_crore, true AS exact, round(avg(pci), 5) AS mean_pci, sum(night_lights) > 0 AS lit,
+    any_value(s.name) AS name, any_value(year) AS year, any_value(price_basis) AS price_basis, round(avg((night_lights > 0)::INT), 6) AS lit_share,
+    (SELECT round(avg(power(log10(h + 1e-6) - log10(y + 1e-6), 2)), 6) FROM (SELECT state, unit, sum(intensity_raw * population) AS h, max(y_inr) AS y FROM allocated GROUP BY ALL) l WHERE l.state = a.state) AS log_loss
+    FROM allocated a JOIN sources s ON s.state = a.state GROUP BY a.state""", *SPLIT, _SOURCES))
 def _(spark, sf):
-    out = publish.run_manifest(allocated(spark, sf))
-    schema = "n_cells bigint, total_population double, n_inhabited bigint, n_units bigint, total_y_inr double, max_abs_rel_recon_error double"
+    """Manifests with provenance and evaluation, read back from their JSON."""
+    base = materialize(allocated(spark, sf).withColumn("gdp_per_capita_inr", F.col("pci")), "allocated")
+    out = publish.run_manifest(base, sources=_sources(spark, sf), evaluation=_report(spark, sf))
+    schema = """n_cells bigint, total_population double, n_inhabited bigint, n_units bigint, total_y_inr double, max_abs_rel_recon_error double, mean_gdp_per_capita_inr double,
+        night_lights_used boolean, source struct<name: string, year: string, price_basis: string>, evaluation map<string, string>"""
     read = out.select("state", F.from_json("manifest", schema).alias("m")).select("state", "m.*")
+    item = lambda section, name: F.get_json_object(F.col("evaluation")[section], f"$.{name}").cast("double").alias(name)
     return read.select(
         "state", "n_cells", r("total_population", 2), "n_inhabited", "n_units", r("total_crore", 2, F.col("total_y_inr") / 1e7),
-        (F.col("max_abs_rel_recon_error") < 1e-9).alias("exact"))
+        (F.col("max_abs_rel_recon_error") < 1e-9).alias("exact"), r("mean_pci", 5, F.col("mean_gdp_per_capita_inr")), F.col("night_lights_used").alias("lit"),
+        "source.name", "source.year", "source.price_basis", item("coverage", "lit_share"), item("ensemble", "log_loss"))
 
 
 def _metros(spark, sf):
@@ -194,16 +221,45 @@ def _metros(spark, sf):
     return table(spark, sf, "region").select(k.alias("state"), F.col("r_name").alias("metro"), F.array(name(k), name(k + 5), name(k + 15), F.lit("X")).alias("units"))
 
 
-_SUMMARY = f"""SELECT state, count(*) AS n_cells, round(sum(population), 2) AS population, array_to_string(list_sort(list(DISTINCT unit)), ',') AS units,
+_OFFERED = [m for m in ("gdp_crore", *_METRICS, *[f"landuse_{c}" for c in ("residential", "commercial", "industrial", "retail")], "poi_amenity_bank", "poi_office")]
+_SUMMARY = f"""SELECT c.state, count(*) AS n_cells, round(sum(population), 2) AS population, count(DISTINCT {cell_sql("c.lat", "c.lon", LEVEL - 1)}) AS n_parents,
+  array_to_string(list_sort(list(DISTINCT unit)), ',') AS units, array_to_string(list_transform(list_sort(list(DISTINCT unit)), lambda u: 'r7/' || lower(replace(u, '_', '-')) || '.json'), ',') AS files,
+  (SELECT string_agg(unit || ':' || n || ':' || round(y / 1e7)::BIGINT || ':' || round(p)::BIGINT || ':' || round(g / 1e7)::BIGINT || ':' || round(m * 100)::BIGINT, ',' ORDER BY y DESC, unit) FROM
+    (SELECT state, unit, count(*) AS n, max(y_inr) AS y, sum(population) AS p, sum(gdp_inr) AS g, median(pci) AS m FROM allocated GROUP BY ALL) t WHERE t.state = c.state) AS unit_table,
   (SELECT r_name || ':' || array_to_string(list(u ORDER BY p), '+') FROM (SELECT r_name, unnest(['NATION_' || r_regionkey, 'NATION_' || (r_regionkey + 5), 'NATION_' || (r_regionkey + 15), 'X']) AS u, unnest(range(4)) AS p FROM region WHERE r_regionkey = c.state)
-   WHERE u IN (SELECT unit FROM cells d WHERE d.state = c.state) GROUP BY r_name) AS metros FROM cells c GROUP BY state"""
+   WHERE u IN (SELECT unit FROM cells d WHERE d.state = c.state) GROUP BY r_name) AS metros,
+  sum(night_lights) > 0 AS lit, any_value(s.name) AS name, any_value(year) AS year, any_value(price_basis) AS price_basis, 2 + {" + ".join(f"(CASE WHEN '{m}' = 'population' OR avg((coalesce({m}, 0) <> 0)::INT) >= 0.005 THEN 1 ELSE 0 END)" for m in _OFFERED)} AS n_metrics
+  FROM allocated c JOIN sources s ON s.state = c.state GROUP BY c.state"""
+
 
+def summaries(spark, sf):
+    base = allocated(spark, sf).withColumns({
+        "gdp_per_capita_inr": F.col("pci"), "parent": hexgrid.point_to_cell(F.col("lat"), F.col("lon"), LEVEL - 1)})
+    return publish.state_summary(materialize(base, "allocated"), _metros(spark, sf), parent="parent", sources=_sources(spark, sf))
 
-@query("state_summary", with_ctes(_SUMMARY, CELLS))
+
+@query("state_summary", with_ctes(_SUMMARY, *SPLIT, _SOURCES))
 def _(spark, sf):
-    out = publish.state_summary(cells(spark, sf), _metros(spark, sf))
+    """Territories with their units, files, table, metros, metrics and source."""
+    out = summaries(spark, sf)
     listed = F.transform("metros", lambda m: F.concat(m["metro"], F.lit(":"), F.array_join(m["members"], "+")))
-    return out.select("state", "n_cells", r("population", 2), F.array_join("units", ",").alias("units"), F.array_join(listed, ";").alias("metros"))
+    whole = lambda c: F.round(c).cast("bigint").cast("string")
+    row = F.transform("unit_table", lambda u: F.concat_ws(
+        ":", u["unit"], u["n_cells"].cast("string"), whole(u["y_inr"] / 1e7), whole(u["population"]), whole(u["gdp_inr"] / 1e7), whole(u["median_gdp_per_capita_inr"] * 100)))
+    return out.select(
+        "state", "n_cells", r("population", 2), "n_parents", F.array_join("units", ",").alias("units"),
+        F.array_join(F.transform("units", lambda u: F.element_at("unit_files", u)), ",").alias("files"), F.array_join(row, ",").alias("unit_table"),
+        F.array_join(listed, ";").alias("metros"), F.col("night_lights_used").alias("lit"), "name", "year", "price_basis", F.size("metrics").alias("n_metrics"))
+
+
+@query("catalog_metrics", with_ctes(
+    "SELECT metric, label, units, grouping, min(state) AS first_state FROM (" + " UNION ALL ".join(
+        [f"SELECT state, '{m}' AS metric, '{label}' AS label, '{units}' AS units, '{grouping}' AS grouping FROM allocated GROUP BY state HAVING {'true' if m in ('wealth_index', 'gdp_per_capita_inr', 'population') else f'avg((coalesce({m}, 0) <> 0)::INT) >= 0.005'}"
+         for m, label, units, grouping in publish.metric_columns([*_OFFERED, "gdp_per_capita_inr", "wealth_index"])]) + ") GROUP BY ALL", *SPLIT))
+def _(spark, sf):
+    """The metrics of all summaries, each once with its first definition."""
+    out = publish.catalog_metrics(materialize(summaries(spark, sf), "summaries"))
+    return out.select("metric", "label", "units", "grouping", F.col("place.state").alias("first_state"))
 
 
 @query("build_catalog", """SELECT CASE WHEN s_acctbal > 6000 THEN s_nationkey ELSE 100 + s_nationkey END AS state, count(*) AS n, 'new' AS made FROM supplier GROUP BY ALL
