@@ -59,7 +59,7 @@ def top_features(cells: DataFrame, names: Sequence[str], top: int = 10) -> DataF
 
 
 def neighbor_profile(cells: DataFrame, edges: DataFrame, attributes: Sequence[str], chosen: DataFrame | None = None) -> DataFrame:
-    """Present neighbours (at most six) of the chosen cells, with their attributes."""
+    """Present neighbours of the chosen cells, with their attributes; ``edges`` of the lattice, so at most six each."""
     near = edges if chosen is None else edges.join(chosen.select(F.col("cell").alias("src")), "src", "left_semi")
     rows = near.join(cells.select(F.col("cell").alias("dst"), *attributes), "dst")
     listed = F.sort_array(F.collect_list(F.struct("dst", *attributes)))
@@ -74,11 +74,21 @@ def unit_context(cells: DataFrame, by: Sequence[str] | None = None) -> DataFrame
     )
 
 
+ALLOCATED = ("intensity_raw", "gdp_inr_raw", "dasymetric_scale", "gdp_inr", "gdp_per_capita_inr", "wealth_index")
+
+
 def cell_dossier(
     cells: DataFrame, edges: DataFrame, chosen: DataFrame, attributes: Sequence[str], features: Sequence[str],
-    units: DataFrame | None = None,
+    units: DataFrame | None = None, parents: Sequence[str] = (),
 ) -> DataFrame:
-    """Everything about the chosen cells, one JSON document each."""
+    """Everything about the chosen cells, one JSON document each: ``cell, unit, dossier``.
+
+    Position and ``parents`` (columns of coarser cells), the raw ``attributes``, the logged and
+    presence values they turn into (columns ending in _log and _exists), the z ``features`` and
+    the most unusual of them, lattice neighbours with the same attributes, the chain of the
+    allocation with the range over seeds (_min, _max) where there is one, and the unit.
+    """
+    have = cells.columns
     rows = cells.join(chosen.select("cell"), "cell", "left_semi")
     unusual = top_features(rows, features)
     best = unusual.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "z"))).alias("top"))
@@ -87,9 +97,13 @@ def cell_dossier(
     context = context.select(*unit_key(cells), F.struct(*facts).alias("unit_context"))
     full = attach(rows, context, unit_key(cells), "left", units)
     full = full.join(neighbor_profile(cells, edges, attributes, chosen), "cell", "left").join(best, "cell", "left")
+    logged = [c for c in have if c.endswith(("_log", "_exists"))]
+    ranges = [f"{c}_{end}" for c in ALLOCATED for end in ("min", "max") if f"{c}_{end}" in have]
+    parts = {
+        "position": [c for c in ("lat", "lon") if c in have], "parents": list(parents), "inputs": list(attributes), "logged_values": logged,
+        "features_z": list(features), "allocation": [*ALLOCATED, *ranges],
+    }
     body = F.struct(
-        "unit", F.struct(*attributes).alias("inputs"), F.struct(*features).alias("features_z"), "neighbors",
-        F.struct("intensity_raw", "gdp_inr_raw", "dasymetric_scale", "gdp_inr", "gdp_per_capita_inr", "wealth_index").alias("allocation"),
-        "unit_context", F.col("top").alias("top_features"),
+        "unit", *[F.struct(*names).alias(part) for part, names in parts.items() if names], "neighbors", "unit_context", F.col("top").alias("top_features")
     )
     return full.select("cell", "unit", F.to_json(body).alias("dossier"))

@@ -7,10 +7,9 @@ from dasyspark.operators import explain, publish
 from dasyspark.operators import graph as G
 from dasyspark.session import materialize, scratch_path
 from dasyspark.sources import sinks
-from registry.core import ALLOCATED, CELLS, HEXCELLS, LEVEL, RANKED, TOTALS, allocated, cell_sql, cells, hexcells
+from registry.core import ALLOCATED, CELLS, HEXCELLS, LEVEL, RANKED, TOTALS, allocated, axial_sql_neighbors, cell_sql, cells, center_sql, hexcells
 from registry.core import nations, parent_sql, query, ranked, table, with_ctes
-from registry.learning import FEATURES, Z, _EDGES, featured
-from registry.space import _haversine_sql
+from registry.learning import FEATURES, LATTICE, Z, _BASE, _EDGES, featured, lattice, lattice_totals
 
 SPLIT = (CELLS, TOTALS, ALLOCATED)
 WEALTH = (*SPLIT, RANKED)
@@ -352,34 +351,64 @@ def _(spark, sf):
     return out.select("cell", F.array_join(text, ",").alias("neighbors"), r("population", 2, people))
 
 
-_PRESETS = """presets AS (SELECT unnest([coalesce(min_by(cell, (-w, cell)) FILTER (population >= p80), min_by(cell, (-w, cell))),
+_CHAIN = f"""runs AS (SELECT l.*, seed, 1e0 + night_lights + poi_count * 0.1e0 + seed * poi_count * 0.05e0 AS s FROM lattice l, (SELECT unnest(range(3)) AS seed) WHERE (state, unit) IN (SELECT (state, unit) FROM totals)),
+seeded AS (SELECT *, CASE WHEN population > 0 THEN s * y_inr / greatest(sum(s * population) OVER (PARTITION BY seed, state, unit), 1e-9) END AS g FROM runs JOIN totals USING (state, unit)),
+seed_rank AS (SELECT seed, cell, (rank() OVER (PARTITION BY seed, state ORDER BY g) + (count(*) OVER (PARTITION BY seed, state, g) - 1) / 2e0) / count(*) OVER (PARTITION BY seed, state) * 100 AS w FROM seeded WHERE population > 0),
+ranges AS (SELECT cell, avg(s) AS s, min(s) AS s_min, max(s) AS s_max, min(coalesce(w, 0)) AS w_min, max(coalesce(w, 0)) AS w_max FROM seeded LEFT JOIN seed_rank USING (seed, cell) GROUP BY cell),
+chain AS (SELECT l.*, r.* EXCLUDE (cell), y_inr / greatest(sum(s * population) OVER (PARTITION BY l.state, l.unit), 1e-9) AS scale FROM lattice l JOIN ranges r USING (cell) JOIN totals t ON t.state = l.state AND t.unit = l.unit),
+chain_rank AS (SELECT cell, (rank() OVER (PARTITION BY state ORDER BY s * scale) + (count(*) OVER (PARTITION BY state, s * scale) - 1) / 2e0) / count(*) OVER (PARTITION BY state) * 100 AS w FROM chain WHERE population > 0),
+told AS (SELECT c.*, round(coalesce(w, 0), 6) AS w FROM chain c LEFT JOIN chain_rank USING (cell)),
+presets AS (SELECT unnest([coalesce(min_by(cell, (-w, cell)) FILTER (population >= p80), min_by(cell, (-w, cell))),
     coalesce(min_by(cell, (w, cell)) FILTER (population BETWEEN p20 AND p60 AND road_km <= rm), min_by(cell, (w, cell)))]) AS cell
-    FROM (SELECT *, round(wealth_index, 6) AS w FROM ranked) JOIN (SELECT state, quantile_cont(population, 0.2) AS p20, quantile_cont(population, 0.6) AS p60, quantile_cont(population, 0.8) AS p80,
-    quantile_cont(road_km, 0.5) AS rm FROM cells GROUP BY state) USING (state) GROUP BY state)"""
-_NEAR = f"near AS (SELECT p.cell, count(*) AS n, round(sum(b.population), 2) AS people FROM presets p JOIN cells a ON a.cell = p.cell JOIN cells b ON b.cell <> a.cell AND {_haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 60 GROUP BY p.cell)"
-_TOP = ("top AS (SELECT cell, max_by(feature, (abs(z), -ord)) AS feature FROM (SELECT cell, feature, z, list_position([" + ", ".join(f"'{z}'" for z in sorted(Z)) + "], feature) AS ord FROM (UNPIVOT (SELECT cell, " +
-        ", ".join(f"round({z}, 4) AS {z}" for z in Z) + " FROM zs WHERE cell IN (SELECT cell FROM presets)) ON " + ", ".join(Z) + " INTO NAME feature VALUE z)) GROUP BY cell)")
+    FROM told JOIN (SELECT state, quantile_cont(population, 0.2) AS p20, quantile_cont(population, 0.6) AS p60, quantile_cont(population, 0.8) AS p80,
+    quantile_cont(road_km, 0.5) AS rm FROM told GROUP BY state) USING (state) GROUP BY state),
+steps AS (SELECT cell AS src, unnest({axial_sql_neighbors('cell', LEVEL)}) AS dst FROM told),
+near AS (SELECT src AS cell, count(*) AS n, sum(population) AS people, sum(w) AS w_near FROM steps JOIN told ON dst = cell GROUP BY src),
+feats AS (SELECT cell, state, {", ".join(f"{v} AS {k}" for k, v in _BASE.items())} FROM told),
+tops AS (SELECT cell, min_by(feature, (-abs(round(z, 4)), feature)) AS feature FROM (UNPIVOT (SELECT cell, {", ".join(f"({k} - avg({k}) OVER s) / CASE WHEN stddev_pop({k}) OVER s > 1e-9 THEN stddev_pop({k}) OVER s ELSE 1e0 END AS {k}_z" for k in _BASE)}
+  FROM feats WINDOW s AS (PARTITION BY state)) ON {", ".join(f"{k}_z" for k in _BASE)} INTO NAME feature VALUE z) GROUP BY cell)"""
 
 
 @query("cell_dossier", with_ctes(
-    """SELECT r.cell, r.unit, round(population, 2) AS population, round(wealth_index, 6) AS wealth_index, round(gdp_crore, 2) AS gdp_crore, coalesce(n, 0)::BIGINT AS neighbors, people,
-    feature AS top_feature, (SELECT count(*) FROM cells c WHERE c.state = r.state AND c.unit = r.unit) AS unit_cells FROM ranked r JOIN presets USING (cell) LEFT JOIN near USING (cell) JOIN top USING (cell)""",
-    *WEALTH, FEATURES, _PRESETS, _NEAR, _TOP))
+    f"""SELECT t.cell, t.unit, round(population, 2) AS population, round(w, 4) AS wealth_index, round(w_min, 4) AS wealth_min, round(w_max, 4) AS wealth_max, round(s_min, 6) AS s_min, round(s_max, 6) AS s_max,
+    round(s * population * scale / 1e7, 2) AS gdp_crore, coalesce(n, 0)::BIGINT AS neighbors, round(people, 2) AS people, feature AS top_feature, (SELECT count(*) FROM told c WHERE c.state = t.state AND c.unit = t.unit) AS unit_cells,
+    round({center_sql("t.cell", LEVEL)[0]}, 6) AS lat, round({center_sql("t.cell", LEVEL)[1]}, 6) AS lon, {parent_sql("t.cell", LEVEL, LEVEL - 1)} AS parent_1, {parent_sql("t.cell", LEVEL, LEVEL - 2)} AS parent_2,
+    CASE WHEN population > 0 THEN round(log10(population), 6) ELSE 0e0 END AS population_log, (CASE WHEN road_km > 0 THEN 1e0 ELSE 0e0 END) AS road_km_exists
+    FROM told t JOIN presets USING (cell) LEFT JOIN near USING (cell) JOIN tops USING (cell)""", LATTICE, TOTALS, _CHAIN))
 def _(spark, sf):
-    """Dossiers of the preset cells of every territory, read back from their JSON."""
-    wide, names = featured(spark, sf)
-    base = ranked(spark, sf).withColumn("wealth_index", F.round("wealth_index", 6)).join(wide.select("cell", *names), "cell")
+    """Dossiers of the preset cells of every territory, from the whole chain over the lattice, read back from their JSON."""
+    from dasyspark.operators.allocate import ensemble_allocate
+    from dasyspark.operators.features import engineer_features
+
+    nodes = lattice(spark, sf)
+    known = lattice_totals(spark, sf, nodes)
+    kept = materialize(nodes.join(known.select("state", "unit"), ["state", "unit"], "left_semi"), "kept")
+    seeds = F.explode(F.array(*[F.lit(s) for s in range(3)])).alias("seed")
+    runs = kept.select("*", seeds).withColumn("intensity_raw", F.lit(1.0) + F.col("night_lights") + F.col("poi_count") * 0.1 + F.col("seed") * F.col("poi_count") * 0.05)
+    runs = runs.select("cell", "seed", "state", "unit", "population", "intensity_raw")
+    told = ensemble_allocate(runs, kept, known, nations(spark, sf), 3).withColumn("wealth_index", F.round("wealth_index", 6))
+    wide, names = engineer_features(kept, ("state",), table(spark, sf, "region"), keep=["cell"])
+    lat, lon = hexgrid.cell_center(F.col("cell"), LEVEL)
+    coarse = {f"parent_{i}": hexgrid.cell_parent(F.col("cell"), LEVEL, LEVEL - i) for i in (1, 2)}
+    logged = [c for c in wide.columns if c.endswith(("_log", "_exists"))]
+    base = told.join(wide.select("cell", *logged, *names), "cell").withColumns({"lat": lat, "lon": lon, **coarse})
     base = materialize(base, "dossier")
     presets = explain.pick_presets(base)
-    chosen = presets.select(F.explode(F.array("rich_urban", "poor_rural")).alias("cell")).distinct()
-    edges = G.adjacency_by_distance(base.select("cell", "lat", "lon"), 60.0, tile=1.0)
+    chosen = materialize(presets.select(F.explode(F.array("rich_urban", "poor_rural")).alias("cell")).distinct(), "chosen")
+    edges = G.adjacency_join(base, LEVEL)
     attributes = ["population", "night_lights", "road_km", "poi_count", "wealth_index"]
-    out = explain.cell_dossier(base, edges, chosen, attributes, names, nations(spark, sf))
-    schema = """inputs struct<population: double, wealth_index: double>, neighbors array<struct<population: double>>, allocation struct<gdp_inr: double>,
-        unit_context struct<n_cells: bigint>, top_features array<struct<feature: string>>"""
+    out = explain.cell_dossier(base, edges, chosen, attributes, names, nations(spark, sf), list(coarse))
+    schema = """inputs struct<population: double, wealth_index: double>, neighbors array<struct<population: double>>, unit_context struct<n_cells: bigint>,
+        allocation struct<gdp_inr: double, wealth_index_min: double, wealth_index_max: double, intensity_raw_min: double, intensity_raw_max: double>,
+        top_features array<struct<feature: string>>, position struct<lat: double, lon: double>, parents struct<parent_1: bigint, parent_2: bigint>,
+        logged_values struct<population_log: double, road_km_exists: double>"""
     read = out.select("cell", "unit", F.from_json("dossier", schema).alias("d")).select("cell", "unit", "d.*")
     people = F.aggregate("neighbors", F.lit(0.0), lambda a, n: a + n["population"])
     return read.select(
-        "cell", "unit", r("population", 2, F.col("inputs.population")), r("wealth_index", 6, F.col("inputs.wealth_index")),
+        "cell", "unit", r("population", 2, F.col("inputs.population")), r("wealth_index", 4, F.col("inputs.wealth_index")),
+        r("wealth_min", 4, F.col("allocation.wealth_index_min")), r("wealth_max", 4, F.col("allocation.wealth_index_max")),
+        r("s_min", 6, F.col("allocation.intensity_raw_min")), r("s_max", 6, F.col("allocation.intensity_raw_max")),
         r("gdp_crore", 2, F.col("allocation.gdp_inr") / 1e7), F.coalesce(F.size("neighbors"), F.lit(0)).cast("bigint").alias("neighbors"),
-        r("people", 2, people), F.col("top_features")[0]["feature"].alias("top_feature"), F.col("unit_context.n_cells").alias("unit_cells"))
+        r("people", 2, people), F.col("top_features")[0]["feature"].alias("top_feature"), F.col("unit_context.n_cells").alias("unit_cells"),
+        r("lat", 6, F.col("position.lat")), r("lon", 6, F.col("position.lon")), "parents.parent_1", "parents.parent_2",
+        r("population_log", 6, F.col("logged_values.population_log")), F.col("logged_values.road_km_exists").alias("road_km_exists"))
