@@ -40,6 +40,7 @@ from dasyspark.session import materialize
 LEVELS = 3
 BLOCK, HUBS = 768, 16
 SIGNATURES_PER_BUCKET = 1_500_000
+PAIRS_PER_TASK = 2_000_000
 
 
 # ----------------------------------------------------------------- shingles
@@ -209,11 +210,7 @@ def refine(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
             if sigs:
                 yield blobs(np.concatenate(sigs), np.concatenate(owners), buckets)
 
-    met = materialize(
-        sets.select("node", "root", "shingles").mapInArrow(trimmed(run), BLOBS).repartition(buckets, "bucket").groupBy("bucket")
-        .applyInPandas(meet, "node long, root long, degree long"),
-        "refined",
-    )
+    met = meetings(sets.select("node", "root", "shingles").mapInArrow(trimmed(run), BLOBS), buckets, "refined")
     groups = connected(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
     degrees = met.groupBy("node").agg(F.sum("degree").alias("degree"))
     members = groups.join(degrees, "node").withColumnRenamed("node", "member")
@@ -221,7 +218,7 @@ def refine(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
 
 
 def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of a bucket that share signatures: (node, root, degree), as a forest."""
+    """Nodes of a bucket that share signatures, as a forest: one row of packed nodes, roots and degrees."""
     sig, node = [], []
     for nodes, at, high, low in zip(pdf["nodes"], pdf["at"], pdf["high"], pdf["low"], strict=True):
         found = np.frombuffer(nodes, np.int64)
@@ -251,7 +248,50 @@ def meet(pdf: pd.DataFrame) -> pd.DataFrame:
     roots = forest.roots()
     degree = np.bincount(at, np.repeat(sizes - 1, sizes), len(names)).astype(np.int64)
     kept = degree > 0
-    return pd.DataFrame({"node": names[kept], "root": names[roots[kept]], "degree": degree[kept]})
+    packed = {"nodes": names[kept], "roots": names[roots[kept]], "degrees": degree[kept]}
+    return pd.DataFrame({c: [v.astype(np.int64).tobytes()] for c, v in packed.items()} if kept.any() else {c: [] for c in packed})
+
+
+def joined_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest member of the component of each of ``n`` places under the links (a, b)."""
+    parent = np.arange(n)
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return parent
+        np.minimum.at(parent, np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart]))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def meetings(signed: DataFrame, buckets: int, label: str) -> DataFrame:
+    """(node, root, degree) of sets that share signatures, written.
+
+    Similar sets meet in many buckets. What a bucket finds stays packed in one row, and a task
+    joins all that its buckets found, so that a set makes one row a task, however many
+    signatures it shares. The number of tasks follows the volume.
+    """
+    met = materialize(
+        signed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "nodes binary, roots binary, degrees binary"),
+        f"{label}-buckets",
+    )
+    pairs = (met.agg(F.sum(F.octet_length("nodes"))).first()[0] or 0) // 8
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [batch for batch in batches if len(batch)]
+        if not held:
+            return
+        nodes, roots, degrees = (
+            np.concatenate([np.frombuffer(x, np.int64) for batch in held for x in batch[c]]) for c in ("nodes", "roots", "degrees")
+        )
+        names, at = np.unique(np.concatenate([nodes, roots]), return_inverse=True)
+        a, b = at[: len(nodes)], at[len(nodes) :]
+        root = joined_roots(a, b, len(names))
+        yield pd.DataFrame({"node": names, "root": names[root], "degree": np.bincount(a, degrees, len(names)).astype(np.int64)})
+
+    tasks = met.coalesce(int(pairs // PAIRS_PER_TASK) + 1)
+    return materialize(tasks.mapInPandas(trimmed(join), "node long, root long, degree long"), label)
 
 
 # ------------------------------------------------------------- verification
@@ -412,11 +452,7 @@ def jaccard_components(
     # About one signature a shingle at 0.8, less above.
     buckets = max(shuffle_partitions(spark), volume // SIGNATURES_PER_BUCKET)
     nodes = members.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    shared = materialize(
-        sign(named, width, num, den, buckets, slack, keep).repartition(int(buckets), "bucket").groupBy("bucket")
-        .applyInPandas(meet, "node long, root long, degree long"),
-        "shared",
-    )
+    shared = meetings(sign(named, width, num, den, buckets, slack, keep), int(buckets), "shared")
     groups = connected(shared.select(F.col("node").alias("a"), F.col("root").alias("b")))
     degrees = shared.groupBy("node").agg(F.sum("degree").alias("degree"))
     candidates = groups.join(degrees, "node").join(nodes, "node")

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -100,3 +101,24 @@ def test_connected_components_of_paths_stars_and_loops(spark, monkeypatch, per_t
     found = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == root
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_meetings_of_many_buckets_are_joined(spark, make, monkeypatch):
+    """Sets that meet in every bucket make one row a task, in one task or in several, with the same components."""
+    rng = random.Random(2)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(30)]
+    rows = []
+    for k, words in enumerate(base):
+        for copy in range(6):
+            changed = [w if rng.random() > 0.005 else "x" for w in words]
+            rows.append((100 * k + copy, " ".join(changed)))
+    docs = make(rows)
+    one = {r["doc_id"]: r["component_id"] for r in P.jaccard_components(docs).collect()}
+    signed = P.sign(docs, 5, 80, 100, 16, 1, 1)
+    met = P.meetings(signed, 16, "met")
+    assert met.count() == met.select("node").distinct().count() <= len(rows)
+    monkeypatch.setattr(P, "PAIRS_PER_TASK", 50)
+    assert {r["doc_id"]: r["component_id"] for r in P.jaccard_components(docs).collect()} == one
+    a, b = np.array([0, 3, 5, 7, 1, 2]), np.array([3, 1, 6, 7, 2, 4])
+    assert P.joined_roots(a, b, 9).tolist() == [0, 0, 0, 0, 0, 5, 5, 7, 8]
+    assert P.meetings(signed.limit(0), 4, "none").count() == 0
