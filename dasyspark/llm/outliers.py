@@ -5,7 +5,8 @@ statistics is compared with its cell (language and source) by the Mahalanobis
 distance under the minimum-covariance-determinant estimate: location and scatter
 of the half of the cell whose scatter is least. Concentration steps find that
 half from a robust start: the half nearest to the medians, scaled by median
-deviations. Quantiles come from counts on a fine grid, so every step is a group-by
+deviations. The estimate is then made anew from all texts that are not far by it, and
+texts beyond the 0.999 point of the chi-square distribution go. Quantiles come from counts on a fine grid, so every step is a group-by
 with partial sums, whatever a cell holds.
 """
 
@@ -20,12 +21,12 @@ from dasyspark.llm.bottomk import words
 from dasyspark.llm.common import join_small
 from dasyspark.session import materialize
 
-#: The statistics, and the least standard deviation each is given.
 STATS = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
-FLOORS = (0.25, 0.04, 0.04, 0.12, 0.12)
 D = len(STATS)
-#: Median of the chi-square distribution with five degrees of freedom.
-CHI_MEDIAN = 4.35146
+#: Median, 0.975 and 0.999 points of the chi-square distribution with five degrees of freedom.
+CHI_MEDIAN, CHI_MOST, CHI_CUT = 4.35146, 12.83250, 20.51501
+#: No statistic of a cell gets a standard deviation below this share of its spread over all rows, or below the grid of its quantiles.
+POOLED_SHARE, GRAIN = 0.5, 1e-3
 
 
 @dataclass(frozen=True)
@@ -33,8 +34,8 @@ class Settings:
     """share: part of a cell the estimate rests on; cut: squared distance from which a text goes;
     least: rows a cell needs, else it is judged with its language's small cells, then with all."""
 
-    share: float = 0.75
-    cut: float = 60.0
+    share: float = 0.5
+    cut: float = CHI_CUT
     steps: int = 6
     least: int = 50
 
@@ -131,7 +132,13 @@ def squared_distance() -> Column:
     return total
 
 
-def _factor(moments: DataFrame) -> DataFrame:
+def floors(rows: DataFrame) -> tuple[float, ...]:
+    """The least standard deviation of each statistic in any cell, from the spread over all rows: one row of figures."""
+    found = rows.agg(*(F.stddev_pop(x) for x in STATS)).first()
+    return tuple(max(POOLED_SHARE * (x or 0.0), GRAIN) for x in found)
+
+
+def _factor(moments: DataFrame, least: tuple[float, ...]) -> DataFrame:
     """Means and lower Cholesky factor of the scatter from sums over a subset; variances have a floor."""
     n = F.col("s_n").cast("double")
     out = moments.withColumns({f"m{i}": F.col(f"s{i}") / n for i in range(D)})
@@ -139,7 +146,7 @@ def _factor(moments: DataFrame) -> DataFrame:
         for j in range(i + 1):
             c = F.col(f"s{i}_{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")
             if i == j:
-                c = F.greatest(c, F.lit(0.0)) + F.lit(FLOORS[i] ** 2)
+                c = F.greatest(c, F.lit(0.0)) + F.lit(least[i] ** 2)
             for k in range(j):
                 c = c - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             out = out.withColumn(f"l{i}_{j}", F.sqrt(c) if i == j else c / F.col(f"l{j}_{j}"))
@@ -154,6 +161,7 @@ def _cut(rows: DataFrame, share: float) -> DataFrame:
 def estimates(rows: DataFrame, settings: Settings) -> DataFrame:
     """One row per cell: means, factor and ``scale``, which brings the median squared distance to its normal value."""
     parts = {x: F.col(x) for x in STATS}
+    least = floors(rows)
     middle = _wide(_quantile(_long(rows, parts), ["cell", "i"], F.col("v"), 0.5, 1e-3), "m")
     off = join_small(rows, materialize(middle, "middle"), "cell", "inner", 128)
     spread = _wide(_quantile(
@@ -163,7 +171,7 @@ def estimates(rows: DataFrame, settings: Settings) -> DataFrame:
     for i in range(D):
         for j in range(i):
             model = model.withColumn(f"l{i}_{j}", F.lit(0.0))
-        model = model.withColumn(f"l{i}_{i}", F.sqrt((1.4826 * F.col(f"d{i}")) ** 2 + F.lit(FLOORS[i] ** 2)))
+        model = model.withColumn(f"l{i}_{i}", F.sqrt((1.4826 * F.col(f"d{i}")) ** 2 + F.lit(least[i] ** 2)))
     model = materialize(model.drop(*(f"d{i}" for i in range(D))), "model")
     sums = [F.count("*").alias("s_n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(STATS)), *(
         F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s{i}_{j}") for i in range(D) for j in range(i + 1)
@@ -172,7 +180,15 @@ def estimates(rows: DataFrame, settings: Settings) -> DataFrame:
         far = join_small(rows, model, "cell", "inner", 256).select("cell", *STATS, squared_distance().alias("d2"))
         cut = materialize(_cut(far, settings.share), "cut")
         half = join_small(far, cut, "cell", "inner", 32).where(F.log(F.col("d2") + F.lit(1e-9)) <= F.col("q") + 1 / 512)
-        model = materialize(_factor(half.groupBy("cell").agg(*sums)), "model")
+        model = materialize(_factor(half.groupBy("cell").agg(*sums), least), "model")
+    scaled = _scaled(rows, model)
+    # Half a cell says little of its tails: the final estimate takes in all that is not far by the first one.
+    far = join_small(rows, scaled, "cell", "inner", 256).select("cell", *STATS, (squared_distance() / F.col("scale")).alias("d2"))
+    model = materialize(_factor(far.where(F.col("d2") <= CHI_MOST).groupBy("cell").agg(*sums), least), "model")
+    return _scaled(rows, model)
+
+
+def _scaled(rows: DataFrame, model: DataFrame) -> DataFrame:
     far = join_small(rows, model, "cell", "inner", 256).select("cell", squared_distance().alias("d2"))
     scale = _cut(far, 0.5).select("cell", (F.exp("q") / F.lit(CHI_MEDIAN)).alias("scale"))
     # A cell tighter than the floors keeps their scale.
