@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from dasyspark import config as C
 from dasyspark.functions import hexgrid
-from dasyspark.session import materialize
+from dasyspark.session import Superseding, materialize
 
 Weights = Mapping[str, np.ndarray]
 CELLS_PER_TASK = 100_000
@@ -121,13 +121,14 @@ def parent_features(cells: DataFrame, parent: str, names: Sequence[str]) -> Data
 def propagate(nodes: DataFrame, edges: DataFrame, dim: int, hops: int, links: DataFrame | None = None) -> DataFrame:
     """Own vector, neighbour means of 1..``hops`` hops and the parent's mean, concatenated as ``z``."""
     current = nodes.withColumn("z", F.col("h")).withColumn("_hop", F.col("h"))
+    tables = Superseding()
     for _ in range(hops):
         sources = current.select("cell", F.col("_hop").alias("h"))
         means = neighbor_mean(sources, edges, dim).select("cell", F.col("message").alias("_next"))
         current = current.join(means, "cell").withColumns(
             {"z": F.concat("z", "_next"), "_hop": F.col("_next")}
         ).drop("_next")
-        current = materialize(current, "hop")
+        current = tables.write(current, "hop")
     if links is not None:
         up = pool_to_parent(nodes, links, dim).withColumnRenamed("pooled", "h")
         context = broadcast_to_child(up, links, dim)

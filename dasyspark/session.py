@@ -67,6 +67,28 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Superseding:
+    """Written tables of a loop: a table goes when the next one of its label is written.
+
+    The new table is whole by then and reads nothing but its own files, so only one of each
+    label takes room, however many rounds there are.
+    """
+
+    def __init__(self) -> None:
+        self._paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        spark = df.sparkSession
+        path = scratch_path(spark, label)
+        df.write.parquet(path)
+        before = self._paths.get(label)
+        self._paths[label] = path
+        if before:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        return spark.read.schema(df.schema).parquet(path)
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 

@@ -315,6 +315,19 @@ def test_design_matrix_stays_within_territories(spark):
     assert {r.cell: r.x for r in graph.design_matrix(cells, ["f"]).collect()} == {1: [1.0], 2: [3.0], 3: [100.0]}
 
 
+def test_a_written_table_goes_with_its_successor(spark):
+    import glob
+
+    from dasyspark.session import Superseding, shared_dir
+
+    here = lambda: glob.glob(f"{shared_dir(spark)}/round-*")
+    tables, now = Superseding(), spark.range(5)
+    for k in range(3):
+        now = tables.write(now.select((F.col("id") + 1).alias("id")), "round")
+        assert len(here()) == 1
+    assert sorted(r.id for r in now.collect()) == [3, 4, 5, 6, 7]
+
+
 def test_metros_and_missing_units_tell_namesakes_apart(spark):
     units = spark.createDataFrame([("A", "x"), ("B", "x"), ("B", "y")], "state string, unit string")
     metros = spark.createDataFrame([("A", "m", ["x", "y"]), ("B", "n", ["y", "x", "z"])], "state string, metro string, units array<string>")
