@@ -127,8 +127,8 @@ def dedupe_elements(elements: DataFrame, keys: Sequence[str], order: Sequence[st
 
     A pass over ``keys`` and ``order`` alone finds the keys that occur more than once and the
     places of all but their first copies; the wide rows are then only filtered by place, so
-    that geometries never move with their copies. ``elements`` is a written table, whose rows
-    have one place in every scan. Null keys are keys.
+    that geometries never move with their copies. ``elements`` is a written table, or derived from
+    one row by row, so that its rows have one place in every scan. Null keys are keys.
     """
     placed = elements.withColumn("_place", F.monotonically_increasing_id())
     narrow = placed.select(*keys, *order, "_place")

@@ -7,7 +7,7 @@ from dasyspark.functions import names as S
 from dasyspark.functions import numbers as N
 from dasyspark.session import scratch_path
 from dasyspark.sources import grids, sheets, totals
-from registry.core import CELLS, cells, nations, num, query, table, with_ctes, written
+from registry.core import CELLS, cells, dealt, nations, num, query, table, with_ctes
 
 
 def documents(spark, sf):
@@ -314,12 +314,8 @@ def _(spark, sf):
 
 
 def _matrix(spark, sf):
-    return written(spark, sf, "sheets", _sheets)
-
-
-def _sheets(spark, sf):
     """One sheet per customer group of eight columns: a title, a header row of names, sub-totals, totals."""
-    order = table(spark, sf, "orders")
+    order = dealt(spark, sf, "orders")
     k = F.col("o_orderkey").cast("string")
     price = F.col("o_totalprice")
     names = [F.concat(F.lit(f"  Unit  {i} of "), k) for i in range(5)] + [F.lit("Western Region"), F.lit("ALL"), F.lit("")]
@@ -369,7 +365,7 @@ def _tables(spark, sf):
         row(3, F.lit("2"), F.concat(F.lit(" Second  of "), k), F.lit("12,345.5")),
         row(4, F.lit("3"), F.lit("Total"), F.lit("99")), row(5, F.lit("4"), F.lit(""), F.lit("5")), row(6, F.lit("5"), F.lit("short")),
     )
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("sheet_id"), F.inline(rows))
+    return dealt(spark, sf, "customer").select(F.col("c_custkey").alias("sheet_id"), F.inline(rows))
 
 
 @query("headed_table", """SELECT c_custkey AS sheet_id, 2 AS row_idx, c_name AS district, c_acctbal AS y_crore, 'nominal gdp' AS source_name FROM customer WHERE c_acctbal > 0

@@ -250,3 +250,13 @@ def test_filling_meets_centres_on_the_outline(spark):
     centres = [(q, r) for r in (10, 11, 12) for q in range(30, 60) if _even_odd(
         math.degrees(math.asin(min(1.0, s * 1.5 * r / hexgrid.RADIUS_KM))), math.degrees(s * math.sqrt(3) * (q + r / 2.0) / hexgrid.RADIUS_KM), shape["u", "0"])]
     assert got == sorted(centres) and (40, 10) in got
+
+
+def test_elements_are_derived_where_their_lines_lie(spark, monkeypatch):
+    """A large table is neither dealt out nor written again before elements are read off it."""
+    from registry import core
+
+    monkeypatch.setattr(core, "ONE_FILE", 0)
+    for rows in (core.elements(spark, "/root/testdata/sf0.001"), core.tiles(spark, "/root/testdata/sf0.001")):
+        assert all(f.endswith("lineitem.parquet") for f in rows.inputFiles())
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
