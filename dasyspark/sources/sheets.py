@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dasyspark.functions.names import clean_ws
@@ -27,14 +27,18 @@ ROW_PATTERN = (
 QUOTE_PATTERN = r"([\d,]{4,})\s*Crore in (\d{4}-\d{2})"
 
 
-def _unreadable(rows: DataFrame, sheet: str, steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """``sheet, reason`` of the sheets that miss a step, with the first one they miss."""
-    out = rows.select(sheet).distinct()
-    missed = []
-    for i, (reason, reached) in enumerate(steps):
-        out = out.join(reached.select(sheet).distinct().withColumn(f"_s{i}", F.lit(True)), sheet, "left")
-        missed.append(F.when(F.col(f"_s{i}").isNull(), reason))
-    return out.select(sheet, F.coalesce(*missed).alias("reason")).where("reason IS NOT NULL")
+def _meet(rows: DataFrame, found: DataFrame, sheet: str, how: str = "inner") -> DataFrame:
+    """Join of what was found of each sheet. Sizes are guessed from files whose cells are not written yet, so neither side is broadcast on a guess."""
+    return rows.join(found.hint("merge"), sheet, how)
+
+
+def _missed(marks: DataFrame, reasons: Sequence[str], sheet: str) -> DataFrame:
+    """``sheet, reason`` of the sheets that miss a step; a mark ``_s`` is the number of steps that a row shows to be reached.
+
+    One aggregate over all marks: nothing is joined, so nothing can be broadcast.
+    """
+    first = F.get(F.array(*[F.lit(r) for r in reasons]), F.max("_s"))
+    return marks.groupBy(sheet).agg(first.alias("reason")).where("reason IS NOT NULL")
 
 
 def _matrix_header(rows: DataFrame, sheet: str) -> DataFrame:
@@ -52,15 +56,27 @@ def _matrix_header(rows: DataFrame, sheet: str) -> DataFrame:
     )
 
 
-def _matrix_values(rows: DataFrame, header: DataFrame, row_label: str, sheet: str) -> DataFrame:
-    """``sheet, _values``: the last row below the header whose second cell holds the label."""
+def _matrix_rows(rows: DataFrame, row_label: str, sheet: str) -> DataFrame:
+    """``sheet, _label, _cells`` of all sheets with a header, which is looked for once.
+
+    The row of values is the last one below the header whose second cell holds the label; without one
+    both are null. ``_cells`` pairs header (n) and values (y) from the third column on.
+    """
+    header = _matrix_header(rows, sheet)
     labelled = rows.where(F.contains(F.lower(clean_ws(F.get("cells", F.lit(1)))), F.lit(row_label.lower())))
-    return (
-        labelled.join(header.select(sheet, F.col("_h.row_idx").alias("_top")), sheet)
-        .where(F.col("row_idx") > F.col("_top"))
-        .groupBy(sheet)
-        .agg(last_by("cells", "row_idx").alias("_values"))
-    )
+    met = _meet(labelled.select(sheet, "row_idx", "cells"), header, sheet, "right")
+    below = F.when(F.col("row_idx") > F.col("_h.row_idx"), F.col("row_idx"))
+    found = met.groupBy(sheet).agg(F.first("_h.cells").alias("_names"), last_by("cells", below).alias("_values"))
+    tail = lambda c: F.slice(c, F.lit(3), F.greatest(F.size(c) - 2, F.lit(0)))
+    label = F.when(F.col("_values").isNotNull(), clean_ws(F.get("_values", F.lit(1))))
+    return found.select(sheet, label.alias("_label"), F.arrays_zip(tail("_names").alias("n"), tail("_values").alias("y")).alias("_cells"))
+
+
+def _counts(pair: Column | dict[str, Column], drop_names: Sequence[str]) -> Column:
+    """Whether a cleaned pair is a total of a unit."""
+    low = F.lower(pair["n"])
+    kept = (pair["n"] != "") & ~F.contains(low, F.lit("region")) & (pair["y"] > 0)
+    return kept & ~low.isin(*[d.lower() for d in drop_names]) if drop_names else kept
 
 
 def matrix_to_long(
@@ -71,31 +87,23 @@ def matrix_to_long(
     The header and the row of values are found by aggregates; only those two rows are
     widened. Sheets that yield nothing are told by ``unreadable_matrices``.
     """
-    header = _matrix_header(rows, sheet)
-    values = _matrix_values(rows, header, row_label, sheet)
     # Names and amounts are cleaned as arrays, once, and only then widened together.
-    names = F.transform("_h.cells", clean_ws)
-    amounts = F.transform("_values", lambda v: to_float_lenient(v) * F.lit(value_scale))
-    paired = header.join(values, sheet).select(
-        sheet, clean_ws(F.get("_values", F.lit(1))).alias("_label"), F.arrays_zip(names.alias("n"), amounts.alias("y")).alias("_pairs")
-    )
-    wide = paired.select(sheet, "_label", F.posexplode("_pairs").alias("_pos", "_p"))
-    name, low = F.col("_p.n"), F.lower("_p.n")
-    kept = wide.where((F.col("_pos") >= 2) & (name != "") & ~F.contains(low, F.lit("region")) & (F.col("_p.y") > 0))
-    if drop_names:
-        kept = kept.where(~low.isin(*[d.lower() for d in drop_names]))
-    return kept.select(
-        sheet, name.alias("district"), F.col("_p.y").alias("y_crore"),
-        F.concat(name, F.lit(" — "), F.col("_label")).alias("source_name"),
+    clean = F.transform("_cells", lambda p: F.struct(clean_ws(p["n"]).alias("n"), (to_float_lenient(p["y"]) * F.lit(value_scale)).alias("y")))
+    # Outer, since a plain explode has all pairs made a first time to see whether there are any.
+    wide = _matrix_rows(rows, row_label, sheet).select(sheet, "_label", F.explode_outer(clean).alias("_p"))
+    return wide.where(_counts(F.col("_p"), drop_names)).select(
+        sheet, F.col("_p.n").alias("district"), F.col("_p.y").alias("y_crore"),
+        F.concat("_p.n", F.lit(" — "), F.col("_label")).alias("source_name"),
     )
 
 
 def unreadable_matrices(rows: DataFrame, row_label: str, drop_names: Sequence[str] = (), sheet: str = "sheet_id") -> DataFrame:
     """``sheet, reason`` of sheets that ``matrix_to_long`` reads nothing from: no_header, no_value_row or no_values."""
-    header = _matrix_header(rows, sheet)
-    values = _matrix_values(rows, header, row_label, sheet)
-    read = matrix_to_long(rows, row_label, drop_names, 1.0, sheet)
-    return _unreadable(rows, sheet, [("no_header", header), ("no_value_row", values), ("no_values", read)])
+    # The first pair that counts settles it.
+    read = F.exists("_cells", lambda p: _counts({"n": clean_ws(p["n"]), "y": to_float_lenient(p["y"])}, drop_names))
+    step = F.when(F.col("_label").isNull(), 1).when(read, 3).otherwise(2)
+    marks = rows.select(sheet, F.lit(0).alias("_s")).unionByName(_matrix_rows(rows, row_label, sheet).select(sheet, step.alias("_s")))
+    return _missed(marks, ["no_header", "no_value_row", "no_values"], sheet)
 
 
 def _table_header(rows: DataFrame, name_label: str, value_label: str, sheet: str) -> DataFrame:
@@ -119,7 +127,7 @@ def headed_table(
     ``unreadable_tables``.
     """
     header = _table_header(rows, name_label, value_label, sheet)
-    below = rows.join(header, sheet).where(F.col("row_idx") > F.col("_h.row_idx"))
+    below = _meet(rows, header, sheet).where(F.col("row_idx") > F.col("_h.row_idx"))
     name = clean_ws(F.try_element_at("cells", F.col("_h._name").cast("int")))
     value = to_float_lenient(F.try_element_at("cells", F.col("_h._value").cast("int"))) * F.lit(value_scale)
     kept = below.select(sheet, "row_idx", name.alias("district"), value.alias("y_crore"), F.lit(value_label).alias("source_name")).where(
@@ -132,9 +140,12 @@ def unreadable_tables(
     rows: DataFrame, name_label: str, value_label: str, drop_names: Sequence[str] = (), sheet: str = "sheet_id"
 ) -> DataFrame:
     """``sheet, reason`` of sheets that ``headed_table`` reads nothing from: no_header or no_values."""
+    marks = rows.select(sheet, F.lit(0).alias("_s"))
     header = _table_header(rows, name_label, value_label, sheet)
     read = headed_table(rows, name_label, value_label, drop_names, 1.0, sheet)
-    return _unreadable(rows, sheet, [("no_header", header), ("no_values", read)])
+    for step, reached in ((1, header), (2, read)):
+        marks = marks.unionByName(reached.select(sheet, F.lit(step).alias("_s")))
+    return _missed(marks, ["no_header", "no_values"], sheet)
 
 
 def clean_label(text: str) -> str:

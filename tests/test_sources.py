@@ -179,3 +179,17 @@ def test_multipolygons_and_winding(spark, tmp_path):
     kept = lambda a: {r.unit for r in spatial.filter_units_in_area(rings, a).collect()}
     assert kept(area(2.0, 2.0, 0.1)) == {"one", "same", "turned"}
     assert kept(area(10.3, 1.3, 0.2)) == {"two"}
+
+
+def test_sheets_made_from_a_small_file_are_never_broadcast_on_a_guess(spark, tmp_path):
+    """A few bytes a sheet in the file become many rows; the guess of their size must not lead to a broadcast of them."""
+    spark.range(3000).write.parquet(f"{tmp_path}/ids")
+    row = lambda i, *c: F.struct(F.lit(i).alias("row_idx"), F.array(*[F.lit(x) for x in c]).alias("cells"))
+    rows = F.array(row(0, "Name", "Val"), row(1, "one", "5"), row(2, "two", "6"), *[row(i, "total", "9") for i in range(3, 9)])
+    table = spark.read.parquet(f"{tmp_path}/ids").select(F.col("id").alias("sheet_id"), F.inline(rows))
+    matrix = F.array(row(0, "no", "name", *[f"Unit {c}" for c in "abcde"]), row(1, "1", "label", "1", "2", "3", "4", "0"))
+    across = spark.read.parquet(f"{tmp_path}/ids").select(F.col("id").alias("sheet_id"), F.inline(matrix))
+    for out, n in ((sheets.headed_table(table, "name", "val", ["total"]), 6000), (sheets.unreadable_tables(table, "name", "val", ["total"]), 0),
+                   (sheets.matrix_to_long(across, "label"), 12000), (sheets.unreadable_matrices(across, "label"), 0)):
+        assert out.count() == n
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
