@@ -228,10 +228,14 @@ def home_measures(elements: DataFrame, level: int) -> DataFrame:
     return wide.groupBy("cell").agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(n) for n, v in measures.items()])
 
 
+def join_measures(homes: DataFrame, roads: DataFrame) -> DataFrame:
+    """``home_measures`` and ``road_length`` in one table."""
+    return homes.join(roads, "cell", "full").na.fill(0.0, MEASURES).na.fill(0, ["road_segments"])
+
+
 def bin_elements(elements: DataFrame, level: int) -> DataFrame:
     """All element measures per cell, from two narrow aggregates: elements where they lie, road segments where theirs do."""
-    homes, roads = home_measures(elements, level), road_length(elements, level)
-    return homes.join(roads, "cell", "full").na.fill(0.0, MEASURES).na.fill(0, ["road_segments"]).select("cell", *MEASURES)
+    return join_measures(home_measures(elements, level), road_length(elements, level)).select("cell", *MEASURES)
 
 
 def bin_with_counters(elements: DataFrame, level: int, valid: DataFrame) -> tuple[DataFrame, Callable[[], dict]]:
@@ -244,7 +248,7 @@ def bin_with_counters(elements: DataFrame, level: int, valid: DataFrame) -> tupl
     scanned, binned = Observation(), Observation()
     seen = elements.observe(scanned, F.count(F.lit(1)).alias("objects_scanned"))
     homes = home_measures(seen, level)
-    table = homes.join(road_length(elements, level), "cell", "full").na.fill(0.0, MEASURES).na.fill(0, ["road_segments"])
+    table = join_measures(homes, road_length(elements, level))
     kept = table.join(valid.select("cell"), "cell", "left_semi").select("cell", *MEASURES)
 
     def total(name: str) -> Column:

@@ -217,11 +217,12 @@ ONCE = ELEMENTS.replace("AS ship FROM lineitem)", "AS ship FROM lineitem QUALIFY
     f"SELECT cell, {', '.join(_FINAL_COLUMNS)} FROM base LEFT JOIN roads USING (cell) LEFT JOIN blds USING (cell) LEFT JOIN lands USING (cell) LEFT JOIN pois USING (cell)",
     ONCE, AREAS, _ROADS, _HOME, _BUILDINGS, _LANDUSE, _POIS, _BASE))
 def _(spark, sf):
-    """All measures from overlapping tiles, whose common elements count once, on the cells where any element lies."""
+    """All measures from overlapping tiles, whose common elements count once, on the cells where any element that counts lies."""
     rows = joins.dedupe_elements(tiles(spark, sf), ["type", "id"], ["tile", "ship", "part", "supp"])
-    measures = materialize(evidence.bin_elements(rows, LEVEL), "binned")
-    home = evidence.positioned(elements(spark, sf)).select(hexgrid.point_to_cell(F.col("lat"), F.col("lon"), LEVEL).alias("cell")).distinct()
-    base = home.withColumn("area_km2", F.lit(hexgrid.cell_area(LEVEL) / 400))
+    # Copies that do not count make no cell either.
+    home = materialize(evidence.home_measures(rows, LEVEL), "homes")
+    measures = evidence.join_measures(home, evidence.road_length(rows, LEVEL))
+    base = home.select("cell").withColumn("area_km2", F.lit(hexgrid.cell_area(LEVEL) / 400))
     out = evidence.finalise_cell_features(base, measures)
     return out.select(
         "cell", F.round("road_km", 6).alias("road_km"), F.round(F.col("building_area_m2") / 1e6, 6).alias("building_km2"), "building_count", "poi_count",

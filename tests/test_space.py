@@ -260,3 +260,20 @@ def test_elements_are_derived_where_their_lines_lie(spark, monkeypatch):
     for rows in (core.elements(spark, "/root/testdata/sf0.001"), core.tiles(spark, "/root/testdata/sf0.001")):
         assert all(f.endswith("lineitem.parquet") for f in rows.inputFiles())
         assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_that_do_not_count_make_no_cell(spark, tmp_path):
+    """Two line items with one number lie in different cells; the one shipped first is the element."""
+    import datetime
+
+    from dasyspark.functions import hexgrid
+    from registry import binning, core
+
+    assert binning.LEVEL == core.LEVEL
+    k = F.col("id")
+    at = lambda i, j: hexgrid.point_to_cell(core.lat_of(k) + i * 0.01, core.lon_of(k) + j * 0.01, core.LEVEL)
+    key, cell = spark.range(1, 3000).where(at(0, 0) != at(4, 6)).select("id", at(0, 0)).first()
+    rows = [(key, part, supp, 1, 10.0, "A", "O", datetime.datetime(year, 1, 1)) for part, supp, year in ((0, 0, 1996), (4, 6, 1997))]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r.cell for r in core.QUERIES["finalise_cell_features"](spark, str(tmp_path)).collect()] == [cell]
