@@ -99,7 +99,9 @@ PACKED = ["population", "night_lights", "road_km", "poi_count", "building_share"
 
 def to_pack(spark, sf):
     base = published(spark, sf).withColumn("block", hexgrid.cell_parent(F.col("hex"), LEVEL, BLOCK)).withColumnRenamed("district", "unit")
-    return base.withColumns({c: F.round(c, 9) for c in ("night_lights", "road_km", "intensity_raw", "building_share")})
+    # A seventh of whole cents may be a tie of the last digit kept, which the order of the sum must not break.
+    people = F.round("population", 6).alias("population")
+    return base.withColumns({"population": people, **{c: F.round(c, 9) for c in ("night_lights", "road_km", "intensity_raw", "building_share")}})
 
 
 def constants(spark, sf):
@@ -116,6 +118,7 @@ _ROUNDED = """round_even(population, 1) AS p, round_even(round(night_lights, 9),
   round_even(round(building_share, 9), 4) AS bsh, round_even(gdp_crore, 4) AS c, round_even(gdp_per_capita_inr, 0) AS g, round_even(round(intensity_raw, 9), 6) AS sr"""
 _BLOCKED = f"""rounded AS (SELECT state, district AS unit, hex, {parent_sql('hex', LEVEL, BLOCK)} AS block, {_ROUNDED} FROM pub),
 constants AS (SELECT state, unit, round_even(round(max(y_crore), 2), 2) AS y, round_even(round(max(dasymetric_scale) / 1e7, 6), 8) AS s FROM allocated GROUP BY state, unit)"""
+_BLOCKED_EVEN = _BLOCKED.replace("round_even(population, 1)", "round_even(round(population, 6), 1)")
 _USED = "used AS (SELECT {0}, " + ", ".join(f"bool_or(coalesce({k}, 0) <> 0) AS has_{k}" for k in _DECIMALS) + " FROM rounded GROUP BY {0})"
 
 
@@ -125,7 +128,7 @@ def _pack_sql(keys, unit_sql):
     return with_ctes(
         f"""SELECT {keys}, block, {LEVEL} AS res, count(*) AS n, {unit_sql}, array_to_string(list(hex ORDER BY hex), ',') AS h,
         array_to_string(list_sort(list(DISTINCT unit || '=' || round(y * 100)::BIGINT || '/' || round(s * 1000000)::BIGINT)), ',') AS per_district, {whole}
-        FROM rounded JOIN used USING ({keys}) JOIN constants USING (state, unit) GROUP BY {keys}, block""", *SPLIT, PUBLISHED, _BLOCKED, _USED.format(keys))
+        FROM rounded JOIN used USING ({keys}) JOIN constants USING (state, unit) GROUP BY {keys}, block""", *SPLIT, PUBLISHED, _BLOCKED_EVEN, _USED.format(keys))
 
 
 def _whole(out, *keys):
@@ -358,7 +361,7 @@ ranges AS (SELECT cell, avg(s) AS s, min(s) AS s_min, max(s) AS s_max, min(coale
 chain AS (SELECT l.*, r.* EXCLUDE (cell), y_inr / greatest(sum(s * population) OVER (PARTITION BY l.state, l.unit), 1e-9) AS scale FROM lattice l JOIN ranges r USING (cell) JOIN totals t ON t.state = l.state AND t.unit = l.unit),
 chain_rank AS (SELECT cell, (rank() OVER (PARTITION BY state ORDER BY s * scale) + (count(*) OVER (PARTITION BY state, s * scale) - 1) / 2e0) / count(*) OVER (PARTITION BY state) * 100 AS w FROM chain WHERE population > 0),
 told AS (SELECT c.*, round(coalesce(w, 0), 6) AS w FROM chain c LEFT JOIN chain_rank USING (cell)),
-presets AS (SELECT unnest([coalesce(min_by(cell, (-w, cell)) FILTER (population >= p80), min_by(cell, (-w, cell))),
+presets AS (SELECT DISTINCT unnest([coalesce(min_by(cell, (-w, cell)) FILTER (population >= p80), min_by(cell, (-w, cell))),
     coalesce(min_by(cell, (w, cell)) FILTER (population BETWEEN p20 AND p60 AND road_km <= rm), min_by(cell, (w, cell)))]) AS cell
     FROM told JOIN (SELECT state, quantile_cont(population, 0.2) AS p20, quantile_cont(population, 0.6) AS p60, quantile_cont(population, 0.8) AS p80,
     quantile_cont(road_km, 0.5) AS rm FROM told GROUP BY state) USING (state) GROUP BY state),

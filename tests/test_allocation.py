@@ -435,3 +435,25 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session)
+
+
+def test_people_are_packed_from_values_without_the_noise_of_a_sum(spark):
+    """A seventh of whole cents may end in a 5 exactly, and what a sum adds behind that must not decide the last digit."""
+    from registry import publishing
+
+    people = [r.population for r in publishing.to_pack(spark, "/root/testdata/sf0.001").collect()]
+    assert people and all(p == round(p, 6) for p in people)
+
+
+def test_a_preset_cell_has_one_dossier():
+    """A territory of one cell has it as both presets."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    db = duckdb.connect()
+    for t in ("region", "nation"):
+        db.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    db.sql("create view customer as select * from '/root/testdata/sf0.001/customer.parquet' where c_custkey in (select min(c_custkey) from '/root/testdata/sf0.001/customer.parquet' join '/root/testdata/sf0.001/orders.parquet' on c_custkey = o_custkey where c_acctbal > 0)")
+    db.sql("create view orders as select * from '/root/testdata/sf0.001/orders.parquet' where o_custkey in (select c_custkey from customer)")
+    assert len(db.sql(entry.oracle_sql()["cell_dossier"]).fetchall()) == 1
