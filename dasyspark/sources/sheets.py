@@ -66,7 +66,7 @@ def _matrix_rows(rows: DataFrame, row_label: str, sheet: str) -> DataFrame:
     labelled = rows.where(F.contains(F.lower(clean_ws(F.get("cells", F.lit(1)))), F.lit(row_label.lower())))
     met = _meet(labelled.select(sheet, "row_idx", "cells"), header, sheet, "right")
     below = F.when(F.col("row_idx") > F.col("_h.row_idx"), F.col("row_idx"))
-    found = met.groupBy(sheet).agg(F.first("_h.cells").alias("_names"), last_by("cells", below).alias("_values"))
+    found = met.groupBy(sheet).agg(F.first("_h.cells").alias("_names"), F.max_by("cells", below).alias("_values"))
     tail = lambda c: F.slice(c, F.lit(3), F.greatest(F.size(c) - 2, F.lit(0)))
     label = F.when(F.col("_values").isNotNull(), clean_ws(F.get("_values", F.lit(1))))
     return found.select(sheet, label.alias("_label"), F.arrays_zip(tail("_names").alias("n"), tail("_values").alias("y")).alias("_cells"))
