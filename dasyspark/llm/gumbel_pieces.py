@@ -21,7 +21,6 @@ from __future__ import annotations
 import functools
 import heapq
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +55,20 @@ class Vocabulary:
         self.byte_weight = -power * float(np.log(size))
         self.longest = max(map(len, self.pieces), default=1)
         self.values = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.weights = np.array(self.weight)
+        self.byte_ids = np.array([self.bytes[b] for b in range(256)])
+        # A trie: from a state (0: nothing read) by a code point to the next one, and the piece read there, if any.
+        steps: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for text, i in self.pieces.items():
+            state = 0
+            for c in text:
+                state = steps.setdefault(state << 21 | ord(c), len(steps) + 1)
+            ends[state] = i
+        self.steps = np.array(sorted(steps), np.int64)
+        self.after = np.array([steps[x] for x in self.steps.tolist()], np.int64)
+        self.piece_at = np.full(len(steps) + 1, -1)
+        self.piece_at[list(ends)] = list(ends.values())
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids; the leading space that every text gets is taken off."""
@@ -72,7 +85,9 @@ class Lattices:
     """Lattices of chunks in flat arrays: nodes are numbered through, each node's incoming edges lie together.
 
     ``keys`` holds node + cumulative probability of its edges, so that one search
-    finds an edge for (node, uniform number).
+    finds an edge for (node, uniform number). The new chunks of a batch are built
+    together: their substrings walk the vocabulary's trie a character at a time, and
+    the masses of all nodes at one place of their chunk are summed at once.
     """
 
     def __init__(self, vocab: Vocabulary):
@@ -81,114 +96,149 @@ class Lattices:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.start: list[int] = []
-        self.end: list[int] = []
-        self.mass: list[float] = []
-        self._keys, self._pred, self._piece, self._weight = array("d"), array("q"), array("i"), array("d")
-        self._ways = array("d")  # of a node: number of paths that reach it
         self.nodes = 0
-        self.arrays = None
-
-    def add(self, chunk: str) -> int:
-        found = self.known.get(chunk)
-        if found is not None:
-            return found
-        v, n, base = self.vocab, len(chunk), self.nodes
-        table, longest = v.pieces, v.longest
-        incoming: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        extra: list[tuple[int, int, float]] = []  # nodes inside a character written in bytes
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = table.get(chunk[i:j])
-                if piece is not None:
-                    incoming[j].append((i, piece, v.weight[piece]))
-            if chunk[i] not in table:
-                at = i
-                coded = chunk[i].encode("utf-8", "surrogatepass")
-                for b in coded[:-1]:
-                    extra.append((at, v.bytes[b], v.byte_weight))
-                    at = n + len(extra)
-                incoming[i + 1].append((at, v.bytes[coded[-1]], v.byte_weight))
-        total = np.zeros(n + 1 + len(extra)).tolist()
-        ways = np.ones(n + 1 + len(extra)).tolist()
-        for j in range(1, n + 1):
-            # Inner nodes of the character before j have one way in.
-            for at, _, _ in incoming[j]:
-                if at > n:
-                    chain = at
-                    path = []
-                    while chain > n:
-                        path.append(chain)
-                        chain = extra[chain - n - 1][0]
-                    run = total[chain]
-                    for inner in reversed(path):
-                        run += extra[inner - n - 1][2]
-                        total[inner], ways[inner] = run, ways[chain]
-            edges = incoming[j]
-            scores = [total[a] + w for a, _, w in edges]
-            top = max(scores)
-            whole = sum([2.718281828459045 ** (s - top) for s in scores])
-            total[j] = top + float(np.log(whole)) if len(edges) > 1 else top
-            ways[j] = sum([ways[a] for a, _, _ in edges])
-            run = 0.0
-            for (a, piece, w), s in zip(edges, scores, strict=True):
-                run += 2.718281828459045 ** (s - top)
-                self._keys.append(base + j + run / whole)
-                self._pred.append(base + a)
-                self._piece.append(piece)
-                self._weight.append(w)
-            self._keys[-1] = base + j + 1.0
-        for e, (a, piece, w) in enumerate(extra):
-            self._keys.append(base + n + 1 + e + 1.0)
-            self._pred.append(base + a)
-            self._piece.append(piece)
-            self._weight.append(w)
-        number = len(self.start)
-        self.known[chunk] = number
-        self.start.append(base)
-        self.end.append(base + n)
-        self.mass.append(total[n])
-        self._ways.extend(ways)
-        self.nodes += n + 1 + len(extra)
-        self.arrays = None
-        return number
+        kinds = (float, np.int64, np.int32, float, np.int64, np.int64, float, float)
+        self.made: list[list[np.ndarray]] = [[np.empty(0, kind)] for kind in kinds]
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The number of each chunk, its lattice built if it is new."""
+        fresh = [c for c in dict.fromkeys(chunks) if c not in self.known]
+        if fresh:
+            self._build(fresh)
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+
+    def _build(self, chunks: list[str]) -> None:
+        v = self.vocab
+        size = np.array([len(c) for c in chunks], np.int64)
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        stop = np.cumsum(size)
+        place = np.arange(len(code)) - (stop - size)[owner]
+        left = size[owner] - place
+
+        # Pieces that start at a character, by length.
+        at, state = np.arange(len(code)), np.zeros(len(code), np.int64)
+        froms, lengths, pieces_ = [], [], []
+        for depth in range(v.longest):
+            live = left[at] > depth
+            at, state = at[live], state[live]
+            wanted = state << 21 | code[at + depth]
+            step = np.minimum(np.searchsorted(v.steps, wanted), len(v.steps) - 1)
+            live = v.steps[step] == wanted
+            at, state = at[live], v.after[step[live]]
+            piece = v.piece_at[state]
+            whole = piece >= 0
+            froms.append(at[whole])
+            lengths.append(np.full(len(froms[-1]), depth + 1))
+            pieces_.append(piece[whole])
+
+        # Characters without a piece are written in bytes, with a node between two of them.
+        bare = np.ones(len(code), bool)
+        bare[froms[0]] = False
+        bare = np.flatnonzero(bare)
+        many = 1 + (code[bare] >= 0x80) + (code[bare] >= 0x800) + (code[bare] >= 0x10000)
+        inner = np.bincount(owner[bare], many - 1, len(size)).astype(np.int64)
+        room = size + 1 + inner
+        base = np.cumsum(room) - room
+        node = base[owner] + place  # of the place before a character
+        before = np.cumsum(many - 1) - (many - 1)
+        first = (base + size + 1 - (np.cumsum(inner) - inner))[owner[bare]] + before
+        char = np.repeat(np.arange(len(bare)), many)
+        nth = np.arange(len(char)) - (np.cumsum(many) - many)[char]
+        raw = code[bare].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        last = nth == many[char] - 1
+        source = node[bare][char]
+
+        # An edge leads from ``pred`` to ``goal``; ``origin`` is the place its character starts at, ``mass`` the weight since.
+        starts, length = np.concatenate(froms), np.concatenate(lengths)
+        piece = np.concatenate([*pieces_, v.byte_ids[np.frombuffer(raw, np.uint8)]])
+        weight = v.weights[piece]
+        weight[len(starts):] = v.byte_weight
+        goal = np.concatenate([node[starts] + length, np.where(last, source + 1, first[char] + nth)])
+        pred = np.concatenate([node[starts], np.where(nth == 0, source, first[char] + nth - 1)])
+        origin = np.concatenate([node[starts], source])
+        mass = np.concatenate([weight[: len(starts)], (nth + 1) * v.byte_weight])
+        span = np.concatenate([length, np.ones(len(char), np.int64)])
+        order = np.argsort(goal * (v.longest + 1) + v.longest - span, kind="stable")
+        goal, pred, piece, weight, origin, mass = (x[order] for x in (goal, pred, piece, weight, origin, mass))
+
+        n = int(room.sum())
+        degree = np.bincount(goal, minlength=n)
+        begin = np.cumsum(degree) - degree
+        total, ways, share = np.zeros(n), np.ones(n), np.ones(len(goal))
+        by = np.argsort(-size, kind="stable")
+        tall = len(size) - np.searchsorted(np.sort(size), np.arange(1, size.max() + 1))
+        for j, some in enumerate(tall.tolist(), 1):
+            here = base[by[:some]] + j
+            d = degree[here]
+            cut = np.cumsum(d) - d
+            edge = np.repeat(begin[here] - cut, d) + np.arange(d.sum())
+            score = total[origin[edge]] + mass[edge]
+            top = np.maximum.reduceat(score, cut)
+            odds = np.exp(score - np.repeat(top, d))
+            whole = np.add.reduceat(odds, cut)
+            total[here] = top + np.log(whole)
+            with np.errstate(over="ignore"):
+                ways[here] = np.add.reduceat(ways[origin[edge]], cut)
+            share[edge] = odds / np.repeat(whole, d)
+        ways[(first[char] + nth)[~last]] = ways[source[~last]]
+        for r in range(1, int(degree.max())):
+            edge = begin[degree > r] + r
+            share[edge] += share[edge - 1]
+        ending = begin[degree > 0] + degree[degree > 0] - 1
+        keys = self.nodes + goal + np.minimum(share, 1.0)
+        keys[ending] = self.nodes + goal[ending] + 1.0
+        new = (
+            keys, self.nodes + pred, piece.astype(np.int32), weight, self.nodes + base, self.nodes + base + size, total[base + size], ways
+        )
+        for held, x in zip(self.made, new, strict=True):
+            held.append(x)
+        self.nodes += n
 
     def ready(self) -> tuple[np.ndarray, ...]:
-        if self.arrays is None:
-            self.arrays = (
-                np.array(self._keys), np.array(self._pred, np.int64), np.array(self._piece, np.int32),
-                np.array(self._weight), np.array(self.start, np.int64), np.array(self.end, np.int64), np.array(self.mass),
-                np.array(self._ways),
-            )
-        return self.arrays
+        """keys, predecessors, pieces and weights of edges; start, end and mass of chunks; paths that reach a node."""
+        for held in self.made:
+            if len(held) > 1:
+                held[:] = [np.concatenate(held)]
+        return tuple(held[0] for held in self.made)
 
 
-def uniform(seed: np.ndarray, *counters) -> np.ndarray:
-    """Numbers in (0, 1) from a 64-bit seed and counters."""
+def seeded(seed: np.ndarray, *counters) -> np.ndarray:
+    """A 64-bit seed from another one and counters."""
     x = np.asarray(seed, np.uint64)
     for c in counters:
         x = mix(x + np.asarray(c).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+    return x
+
+
+def uniform(seed: np.ndarray, *counters) -> np.ndarray:
+    """Numbers in (0, 1) from a 64-bit seed and counters."""
+    return ((seeded(seed, *counters) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
 
 def draw(lattices: Lattices, chunk: np.ndarray, seed: np.ndarray, place: np.ndarray, round_: int):
-    """A segmentation of each chunk, drawn by its probability: (token, step, piece) of all pieces from the end, and log probabilities."""
+    """A segmentation of each chunk, drawn by its probability: all pieces in order, where each chunk's end, and log probabilities."""
     keys, pred, piece, weight, start, end, mass, _ = lattices.ready()
     cur, token = end[chunk], np.arange(len(chunk))
     logp = -mass[chunk]
     out = []
-    step = 0
-    goal = start[chunk]
+    goal, seed = start[chunk], seeded(seed, place, round_)
+    size = np.zeros(len(chunk), np.int64)
     while len(token):
-        edge = np.searchsorted(keys, cur + uniform(seed[token], place[token], round_, step), side="right")
+        edge = np.searchsorted(keys, cur + uniform(seed[token], len(out)), side="right")
         # The last key of a node is the next whole number, so rounding cannot leave the node.
-        out.append((token, np.full(len(token), step), piece[edge]))
+        out.append((token, piece[edge]))
         logp[token] += weight[edge]
+        size[token] += 1
         cur = pred[edge]
         kept = cur != goal[token]
         token, cur = token[kept], cur[kept]
-        step += 1
-    return out, logp
+    stop = np.cumsum(size)
+    found = np.empty(int(size.sum()), np.int32)
+    for step, (token, ids) in enumerate(out):  # from the end of each chunk
+        found[stop[token] - 1 - step] = ids
+    return found, stop, logp
 
 
 def draw_other(lattices: Lattices, chunk: int, known: list[tuple], seed: np.uint64, place: int, round_: int):
@@ -234,6 +284,27 @@ def draw_other(lattices: Lattices, chunk: int, known: list[tuple], seed: np.uint
     return tuple(reversed(path)), logp
 
 
+class Paths:
+    """The pieces of the chunks of a text, one after another; ``stop``: where each chunk's end."""
+
+    def __init__(self, ids: np.ndarray, stop: np.ndarray):
+        self.ids, self.stop = ids, stop
+
+    def begin(self, i: int) -> int:
+        return int(self.stop[i - 1]) if i else 0
+
+    def __getitem__(self, i: int) -> tuple:
+        if i >= len(self.stop):
+            raise IndexError(i)
+        return tuple(self.ids[self.begin(i) : self.stop[i]].tolist())
+
+    def with_other(self, i: int, other: tuple, rest: "Paths") -> "Paths":
+        """These pieces up to chunk ``i``, others for it, and the rest."""
+        at = self.begin(i)
+        ids = np.concatenate([self.ids[:at], np.array(other, np.int32), rest.ids])
+        return Paths(ids, np.concatenate([self.stop[:i], [at + len(other)], at + len(other) + rest.stop]))
+
+
 class Row:
     """The search of one text: its found segmentations and the regions still closed."""
 
@@ -241,7 +312,7 @@ class Row:
         self.chunks, self.seed = chunks, np.uint64(seed)
         self.found: list[dict] = []
         self.heap: list[tuple] = []
-        self.counter = 0
+        self.counter = self.pushed = 0
 
     def bound(self, mass: np.ndarray, limit: float) -> np.ndarray:
         """Noisy maxima of regions of these log masses, given that they lie below ``limit``."""
@@ -251,13 +322,20 @@ class Row:
             free = mass - np.log(-np.log(u))
             return np.where(np.isneginf(mass), -np.inf, _below(free, limit))
 
-    def push(self, masses: np.ndarray, limit: float, sequence: int, first: int, without: list) -> None:
-        """Regions that leave ``sequence`` at chunk first, first + 1, ...; the first also without other segmentations."""
-        for i, g in enumerate(self.bound(masses, limit).tolist()):
-            if g > -np.inf:
-                heapq.heappush(self.heap, (-g, len(self.heap), sequence, first + i, without if i == 0 else []))
+    def push(self, masses: np.ndarray, limit: float, sequence: int, first: int, without: list, most: int) -> None:
+        """Regions that leave ``sequence`` at chunk first, first + 1, ...; the first also without other segmentations.
+
+        No more than the ``most`` largest can still be opened or give the threshold; the others are not kept.
+        """
+        bounds = self.bound(masses, limit)
+        at = np.flatnonzero(bounds > -np.inf)
+        if len(at) > most:
+            at = np.sort(at[np.argpartition(-bounds[at], most - 1)[:most]])
+        for i, g in zip(at.tolist(), bounds[at].tolist(), strict=True):
+            heapq.heappush(self.heap, (-g, self.pushed, sequence, first + i, without if i == 0 else []))
+            self.pushed += 1
 
-    def keep(self, paths: list[tuple], logp: np.ndarray, g: float) -> int:
+    def keep(self, paths: Paths, logp: np.ndarray, g: float) -> int:
         self.found.append({"paths": paths, "logp": logp, "g": g})
         return len(self.found) - 1
 
@@ -274,13 +352,14 @@ def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
     """The k best segmentations of each text, in falling order of their noisy log probabilities."""
     if len(lattices.known) > MOST_CHUNKS:
         lattices.clear()
-    rows = [
-        Row(np.fromiter(map(lattices.add, CHUNK.findall(" " + t)) if t else iter(()), np.int64), s)
-        for t, s in zip(texts, seeds.tolist(), strict=True)
-    ]
+    cut = [CHUNK.findall(" " + t) if t else [] for t in texts]
+    number = lattices.numbers([c for chunks in cut for c in chunks])
+    stops = np.cumsum([len(chunks) for chunks in cut]).tolist()
+    rows = [Row(number[e - len(c) : e], s) for c, e, s in zip(cut, stops, seeds.tolist(), strict=True)]
     for row in rows:
         g = float(row.bound(np.zeros(1), np.inf)[0])
         row.heap.append((-g, 0, -1, 0, []))
+    every = lattices.ready()
     for turn in range(k):
         jobs = []
         for row in rows:
@@ -294,16 +373,12 @@ def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
         sizes = [len(row.chunks) - b for (row, _), b in zip(jobs, begin, strict=True)]
         seed = np.repeat(np.array([row.seed for row, _ in jobs], np.uint64), sizes)
         place = np.concatenate([np.arange(b, len(row.chunks)) for (row, _), b in zip(jobs, begin, strict=True)])
-        steps, logp = draw(lattices, chunk, seed, place, turn)
-        token = np.concatenate([s[0] for s in steps]) if steps else np.empty(0, np.int64)
-        order = np.lexsort((-np.concatenate([s[1] for s in steps]), token)) if steps else np.empty(0, np.int64)
-        found = np.concatenate([s[2] for s in steps])[order].tolist() if steps else []
-        ends = np.cumsum(np.bincount(token, minlength=len(chunk))).tolist()
-        starts = [0, *ends[:-1]]
+        found, stop, logp = draw(lattices, chunk, seed, place, turn)
         at = 0
-        for (row, (g, _, sequence, where, without)), b, size in zip(jobs, begin, sizes, strict=True):
-            fresh = [tuple(found[starts[i] : ends[i]]) for i in range(at, at + size)]
-            fresh_logp = logp[at : at + size]
+        for (row, (g, _, sequence, where, without)), size in zip(jobs, sizes, strict=True):
+            low = int(stop[at - 1]) if at else 0
+            fresh_stop, fresh_logp = stop[at : at + size] - low, logp[at : at + size]
+            fresh = Paths(found[low : low + (int(fresh_stop[-1]) if size else 0)], fresh_stop)
             at += size
             if sequence < 0:
                 paths, own = fresh, fresh_logp
@@ -311,27 +386,27 @@ def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
                 old = row.found[sequence]
                 known = [*without, old["paths"][where]]
                 other, p = draw_other(lattices, int(row.chunks[where]), known, row.seed, where, (turn << 8) + 255)
-                paths = [*old["paths"][:where], other, *fresh]
+                paths = old["paths"].with_other(where, other, fresh)
                 own = np.concatenate((old["logp"][:where], [p], fresh_logp))
             number = row.keep(paths, own, -g)
             if not len(own):
                 continue
             before = np.concatenate(([0.0], np.cumsum(own)[:-1]))
             with np.errstate(divide="ignore"):
-                ways = lattices.ready()[7][lattices.ready()[5][row.chunks]]
+                ways = every[7][every[5][row.chunks]]
                 rest = before + np.log(np.where(ways > 1, np.maximum(TINY, -np.expm1(own)), 0.0))
                 if sequence >= 0:
                     # The rest of the opened region at its own chunk: without everything drawn there so far.
                     taken = np.exp(own[where]) + sum(np.exp(_logp_of(lattices, int(row.chunks[where]), x)) for x in known)
                     rest[where] = before[where] + np.log(max(TINY, 1.0 - taken)) if ways[where] > len(known) + 1 else -np.inf
-                    row.push(rest[where:], -g, number, where, known)
+                    row.push(rest[where:], -g, number, where, known, k - turn)
                 else:
-                    row.push(rest, -g, number, 0, [])
+                    row.push(rest, -g, number, 0, [], k - turn)
     return rows
 
 
 def _logp_of(lattices: Lattices, chunk: int, path: tuple) -> float:
-    return float(sum(lattices.vocab.byte_weight if i in lattices.vocab.values else lattices.vocab.weight[i] for i in path) - lattices.mass[chunk])
+    return float(sum(lattices.vocab.byte_weight if i in lattices.vocab.values else lattices.vocab.weight[i] for i in path) - lattices.ready()[6][chunk])
 
 
 SCHEMA = "sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
@@ -362,7 +437,7 @@ def sample_segmentations(
                         logp = float(s["logp"].sum())
                         out["key"].append(name)
                         out["sample"].append(i + 1)
-                        out["ids"].append(np.fromiter((x for p in s["paths"] for x in p), np.int32))
+                        out["ids"].append(s["paths"].ids)
                         out["log_prob"].append(logp)
                         out["perturbed"].append(s["g"])
                         out["inclusion"].append(float(-np.expm1(-np.exp(min(700.0, logp - limit)))) if limit > -np.inf else 1.0)

@@ -84,3 +84,18 @@ def test_query_round_trips(spark):
     rows = G.decode_segmentations(found, PATH).join(docs, "doc_id").collect()
     assert {r.sample for r in rows} == {1, 2} and all(r.decoded == r.text and 0 <= r.inclusion <= 1 for r in rows)
     assert len({(r.doc_id, tuple(r.ids)) for r in rows}) == len(rows)
+
+
+def test_chunks_of_a_batch_are_built_together_and_only_regions_that_can_be_opened_are_kept(vocab):
+    chunks = [" the", " é日x", "a", " ", " \n\tz", " an it".split()[0], " word"]
+    lattices = G.Lattices(vocab)
+    assert lattices.numbers(chunks + chunks[:2]).tolist() == [*range(len(chunks)), 0, 1]
+    assert lattices.numbers([" new", "a"]).tolist() == [len(chunks), 2]
+    keys, pred, piece, weight, start, end, mass, ways = lattices.ready()
+    assert (np.diff(keys) > 0).all() and len(keys) == len(pred) == len(piece) == len(weight) and len(ways) == lattices.nodes
+    for i, chunk in enumerate([*chunks, " new"]):
+        every = all_segmentations(vocab, chunk)
+        assert abs(np.logaddexp.reduce([w for _, w in every]) - mass[i]) < 1e-9
+        assert ways[end[i]] == len(every) and ways[start[i]] == 1
+    rows = G.sample_batch(lattices, ["one long text of many words " * 50, "x"], G.mix(np.arange(2, dtype=np.uint64)), 3)
+    assert all(len(row.found) == 3 and len(row.heap) <= 5 for row in rows[:1])
