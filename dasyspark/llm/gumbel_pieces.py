@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import re
 
 import numpy as np
@@ -65,11 +66,32 @@ class Vocabulary:
             for c in text:
                 state = steps.setdefault(state << 21 | ord(c), len(steps) + 1)
             ends[state] = i
-        self.steps = np.array(sorted(steps), np.int64)
-        self.after = np.array([steps[x] for x in self.steps.tolist()], np.int64)
+        # Steps lie in a table by their hash, each in the first free slot from there.
+        bits = (4 * len(steps) + 1).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots, self.after = np.full(1 << bits, -1), np.full(1 << bits, -1)
+        for (step, state), slot in zip(steps.items(), self._slot(np.array(list(steps), np.int64)).tolist(), strict=True):
+            while self.slots[slot] >= 0:
+                slot = slot + 1 & self.mask
+            self.slots[slot], self.after[slot] = step, state
         self.piece_at = np.full(len(steps) + 1, -1)
         self.piece_at[list(ends)] = list(ends.values())
 
+    def _slot(self, step: np.ndarray) -> np.ndarray:
+        return (step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states after reading a code point each; -1 where no piece goes on like that."""
+        wanted = state << 21 | code
+        slot = self._slot(wanted)
+        there = self.slots[slot]
+        other = np.flatnonzero((there != wanted) & (there >= 0))
+        while len(other):
+            slot[other] = slot[other] + 1 & self.mask
+            there = self.slots[slot[other]]
+            other = other[(there != wanted[other]) & (there >= 0)]
+        return np.where(self.slots[slot] == wanted, self.after[slot], -1)
+
     def decode(self, ids) -> str:
         """The text of a sequence of ids; the leading space that every text gets is taken off."""
         out = b"".join(self.values.get(i) or self.text[i].encode("utf-8", "surrogatepass") for i in ids)
@@ -84,8 +106,8 @@ def vocabulary(path: str, power: float = 1.0) -> Vocabulary:
 class Lattices:
     """Lattices of chunks in flat arrays: nodes are numbered through, each node's incoming edges lie together.
 
-    ``keys`` holds node + cumulative probability of its edges, so that one search
-    finds an edge for (node, uniform number). The new chunks of a batch are built
+    ``share`` holds the cumulative probability of a node's edges, above 1 for the last
+    one, so that a walk over them finds the edge of a uniform number. The new chunks of a batch are built
     together: their substrings walk the vocabulary's trie a character at a time, and
     the masses of all nodes at one place of their chunk are summed at once.
     """
@@ -97,7 +119,8 @@ class Lattices:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.nodes = 0
-        kinds = (float, np.int64, np.int32, float, np.int64, np.int64, float, float)
+        kinds = (float, np.int64, np.int32, float, np.int64, np.int64, float, float, np.int64, np.int64)
+        self.edges = 0
         self.made: list[list[np.ndarray]] = [[np.empty(0, kind)] for kind in kinds]
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
@@ -123,10 +146,9 @@ class Lattices:
         for depth in range(v.longest):
             live = left[at] > depth
             at, state = at[live], state[live]
-            wanted = state << 21 | code[at + depth]
-            step = np.minimum(np.searchsorted(v.steps, wanted), len(v.steps) - 1)
-            live = v.steps[step] == wanted
-            at, state = at[live], v.after[step[live]]
+            state = v.step(state, code[at + depth])
+            live = state >= 0
+            at, state = at[live], state[live]
             piece = v.piece_at[state]
             whole = piece >= 0
             froms.append(at[whole])
@@ -187,17 +209,18 @@ class Lattices:
             edge = begin[degree > r] + r
             share[edge] += share[edge - 1]
         ending = begin[degree > 0] + degree[degree > 0] - 1
-        keys = self.nodes + goal + np.minimum(share, 1.0)
-        keys[ending] = self.nodes + goal[ending] + 1.0
+        share[ending] = 2.0
         new = (
-            keys, self.nodes + pred, piece.astype(np.int32), weight, self.nodes + base, self.nodes + base + size, total[base + size], ways
+            share, self.nodes + pred, piece.astype(np.int32), weight, self.nodes + base, self.nodes + base + size, total[base + size], ways,
+            self.edges + begin, degree,
         )
         for held, x in zip(self.made, new, strict=True):
             held.append(x)
         self.nodes += n
+        self.edges += len(goal)
 
     def ready(self) -> tuple[np.ndarray, ...]:
-        """keys, predecessors, pieces and weights of edges; start, end and mass of chunks; paths that reach a node."""
+        """share, predecessors, pieces and weights of edges; start, end and mass of chunks; paths that reach a node, its first edge and their number."""
         for held in self.made:
             if len(held) > 1:
                 held[:] = [np.concatenate(held)]
@@ -219,15 +242,19 @@ def uniform(seed: np.ndarray, *counters) -> np.ndarray:
 
 def draw(lattices: Lattices, chunk: np.ndarray, seed: np.ndarray, place: np.ndarray, round_: int):
     """A segmentation of each chunk, drawn by its probability: all pieces in order, where each chunk's end, and log probabilities."""
-    keys, pred, piece, weight, start, end, mass, _ = lattices.ready()
+    share, pred, piece, weight, start, end, mass, _, begin, _ = lattices.ready()
     cur, token = end[chunk], np.arange(len(chunk))
     logp = -mass[chunk]
     out = []
     goal, seed = start[chunk], seeded(seed, place, round_)
     size = np.zeros(len(chunk), np.int64)
     while len(token):
-        edge = np.searchsorted(keys, cur + uniform(seed[token], len(out)), side="right")
-        # The last key of a node is the next whole number, so rounding cannot leave the node.
+        at, edge = uniform(seed[token], len(out)), begin[cur]
+        # The last share of a node is above 1, so rounding cannot leave the node.
+        further = np.flatnonzero(share[edge] <= at)
+        while len(further):
+            edge[further] += 1
+            further = further[share[edge[further]] <= at[further]]
         out.append((token, piece[edge]))
         logp[token] += weight[edge]
         size[token] += 1
@@ -243,8 +270,19 @@ def draw(lattices: Lattices, chunk: np.ndarray, seed: np.ndarray, place: np.ndar
 
 def draw_other(lattices: Lattices, chunk: int, known: list[tuple], seed: np.uint64, place: int, round_: int):
     """A segmentation of one chunk other than the known ones (tuples of pieces), and its log probability."""
-    keys, pred, piece, weight, start, end, mass, ways = lattices.ready()
+    share, pred, piece, weight, start, end, mass, ways, begin, degree = lattices.ready()
     cur, goal = int(end[chunk]), int(start[chunk])
+    # A character takes at most four steps.
+    most = 4 * (cur - goal)
+    at_step = uniform(np.full(most, seeded(np.uint64([seed]), place, round_)[0]), np.arange(most)).tolist()
+
+    def edges(node: int) -> list[tuple[int, float, int, int, float]]:
+        """(piece, probability, place before, paths there, weight) of a node's edges."""
+        e = slice(int(begin[node]), int(begin[node] + degree[node]))
+        runs = share[e].tolist()
+        odds = [min(x, 1.0) - y for x, y in zip(runs, [0.0, *runs], strict=False)]
+        return list(zip(piece[e].tolist(), odds, pred[e].tolist(), ways[pred[e]].tolist(), weight[e].tolist(), strict=True))
+
     path: list[int] = []
     logp = -float(mass[chunk])
 
@@ -252,35 +290,31 @@ def draw_other(lattices: Lattices, chunk: int, known: list[tuple], seed: np.uint
         """Probability of finishing with exactly these pieces (from the end) at a node."""
         p = 1.0
         for want in left:
-            a, b = np.searchsorted(keys, node, side="right"), np.searchsorted(keys, node + 1.0, side="right")
-            hit = [e for e in range(a, b) if piece[e] == want]
-            if not hit:
+            hit = next((e for e in edges(node) if e[0] == want), None)
+            if hit is None:
                 return 0.0
-            e = hit[0]
-            p *= keys[e] - (keys[e - 1] if e > a else node)
-            node = int(pred[e])
+            p *= hit[1]
+            node = hit[2]
         return p
 
     live = [tuple(reversed(k)) for k in known]
-    step = 0
     while cur != goal:
-        a, b = np.searchsorted(keys, cur, side="right"), np.searchsorted(keys, cur + 1.0, side="right")
-        room = []
-        for e in range(a, b):
-            p = keys[e] - (keys[e - 1] if e > a else cur)
-            taken = [x[1:] for x in live if x and x[0] == piece[e]]
-            gone = sum(chance(x, int(pred[e])) for x in taken)
+        room, ways_on = [], edges(cur)
+        for name, p, before, paths, _ in ways_on:
+            taken = [x[1:] for x in live if x and x[0] == name]
+            gone = sum(chance(x, before) for x in taken)
             # Counting says whether anything is left; its mass may be below rounding.
-            room.append(p * max(TINY, 1.0 - gone) if ways[pred[e]] > len(taken) else 0.0)
-        at = float(uniform(np.uint64([seed]), place, round_, step)[0]) * sum(room)
-        e = a + min(int(np.searchsorted(np.cumsum(room), at, side="right")), len(room) - 1)
-        while room[e - a] == 0.0 and e > a:
+            room.append(p * max(TINY, 1.0 - gone) if paths > len(taken) else 0.0)
+        at, e = at_step[len(path)] * sum(room), 0
+        for e, run in enumerate(itertools.accumulate(room)):
+            if run > at:
+                break
+        while room[e] == 0.0 and e > 0:
             e -= 1
-        live = [x[1:] for x in live if x and x[0] == piece[e]]
-        path.append(int(piece[e]))
-        logp += float(weight[e])
-        cur = int(pred[e])
-        step += 1
+        name, _, cur, _, own = ways_on[e]
+        live = [x[1:] for x in live if x and x[0] == name]
+        path.append(name)
+        logp += own
     return tuple(reversed(path)), logp
 
 
@@ -314,36 +348,45 @@ class Row:
         self.heap: list[tuple] = []
         self.counter = self.pushed = 0
 
-    def bound(self, mass: np.ndarray, limit: float) -> np.ndarray:
-        """Noisy maxima of regions of these log masses, given that they lie below ``limit``."""
-        u = uniform(np.full(len(mass), self.seed), np.arange(len(mass)), 1 << 20, self.counter)
-        self.counter += 1
-        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-            free = mass - np.log(-np.log(u))
-            return np.where(np.isneginf(mass), -np.inf, _below(free, limit))
-
-    def push(self, masses: np.ndarray, limit: float, sequence: int, first: int, without: list, most: int) -> None:
-        """Regions that leave ``sequence`` at chunk first, first + 1, ...; the first also without other segmentations.
-
-        No more than the ``most`` largest can still be opened or give the threshold; the others are not kept.
-        """
-        bounds = self.bound(masses, limit)
-        at = np.flatnonzero(bounds > -np.inf)
-        if len(at) > most:
-            at = np.sort(at[np.argpartition(-bounds[at], most - 1)[:most]])
-        for i, g in zip(at.tolist(), bounds[at].tolist(), strict=True):
-            heapq.heappush(self.heap, (-g, self.pushed, sequence, first + i, without if i == 0 else []))
-            self.pushed += 1
-
     def keep(self, paths: Paths, logp: np.ndarray, g: float) -> int:
         self.found.append({"paths": paths, "logp": logp, "g": g})
         return len(self.found) - 1
 
 
-def _below(free: np.ndarray, limit: float) -> np.ndarray:
+def push(regions: list[tuple], most: int) -> None:
+    """Regions (row, masses, limit, sequence, first, without), for all rows at once.
+
+    They leave ``sequence`` of their row at chunk first, first + 1, ...; the first also without
+    other segmentations. No more than the ``most`` largest of a row can still be opened or
+    give the threshold; the others are not kept.
+    """
+    sizes = [len(masses) for _, masses, *_ in regions]
+    stops = np.cumsum(sizes)
+    seed, counter, limit = (
+        np.repeat(np.array(x, kind), sizes)
+        for x, kind in (([r[0].seed for r in regions], np.uint64), ([r[0].counter for r in regions], np.int64), ([r[2] for r in regions], float))
+    )
+    place = np.arange(len(seed)) - np.repeat(stops - sizes, sizes)
+    every = noisy(np.concatenate([r[1] for r in regions]), limit, uniform(seed, place, 1 << 20, counter))
+    for (row, _, _, sequence, first, without), size, stop in zip(regions, sizes, stops.tolist(), strict=True):
+        row.counter += 1
+        bounds = every[stop - size : stop]
+        at = np.argpartition(-bounds, most - 1)[:most] if size > most else np.arange(size)
+        for i, g in sorted(zip(at.tolist(), bounds[at].tolist(), strict=True)):
+            if g > -np.inf:
+                heapq.heappush(row.heap, (-g, row.pushed, sequence, first + i, without if i == 0 else []))
+                row.pushed += 1
+
+
+def noisy(mass: np.ndarray, limit: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Noisy maxima of regions of these log masses by uniform numbers, given that they lie below ``limit``."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        free = mass - np.log(-np.log(u))
+        return np.where(np.isneginf(mass), -np.inf, np.where(np.isposinf(limit), free, _below(free, limit)))
+
+
+def _below(free: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """-log(exp(-limit) + exp(-free)) without overflow."""
-    if limit == np.inf:
-        return free
     low = np.minimum(free, limit)
     return low - np.log1p(np.exp(-np.abs(free - limit)))
 
@@ -356,9 +399,8 @@ def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
     number = lattices.numbers([c for chunks in cut for c in chunks])
     stops = np.cumsum([len(chunks) for chunks in cut]).tolist()
     rows = [Row(number[e - len(c) : e], s) for c, e, s in zip(cut, stops, seeds.tolist(), strict=True)]
-    for row in rows:
-        g = float(row.bound(np.zeros(1), np.inf)[0])
-        row.heap.append((-g, 0, -1, 0, []))
+    if rows:
+        push([(row, np.zeros(1), np.inf, -1, 0, []) for row in rows], 1)
     every = lattices.ready()
     for turn in range(k):
         jobs = []
@@ -373,6 +415,7 @@ def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
         sizes = [len(row.chunks) - b for (row, _), b in zip(jobs, begin, strict=True)]
         seed = np.repeat(np.array([row.seed for row, _ in jobs], np.uint64), sizes)
         place = np.concatenate([np.arange(b, len(row.chunks)) for (row, _), b in zip(jobs, begin, strict=True)])
+        regions = []
         found, stop, logp = draw(lattices, chunk, seed, place, turn)
         at = 0
         for (row, (g, _, sequence, where, without)), size in zip(jobs, sizes, strict=True):
@@ -399,9 +442,11 @@ def sample_batch(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
                     # The rest of the opened region at its own chunk: without everything drawn there so far.
                     taken = np.exp(own[where]) + sum(np.exp(_logp_of(lattices, int(row.chunks[where]), x)) for x in known)
                     rest[where] = before[where] + np.log(max(TINY, 1.0 - taken)) if ways[where] > len(known) + 1 else -np.inf
-                    row.push(rest[where:], -g, number, where, known, k - turn)
+                    regions.append((row, rest[where:], -g, number, where, known))
                 else:
-                    row.push(rest, -g, number, 0, [], k - turn)
+                    regions.append((row, rest, -g, number, 0, []))
+        if regions:
+            push(regions, k - turn)
     return rows
 
 
