@@ -13,8 +13,8 @@ that also signs under another hashing, at the last one with its empty subsets
 too. A pair that only meets in empty subsets has both its sets in that case.
 
 Equal sets are one node from the start. Sets that share signatures make
-candidate groups; large ones are told apart by a second signing with larger
-subsets. A group is checked in blocks of bounded size against its most frequent
+candidate groups; large ones are told apart by further signings with larger
+subsets, each under another hashing. A group is checked in blocks of bounded size against its most frequent
 members first, and then only what is still apart is compared, so that a
 tight group of any size costs little more than its members.
 """
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from dasyspark.llm.common import join_small, map_batches, mix, pieces, shuffle_partitions, trimmed
 from dasyspark.llm.components import Forest, connected
-from dasyspark.session import materialize
+from dasyspark.session import discard, materialize
 
 LEVELS = 3
-BLOCK, HUBS = 768, 16
+BLOCK, HUBS, REFININGS = 768, 16, 4
 SIGNATURES_PER_BUCKET = 1_500_000
 PAIRS_PER_TASK = 2_000_000
 
@@ -190,31 +190,36 @@ def sign(docs: DataFrame, width: int, num: int, den: int, buckets: int, slack: i
     )
 
 
-def refine(sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
-    """Groups of sets (node, root, shingles) told apart by a second, independent signing with larger subsets.
+def refine(rows: DataFrame, num: int, den: int, buckets: int, seed: int) -> DataFrame:
+    """Groups of rows (member, node, root, shingles) told apart by an independent signing with larger subsets, written.
 
     Similar sets share a signature under any hashing, so only chance meetings fall
-    apart. Here a group also stays within two neighbouring bands: a set takes part
-    once with the band below and once with the one above, as node and node + 1.
-    Gives (member, node, root, degree, shingles) of sets that still meet another.
+    apart, and another ``seed`` tells apart what met by chance under this one. Here a
+    group also stays within two neighbouring bands: a set takes part once with the
+    band below and once with the one above, as member node and node + 1. A null member
+    stands for both. Gives (member, node, root, degree, shingles) of rows that still meet another.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             sigs, owners = [], []
-            for node, root, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for member, node, root, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 inside = mix(np.array([root], np.int64).astype(np.uint64))
-                for upper, sig in signatures_by_band(np.frombuffer(raw, np.uint64), num, den, 1, 3, seed=1):
-                    sigs.append(mix(sig ^ inside))
-                    owners.append(np.full(len(sig), node + upper))
+                for upper, sig in signatures_by_band(np.frombuffer(raw, np.uint64), num, den, 1, 3, seed=seed):
+                    if member is None or member == node + upper:
+                        sigs.append(mix(sig ^ inside))
+                        owners.append(np.full(len(sig), node + upper))
             if sigs:
                 yield blobs(np.concatenate(sigs), np.concatenate(owners), buckets)
 
-    met = meetings(sets.select("node", "root", "shingles").mapInArrow(trimmed(run), BLOBS), buckets, "refined")
+    met = meetings(rows.select("member", "node", "root", "shingles").mapInArrow(trimmed(run), BLOBS), buckets, "refined")
     groups = connected(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
     degrees = met.groupBy("node").agg(F.sum("degree").alias("degree"))
-    members = groups.join(degrees, "node").withColumnRenamed("node", "member")
-    return sets.select("node", "shingles").join(members, F.col("node") == F.col("member").bitwiseAND(F.lit(-2)))
+    members = materialize(groups.join(degrees, "node").withColumnRenamed("node", "_member"), "members")
+    own = F.col("node") == F.col("_member").bitwiseAND(F.lit(-2))
+    on = own & F.coalesce(F.col("member") == F.col("_member"), F.lit(True))
+    found = join_small(rows.select("member", "node", "shingles"), members, on, "inner", 48)
+    return materialize(found.select(F.col("_member").alias("member"), "node", "root", "degree", "shingles"), "wide")
 
 
 def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -337,7 +342,8 @@ def verify(rows: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
     """Edges (a, b) among rows (node, ask, label, shingles) of one key."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ask", "degree", "node"], ascending=[False, False, True], kind="stable")
+        # Rows that repeat a doc_id send their set again.
+        pdf = pdf.sort_values(["ask", "degree", "node"], ascending=[False, False, True], kind="stable").drop_duplicates("node")
         sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
         found = link(sets, pdf["ask"].to_numpy(bool), pdf["label"].to_numpy(), num, den)
         node = pdf["node"].to_numpy()
@@ -366,7 +372,7 @@ def link_candidates(candidates: DataFrame, docs: DataFrame, width: int, num: int
                 for part in pieces(batch)
             ),
             "node long, root long, degree long, size long, shingles binary",
-        ).dropDuplicates(["node"]),
+        ),
         "sets",
     )
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -377,23 +383,35 @@ def link_candidates(candidates: DataFrame, docs: DataFrame, width: int, num: int
 
     small = whole(sets)
     if not placed.where(F.col("size") > BLOCK).limit(1).count():
-        return materialize(verify(small, ["root", "block"], num, den), "links")
-    wide = refine(sets.where(F.col("size") > BLOCK), num, den, shuffle_partitions(docs.sparkSession))
-    wide = materialize(wide.select("member", "node", "root", "degree", "shingles"), "wide")
-    sizes = materialize(wide.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    wide = wide.join(sizes, "root")
-    small = small.unionByName(whole(wide.drop("member")))
-    large = wide.where(F.col("size") > BLOCK)
+        edges = materialize(verify(small, ["root", "block"], num, den), "links")
+        discard(sets)
+        return edges
+    # Large groups are told apart anew as long as that leaves less of them.
+    large, left, held = sets.where(F.col("size") > BLOCK).withColumn("member", F.lit(None).cast("long")), None, [sets]
+    for seed in range(1, REFININGS + 1):
+        wide = refine(large, num, den, shuffle_partitions(docs.sparkSession), seed)
+        sizes = materialize(wide.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+        held.append(wide)
+        wide = join_small(wide, sizes, "root", "inner", 32)
+        small = small.unionByName(whole(wide.drop("member")))
+        large = wide.where(F.col("size") > BLOCK)
+        before, left = left, sizes.where(F.col("size") > BLOCK).agg(F.sum("size")).first()[0] or 0
+        if not left or before and left > 0.7 * before:
+            break
+    if not left:
+        edges = materialize(verify(small, ["root", "block"], num, den), "links")
+        discard(*held)
+        return edges
     placed = large.drop("shingles")
-    # Large groups: the most frequent member of each of some slots against blocks of all.
+    # Those that stay large: the most frequent member of each of some slots against blocks of all.
     hubs = (
         placed.groupBy("root", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot"))
         .agg(F.expr("max_by(node, struct(degree, node))").alias("hub"))
         .groupBy("root").agg(F.collect_list("hub").alias("hubs"))
     )
-    with_hubs = materialize(
-        large.drop("member").join(hubs, "root").withColumn("ask", F.array_contains("hubs", F.col("node"))).drop("hubs"), "hubs"
-    )
+    hubs = materialize(hubs, "hubs")
+    with_hubs = join_small(large.drop("member"), hubs, "root", "inner", 16 * HUBS)
+    with_hubs = materialize(with_hubs.withColumn("ask", F.array_contains("hubs", F.col("node"))).drop("hubs"), "hubs")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     spread = with_hubs.withColumns({
         "label": F.col("node"),
@@ -409,7 +427,7 @@ def link_candidates(candidates: DataFrame, docs: DataFrame, width: int, num: int
         .groupBy("root").agg(F.expr("max_by(label, struct(n, label))").alias("main"), F.sum("n").alias("all"),
                              (F.sum("n") - F.max("n")).alias("rest"))
     )
-    known = known.join(main, "root").where("rest > 0")
+    known = join_small(known, materialize(main.where("rest > 0"), "main"), "root", "inner", 48)
     asks, targets = F.ceil(F.col("rest") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     questions = known.where("label <> main").withColumns({
         "ask": F.lit(True), "qb": F.pmod(F.xxhash64("node"), asks).cast("int"),
@@ -419,7 +437,8 @@ def link_candidates(candidates: DataFrame, docs: DataFrame, width: int, num: int
         "ask": F.lit(False), "tb": F.pmod(F.xxhash64("node"), targets).cast("int"),
         "qb": F.explode(F.sequence(F.lit(0), asks - 1)),
     })
-    both = verify(questions.unionByName(answers), ["root", "qb", "tb"], num, den)
+    both = materialize(verify(questions.unionByName(answers), ["root", "qb", "tb"], num, den), "links")
+    discard(*held, with_hubs)
     return edges.unionByName(both)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 # A side is broadcast only when a count proves that it stays below this size.
 BROADCAST_BYTES = 64 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROW_BYTES, VALUE_BYTES, TEXT_BYTES = 32, 24, 256
 
 
@@ -63,8 +64,32 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     size of the data, so later joins choose broadcast or shuffle by that size.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _write(df, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def _write(df: DataFrame, path: str) -> None:
+    """Write a table; what was shuffled for it goes as soon as it is whole."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables given by ``materialize`` that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.written)
 
 
 class Superseding:
@@ -80,12 +105,11 @@ class Superseding:
     def write(self, df: DataFrame, label: str) -> DataFrame:
         spark = df.sparkSession
         path = scratch_path(spark, label)
-        df.write.parquet(path)
+        _write(df, path)
         before = self._paths.get(label)
         self._paths[label] = path
         if before:
-            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+            _delete(spark, before)
         return spark.read.schema(df.schema).parquet(path)
 
 

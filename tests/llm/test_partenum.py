@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import numpy as np
@@ -122,3 +123,40 @@ def test_meetings_of_many_buckets_are_joined(spark, make, monkeypatch):
     a, b = np.array([0, 3, 5, 7, 1, 2]), np.array([3, 1, 6, 7, 2, 4])
     assert P.joined_roots(a, b, 9).tolist() == [0, 0, 0, 0, 0, 5, 5, 7, 8]
     assert P.meetings(signed.limit(0), 4, "none").count() == 0
+
+
+def test_what_met_by_chance_falls_apart_under_another_hashing_and_links_stay(spark, make):
+    from pyspark.sql import functions as F
+
+    passage = [f"p{i}" for i in range(20)]
+    texts = [" ".join([*(f"w{i}x{j}" for j in range(100)), *passage]) for i in range(40)]
+    texts += [t + " end" for t in texts[:3]]
+    sets = [P.shingle_hashes(t, 5) for t in texts]
+    rows = spark.createDataFrame(
+        [(P.node_of(s), 7, bytearray(s.tobytes())) for s in sets], "node long, root long, shingles binary"
+    ).withColumn("member", F.lit(None).cast("long"))
+    once = P.refine(rows, 80, 100, 2, 1)
+    twice = P.refine(once, 80, 100, 2, 2)
+
+    def together(found):
+        return {frozenset(r.nodes) for r in found.groupBy("root").agg(F.collect_set("node").alias("nodes")).collect()}
+
+    first, second = together(once), together(twice)
+    assert sum(map(len, second)) < sum(map(len, first))
+    for i in range(3):
+        assert any({P.node_of(sets[i]), P.node_of(sets[40 + i])} <= group for group in second)
+    assert {r.member & -2 for r in twice.collect()} <= {P.node_of(s) for s in sets}
+
+
+def test_a_written_table_leaves_no_shuffle_files_and_can_be_discarded(spark, make):
+    from dasyspark import session
+
+    def files():
+        left = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {x for i in range(left.size()) if (x := left.apply(i).getName()).startswith("shuffle")}
+
+    before = files()
+    counted = session.materialize(make([(1, "a"), (2, "a")]).groupBy("text").count(), "counted")
+    assert not files() - before and counted.first()["count"] == 2
+    session.discard(counted)
+    assert not os.path.exists(counted.written.removeprefix("file:"))
