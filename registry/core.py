@@ -231,9 +231,9 @@ TOTAL_ROWS = f"""total_rows AS (SELECT {UNIT_NAME} AS unit, n_regionkey AS state
 
 
 def totals(spark: SparkSession, sf: str) -> DataFrame:
-    return total_rows(spark, sf).groupBy("state", "unit").agg(F.sum("y_crore").alias("y_crore")).withColumn(
-        "y_inr", F.col("y_crore") * 1e7
-    )
+    """Published totals; amounts are decimals and summed as such, so that the order of the rows does not show."""
+    total = F.sum(F.col("y_crore").cast("decimal(28,10)")).cast("double")
+    return total_rows(spark, sf).groupBy("state", "unit").agg(total.alias("y_crore")).withColumn("y_inr", F.col("y_crore") * 1e7)
 
 
 TOTALS = (

@@ -457,3 +457,22 @@ def test_a_preset_cell_has_one_dossier():
     db.sql("create view customer as select * from '/root/testdata/sf0.001/customer.parquet' where c_custkey in (select min(c_custkey) from '/root/testdata/sf0.001/customer.parquet' join '/root/testdata/sf0.001/orders.parquet' on c_custkey = o_custkey where c_acctbal > 0)")
     db.sql("create view orders as select * from '/root/testdata/sf0.001/orders.parquet' where o_custkey in (select c_custkey from customer)")
     assert len(db.sql(entry.oracle_sql()["cell_dossier"]).fetchall()) == 1
+
+
+def test_published_totals_do_not_depend_on_the_order_of_their_rows(spark, tmp_path):
+    from registry import core
+
+    given = {
+        "nation": ([(3, "NATION_3", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(7, 3)], "c_custkey bigint, c_nationkey int"),
+        "orders": (
+            [(i, 7, "1-URGENT", 0.1) for i in range(10)] + [(10, 7, "2-HIGH", 1e9 + 0.07)],
+            "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_totalprice double",
+        ),
+    }
+    for descending in (False, True):
+        folder = tmp_path / str(descending)
+        for name, (rows, schema) in given.items():
+            ordered = spark.createDataFrame(rows, schema).coalesce(1).sortWithinPartitions(schema.split()[0], ascending=not descending)
+            ordered.write.parquet(f"{folder}/{name}.parquet")
+        assert [r.y_crore for r in core.totals(spark, str(folder)).collect()] == [1000000001.07]
