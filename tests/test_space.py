@@ -85,6 +85,32 @@ def test_edges_are_symmetric_without_loops(spark):
     assert near == edges
 
 
+def test_edges_by_distance_cross_the_meridian_and_the_poles(spark):
+    rng = random.Random(5)
+    spots = [(i, lat, lon) for i, (lat, lon) in enumerate([
+        *((rng.uniform(-1.5, 1.5), rng.choice((-180.0, 180.0, 540.0)) + rng.uniform(-1.5, 1.5)) for _ in range(80)),
+        *((sign * rng.uniform(88, 90), rng.uniform(-180, 180)) for sign in (1, -1) for _ in range(80)),
+        *((rng.uniform(59, 61), rng.uniform(9, 13)) for _ in range(80)), (90.0, 0.0), (-90.0, 7.0), (30.0, 5.0), (30.0, 5.0),
+    ])]
+    cells = spark.createDataFrame([*spots, (900, None, 1.0), (901, 1.0, float("nan"))], "cell int, lat double, lon double")
+    a, b = (cells.select(*[F.col(c).alias(c + n) for c in cells.columns]) for n in "12")
+    near = geo.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    met = a.crossJoin(b).where("cell1 <> cell2").select("cell1", "cell2", near.alias("km")).where("km is not null and not isnan(km)").collect()
+    for reach in (0.0, 60.0, 130.0):
+        edges = sorted((r.src, r.dst) for r in graph.adjacency_by_distance(cells, reach, tile=1.0).collect())
+        assert edges and edges == sorted((r.cell1, r.cell2) for r in met if r.km <= reach)
+
+
+def test_registered_edges_by_distance_read_customers_only(spark, monkeypatch):
+    from registry import core, learning
+
+    read = []
+    for module in (core, learning):
+        monkeypatch.setattr(module, "table", lambda s, sf, name: read.append(name) or s.read.parquet(f"{sf}/{name}.parquet"))
+    assert core.QUERIES["adjacency_by_distance"](spark, "/root/testdata/sf0.01").count() > 0
+    assert set(read) == {"customer", "nation"}
+
+
 def polygons(spark, *rows):
     return spark.createDataFrame(rows, f"unit string, part string, ring {GEO}")
 
