@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from dasyspark.llm.common import join_small, trimmed
 
 LETTERS = re.compile(r"[^\W\d_]+")
+# What separates words in Latin-1 becomes a space.
+LATIN = bytes(c if LETTERS.match(chr(c)) else ord(" ") for c in range(256))
 
 STEMS = (4, 5, 6)
 MOST_HELD = 400_000
@@ -41,7 +44,13 @@ IDENTITY: tuple[tuple[str, ...], ...] = (
 
 def word_set(text: str | None) -> set[str]:
     """Lower-cased runs of letters; empty without text."""
-    return set(LETTERS.findall(text.lower())) if text else set()
+    if not text:
+        return set()
+    text = text.lower()
+    try:
+        return set(text.encode("latin-1").translate(LATIN).decode("latin-1").split())
+    except UnicodeEncodeError:
+        return set(LETTERS.findall(text))
 
 
 def with_stems(words) -> set[str]:
@@ -53,6 +62,22 @@ def with_stems(words) -> set[str]:
     return out
 
 
+def finder(features: Iterable[str]) -> Callable[[set[str]], set[str]]:
+    """A function that tells which of ``features`` are among some words and their stems.
+
+    Few words begin like one of the stems, so only these are cut.
+    """
+    wanted = frozenset(features)
+    stems = frozenset(f for f in wanted if f.endswith("*"))
+    shortest = min(STEMS)
+    starts = frozenset(f[:shortest] for f in stems)
+
+    def find(words: set[str]) -> set[str]:
+        return (words & wanted) | (with_stems([w for w in words if w[:shortest] in starts]) & stems)
+
+    return find
+
+
 def counterfactuals(features: set[str], groups=IDENTITY) -> list[set[str]]:
     """The feature set with each identity term, and its stems, replaced by each other term of its set."""
     made = []
@@ -73,44 +98,54 @@ class Model:
         """Of a set of words and stems."""
         return self.bias + float(sum(self.weights[self.vocabulary[w]] for w in sorted(words & self.vocabulary.keys())))
 
+    def probability(self, words: set[str]) -> float:
+        """Of a set of words and stems."""
+        return float(1.0 / (1.0 + np.exp(-np.clip(self.logit(words), -500, 500))))
+
     def score(self, text: str | None) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.logit(with_stems(word_set(text))), -500, 500))))
+        return self.probability(with_stems(word_set(text)))
 
 
 def separating_words(labelled: DataFrame, label: str, least: int, most: int) -> tuple[list[str], int]:
     """Words of at least ``least`` labelled texts, by the likelihood ratio of their presence in either class; the number of texts."""
 
     def count(batches):
-        seen: tuple[Counter, Counter] = Counter(), Counter()
+        # Whole words and stems of each length apart, so that a stem gets its star when it is sent only.
+        seen = {(y, n): Counter() for y in (0, 1) for n in (0, *STEMS)}
 
         def flush():
-            words = list(seen[0].keys() | seen[1].keys())
-            made = pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)],
-                names=["word", "n0", "n1"],
-            )
-            for c in seen:
+            words, counts = [], ([], [])
+            for n in (0, *STEMS):
+                found = list(seen[0, n].keys() | seen[1, n].keys())
+                words += [w + "*" for w in found] if n else found
+                for y in (0, 1):
+                    counts[y].extend(seen[y, n][w] for w in found)
+            made = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=["word", "n0", "n1"])
+            for c in seen.values():
                 c.clear()
             return made
 
         for batch in batches:
             for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen[y].update(with_stems(word_set(text)))
-                seen[y][""] += 1  # the empty word stands for the number of rows
-                if len(seen[0]) + len(seen[1]) > MOST_HELD:
+                words = word_set(text)
+                seen[y, 0].update(words)
+                for n in STEMS:
+                    seen[y, n].update({w[:n] for w in words if len(w) >= n})
+                if sum(map(len, seen.values())) > MOST_HELD:
                     yield flush()
         yield flush()
 
+    labelled = labelled.select("text", F.col(label).cast("int").alias("y"))
+    # The rows are counted by themselves, which reads no text; a look into the words below would count them twice.
+    totals = dict(labelled.groupBy("y").count().collect())
+    t0, t1 = totals.get(0, 0), totals.get(1, 0)
+    if not t0 or not t1:
+        return [], t0 + t1
     found = (
-        labelled.select("text", F.col(label).cast("int").alias("y")).mapInArrow(trimmed(count), "word string, n0 long, n1 long")
+        labelled.mapInArrow(trimmed(count), "word string, n0 long, n1 long")
         .groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .where((F.col("n0") + F.col("n1") >= least) | (F.col("word") == ""))
+        .where(F.col("n0") + F.col("n1") >= least)
     )
-    # The totals come back with the counts: one row of the table.
-    totals = found.where("word = ''").select(F.col("n0").alias("t0"), F.col("n1").alias("t1")).first()
-    t0, t1 = (totals[0] or 0, totals[1] or 0) if totals else (0, 0)
-    if not t0 or not t1:
-        return [], t0 + t1
     n, rate = F.col("n0") + F.col("n1"), t1 / (t0 + t1)
 
     def part(seen, expected):
@@ -120,7 +155,7 @@ def separating_words(labelled: DataFrame, label: str, least: int, most: int) ->
         part(F.col("n1"), n * rate) + part(F.col("n0"), n * (1 - rate))
         + part(t1 - F.col("n1"), (t0 + t1 - n) * rate) + part(t0 - F.col("n0"), (t0 + t1 - n) * (1 - rate))
     )
-    chosen = found.where("word <> ''").withColumn("g", F.round(g, 6)).where("g > 12")
+    chosen = found.withColumn("g", F.round(g, 6)).where("g > 12")
     return [r[0] for r in chosen.orderBy(F.desc("g"), "word").limit(most).select("word").collect()], t0 + t1
 
 
@@ -180,10 +215,11 @@ def fit(
     kept = set(words) | with_stems(t for g in groups for t in g)
 
     def features(batches):
+        find = finder(kept)
         for batch in batches:
             ids, texts, ys = (c.to_pylist() for c in batch.columns)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([sorted(with_stems(word_set(t)) & kept) for t in texts], pa.list_(pa.string())),
+                [pa.array(ids, pa.int64()), pa.array([sorted(find(word_set(t))) for t in texts], pa.list_(pa.string())),
                  pa.array(ys, pa.int32())],
                 names=["doc_id", "words", "y"],
             )
@@ -212,8 +248,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double, predicted int"
 
     def run(batches):
+        model = shared.value
+        find = finder(model.vocabulary)
         for batch in batches:
-            found = [shared.value.score(t) for t in batch.column(at).to_pylist()]
+            found = [model.probability(find(word_set(t))) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32())],
                 names=[*batch.schema.names, "score", "predicted"],

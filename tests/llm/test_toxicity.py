@@ -1,5 +1,7 @@
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from dasyspark.llm import toxicity as T
 
 
@@ -63,3 +65,25 @@ def test_odd_rows_and_missing_labels(spark, odd, nothing):
     untaught = T.fit(odd, labels.limit(0))
     assert {r.score for r in T.score(odd, untaught).collect()} == {0.5}
     assert T.score(nothing, model).count() == 0
+
+
+def test_words_and_stems_are_found_as_by_the_plain_form():
+    texts = ["".join(map(chr, range(256))), "ÀÉß x²y a_b c1d ½\xa0z\x85w", "漢字 idiot İ ª", "Idiots idiotic IDIO idi", "", "\ud800 lone"]
+    for text in texts:
+        assert T.word_set(text) == set(T.LETTERS.findall(text.lower()))
+    features = ["idiots", "idio*", "idioti*", "lone", "absent", "abse*"]
+    for text in texts:
+        assert T.finder(features)(T.word_set(text)) == T.with_stems(T.word_set(text)) & set(features)
+
+
+def test_texts_are_read_once_to_choose_words(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    rows = spark.createDataFrame([("good word", 0)] * 30 + [("idiots word", 1), ("idiotic word", 1)] * 15, "text string, y int")
+    words, n = T.separating_words(rows.withColumn("text", told("text")), "y", 1, 5)
+    assert n == 60 and words == ["good", "good*", "idio*", "idiot*", "idioti*"] and read.value == 60
